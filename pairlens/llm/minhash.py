@@ -20,6 +20,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +32,8 @@ K, NEED = 32, 12
 NUM, DEN = 4, 5
 #: Nodes of a block in the last comparison, and how many pairs of a list are compared by a plain join.
 BLOCK, JOINED = 256, 1024
+#: A filter of 2 ** FILTER_BITS bits (8 MB) is sent to the tasks.
+FILTER_BITS = 26
 #: Bytes of text that are hashed at once, at least one text.
 CHUNK = 1 << 20
 
@@ -48,10 +51,12 @@ def _chunks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
         yield start, now
 
 
-def _sketcher(w: int, full: bool) -> Callable:
-    """(id, text) batches to (id, n, node, values): the k smallest values, or all."""
+def _sketcher(w: int, full: bool, bits: Broadcast | None = None) -> Callable:
+    """(id, text) batches to (id, n, node, values): the k smallest values, or all; with bits only nodes that may be in the filter, once for each task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.frombuffer(bits.value, np.int64) if bits else None
+        seen: set[int] = set()
         for batch in batches:
             for at, texts in _chunks(batch.column(1).to_pylist()):
                 values, offsets = sets(texts, WHITE, w)
@@ -60,13 +65,22 @@ def _sketcher(w: int, full: bool) -> Callable:
                 node = np.zeros(len(n), np.uint64)
                 if len(filled):
                     node[filled] = mix(np.add.reduceat(mix(values.view(np.uint64)), offsets[filled]) + n[filled].astype(np.uint64))
+                ids = batch.column(0).slice(at, len(texts))
+                if held is not None:
+                    low = (node & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
+                    maybe = (n > 0) & ((held[low >> 6] >> (low & 63)) & 1 == 1)
+                    keep = np.array([i for i in np.flatnonzero(maybe) if node[i] not in seen and not seen.add(node[i])], np.int64)
+                    size = n[keep]
+                    ends = np.concatenate([[0], np.cumsum(size)])
+                    values = values[np.arange(ends[-1]) - np.repeat(ends[:-1], size) + np.repeat(offsets[:-1][keep], size)]
+                    offsets, n, node, ids = ends, size, node[keep], ids.take(pa.array(keep))
                 if not full:
                     size = np.minimum(n, K)
                     ends = np.concatenate([[0], np.cumsum(size)])
                     values = values[np.arange(ends[-1]) - np.repeat(ends[:-1], size) + np.repeat(offsets[:-1], size)]
                     offsets = ends
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(at, len(texts)), pa.array(n, pa.int64()), pa.array(node.view(np.int64), pa.int64(), mask=n == 0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))],
+                    [ids, pa.array(n, pa.int64()), pa.array(node.view(np.int64), pa.int64(), mask=n == 0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))],
                     names=["id", "n", "node", "vals"],
                 )
 
@@ -188,11 +202,11 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     star = lists.join(lead, F.col("v") == F.col("lv")).where((F.col("node") != F.col("lead.node")) & _near_in_size(F.col("n"), F.col("lead.n")))
     star = star.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
     first = cut(_by_sketch(star, sketches))
-    full = _full_sets(docs, made, first, words)
+    full = _full_sets(docs, first, words)
     links = cut(_verified(first, full))
     labels = components(links)
     second = cut(_rest(lists, labels, sketches))
-    more = _verified(second, _full_sets(docs, made, second, words))
+    more = _verified(second, _full_sets(docs, second, words))
     labels = components(links.union(more))
     named = made.where("n > 0").groupBy("node").agg(F.min("id").alias("id"))
     lab = labels.select(F.col("node").alias("ln"), F.col("component").alias("lc"))
@@ -204,17 +218,26 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
 
 
-def _full_sets(docs: DataFrame, made: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """(node, n, vals) of the nodes in pairs, from one text each."""
+def _filter_bits(nodes: DataFrame) -> bytes:
+    """One bit for each value of the lowest FILTER_BITS bits of a node: set if some node has it. 2 ** FILTER_BITS / 8 bytes, whatever the input."""
+    low = F.col("pn").bitwiseAND((1 << FILTER_BITS) - 1)
+    rows = nodes.select(F.shiftright(low, 6).alias("w"), F.shiftleft(F.lit(1).cast("long"), low.bitwiseAND(63).cast("int")).alias("b"))
+    rows = rows.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
+    bits[rows.w.to_numpy()] = rows.b.to_numpy()
+    return bits.tobytes()
+
+
+def _full_sets(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
+    """(node, n, vals) of the nodes in pairs, once each.
+
+    Sets are made again from the texts. A filter of fixed size, sent to all tasks, keeps nearly all
+    others from being shuffled; the semi join then decides.
+    """
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("pn")).distinct()
-    held = made.where("n > 0").select("id", "node").join(nodes, F.col("node") == F.col("pn"), "left_semi")
-    ids = held.groupBy("node").agg(F.min("id").alias("i")).where("i is not null")
-    rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text")
-    texts = rows.join(ids.select("i").distinct(), F.col("id") == F.col("i"), "left_semi")
-    nameless = held.where("id is null").select("node").distinct()
-    texts = texts.union(rows.where("id is null")) if not nameless.isEmpty() else texts
-    sets_ = texts.mapInArrow(_sketcher(words, True), _SCHEMA)
-    return cut(sets_.join(nodes, F.col("node") == F.col("pn"), "left_semi").dropDuplicates(["node"]).select("node", "n", "vals"))
+    bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(nodes))
+    held = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketcher(words, True, bits), _SCHEMA)
+    return cut(held.join(nodes, F.col("node") == F.col("pn"), "left_semi").dropDuplicates(["node"]).select("node", "n", "vals"))
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
