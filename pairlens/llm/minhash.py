@@ -220,9 +220,8 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
 
 def _filter_bits(nodes: DataFrame) -> bytes:
     """One bit for each value of the lowest FILTER_BITS bits of a node: set if some node has it. 2 ** FILTER_BITS / 8 bytes, whatever the input."""
-    low = F.col("pn").bitwiseAND((1 << FILTER_BITS) - 1)
-    rows = nodes.select(F.shiftright(low, 6).alias("w"), F.shiftleft(F.lit(1).cast("long"), low.bitwiseAND(63).cast("int")).alias("b"))
-    rows = rows.groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
+    low = f"(pn & {(1 << FILTER_BITS) - 1})"
+    rows = nodes.selectExpr(f"shiftright({low}, 6) as w", f"shiftleft(1L, cast({low} & 63 as int)) as b").groupBy("w").agg(F.bit_or("b").alias("b")).toPandas()
     bits = np.zeros(1 << (FILTER_BITS - 6), np.int64)
     bits[rows.w.to_numpy()] = rows.b.to_numpy()
     return bits.tobytes()
