@@ -1,17 +1,53 @@
-"""The pipeline over documents: each stage works on what the one before kept."""
+"""The pipeline over documents: each stage works on all that the one before kept.
+
+Toxic documents go, recurring lines go, one document of each group of near-copies stays, documents
+that hold a benchmark passage go, and the rest is encoded.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-STAGES: list = []
+from pairlens.llm import bpe, decontamination, linededup, minhash, toxicity
+from pairlens.llm.common import table
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return toxicity.drop_toxic(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return linededup.drop_recurring_lines(docs).drop("__lines", "__dropped")
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return minhash.drop_near_duplicates(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return decontamination.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.encode_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("line_dedup", line_stage),
+    ("minhash_near_dedup", near_duplicate_stage),
+    ("benchmark_decontamination", decontamination_stage),
+    ("bpe_encoding", encoding_stage),
+]
 
 #: SQL can't express these stages: a compressor, sketches, fingerprints, a tokenizer.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
     return docs

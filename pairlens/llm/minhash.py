@@ -65,7 +65,7 @@ def _sketcher(w: int, full: bool, bits: Broadcast | None = None) -> Callable:
                 node = np.zeros(len(n), np.uint64)
                 if len(filled):
                     node[filled] = mix(np.add.reduceat(mix(values.view(np.uint64)), offsets[filled]) + n[filled].astype(np.uint64))
-                ids = batch.column(0).slice(at, len(texts))
+                ids, hashes = (batch.column(i).slice(at, len(texts)) for i in (0, 2))
                 if held is not None:
                     low = (node & np.uint64((1 << FILTER_BITS) - 1)).astype(np.int64)
                     maybe = (n > 0) & ((held[low >> 6] >> (low & 63)) & 1 == 1)
@@ -73,21 +73,21 @@ def _sketcher(w: int, full: bool, bits: Broadcast | None = None) -> Callable:
                     size = n[keep]
                     ends = np.concatenate([[0], np.cumsum(size)])
                     values = values[np.arange(ends[-1]) - np.repeat(ends[:-1], size) + np.repeat(offsets[:-1][keep], size)]
-                    offsets, n, node, ids = ends, size, node[keep], ids.take(pa.array(keep))
+                    offsets, n, node, ids, hashes = ends, size, node[keep], ids.take(pa.array(keep)), hashes.take(pa.array(keep))
                 if not full:
                     size = np.minimum(n, K)
                     ends = np.concatenate([[0], np.cumsum(size)])
                     values = values[np.arange(ends[-1]) - np.repeat(ends[:-1], size) + np.repeat(offsets[:-1], size)]
                     offsets = ends
                 yield pa.RecordBatch.from_arrays(
-                    [ids, pa.array(n, pa.int64()), pa.array(node.view(np.int64), pa.int64(), mask=n == 0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64()))],
-                    names=["id", "n", "node", "vals"],
+                    [ids, pa.array(n, pa.int64()), pa.array(node.view(np.int64), pa.int64(), mask=n == 0), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(values, pa.int64())), hashes],
+                    names=["id", "n", "node", "vals", "text_hash"],
                 )
 
     return run
 
 
-_SCHEMA = "id long, n long, node long, vals array<long>"
+_SCHEMA = "id long, n long, node long, vals array<long>, text_hash long"
 
 
 def _near_in_size(a: Column, b: Column) -> Column:
@@ -187,13 +187,12 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
 
     Words are runs without ASCII white space, A-Z taken as a-z; a set holds the distinct shingles of
     `words` words, or all words as one where there are fewer. One row for each row: doc_id, n_shingles,
-    component_id (smallest doc_id that links reach), kept (doc_id is component_id). Texts that are
+    component_id (smallest doc_id that links reach), kept (doc_id is component_id), text_hash. Texts that are
     null, empty or white space alone have no shingles and link with nothing. A null doc_id takes part with its
     text but is never the smallest; where a component has none but null ids, component_id is null and
     kept is true. Repeated rows share a component; other columns are ignored.
     """
-    made = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketcher(words, False), _SCHEMA)
-    made = cut(made)
+    made = cut(docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(_sketcher(words, False), _SCHEMA))
     # Equal sets have equal sketches: any will do.
     classes = cut(made.where("n > 0").groupBy("node", "n").agg(F.first("vals").alias("sk"), F.min("id").alias("id")))
     sketches = classes.select("node", "sk")
@@ -213,9 +212,15 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     named = named.join(lab, F.col("node") == F.col("ln"), "left").select("node", "id", F.coalesce("lc", "node").alias("c"))
     least = named.groupBy(F.col("c").alias("gc")).agg(F.min("id").alias("component_id"))
     named = named.join(least, F.col("c") == F.col("gc")).select(F.col("node").alias("nn"), "component_id")
-    rows = made.select("id", "n", "node").join(named, F.col("node") == F.col("nn"), "left")
+    rows = made.select("id", "n", "node", "text_hash").join(named, F.col("node") == F.col("nn"), "left")
     component = F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id"))
-    return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"))
+    return rows.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, component.isNull()).alias("kept"), "text_hash")
+
+
+def drop_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
+    """docs(doc_id, text, ...), all columns, with one document of each component: see near_duplicates. Rows with a null doc_id stay."""
+    gone = near_duplicates(docs, words).where("not kept").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct()
+    return docs.join(gone, (F.col("doc_id") == F.col("__gone")) & (F.xxhash64("text") == F.col("__hash")), "left_anti")
 
 
 def _filter_bits(nodes: DataFrame) -> bytes:
@@ -235,7 +240,7 @@ def _full_sets(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
     """
     nodes = pairs.select(F.explode(F.array("a", "b")).alias("pn")).distinct()
     bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(nodes))
-    held = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_sketcher(words, True, bits), _SCHEMA)
+    held = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(_sketcher(words, True, bits), _SCHEMA)
     return cut(held.join(nodes, F.col("node") == F.col("pn"), "left_semi").dropDuplicates(["node"]).select("node", "n", "vals"))
 
 

@@ -1,19 +1,27 @@
 """The queries of this package, and SQL for those that SQL can express."""
 
 from .bpe import op5_bpe
+from .decontamination import op10_decontamination
 from .embeddings import op3_near_vectors
+from .html import op8_html
+from .linededup import op1_line_dedup
 from .minhash import op2_near_duplicates
 from .pii import op4_personal_data
 from .secrets import op9_secrets
 from .sharding import op6_sharding
+from .toxicity import op7_toxicity
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_near_vectors": op3_near_vectors,
     "op4_personal_data": op4_personal_data,
     "op5_bpe": op5_bpe,
     "op6_sharding": op6_sharding,
+    "op7_toxicity": op7_toxicity,
+    "op8_html": op8_html,
     "op9_secrets": op9_secrets,
+    "op10_decontamination": op10_decontamination,
 }
 
 SQL: dict[str, str] = {}
