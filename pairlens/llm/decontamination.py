@@ -59,7 +59,7 @@ class Index:
             h, _, _, doc = words([(text or "").encode()], NOT_ALNUM)
             if not len(h):
                 continue
-            s, _ = shingles(h, doc, SHINGLE)
+            s, _ = shingles(h, doc, min(SHINGLE, len(h)))
             if len(h) < SHINGLE:
                 self.short.setdefault(len(h), {}).setdefault(int(s[0]), []).append(item_id)
                 continue

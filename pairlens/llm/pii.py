@@ -137,7 +137,9 @@ def find_personal_data(docs: DataFrame, least_texts: int = LEAST_TEXTS, disclosu
     # A word inside a fixed span is not told twice.
     joined = base.join(more, F.col("__key") == F.col("__k"), "left")
     free = F.filter(F.coalesce("more", F.array().cast(_SPANS)), lambda w: ~F.exists("base", lambda s: (s["start"] <= w["start"]) & (w["end"] <= s["end"])))
-    n = [F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}") for k in range(4)]
+    # One argument alone: a second one of the function would be the place in the array.
+    number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+    n = [number(k).alias(f"n_{KINDS[k]}") for k in range(4)]
     joined = joined.select("doc_id", "base", F.sort_array(F.concat("base", free)).alias("span_list"))
     return joined.select("doc_id", "span_list", *n, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("span_list")).alias("spans"))
 
