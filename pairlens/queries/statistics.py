@@ -66,11 +66,11 @@ def corr_matrix(spark, d):
     return table(spark, d, "lineitem").agg(c("l_quantity", "l_extendedprice", "quantity_price"), c("l_quantity", "l_discount", "quantity_discount"), c("l_extendedprice", "l_tax", "price_tax"))
 
 
-@R.add("select k as event_type, round(corr(value, (event_type = k)::int), 6) as r from events, (select distinct event_type as k from events) group by 1")
+@R.add("select k as event_type, round(corr(value, (event_type = k)::int), 6) + 0.0 as r from events, (select distinct event_type as k from events) group by 1")
 def onehot_corr(spark, d):
     e = table(spark, d, "events")
     kinds = F.broadcast(e.select(F.col("event_type").alias("k")).distinct())
-    return e.crossJoin(kinds).groupBy(F.col("k").alias("event_type")).agg(F.round(F.corr("value", (F.col("event_type") == F.col("k")).cast("double")), 6).alias("r"))
+    return e.crossJoin(kinds).groupBy(F.col("k").alias("event_type")).agg((F.round(F.corr("value", (F.col("event_type") == F.col("k")).cast("double")), 6) + F.lit(0.0)).alias("r"))
 
 
 @R.add("select c_custkey, round((c_acctbal - min(c_acctbal) over ()) / (max(c_acctbal) over () - min(c_acctbal) over ()), 6) as x from customer")
