@@ -3,10 +3,13 @@
 1. A text's sketch is the k smallest hashes of its shingle set. Texts with equal sets are one node.
 2. Inverted lists of retained values. Of a sketch only its rarest values are listed: two sketches that
    share `need` values share one of their k - need + 1 rarest, whatever the rest is.
-3. In each list every node is compared with the list's leader: the k smallest values of both sketches
-   together estimate the similarity, and what passes is verified on full sets. Links give components.
+3. In each list every node is compared with the list's leader, the one with most values that are
+   common there: the k smallest values of both sketches together estimate the similarity, and what
+   passes is verified on full sets. Links give components.
 4. Only nodes of one list that are still in different components can add a link that matters. They
-   are all compared, in blocks of bounded size, again by union sketch and then on full sets.
+   are all compared by union sketch; long lists in blocks of bounded size, which name the nodes that
+   some pair let through. Blocks of the full sets of these then verify every such pair, in the least
+   list that both are in, and give a link for each two components that they join.
 
 A link is lost only if its two sketches share under `need` of k values though the similarity is at
 least the threshold: with k = 32, need = 12 and 0.8, below 3 in 10^8 for a pair right at 0.8, less
@@ -30,8 +33,10 @@ from .wordhash import WHITE, mix, sets
 K, NEED = 32, 12
 #: The threshold as a fraction.
 NUM, DEN = 4, 5
-#: Nodes of a block in the last comparison, and how many pairs of a list are compared by a plain join.
-BLOCK, JOINED = 256, 1024
+#: Nodes of a block of sketches; nodes of a list that is compared in one row; values of a block of full sets, at least one set.
+BLOCK, SHORT, VALUES = 1024, 24, 1 << 19
+#: Candidates of a node that are verified at once.
+STEP = 64
 #: A filter of 2 ** FILTER_BITS bits (8 MB) is sent to the tasks.
 FILTER_BITS = 26
 #: Bytes of text that are hashed at once, at least one text.
@@ -128,26 +133,86 @@ def _union_estimates(x: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return (again & (rank <= K)).sum(axis=1), np.minimum(rank[:, -1], K)
 
 
-def _compare_block(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Nodes of a block of a list against a block of those outside its largest component."""
-    none = np.iinfo(np.int64).max
-    sk = np.full((len(pdf), K), none, np.int64)
-    for i, s in enumerate(pdf.sk):
+def _matrix(sketches: list) -> np.ndarray:
+    sk = np.full((len(sketches), K), np.iinfo(np.int64).max, np.int64)
+    for i, s in enumerate(sketches):
         sk[i, : len(s)] = s
-    node, n, c, far = pdf.node.to_numpy(), pdf.n.to_numpy(), pdf.c.to_numpy(), pdf.far.to_numpy()
-    own = np.flatnonzero(~far)
-    out = []
+    return sk
+
+
+def _passing(i: int, others: np.ndarray, sk: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of others that size and union sketch leave a chance with node i, and their estimates."""
+    fit = others[(n[others] * DEN >= n[i] * NUM) & (n[i] * DEN >= n[others] * NUM)]
+    if not len(fit):
+        return fit, np.zeros(0)
+    both, union = _union_estimates(sk[fit], sk[i])
+    good = np.where(union >= K, both >= NEED, both * DEN >= union * NUM)
+    return fit[good], (both / union)[good]
+
+
+def _compare_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Short lists, one a row, to the pairs of nodes in different components that pass."""
+    for batch in batches:
+        lists = batch.column(0)
+        at = lists.offsets.to_numpy()
+        items = lists.values
+        node, n, c = (items.field(i).to_numpy() for i in range(3))
+        sk = _matrix(items.field(3).to_numpy(zero_copy_only=False))
+        a, b = [], []
+        for lo, hi in zip(at[:-1], at[1:]):
+            for i in range(lo, hi - 1):
+                later = np.arange(i + 1, hi)
+                good, _ = _passing(i, later[c[later] != c[i]], sk, n)
+                a.append(np.minimum(node[good], node[i]))
+                b.append(np.maximum(node[good], node[i]))
+        none = [np.zeros(0, np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a + none)), pa.array(np.concatenate(b + none))], names=["a", "b"])
+
+
+def _compare_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Sketches of a block of a list against a block of those outside its largest component: the nodes of pairs that pass."""
+    sk = _matrix(list(pdf.sk))
+    n, c, far = pdf.n.to_numpy(), pdf.c.to_numpy(), pdf.far.to_numpy()
+    own, held = np.flatnonzero(~far), np.zeros(len(pdf), bool)
+    for i in np.flatnonzero(far):
+        good, _ = _passing(i, own[c[own] != c[i]], sk, n)
+        held[good] = True
+        held[i] |= len(good) > 0
+    return pdf.loc[held, ["v", "node"]].drop_duplicates()
+
+
+def _verify_block(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Full sets of a block of a list against those of a block outside its largest component: links that join components, one for each two."""
+    v, node, n, far = pdf.v.iloc[0], pdf.node.to_numpy(), pdf.n.to_numpy(), pdf.far.to_numpy()
+    sk = _matrix([x[:K] for x in pdf.vals])
+    listed = np.concatenate(pdf.listed.to_list())
+    listed_at = np.concatenate([[0], np.cumsum([len(x) for x in pdf.listed])])
+    known, ids = np.unique(np.concatenate(pdf.vals.to_list()), return_inverse=True)
+    at = np.concatenate([[0], np.cumsum(n)])
+    marks = np.zeros(len(known), bool)
+    _, c = np.unique(pdf.c.to_numpy(), return_inverse=True)
+    own, out = np.flatnonzero(~far), []
     for i in np.flatnonzero(far):
-        fit = own[(c[own] != c[i]) & (n[own] * DEN >= n[i] * NUM) & (n[i] * DEN >= n[own] * NUM)]
-        if len(fit):
-            both, union = _union_estimates(sk[fit], sk[i])
-            good = fit[np.where(union >= K, both >= NEED, both * DEN >= union * NUM)]
-            out.append(pd.DataFrame({"a": np.minimum(node[good], node[i]), "b": np.maximum(node[good], node[i])}))
-    return pd.concat(out) if out else pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+        # A pair is verified in the least list that both are in.
+        mine = listed[listed_at[i] : listed_at[i + 1]]
+        earlier = np.add.reduceat(np.isin(listed, mine[mine < v]), listed_at[:-1]) > 0
+        good, likely = _passing(i, own[(c[own] != c[i]) & ~earlier[own]], sk, n)
+        good = good[np.argsort(-likely, kind="stable")]
+        marks[ids[at[i] : at[i + 1]]] = True
+        while len(good):
+            now, good = good[:STEP], good[STEP:]
+            both = np.array([np.count_nonzero(marks[ids[at[j] : at[j + 1]]]) for j in now])
+            for j in now[both * DEN >= (n[now] + n[i] - both) * NUM]:
+                if c[j] != c[i]:
+                    out.append((min(node[i], node[j]), max(node[i], node[j])))
+                    c[c == c[j]] = c[i]
+            good = good[c[good] != c[i]]
+        marks[ids[at[i] : at[i + 1]]] = False
+    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
 
 def _lists(classes: DataFrame) -> DataFrame:
-    """(v, node, n): the inverted lists of the rarest retained values."""
+    """(v, node, n, g): the inverted lists of the rarest retained values; g of the node's values are about as common as v or more."""
     held = classes.select("node", "n", F.explode("sk").alias("v"))
     common = held.groupBy("v").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
     ranked = held.join(common, "v").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("m"))
@@ -157,29 +222,44 @@ def _lists(classes: DataFrame) -> DataFrame:
     overlap = F.when(F.col("n") * DEN > K * NUM, F.least(overlap, F.lit(NEED))).otherwise(overlap)
     # A value that only this node has can't be shared, but counts as one of the rarest.
     take = F.greatest(F.lit(0), retained - overlap + 1 - (retained - F.size("m"))).cast("int")
-    return ranked.select("node", "n", F.explode(F.slice("m", F.lit(1), take)).alias("x")).select(F.col("x.v").alias("v"), "node", "n")
+    listed = F.transform(F.slice("m", F.lit(1), take), lambda x: F.struct(x.v.alias("v"), F.size(F.filter("m", lambda y: y.df * 2 >= x.df)).alias("g")))
+    return ranked.select("node", "n", F.explode(listed).alias("x")).select("x.v", "node", "n", "x.g")
+
+
+def _blocks(side: DataFrame, size: str) -> DataFrame:
+    """side(v, node, n, c, far, size, ...) dealt to blocks (v, x, y): all nodes of a list by x against those far from its largest component by y."""
+    total = side.groupBy(F.col("v").alias("tv")).agg(F.ceil(F.sum(size)).cast("int").alias("xs"), F.ceil(F.sum(F.when(F.col("far"), F.col(size)))).cast("int").alias("ys"))
+    side = side.join(total.where("ys > 0"), F.col("v") == F.col("tv"))
+    side = side.withColumn("far", F.explode(F.when(F.col("far"), F.array(F.lit(False), F.lit(True))).otherwise(F.array(F.lit(False)))))
+    x, y = F.pmod(F.xxhash64("node"), F.col("xs")).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("ys")).cast("int")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    to = F.when(F.col("far"), F.transform(every(F.col("xs")), lambda b: F.struct(b.alias("x"), y.alias("y")))).otherwise(F.transform(every(F.col("ys")), lambda b: F.struct(x.alias("x"), b.alias("y"))))
+    return side.select("*", F.explode(to).alias("u")).select("*", "u.x", "u.y").drop("u", "tv", "xs", "ys", size)
 
 
-def _rest(lists: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
-    """Pairs of nodes of one list in different components that the union sketch lets through."""
+def _rest(docs: DataFrame, words: int, lists: DataFrame, labels: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Links (a, b) between nodes of one list in different components, enough to join all that links join."""
     lab = labels.select(F.col("node").alias("ln"), F.col("component").alias("lc"))
     m = lists.join(lab, F.col("node") == F.col("ln"), "left").select("v", "node", "n", F.coalesce("lc", "node").alias("c"))
     counts = m.groupBy("v", "c").agg(F.count(F.lit(1)).alias("k"))
     stats = counts.groupBy(F.col("v").alias("lv")).agg(F.sum("k").alias("all"), F.max(F.struct("k", "c")).alias("top"), F.count(F.lit(1)).alias("parts"))
-    stats = stats.where("parts > 1").select("lv", "all", F.col("top.c").alias("main"), (F.col("all") - F.col("top.k")).alias("rest"))
-    m = cut(m.join(stats, F.col("v") == F.col("lv")).select("v", "node", "n", "c", "all", "rest", (F.col("c") != F.col("main")).alias("far")))
-    small, large = m.where(F.col("all") * F.col("rest") <= JOINED), m.where(F.col("all") * F.col("rest") > JOINED)
-    right = small.where("far").select(F.col("v").alias("rv"), F.col("node").alias("rn"), F.col("n").alias("rs"), F.col("c").alias("rc"))
-    pairs = small.join(right, (F.col("v") == F.col("rv")) & (F.col("c") != F.col("rc"))).where(_near_in_size(F.col("n"), F.col("rs")))
-    near = _by_sketch(pairs.select(F.least("node", "rn").alias("a"), F.greatest("node", "rn").alias("b")).distinct(), sketches)
-    blocks, far_blocks = F.ceil(F.col("all") / BLOCK).cast("int"), F.ceil(F.col("rest") / BLOCK).cast("int")
-    one = F.array(F.lit(False))
-    every = F.when(F.col("far"), F.array(F.lit(False), F.lit(True))).otherwise(one)
-    side = large.join(sketches, "node").withColumn("far", F.explode(every))
-    own_b, own_f = F.pmod(F.xxhash64("node"), blocks).cast("int"), F.pmod(F.xxhash64("node", F.lit(1)), far_blocks).cast("int")
-    side = side.withColumn("u", F.when(F.col("far"), F.transform(F.sequence(F.lit(0), blocks - 1), lambda b: F.struct(b.alias("x"), own_f.alias("y")))).otherwise(F.transform(F.sequence(F.lit(0), far_blocks - 1), lambda f: F.struct(own_b.alias("x"), f.alias("y")))))
-    side = side.select("v", "node", "n", "c", "far", "sk", F.explode("u").alias("u")).select("v", "u.x", "u.y", "node", "n", "c", "far", "sk")
-    return near.union(side.groupBy("v", "x", "y").applyInPandas(_compare_block, "a long, b long")).distinct()
+    stats = stats.where("parts > 1").select("lv", "all", F.col("top.c").alias("main"))
+    m = m.join(stats, F.col("v") == F.col("lv")).select("v", "node", "n", "c", "all", (F.col("c") != F.col("main")).alias("far"))
+    m = cut(m)
+    sketched = sketches.select(F.col("node").alias("sn"), "sk")
+    short = m.where(F.col("all") <= SHORT).join(sketched, F.col("node") == F.col("sn"))
+    short = short.groupBy("v").agg(F.collect_list(F.struct("node", "n", "c", "sk")).alias("g")).select("g")
+    pairs = cut(short.mapInArrow(_compare_short, "a long, b long").distinct())
+    long = m.where(F.col("all") > SHORT).withColumn("part", F.lit(1 / BLOCK)).drop("all")
+    side = _blocks(long, "part").join(sketched, F.col("node") == F.col("sn"))
+    held = cut(side.groupBy("v", "x", "y").applyInPandas(_compare_block, "v long, node long").distinct())
+    full = _full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("pn")).union(held.select("node")).distinct(), words)
+    listed = lists.groupBy(F.col("node").alias("on")).agg(F.sort_array(F.collect_list("v")).alias("listed"))
+    held = held.select(F.col("v").alias("hv"), F.col("node").alias("hn"))
+    side = long.drop("part").join(held, (F.col("v") == F.col("hv")) & (F.col("node") == F.col("hn"))).drop("hv", "hn")
+    side = _blocks(side.withColumn("part", F.col("n") / VALUES), "part").join(listed, F.col("node") == F.col("on"))
+    side = side.join(full.select(F.col("node").alias("fn"), "vals"), F.col("node") == F.col("fn")).drop("on", "fn")
+    return _verified(pairs, full).union(side.groupBy("v", "x", "y").applyInPandas(_verify_block, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
@@ -197,15 +277,13 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
     classes = cut(made.where("n > 0").groupBy("node", "n").agg(F.first("vals").alias("sk"), F.min("id").alias("id")))
     sketches = classes.select("node", "sk")
     lists = cut(_lists(classes))
-    lead = lists.groupBy(F.col("v").alias("lv")).agg(F.min(F.struct(F.xxhash64("v", "node").alias("h"), F.col("node").alias("node"), F.col("n").alias("n"))).alias("lead"))
+    lead = lists.groupBy(F.col("v").alias("lv")).agg(F.max(F.struct("g", F.xxhash64("v", "node").alias("h"), F.col("node").alias("node"), F.col("n").alias("n"))).alias("lead"))
     star = lists.join(lead, F.col("v") == F.col("lv")).where((F.col("node") != F.col("lead.node")) & _near_in_size(F.col("n"), F.col("lead.n")))
     star = star.select(F.least("node", "lead.node").alias("a"), F.greatest("node", "lead.node").alias("b")).distinct()
     first = cut(_by_sketch(star, sketches))
-    full = _full_sets(docs, first, words)
+    full = _full_sets(docs, first.select(F.explode(F.array("a", "b")).alias("pn")).distinct(), words)
     links = cut(_verified(first, full))
-    labels = components(links)
-    second = cut(_rest(lists, labels, sketches))
-    more = _verified(second, _full_sets(docs, second, words))
+    more = cut(_rest(docs, words, lists, components(links), sketches))
     labels = components(links.union(more))
     named = made.where("n > 0").groupBy("node").agg(F.min("id").alias("id"))
     lab = labels.select(F.col("node").alias("ln"), F.col("component").alias("lc"))
@@ -232,13 +310,12 @@ def _filter_bits(nodes: DataFrame) -> bytes:
     return bits.tobytes()
 
 
-def _full_sets(docs: DataFrame, pairs: DataFrame, words: int) -> DataFrame:
-    """(node, n, vals) of the nodes in pairs, once each.
+def _full_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
+    """(node, n, vals) of nodes(pn), once each.
 
     Sets are made again from the texts. A filter of fixed size, sent to all tasks, keeps nearly all
     others from being shuffled; the semi join then decides.
     """
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("pn")).distinct()
     bits = docs.sparkSession.sparkContext.broadcast(_filter_bits(nodes))
     held = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text")).mapInArrow(_sketcher(words, True, bits), _SCHEMA)
     return cut(held.join(nodes, F.col("node") == F.col("pn"), "left_semi").dropDuplicates(["node"]).select("node", "n", "vals"))
