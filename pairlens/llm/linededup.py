@@ -19,25 +19,39 @@ from .common import cut, table
 DEPTH, LEAST_TOKENS, SIMILAR = 4, 5, 0.7
 #: What stands for a variable field.
 FIELD = "<*>"
-_DIGITS = r"[^\x20\t\x0B-\x0D]*[0-9][^\x20\t\x0B-\x0D]*"
-_GAP = r"[\x20\t\x0B-\x0D]+"
+#: A filter of WORDS longs (1 MB) says which leaves may have different lines.
+WORDS = 1 << 17
+#: White space but for single spaces; a token with a digit, where only spaces and newlines are left.
+_GAP = r"[\x20\t\x0B-\x0D]{2,}|[\t\x0B-\x0D]"
+_DIGITS = r"(?<![^\x20\n])[^\x20\n0-9]*+[0-9][^\x20\n]*+"
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(id, th, pos, line, n, leaf, lh): each line that could be dropped, with fields masked, its leaf and its own hash."""
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    masked = F.when(F.col("raw").rlike("[0-9]"), F.regexp_replace("raw", _DIGITS, FIELD)).otherwise(F.col("raw"))
-    rows = rows.select("id", "th", "pos", F.trim(F.regexp_replace(masked, _GAP, " ")).alias("line"))
+    # Patterns run once over a text, not once for each line.
+    masked = F.regexp_replace(F.regexp_replace("text", _GAP, " "), _DIGITS, FIELD)
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), F.posexplode(F.split(masked, "\n")).alias("pos", "raw"))
+    rows = rows.select("id", "th", "pos", F.trim("raw").alias("line"))
     rows = rows.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= LEAST_TOKENS)
     return rows.select("id", "th", "pos", "line", "n", F.xxhash64("n", F.substring_index("line", " ", DEPTH)).alias("leaf"), F.xxhash64("line", "n").alias("lh"))
 
 
-def _in_leaf_template(lines: DataFrame, exact: DataFrame) -> DataFrame:
+def _filter(leaves: DataFrame) -> DataFrame:
+    """One row, one array of WORDS longs: a bit is set if a leaf of leaves(ml) has its place. The size does not grow with the input."""
+    place = f"(ml & {WORDS * 64 - 1})"
+    held = leaves.selectExpr(f"shiftright({place}, 6) as w", f"shiftleft(1L, cast({place} & 63 as int)) as b").groupBy("w").agg(F.bit_or("b").alias("b"))
+    every = leaves.sparkSession.range(WORDS).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("b")).union(held).groupBy("w").agg(F.bit_or("b").alias("b"))
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda x: x.b).alias("bits"))
+
+
+def _in_leaf_template(docs: DataFrame, exact: DataFrame) -> DataFrame:
     """(gl, gh): leaf and hash of the lines that belong to their leaf's template."""
     mixed = exact.groupBy("leaf").agg(F.count(F.lit(1)).alias("m"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("m > 1 and lo <> hi").select(F.col("leaf").alias("ml"), "m")
     mixed = cut(mixed)
-    # Most lines are alone in their leaf and end here.
-    some = lines.select("leaf", "lh", "line", "n").join(mixed, F.col("leaf") == F.col("ml")).groupBy("leaf", "lh", "m", "n").agg(F.min("line").alias("line"))
+    # Most lines are alone in their leaf: the filter keeps nearly all of them out of the shuffle, the join decides.
+    bits = F.get(cut(_filter(mixed)).scalar(), F.expr(f"cast(shiftright(leaf & {WORDS * 64 - 1}, 6) as int)"))
+    some = _lines(docs).where(bits.bitwiseAND(F.expr("shiftleft(1L, cast(leaf & 63 as int))")) != 0).select("leaf", "lh", "line", "n")
+    some = some.join(mixed, F.col("leaf") == F.col("ml")).groupBy("leaf", "lh", "m", "n").agg(F.min("line").alias("line"))
     tokens = cut(some.select("leaf", "lh", "m", "n", F.posexplode(F.split("line", " ")).alias("at", "token")).withColumn("token", F.xxhash64("token")))
     constant = tokens.groupBy("leaf", "m", "at", "token").agg(F.count(F.lit(1)).alias("c")).where("2 * c > m").select(F.col("leaf").alias("cl"), F.col("at").alias("ca"), F.col("token").alias("ct"))
     agreeing = tokens.join(constant, (F.col("leaf") == F.col("cl")) & (F.col("at") == F.col("ca")) & (F.col("token") == F.col("ct")))
@@ -46,9 +60,9 @@ def _in_leaf_template(lines: DataFrame, exact: DataFrame) -> DataFrame:
 
 def _dropped(docs: DataFrame) -> DataFrame:
     """(di, dt, drop): for each document, by id and text hash, the places of the lines to drop."""
-    lines = _lines(docs)
+    lines = cut(_lines(docs).drop("line", "n"))
     exact = cut(lines.groupBy("leaf", "lh").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.min(F.struct("id", "th", "pos")).alias("first")))
-    general = _in_leaf_template(lines, exact)
+    general = _in_leaf_template(docs, exact)
     named = exact.join(general, (F.col("leaf") == F.col("gl")) & (F.col("lh") == F.col("gh")), "left")
     named = cut(named.select("lh", F.coalesce("gl", "lh").alias("template"), F.col("gl").isNotNull().alias("general"), "lo", "hi", "first"))
     recurring = named.groupBy(F.col("template").alias("rt"), F.col("general").alias("rg")).agg(F.min("lo").alias("rlo"), F.max("hi").alias("rhi"), F.min("first").alias("keep")).where("rlo <> rhi")
