@@ -28,11 +28,16 @@ _DIGITS = r"(?<![^\x20\n])[^\x20\n0-9]*+[0-9][^\x20\n]*+"
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(id, th, pos, line, n, leaf, lh): each line that could be dropped, with fields masked, its leaf and its own hash."""
-    # Patterns run once over a text, not once for each line.
-    masked = F.regexp_replace(F.regexp_replace("text", _GAP, " "), _DIGITS, FIELD)
-    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), F.posexplode(F.split(masked, "\n")).alias("pos", "raw"))
-    rows = rows.select("id", "th", "pos", F.trim("raw").alias("line"))
-    rows = rows.withColumn("n", F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit(""))) + 1).where(F.col("n") >= LEAST_TOKENS)
+    # Patterns run only where they can match: over a text for rare white space, over a line for digits.
+    odd = F.lit(False)
+    for c in ("  ", "\t", "\x0b", "\x0c", "\r"):
+        odd = odd | F.contains("text", F.lit(c))
+    text = F.when(odd, F.regexp_replace("text", _GAP, " ")).otherwise(F.col("text"))
+    parsed = F.transform(F.split(text, "\n"), lambda raw: F.trim(F.when(raw.rlike("[0-9]"), F.regexp_replace(raw, _DIGITS, FIELD)).otherwise(raw)))
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("th"), F.posexplode(parsed).alias("pos", "line"))
+    # In bytes: a space is one in UTF-8.
+    rows = rows.where(F.octet_length(F.substring_index("line", " ", LEAST_TOKENS - 1)) < F.octet_length("line"))
+    rows = rows.withColumn("n", F.octet_length("line") - F.octet_length(F.replace("line", F.lit(" "), F.lit(""))) + 1)
     return rows.select("id", "th", "pos", "line", "n", F.xxhash64("n", F.substring_index("line", " ", DEPTH)).alias("leaf"), F.xxhash64("line", "n").alias("lh"))
 
 
