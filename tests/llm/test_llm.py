@@ -52,6 +52,34 @@ def test_lines(spark, odd, none):
     assert linededup.drop_recurring_lines(none).count() == 0
 
 
+def test_lines_with_odd_white_space(spark):
+    docs = spark.createDataFrame([(1, "a  b\tc 12x d\r\nx1y  z2 p q r s"), (2, " a b c 99 d\nx2y z3 p q r s "), (3, "é ü 4ß a b c d\x0b"), (4, "é ü 5ß a b c d"), (5, "$1 a b c d e\n\n"), (6, "$2 a b c d e")], "doc_id long, text string")
+    got = {r["doc_id"]: r["text"] for r in linededup.drop_recurring_lines(docs).collect()}
+    assert [got[i] for i in (2, 4, 6)] == ["", "", ""] and got[1].startswith("a  b\tc 12x") and got[3].endswith("\x0b") and got[5] == "$1 a b c d e\n\n"
+
+
+def test_near_duplicates_in_long_lists(spark):
+    """A group around the threshold, larger than SHORT, whose chains need links that leaders miss."""
+    rng = random.Random(7)
+    base = [f"w{i}" for i in range(60)]
+    texts = []
+    for i in range(90):
+        t = base[:]
+        for at in rng.sample(range(60), rng.choice([0, 1, 2, 4, 5, 6])):
+            t[at] = f"x{rng.randrange(3)}"
+        texts.append(" ".join(t))
+    sets = [frozenset(zip(w, w[1:])) for w in map(str.split, texts)]
+    label = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = label[i], label[j]
+                label = [min(a, b) if x in (a, b) else x for x in label]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 2).collect()}
+    assert got == dict(enumerate(label)) and len(set(label)) > 1
+
+
 def test_near_duplicates(spark, odd, none):
     rng = random.Random(5)
     vocab = [f"w{i}" for i in range(300)]
