@@ -1,15 +1,9 @@
-"""Benchmark decontamination by SimHash of item-sized windows.
-
-A window has as many words as an item. Both get a 128-bit SimHash of their five-word shingles.
-Fingerprints are cut into 16 blocks of 8 bits: two within RADIUS bits differ by at most RADIUS // 16
-bits in some block, and a table gives for each block and value the items that near, so that no
-fingerprint within the radius is missed. Candidates are verified by the exact similarity of the
-shingles weighted by their counts. Windows without any shingle of an item are skipped, as no
-similarity over zero is possible there; the others start where a shared shingle would align with the
-item.
-
-Two sets at similarity 0.8 differ in 15 % of fingerprint bits, 19 of 128 on average; over 40 is five
-deviations off, under one pair in 10^6.
+"""Benchmark decontamination by the similarity of item-sized windows.
+
+A window has as many words as an item, or all words of a shorter text; every start counts. Both are
+compared by their five-word shingles, weighted by their counts. The similarity grows with the number
+of shared shingles alone, and that grows only where a shingle of the item enters the window, so a walk
+over those places in order meets the best window of each text and item: exact, and linear in them.
 """
 
 from __future__ import annotations
@@ -22,39 +16,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
-from .wordhash import NOT_ALNUM, mix, shingles, words
+from .wordhash import NOT_ALNUM, shingles, words
 
 SHINGLE, SIMILARITY = 5, 0.8
-RADIUS, BLOCKS = 40, 16
 #: Items that are searched for at once; more make further passes over the documents.
 ITEMS = 2000
 #: Bytes of text that are hashed at once, at least one text.
 CHUNK = 1 << 20
 
-_POPCOUNT = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-
-
-def fingerprint(s: np.ndarray) -> np.ndarray:
-    """128 bits, as 16 bytes, of the majority of each bit over the shingles."""
-    both = np.stack([s, mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5))], axis=1)
-    bits = np.unpackbits(both.astype("<u8").view(np.uint8).reshape(len(s), 16), axis=1)
-    return np.packbits(bits.sum(0, dtype=np.int64) * 2 > len(s))
-
-
-def similarity(a: np.ndarray, b: np.ndarray) -> float:
-    """Sum of the lesser over sum of the greater counts of each shingle."""
-    x, y = Counter(a.tolist()), Counter(b.tolist())
-    both = sum((x & y).values())
-    return both / (len(a) + len(b) - both)
-
 
 class Index:
-    """The items' shingles and fingerprints."""
+    """The items' shingles, and which items hold each."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.ids, self.size, self.sets = [], [], []
+        self.ids, self.size, self.counts = [], [], []
         self.short: dict[int, dict[int, list[int]]] = {}
-        entries: list[tuple[int, int, int]] = []
+        entries: list[tuple[int, int]] = []
         for item_id, text in items:
             h, _, _, doc = words([(text or "").encode()], NOT_ALNUM)
             if not len(h):
@@ -63,24 +40,35 @@ class Index:
             if len(h) < SHINGLE:
                 self.short.setdefault(len(h), {}).setdefault(int(s[0]), []).append(item_id)
                 continue
-            entries += [(int(x), len(self.ids), k) for k, x in enumerate(s)]
+            held = Counter(s.tolist())
+            entries += [(x, len(self.ids)) for x in held]
             self.ids.append(item_id)
-            self.size.append(len(h))
-            self.sets.append(s)
+            self.size.append(len(s))
+            self.counts.append(held)
         entries.sort()
-        self.values = np.array([e[0] for e in entries], np.uint64)
         self.item = np.array([e[1] for e in entries], np.int64)
-        self.place = np.array([e[2] for e in entries], np.int64)
-        self.distinct = np.unique(self.values)
-        self.prints = np.array([fingerprint(s) for s in self.sets], np.uint8).reshape(len(self.sets), BLOCKS)
-        distance = _POPCOUNT[np.bitwise_xor.outer(np.arange(256, dtype=np.uint8), self.prints.T.reshape(-1))].reshape(256, BLOCKS, len(self.sets))
-        #: near[block, value]: items whose block is that near to the value.
-        self.near = np.ascontiguousarray((distance <= RADIUS // BLOCKS).transpose(1, 0, 2))
-
-    def candidates(self, print_: np.ndarray) -> np.ndarray:
-        """Items whose fingerprints are within RADIUS."""
-        some = np.flatnonzero(self.near[np.arange(BLOCKS), print_].any(0))
-        return some[_POPCOUNT[self.prints[some] ^ print_].sum(1, dtype=np.int64) <= RADIUS]
+        #: The items of distinct[i] are item[offset[i]:offset[i + 1]].
+        self.distinct, first = np.unique(np.array([e[0] for e in entries], np.uint64), return_index=True)
+        self.offset = np.append(first, len(entries))
+        self.sizes = np.array(self.size, np.int64)
+
+    def best_window(self, c: int, n: int, hits: list[tuple[int, int]]) -> tuple[float, int]:
+        """(similarity, start) of the first best window, where hits are (place, shingle) of item c's shingles among the text's n."""
+        counts, size = self.counts[c], min(self.size[c], n)
+        now: Counter[int] = Counter()
+        both = most = start = left = 0
+        for place, x in hits:
+            now[x] += 1
+            both += now[x] <= counts[x]
+            at = max(0, place - size + 1)
+            while hits[left][0] < at:
+                y = hits[left][1]
+                both -= now[y] <= counts[y]
+                now[y] -= 1
+                left += 1
+            if both > most:
+                most, start = both, at
+        return most / (self.size[c] + size - most), start
 
     def search(self, texts: list[bytes]) -> list[tuple[int, int, float, int]]:
         """(text, item id, best similarity, first word of that window)."""
@@ -98,27 +86,32 @@ class Index:
             return [(t, i, s, w) for (t, i), (s, w) in best.items()]
         s, at = shingles(h, doc, SHINGLE)
         place = np.minimum(np.searchsorted(self.distinct, s), len(self.distinct) - 1)
-        seen: set[tuple[int, int, int]] = set()
-        for k in np.flatnonzero(self.distinct[place] == s):
-            t = int(doc[at[k]])
-            lo, hi = np.searchsorted(self.values, s[k]), np.searchsorted(self.values, s[k], "right")
-            for e in range(lo, hi):
-                m = self.size[self.item[e]]
-                start = max(int(first[t]), min(int(at[k] - self.place[e]), int(first[t + 1]) - m))
-                if (t, start, m) in seen:
-                    continue
-                seen.add((t, start, m))
-                end = min(start + m, int(first[t + 1]))
-                if end - start < SHINGLE:
-                    continue
-                # Each run of words in a text gives one shingle, in order, so a window's are one slice.
-                own = np.searchsorted(at, start)
-                window = s[own : own + end - start - SHINGLE + 1]
-                for c in self.candidates(fingerprint(window)):
-                    sim = similarity(window, self.sets[c])
-                    key = (t, self.ids[c])
-                    if sim >= SIMILARITY and sim > best.get(key, (0.0, 0))[0]:
-                        best[key] = sim, start - int(first[t])
+        found = np.flatnonzero(self.distinct[place] == s)
+        for own in np.split(found, np.flatnonzero(np.diff(doc[at[found]])) + 1):
+            if not len(own):
+                continue
+            t = int(doc[at[own[0]]])
+            n = int(first[t + 1] - first[t]) - SHINGLE + 1
+            if n < 1:
+                continue
+            # All (item, place) of this text, by item, then place; each run of words in a text gives one shingle, in order.
+            lo, hi = self.offset[place[own]], self.offset[place[own] + 1]
+            hit = np.repeat(own, hi - lo)
+            item = self.item[np.arange(len(hit)) + np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo)]
+            order = np.argsort(item, kind="stable")
+            hit, item = hit[order], item[order]
+            ends = np.append(np.flatnonzero(np.diff(item)) + 1, len(item))
+            starts = np.append(0, ends[:-1])
+            # No window holds more shared shingles than there are places, nor than it has itself.
+            size = self.sizes[item[starts]]
+            window = np.minimum(size, n)
+            most = np.minimum(ends - starts, window)
+            for g in np.flatnonzero(most / (size + window - most) >= SIMILARITY):
+                own_hits, c = hit[starts[g] : ends[g]], int(item[starts[g]])
+                sim, start = self.best_window(c, n, list(zip((at[own_hits] - first[t]).tolist(), s[own_hits].tolist())))
+                key = (t, self.ids[c])
+                if sim >= SIMILARITY and sim > best.get(key, (0.0, 0))[0]:
+                    best[key] = sim, start
         return [(t, i, x, w) for (t, i), (x, w) in best.items()]
 
 

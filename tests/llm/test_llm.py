@@ -218,6 +218,36 @@ def test_decontamination(spark, odd, none):
     assert decontamination.find_contamination(odd, frame([(1, None), (2, "")], "item_id")).count() == 0 and decontamination.find_contamination(none, frame(items, "item_id")).count() == 0
 
 
+def test_decontamination_of_edited_passages(spark):
+    """Against brute force over every start, with changes at both ends, an insertion between and repeats."""
+    rng = random.Random(9)
+    words = [f"v{i}" for i in range(400)]
+    items = [(i, [rng.choice(words) for _ in range(n)]) for i, n in enumerate([100, 100, 60, 40, 12])] + [(5, ["v1", "v2"] * 20)]
+    filler = lambda k: [f"x{rng.randrange(400)}" for _ in range(k)]
+    docs = [(0, filler(200) + filler(2) + items[0][1][2:50] + filler(5) + items[0][1][50:98] + filler(2) + filler(30))]
+    for k in range(1, 25):
+        x = items[k % 6][1][:]
+        for _ in range(k % 5):
+            at = rng.randrange(len(x))
+            x[at : at + rng.randrange(2)] = filler(rng.randrange(4))
+        docs.append((k, filler(k) + x + filler(20)))
+    docs.append((60, ["v1", "v2"] * 60))
+    grams = lambda z: Counter(zip(*(z[j:] for j in range(5))))
+    want = {}
+    for d, w in docs:
+        for i, y in items:
+            b, m = grams(y), min(len(y), len(w))
+            for at in range(len(w) - m + 1):
+                a = grams(w[at : at + m])
+                both = sum((a & b).values())
+                s = both / (sum(a.values()) + sum(b.values()) - both)
+                if s >= 0.8 and s > want.get((d, i), (0, 0))[0]:
+                    want[d, i] = s, at
+    frame = lambda rows, c: spark.createDataFrame([(i, " ".join(w)) for i, w in rows], f"{c} long, text string")
+    got = {(r["doc_id"], r["item_id"]): (r["similarity"], r["start_word"]) for r in decontamination.find_contamination(frame(docs, "doc_id"), frame(items, "item_id")).collect()}
+    assert got == want and (0, 0) in got and len(want) < len(docs)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
