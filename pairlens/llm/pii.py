@@ -1,10 +1,10 @@
 """Personal data: fixed patterns, and information-theoretic sanitisation of the words around them.
 
 The protected entities are the values that the patterns find (an address, a number). The corpus tells
-how much a word near such a value reveals of it: PMI(term; entity) / IC(entity), from the numbers of
-rows that hold the entity, the term, and both within the window. At 1 the term gives the entity away.
-Terms at or over the threshold become spans of kind `term`, which `sanitised` generalises or removes.
-DataFrame functions only.
+how much a word outside such values reveals of one: PMI(term; entity) / IC(entity), from the numbers of
+rows that hold the entity, the term, and both. At 1 the term gives the entity away. Terms at or over
+the threshold, whose meetings with the entity chance does not explain, become spans of kind `term`
+wherever they stand in the corpus, which `sanitised` generalises or removes. DataFrame functions only.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import cut, table
+from .linededup import WORDS, _filter
 
 KINDS = ("email", "ip", "card", "phone", "term")
 # The base patterns. Possessive quantifiers and the guard before a run of the first class
@@ -27,10 +28,10 @@ PATTERNS = (
 HINTS = (r"@[A-Za-z0-9-]", r"[0-9]\.[0-9]", r"[0-9](?:[\x20-]?[0-9]){13}", r"\+[0-9]")
 _BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 
-#: Code points on each side of a value within which words count as near it.
-WINDOW = 100
-#: Least characters of a term; least number of different texts that hold term and entity near each other; the share of the entity's information at which a term discloses it.
-LEAST_TERM, LEAST_TEXTS, DISCLOSURE = 4, 3, 0.9
+#: The share of the entity's information at which a term discloses it; the chance that any pair of the corpus meets as often without a link.
+DISCLOSURE, CHANCE = 0.9, 0.01
+#: Factors of the bound on that chance.
+FACTORS = 30
 
 _SPANS = "array<struct<start:int,kind:int,end:int>>"
 
@@ -72,22 +73,31 @@ def base_spans(text: Column) -> Column:
     return F.sort_array(F.concat(*found))
 
 
-_WORDS = "array<struct<start:int,end:int,term:string>>"
 _WORD = r"[\p{L}\p{N}_]++"
 
 
-def _near(text: Column, span: Column) -> Column:
-    """Words within the window of a span, as (start, end, term), without those that the window cuts."""
+def _outside(text: Column, spans: Column) -> Column:
+    """text with each span as so many spaces, so that places stay."""
+
+    def step(acc: Column, s: Column) -> Column:
+        start = F.greatest(acc["at"], s["start"])
+        out = F.concat(acc["out"], F.substring(text, acc["at"] + 1, start - acc["at"]), F.repeat(F.lit(" "), s["end"] - start))
+        return F.when(s["end"] > acc["at"], F.struct(out.alias("out"), s["end"].alias("at"))).otherwise(acc)
+
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    masked = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text) - acc["at"])))
+    return F.when(F.size(spans) > 0, masked).otherwise(text)
+
+
+def _terms(text: Column) -> Column:
+    """The different words of a text in lower case."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), lambda w: F.lower(w)))
 
-    def words(start: Column, end: Column) -> Column:
-        part = F.substring(text, start + 1, end - start)
-        made = lambda a, b, m: F.struct((a + start).alias("start"), (b + start).alias("end"), F.lower(m).alias("term"))
-        found = _placed(part, _WORD, made, lambda m: F.length(m) >= LEAST_TERM, _WORDS)
-        whole = lambda w: ((start == 0) | (w["start"] > start)) & ((end >= F.length(text)) | (w["end"] < end))
-        return F.filter(found, whole)
 
-    left, right = F.greatest(span["start"] - WINDOW, F.lit(0)), F.least(span["end"] + WINDOW, F.length(text))
-    return F.concat(words(left, span["start"]), words(span["end"], right))
+def _held(column: str, hashes: DataFrame) -> Column:
+    """Whether the hash in column may be one of hashes(ml), by a filter of fixed size."""
+    bits = F.get(cut(_filter(hashes)).scalar(), F.expr(f"cast(shiftright({column} & {WORDS * 64 - 1}, 6) as int)"))
+    return bits.bitwiseAND(F.expr(f"shiftleft(1L, cast({column} & 63 as int))")) != 0
 
 
 def written(spans: Column) -> Column:
@@ -95,23 +105,26 @@ def written(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat(F.get(names, s["kind"]), F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
 
 
-def _disclosing(near: DataFrame, docs: DataFrame, least_texts: int, disclosure: float) -> DataFrame:
-    """(entity, term) over the threshold. near: __key, __text, entity, term, one row for each word near a value."""
-    once = near.groupBy("entity", "term", "__text", "__key").agg(F.max("copies").alias("copies"))
-    by_text = once.groupBy("entity", "term", "__text").agg(F.sum("copies").alias("n"))
-    joint = by_text.groupBy("entity", "term").agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("n_texts")).where(F.col("n_texts") >= least_texts)
-    entities = near.groupBy("entity", "__key").agg(F.max("copies").alias("copies")).groupBy("entity").agg(F.sum("copies").alias("n_entity"))
+def _disclosing(held: DataFrame, words: DataFrame, total: int, disclosure: float, chance: float) -> DataFrame:
+    """Terms over the threshold for some entity. held: copies, entities, terms, one row for each text with values; words: term, one row for each row of the corpus and different word."""
+    pairs = held.select("copies", F.explode("entities").alias("entity"), "terms").select("copies", "entity", F.explode("terms").alias("term"))
+    joint = cut(pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_both"), F.count(F.lit(1)).alias("k")))
+    entities = held.select("copies", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count(F.lit(1)).alias("k_entity"))
     # The terms' counts cover every row of the corpus and are combined before the shuffle.
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(rf"[\p{{L}}\p{{N}}_]{{{LEAST_TERM},}}+"), F.lit(0)))
-    terms = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    total = F.lit(float(docs.count()))
+    terms = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    n = F.lit(float(total))
     scored = joint.join(entities, "entity").join(terms, "term")
-    information = F.log2(total / F.col("n_entity"))
-    pmi = F.log2(F.col("n_both") * total / (F.col("n_entity") * F.col("n_term")))
-    return scored.where((information > 0) & (pmi >= disclosure * information)).select("entity", "term")
+    information = F.log2(n / F.col("n_entity"))
+    pmi = F.log2(F.col("n_both") * n / (F.col("n_entity") * F.col("n_term")))
+    # P(k or more of the entity's texts hold the term) <= E[C(K, j)] / C(k, j) for every j up to k; copies of a text are one.
+    factor = lambda i: F.log((F.col("k_entity") - i) * (F.col("n_term") - i) / ((n - i) * (F.col("k") - i)))
+    bound = F.aggregate(F.sequence(F.lit(0).cast("long"), F.least(F.col("k"), F.lit(FACTORS)) - 1), F.lit(0.0), lambda s, i: s + factor(i))
+    tests = joint.count()
+    fine = scored.where((information > 0) & (pmi >= disclosure * information)).where(bound <= F.log(F.lit(chance / max(tests, 1))))
+    return fine.select("term").distinct()
 
 
-def find_personal_data(docs: DataFrame, least_texts: int = LEAST_TEXTS, disclosure: float = DISCLOSURE) -> DataFrame:
+def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, chance: float = CHANCE) -> DataFrame:
     """Personal data in every whole text of docs(doc_id, text, ...), one row for each row.
 
     Returns doc_id, span_list (array of (start, kind, end) in code points, kind as its place in KINDS),
@@ -121,26 +134,29 @@ def find_personal_data(docs: DataFrame, least_texts: int = LEAST_TEXTS, disclosu
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
-    base = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("__key"), F.xxhash64("text").alias("__text"), "text", base_spans(F.col("text")).alias("base"))
-    values = F.transform(F.col("base"), lambda s: F.struct(
-        F.concat(s["kind"].cast("string"), F.lit(":"), F.lower(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"]))).alias("entity"),
-        _near(F.col("text"), s).alias("words"),
-    ))
-    base = cut(base.select("doc_id", "__key", "__text", "base", F.when(F.size("base") > 0, values).alias("values")))
-    held = base.where("size(base) > 0").groupBy("__key", "__text").agg(F.count(F.lit(1)).alias("copies"), F.first("values").alias("values"))
-    near = held.select("__key", "__text", "copies", F.explode("values").alias("v")).select("__key", "__text", "copies", "v.entity", F.explode("v.words").alias("w"))
-    near = near.select("__key", "__text", "copies", "entity", "w.start", "w.end", "w.term")
-    disclosing = _disclosing(near, rows, least_texts, disclosure)
-    # An entity and a term that a third of all rows hold: inner join, whose large partitions Spark splits.
-    told = near.join(disclosing, ["entity", "term"]).select("__key", F.struct("start", F.lit(4).alias("kind"), "end").alias("span")).distinct()
-    more = told.groupBy(F.col("__key").alias("__k")).agg(F.collect_list("span").alias("more"))
-    # A word inside a fixed span is not told twice.
+    rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("__key"), F.xxhash64("text").alias("__text"), "text")
+    found = rows.withColumn("base", base_spans(F.col("text")))
+    base = cut(found.select("doc_id", "__key", "__text", "base"))
+    outside = found.withColumn("outside", _outside(F.col("text"), F.col("base")))
+    values = F.array_distinct(F.transform("base", lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), F.lower(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])))))
+    held = outside.where("size(base) > 0").select("__text", values.alias("entities"), _terms(F.col("outside")).alias("terms"))
+    held = cut(held.groupBy("__text").agg(F.count(F.lit(1)).alias("copies"), F.first("entities").alias("entities"), F.first("terms").alias("terms")))
+    words = outside.select("__key", F.explode(_terms(F.col("outside"))).alias("term"))
+    disclosing = cut(_disclosing(held, words, base.count(), disclosure, chance))
+    # Every row is searched for them: filters keep nearly all other words, and rows, out of the shuffle, the joins decide.
+    some = words.withColumn("__term", F.xxhash64("term"))
+    some = some.where(_held("__term", disclosing.select(F.xxhash64("term").alias("ml")))).select("__key", "term")
+    # A term that a third of all rows hold: inner join, whose large partitions Spark splits.
+    told = cut(some.join(disclosing, "term").groupBy("__key").agg(F.collect_set("term").alias("terms")))
+    texts = rows.where(_held("__key", told.select(F.col("__key").alias("ml")))).join(told, "__key").dropDuplicates(["__key"])
+    texts = texts.withColumn("outside", _outside(F.col("text"), base_spans(F.col("text"))))
+    made = lambda a, b, _: F.struct(a.alias("start"), F.lit(4).alias("kind"), b.alias("end"))
+    more = texts.select(F.col("__key").alias("__k"), _placed(F.col("outside"), _WORD, made, lambda m: F.array_contains("terms", F.lower(m)), _SPANS).alias("more"))
     joined = base.join(more, F.col("__key") == F.col("__k"), "left")
-    free = F.filter(F.coalesce("more", F.array().cast(_SPANS)), lambda w: ~F.exists("base", lambda s: (s["start"] <= w["start"]) & (w["end"] <= s["end"])))
     # One argument alone: a second one of the function would be the place in the array.
     number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     n = [number(k).alias(f"n_{KINDS[k]}") for k in range(4)]
-    joined = joined.select("doc_id", "base", F.sort_array(F.concat("base", free)).alias("span_list"))
+    joined = joined.select("doc_id", "base", F.sort_array(F.concat("base", F.coalesce("more", F.array().cast(_SPANS)))).alias("span_list"))
     return joined.select("doc_id", "span_list", *n, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("span_list")).alias("spans"))
 
 

@@ -133,6 +133,27 @@ def test_personal_data(spark, odd, none):
     assert pii.find_personal_data(odd).count() == len(ODD) and pii.find_personal_data(none).count() == 0
 
 
+def test_personal_data_wherever_terms_stand(spark):
+    """A disclosing term alone in a row, far from the value, short, and beside a value that few texts hold."""
+    rng = random.Random(3)
+    filler = lambda k=40: " ".join("".join(rng.choices("abcdefghij", k=6)) for _ in range(k))
+    docs = [(i, f"{filler()} agent Nightowl wrote from owl@example.com {filler()}") for i in range(6)] + [(6, f"{filler()} then Nightowl left {filler()}")]
+    docs += [(7, f"Bo Nightowl {filler(60)} owl@example.com")] + [(i, f"{filler(3)} Xu {filler(50)} xu@example.org") for i in (8, 9)]
+    docs += [(i, filler(10)) for i in range(10, 400)]
+    texts = dict(docs)
+    found = {r["doc_id"]: r["span_list"] for r in pii.find_personal_data(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    terms = {i: [texts[i][s["start"] : s["end"]] for s in found[i] if s["kind"] == 4] for i in texts}
+    assert all("Nightowl" in terms[i] for i in range(8)) and "Nightowl" not in pii_clean(spark, texts, found, 6)
+    assert all("Xu" in terms[i] for i in (8, 9)) and not any(terms[i] for i in range(10, 400))
+
+
+def pii_clean(spark, texts, found, i):
+    from pyspark.sql import functions as F
+
+    row = spark.createDataFrame([(texts[i], [tuple(s) for s in found[i]])], "text string, spans array<struct<start:int,kind:int,end:int>>")
+    return row.select(pii.sanitised(F.col("text"), F.col("spans"))).first()[0]
+
+
 def test_bpe_round_trip(spark, odd, none):
     import public_tokenizers
     from tokenizers import Tokenizer
