@@ -3,7 +3,7 @@
 Source and configuration syntax is lexed into (name, expression) pairs: `name = "x"`, `name: x`,
 `"name": "x"`, `export NAME=x`, `name := x`, `name => x` and `<name>x</name>`. String constants are propagated: a name
 assigned to another name, or to a concatenation of literals and names, takes the literals that it
-stands for. Each literal is scored by how sensitive the names are that it reaches and by how random
+stands for, however many: the references between assignments are kept as a graph and walked once. Each literal is scored by how sensitive the names are that it reaches and by how random
 it looks; those over a threshold are secrets, on top of three fixed patterns.
 """
 
@@ -35,9 +35,9 @@ SENSITIVE, LEAST_LITERAL, LEAST_SCORE = 0.5, 8, 1.2
 
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 _PAIR = re.compile(
-    r"""["']?(?<![\w.$-])(?P<name>[A-Za-z_$][\w.$-]{0,127})["']?[\x20\t]*(?::=|=>|[:=](?![=:]))[\x20\t]*"""
+    r"""["']?(?<![\w.$-])(?P<name>[A-Za-z_$][\w.$-]*+)["']?[\x20\t]*(?::=|=>|[:=](?![=:]))[\x20\t]*"""
     r"""(?P<value>(?:"[^"\n]*"|'[^'\n]*'|[A-Za-z0-9_$./+=-]+)(?:[\x20\t]*\+[\x20\t]*(?:"[^"\n]*"|'[^'\n]*'|[A-Za-z_$][\w.$]*))*)"""
-    r"""|<(?P<tag>[A-Za-z_][\w.-]{0,127})>(?P<body>[^<>\n]+)</(?P=tag)>"""
+    r"""|<(?P<tag>[A-Za-z_][\w.-]*+)>(?P<body>[^<>\n]+)</(?P=tag)>"""
 )
 _TERM = re.compile(r""""(?P<d>[^"\n]*)"|'(?P<s>[^'\n]*)'|(?P<w>[A-Za-z0-9_$./=-]+)""")
 _NAME = re.compile(r"[A-Za-z_$][\w.$]*\Z", re.A)
@@ -66,25 +66,39 @@ def randomness(literal: str) -> float:
 
 def literal_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, 3, end) of the literals that sensitive names stand for."""
-    known: dict[str, list[tuple[int, int]]] = {}
-    best: dict[tuple[int, int], float] = {}
+    # An assignment is a node: its own literals, and the assignments that its names stood for at that point.
+    own: list[list[tuple[int, int]]] = []
+    refers: list[list[int]] = []
+    weights: list[float] = []
+    known: dict[str, int] = {}
     for m in _PAIR.finditer(text):
+        reach, nodes = [], []
         if m["tag"]:
-            name, reach = m["tag"], [m.span("body")]
+            name = m["tag"]
+            reach.append(m.span("body"))
         else:
-            name, reach, at = m["name"], [], m.start("value")
+            name, at = m["name"], m.start("value")
             for t in _TERM.finditer(m["value"]):
                 quoted = "d" if t["d"] is not None else "s" if t["s"] is not None else ""
                 if quoted:
                     reach.append((at + t.start(quoted), at + t.end(quoted)))
                 elif t["w"] in known:
-                    reach += known[t["w"]]
+                    nodes.append(known[t["w"]])
                 elif not _NAME.match(t["w"]) or any(c.isdigit() for c in t["w"]):
                     reach.append((at + t.start(), at + t.end()))
-        known[name] = reach[:64]
-        if (weight := name_weight(name)) >= SENSITIVE:
-            for span in known[name]:
-                best[span] = max(best.get(span, 0), weight)
+        known[name] = len(own)
+        own.append(reach)
+        refers.append(nodes)
+        weights.append(name_weight(name))
+    # References go back only, so one pass from the end gives each node the greatest weight that reaches it.
+    best: dict[tuple[int, int], float] = {}
+    reached = [w if w >= SENSITIVE else 0.0 for w in weights]
+    for k in range(len(own) - 1, -1, -1):
+        if reached[k]:
+            for j in refers[k]:
+                reached[j] = max(reached[j], reached[k])
+            for span in own[k]:
+                best[span] = max(best.get(span, 0), reached[k])
     out = []
     for (a, b), weight in best.items():
         literal = text[a:b]

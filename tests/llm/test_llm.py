@@ -213,6 +213,18 @@ def test_secrets(spark, odd, none):
     assert secrets.scan_secrets(odd).count() == len(ODD) and secrets.scan_secrets(none).count() == 0
 
 
+def test_secrets_of_many_literals():
+    rng = random.Random(1)
+    literals = ["".join(rng.choices("abcdefghjkmnpqrstuvwxyzABCDEFGH23456789", k=14)) for _ in range(300)]
+    found = lambda text: {text[a:b] for a, _, b in secrets.literal_spans(text)}
+    assert found("api_secret = " + " + ".join(f'"{x}"' for x in literals)) == set(literals)
+    chain = [f'part_0 = "{literals[0]}"'] + [f'part_{k} = part_{k - 1} + "{x}"' for k, x in enumerate(literals) if k]
+    assert found("\n".join([*chain, "password = part_299"])) == set(literals)
+    assert found("\n".join([*chain, "colour = part_299"])) == set()
+    long = "x" * 200 + "_password"
+    assert found(f'{long} = "{literals[1]}"') == {literals[1]} and found(f"<{long}>{literals[2]}</{long}>") == {literals[2]}
+
+
 def test_decontamination(spark, odd, none):
     rng = random.Random(8)
     words = [f"v{i}" for i in range(500)]
