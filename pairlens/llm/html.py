@@ -23,9 +23,11 @@ from .common import table
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)/?>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
 _ATTR = re.compile(r"""(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
-# Fixed values of HTML: elements without content, with raw content, that end an open paragraph, and that end a like sibling.
+# Fixed values of HTML: elements without content, with raw content, that honour '/>', that no block lies in, that end an open paragraph, and that end a like sibling.
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
-RAW = set("script style noscript template textarea title iframe svg math select button object canvas audio video".split())
+RAW = set("script style template textarea title iframe".split())
+FOREIGN = {"svg", "math"}
+INLINE = {*FOREIGN, "button", "select"}
 BLOCK = set("address article aside blockquote body center dd details div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
 SIBLING = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"}, "th": {"table", "tr"}}
@@ -64,9 +66,15 @@ class Page:
                 continue
             if name in RAW:
                 end = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
-                at = end.end() if end else n
+                if end or name != "template":
+                    at = end.end() if end else n
+                    continue
+            if m[0].endswith("/>") and (name in FOREIGN or any(self.tag[i] in FOREIGN for i in stack)):
                 continue
             if name in BLOCK:
+                # Where an icon or a control has no end tag, the next block ends it.
+                if (k := next((k for k, i in enumerate(stack) if self.tag[i] in INLINE), 0)) > 0:
+                    del stack[k:]
                 self.texts.append((stack[-1], None))
                 if "p" in (self.tag[i] for i in stack) and name not in ("li", "td", "th", "tr", "dd", "dt"):
                     self._close(stack, {"p"}, {"td", "th", "div", "article", "section", "blockquote", "li"})

@@ -205,6 +205,20 @@ def test_pages(spark):
     assert html.extract(rows, trees).count() == 4 and html.extract(rows.where("false"), trees).count() == 0
 
 
+def test_pages_with_icons_and_controls():
+    para = lambda k: " ".join(f"Kalo miren {w} sapol duven, tor ales nigro." for w in [f"salo{k}", f"rimi{k}", f"tenka{k}"])
+    body = "".join(f"<p>{para(k)}</p>" for k in range(6))
+    trees = html.trained()
+    whole = html.main_text(f"<html><body><header><h2>Ka lo</h2></header><article>{body}</article></body></html>", trees)
+    assert all(para(k) in whole for k in range(6))
+    for icon in ('<svg class="icon" width="1"/>', "<math/>", "<button>Menu", "<select><option>a<option>b", "<svg><path d='x'/>", "<canvas></canvas>", "<svg><g><path d='x'/></g></svg>"):
+        got = html.main_text(f"<html><body><header><h2>Ka lo</h2>{icon}</header>{icon}<article>{body}</article></body></html>", trees)
+        assert all(para(k) in got for k in range(6)), icon
+    for tag in ("noscript", "object", "math"):
+        inner = f"<p>Miren {para(9)} <{tag}>sapol ales</{tag}> tor.</p>"
+        assert "sapol ales" in "".join(t or "" for _, t in html.Page(f"<article>{body}{inner}</article>").texts), tag
+
+
 def test_secrets(spark, odd, none):
     text = "base = 'k9Xq2LmZ7vR4'\napi_secret_key = base + \"Tt81\"\ncolour = 'nothing here'\n<password>aB3dE5gH7jK</password>\npassword=abcdefabcdefabcdef12 AKIA" + "Q" * 16
     got = [text[a:b] for a, _, b in secrets.literal_spans(text)]
