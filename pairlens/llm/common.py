@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -25,6 +28,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Bytes of text that a Python worker has in hand at once; at least one text.
+CHUNK = 1 << 20
+
+
+def byte_chunks(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
+    """(place of the first, texts as UTF-8) for runs of up to CHUNK bytes of an Arrow column of strings; null is as empty."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    start, total = 0, 0
+    for i, size in enumerate(sizes):
+        if i > start and total + size > CHUNK:
+            yield start, _raw(column.slice(start, i - start))
+            start, total = i, 0
+        total += size
+    if start < len(sizes):
+        yield start, _raw(column.slice(start))
+
+
+def _raw(column: pa.Array) -> list[bytes]:
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
+
+
 def _state(edges: DataFrame) -> tuple:
     """Two numbers that change when the set of edges does."""
     row = edges.agg(
@@ -34,21 +58,45 @@ def _state(edges: DataFrame) -> tuple:
     return row["n"], row["x"]
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+#: A filter of WORDS longs (1 MB), whatever the input, says which hashes may be in a set.
+WORDS = 1 << 17
+
+
+def bits_of(hashes: DataFrame, column: str = "h") -> DataFrame:
+    """One row, one array of WORDS longs: a bit is set if a hash of the column has its place."""
+    place = f"({column} & {WORDS * 64 - 1})"
+    held = hashes.selectExpr(f"shiftright({place}, 6) as w", f"shiftleft(1L, cast({place} & 63 as int)) as b").groupBy("w").agg(F.bit_or("b").alias("b"))
+    every = hashes.sparkSession.range(WORDS).select(F.col("id").alias("w"), F.lit(0).cast("long").alias("b")).union(held).groupBy("w").agg(F.bit_or("b").alias("b"))
+    return cut(every.agg(F.transform(F.array_sort(F.collect_list(F.struct("w", "b"))), lambda x: x.b).alias("bits")))
+
+
+def may_hold(bits: DataFrame, column: str) -> Column:
+    """Whether the hash in column may be in the set that bits_of made; never false for one that is."""
+    word = F.get(bits.scalar(), F.expr(f"cast(shiftright({column} & {WORDS * 64 - 1}, 6) as int)"))
+    return word.bitwiseAND(F.expr(f"shiftleft(1L, cast({column} & 63 as int))")) != 0
+
+
+def free_prefix(df: DataFrame) -> str:
+    """A prefix that no column name of df begins with, in any case."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in df.columns):
+        prefix += "_"
+    return prefix
+
+
+def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b) of longs, as (node, component).
 
     component is the smallest node that can be reached. Alternates large-star and small-star steps
     until nothing changes, which takes a number of rounds logarithmic in the longest path. Each step
     is an aggregation that combines before the shuffle and an inner join that can be split, so a hub
     with very many edges does not land in one task. Edges with a null end or equal ends are ignored.
-    No edges give no rows.
+    No edges give no rows. The steps go on until nothing changes, however many that takes.
     """
     now = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     now = cut(now.where("a is not null and b is not null and a <> b").distinct())
     before = _state(now)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    while before[0]:
         both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
         large = both.join(least, both["a"] == least["k"]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
