@@ -12,8 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
-from .linededup import WORDS, _filter
+from .common import bits_of, cut, may_hold, table
 
 KINDS = ("email", "ip", "card", "phone", "term")
 # The base patterns. Possessive quantifiers and the guard before a run of the first class
@@ -94,12 +93,6 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), lambda w: F.lower(w)))
 
 
-def _held(column: str, hashes: DataFrame) -> Column:
-    """Whether the hash in column may be one of hashes(ml), by a filter of fixed size."""
-    bits = F.get(cut(_filter(hashes)).scalar(), F.expr(f"cast(shiftright({column} & {WORDS * 64 - 1}, 6) as int)"))
-    return bits.bitwiseAND(F.expr(f"shiftleft(1L, cast({column} & 63 as int))")) != 0
-
-
 def written(spans: Column) -> Column:
     names = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(spans, lambda s: F.concat(F.get(names, s["kind"]), F.lit(":"), s["start"].cast("string"), F.lit(":"), s["end"].cast("string"))), ",")
@@ -145,10 +138,10 @@ def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, chance:
     disclosing = cut(_disclosing(held, words, base.count(), disclosure, chance))
     # Every row is searched for them: filters keep nearly all other words, and rows, out of the shuffle, the joins decide.
     some = words.withColumn("__term", F.xxhash64("term"))
-    some = some.where(_held("__term", disclosing.select(F.xxhash64("term").alias("ml")))).select("__key", "term")
+    some = some.where(may_hold(bits_of(disclosing.select(F.xxhash64("term").alias("h"))), "__term")).select("__key", "term")
     # A term that a third of all rows hold: inner join, whose large partitions Spark splits.
     told = cut(some.join(disclosing, "term").groupBy("__key").agg(F.collect_set("term").alias("terms")))
-    texts = rows.where(_held("__key", told.select(F.col("__key").alias("ml")))).join(told, "__key").dropDuplicates(["__key"])
+    texts = rows.where(may_hold(bits_of(told, "__key"), "__key")).join(told, "__key").dropDuplicates(["__key"])
     texts = texts.withColumn("outside", _outside(F.col("text"), base_spans(F.col("text"))))
     made = lambda a, b, _: F.struct(a.alias("start"), F.lit(4).alias("kind"), b.alias("end"))
     more = texts.select(F.col("__key").alias("__k"), _placed(F.col("outside"), _WORD, made, lambda m: F.array_contains("terms", F.lower(m)), _SPANS).alias("more"))
