@@ -1,8 +1,9 @@
 """Word and shingle hashes of many texts at once, with numpy over their UTF-8 bytes.
 
-Words are the runs between separator bytes. A word's hash is a polynomial over its bytes modulo 2^64
-with a mixing step; a shingle's hash combines those of its words in order. Two different shingles of a
-corpus of 10^9 have one chance in about 40 to share a hash anywhere; a set is then off by one element.
+Words are the runs between separator bytes. A word's hash is a sum over its bytes modulo 2^64, each
+byte's random number times that of its place, with a mixing step; a shingle's hash combines those of its
+words in order. No powers of one base are used: words exist that all of those confuse. Two different
+shingles of a corpus of 10^9 have one chance in about 40 to share a hash anywhere; a set is then off by one element.
 """
 
 from __future__ import annotations
@@ -24,9 +25,6 @@ def _table(separators: bytes) -> np.ndarray:
 WHITE = _table(b" \t\n\v\f\r")
 #: Everything in ASCII but letters and digits.
 NOT_ALNUM = _table(bytes(b for b in range(128) if not chr(b).isalnum()))
-_LOWER = np.arange(256, dtype=np.uint64)
-_LOWER[65:91] += _U(32)
-_LOWER += _U(1)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -36,14 +34,17 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> _U(31))
 
 
-_powers = np.ones(1, np.uint64)
+#: A number for each byte, the same for A-Z as for a-z; one for each place, as many as the longest word so far needs.
+_BYTES = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
+_BYTES[65:91] = _BYTES[97:123]
+_places = np.zeros(0, np.uint64)
 
 
-def _power(n: int) -> np.ndarray:
-    global _powers
-    if len(_powers) < n:
-        _powers = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(max(n, 256), _BASE)]))
-    return _powers
+def _place_numbers(n: int) -> np.ndarray:
+    global _places
+    if len(_places) < n:
+        _places = mix(np.arange(2 * max(n, 128), dtype=np.uint64) * _SALT + _BASE)
+    return _places
 
 
 def words(texts: list[bytes], separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -56,7 +57,7 @@ def words(texts: list[bytes], separators: np.ndarray) -> tuple[np.ndarray, np.nd
     first = np.flatnonzero(np.diff(held, prepend=-2) > 1)
     size = np.diff(first, append=len(held))
     place = np.arange(len(held)) - np.repeat(first, size)
-    h = mix(np.add.reduceat(_LOWER[data[held]] * _power(int(size.max()) + 1)[place], first))
+    h = mix(np.add.reduceat(_BYTES[data[held]] * _place_numbers(int(size.max()))[place], first))
     start = held[first]
     ends = np.cumsum([len(t) + 1 for t in texts])
     doc = np.searchsorted(ends, start, "right")
