@@ -195,7 +195,7 @@ class Codec:
         for part in self.split_special.split(text) if "<|" in text else (text,):
             if part in self.special:
                 out.append(self._made([self.special[part]]))
-            elif self.odd.search(part):
+            elif self.odd.search(part.lower()):  # some letters of the plain range have a lower case beyond it
                 for letters, _ in self.splitter.pre_tokenize_str(self.normaliser.normalize_str(part)):
                     out.append(self._made(self.encode_word(letters)))
             else:
