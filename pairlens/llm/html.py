@@ -12,15 +12,19 @@ from __future__ import annotations
 import html as entities
 import random
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import byte_chunks, table
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)/?>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>""", re.S)
+_OPEN = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
+_ATTRS = re.compile(r"""(?:[^<>"']++|"[^"]*+"|'[^']*+')*+""")
+#: Characters of a tag that is not one after all; where there are more, quotation marks count no longer in that page.
+LONG = 1000
 _ATTR = re.compile(r"""(class|id|role|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _TOKEN = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 # Fixed values of HTML: elements without content, with raw content, that honour '/>', that no block lies in, that end an open paragraph, and that end a like sibling.
@@ -39,70 +43,123 @@ FOR = set("article content main post entry body text story page prose".split())
 NAMES = ["depth", "place", "siblings", "alike", "sibling_text", "text", "own", "links", "tags", "marks", "mean_block", "against", "for", "above_against", "above_for", "against_share", "from_start", *TAGS, *(f"under_{t}" for t in ("article", "main", "nav", "header", "footer", "aside", "form"))]
 
 
+class _Markup:
+    """The pieces of a page's markup, found one after the other in time linear in the page.
+
+    A tag ends at the first > outside quotation marks, or where the next tag cuts it off; without an end it
+    is text, as is a < that no name follows.
+    """
+
+    def __init__(self, source: str) -> None:
+        self.source, self.after, self.quotes = source, 0, True  # after: the first > from the last place on
+
+    def find(self, look: int) -> tuple[int, int, bool, str, str] | None:
+        """The first piece from look on: (where it begins, where it ends, whether it is an end tag, name in lower case or '', attributes)."""
+        source = self.source
+        while (start := source.find("<", look)) >= 0:
+            look = start + 1
+            m = _OPEN.match(source, start)
+            if m is None:
+                continue
+            if m[1]:
+                end = source.find("-->", m.end())
+                end = end + 3 if end >= 0 else len(source)
+            else:
+                if self.after < m.end() and (found := source.find(">", m.end())) < 0:
+                    return None
+                elif self.after < m.end():
+                    self.after = found
+                end = self.after + 1
+                if m[3]:
+                    stop = _ATTRS.match(source, m.end()).end() if self.quotes else -1
+                    if stop >= 0 and source[stop : stop + 1] == ">":
+                        end = stop + 1
+                    else:
+                        self.quotes = self.quotes and stop - start < LONG
+                        other = source.find("<", m.end(), end)
+                        end = other if other >= 0 else end
+            return start, end, m[2] == "/", (m[3] or "").lower(), source[m.end() : end]
+        return None
+
+
 class Page:
     """Elements in document order; texts as (element, text), with None where a block begins or ends."""
 
     def __init__(self, source: str) -> None:
         self.tag, self.parent, self.against, self.good = ["html"], [-1], [0], [0]
         self.texts: list[tuple[int, str | None]] = []
-        stack, at, n = [0], 0, len(source)
-        while at < n:
-            m = _TAG.search(source, at)
-            if m is None:
-                self._text(stack[-1], source[at:])
-                break
-            if m.start() > at:
-                self._text(stack[-1], source[at : m.start()])
-            at = m.end()
-            name = (m[2] or m[5] or "").lower()
-            if not name:
-                continue
-            if m[1] or m[4]:
-                if any(self.tag[i] == name for i in stack[1:]):
-                    while self.tag[stack.pop()] != name:
-                        pass
-                if name in BLOCK:
-                    self.texts.append((stack[-1], None))
-                continue
-            if name in RAW:
-                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(source, at)
-                if end or name != "template":
-                    at = end.end() if end else n
-                    continue
-            if m[0].endswith("/>") and (name in FOREIGN or any(self.tag[i] in FOREIGN for i in stack)):
-                continue
-            if name in BLOCK:
-                # Where an icon or a control has no end tag, the next block ends it.
-                if (k := next((k for k, i in enumerate(stack) if self.tag[i] in INLINE), 0)) > 0:
-                    del stack[k:]
-                self.texts.append((stack[-1], None))
-                if "p" in (self.tag[i] for i in stack) and name not in ("li", "td", "th", "tr", "dd", "dt"):
-                    self._close(stack, {"p"}, {"td", "th", "div", "article", "section", "blockquote", "li"})
-            if name in SIBLING:
-                self._close(stack, SIBLING[name], SCOPE.get(name, {"div", "article", "section", "td", "body"}))
-            if name == "br":
-                self.texts.append((stack[-1], " "))
-            if name in VOID:
-                continue
-            if name in ("html", "body") and name in self.tag[: 1 + (name == "body") * len(self.tag)]:
-                continue
-            tokens = {t.lower() for a in _ATTR.finditer(m[3] or m[6] or "") for t in _TOKEN.findall(a[2] or a[3] or a[4] or "")}
-            self.tag.append(name)
-            self.parent.append(stack[-1])
-            self.against.append(len(tokens & AGAINST))
-            self.good.append(len(tokens & FOR))
-            stack.append(len(self.tag) - 1)
-
-    def _text(self, element: int, text: str) -> None:
-        self.texts.append((element, entities.unescape(text) if "&" in text else text))
-
-    def _close(self, stack: list[int], what: set[str], scope: set[str]) -> None:
-        for k in range(len(stack) - 1, 0, -1):
-            if self.tag[stack[k]] in what:
-                del stack[k:]
-                return
-            if self.tag[stack[k]] in scope:
-                return
+        #: Elements that are open, and for each name where it stands among them.
+        self.stack, self.places = [0], defaultdict(list)
+        at, n, markup, endless = 0, len(source), _Markup(source), set()
+        while piece := markup.find(at):
+            start, end, closing, name, attrs = piece
+            if start > at:
+                self._text(source[at:start])
+            at = end
+            raw = "" if not name else self._end(name) if closing else self._start(name, attrs)
+            if raw and raw not in endless:
+                last = re.compile(rf"</{raw}\b[^>]*>", re.I).search(source, at)
+                if last:
+                    at = last.end()
+                elif raw in ("script", "style"):
+                    return
+                else:
+                    endless.add(raw)
+        if at < n:
+            self._text(source[at:])
+
+    def _end(self, name: str) -> str:
+        if self.places[name]:
+            self._cut(self.places[name][-1])
+        if name in BLOCK:
+            self.texts.append((self.stack[-1], None))
+        return ""
+
+    def _start(self, name: str, attrs: str) -> str:
+        """Opens an element; returns its name if what follows is raw."""
+        places = self.places
+        if name in RAW:
+            return name
+        if attrs.endswith("/>") and (name in FOREIGN or any(places[f] for f in FOREIGN)):
+            return ""
+        if name in BLOCK:
+            # Where an icon or a control has no end tag, the next block ends it.
+            if first := [places[x][0] for x in INLINE if places[x]]:
+                self._cut(min(first))
+            self.texts.append((self.stack[-1], None))
+            if name not in ("li", "td", "th", "tr", "dd", "dt"):
+                self._close({"p"}, {"td", "th", "div", "article", "section", "blockquote", "li"})
+        if name in SIBLING:
+            self._close(SIBLING[name], SCOPE.get(name, {"div", "article", "section", "td", "body"}))
+        if name == "br":
+            self.texts.append((self.stack[-1], " "))
+        if name in VOID or name == "html" or name == "body" and self.body:
+            return ""
+        self.body = self.body or name == "body"
+        tokens = {t.lower() for a in _ATTR.finditer(attrs) for t in _TOKEN.findall(a[2] or a[3] or a[4] or "")}
+        self.tag.append(name)
+        self.parent.append(self.stack[-1])
+        self.against.append(len(tokens & AGAINST))
+        self.good.append(len(tokens & FOR))
+        places[name].append(len(self.stack))
+        self.stack.append(len(self.tag) - 1)
+        return ""
+
+    body = False
+
+    def _text(self, text: str) -> None:
+        self.texts.append((self.stack[-1], entities.unescape(text) if "&" in text else text))
+
+    def _cut(self, k: int) -> None:
+        """Closes the open elements from the k-th on."""
+        while len(self.stack) > k:
+            self.places[self.tag[self.stack.pop()]].pop()
+
+    def _close(self, what: set[str], scope: set[str]) -> None:
+        """Closes the innermost open element of what, unless one of scope lies in it."""
+        innermost = lambda names: max((self.places[x][-1] for x in names if self.places[x]), default=0)
+        if (k := innermost(what)) and k >= innermost(scope):
+            self._cut(k)
 
     def features(self) -> np.ndarray:
         n = len(self.tag)
@@ -360,13 +417,13 @@ def extract(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [Page(h or "") for h in batch.column(2).to_pylist()]
             texts = []
-            if made:
+            for _, sources in byte_chunks(batch.column(2)):
+                made = [Page(h.decode()) for h in sources]
                 x = [m.features() for m in made]
                 p = trees.probability(np.concatenate(x))
                 ends = np.cumsum([len(r) for r in x])
-                texts = [m.written(m.decode(p[e - len(r) : e])) for m, r, e in zip(made, x, ends)]
+                texts += [m.written(m.decode(p[e - len(r) : e])) for m, r, e in zip(made, x, ends)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
     return pages.select("page_id", "url", "html").mapInArrow(run, "page_id long, url string, text string, n_chars long")
