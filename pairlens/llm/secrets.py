@@ -3,8 +3,11 @@
 Source and configuration syntax is lexed into (name, expression) pairs: `name = "x"`, `name: x`,
 `"name": "x"`, `export NAME=x`, `name := x`, `name => x` and `<name>x</name>`. String constants are propagated: a name
 assigned to another name, or to a concatenation of literals and names, takes the literals that it
-stands for, however many: the references between assignments are kept as a graph and walked once. Each literal is scored by how sensitive the names are that it reaches and by how random
-it looks; those over a threshold are secrets, on top of three fixed patterns.
+stands for, however many: the references between assignments are kept as a graph, and each assignment
+takes the greatest weight of a name that leads to it. A name stands for its last assignment before, or
+where there is none for the first after. Each literal is scored by how sensitive the names are that it
+reaches and by how random it looks; those over a threshold are secrets, on top of three fixed patterns.
+A literal with a blank in it is prose and no secret.
 """
 
 from __future__ import annotations
@@ -66,13 +69,14 @@ def randomness(literal: str) -> float:
 
 def literal_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, 3, end) of the literals that sensitive names stand for."""
-    # An assignment is a node: its own literals, and the assignments that its names stood for at that point.
+    # An assignment is a node: its own literals, and the assignments that its names stand for.
     own: list[list[tuple[int, int]]] = []
     refers: list[list[int]] = []
     weights: list[float] = []
     known: dict[str, int] = {}
+    waiting: dict[str, list[tuple[int, tuple[int, int]]]] = {}
     for m in _PAIR.finditer(text):
-        reach, nodes = [], []
+        reach, nodes, node = [], [], len(own)
         if m["tag"]:
             name = m["tag"]
             reach.append(m.span("body"))
@@ -84,21 +88,32 @@ def literal_spans(text: str) -> list[tuple[int, int, int]]:
                     reach.append((at + t.start(quoted), at + t.end(quoted)))
                 elif t["w"] in known:
                     nodes.append(known[t["w"]])
-                elif not _NAME.match(t["w"]) or any(c.isdigit() for c in t["w"]):
-                    reach.append((at + t.start(), at + t.end()))
-        known[name] = len(own)
+                else:
+                    waiting.setdefault(t["w"], []).append((node, (at + t.start(), at + t.end())))
+        for other, _ in waiting.pop(name, ()):
+            if other != node:
+                refers[other].append(node)
+        known[name] = node
         own.append(reach)
         refers.append(nodes)
         weights.append(name_weight(name))
-    # References go back only, so one pass from the end gives each node the greatest weight that reaches it.
+    # What no assignment explains is a literal itself if it can't be a plain name.
+    for word, places in waiting.items():
+        if not _NAME.match(word) or any(c.isdigit() for c in word):
+            for node, span in places:
+                own[node].append(span)
+    # The most sensitive names first: each node is reached once, with the greatest weight that leads to it.
     best: dict[tuple[int, int], float] = {}
-    reached = [w if w >= SENSITIVE else 0.0 for w in weights]
-    for k in range(len(own) - 1, -1, -1):
-        if reached[k]:
-            for j in refers[k]:
-                reached[j] = max(reached[j], reached[k])
-            for span in own[k]:
-                best[span] = max(best.get(span, 0), reached[k])
+    reached = [False] * len(own)
+    for k in sorted((k for k, w in enumerate(weights) if w >= SENSITIVE), key=lambda k: -weights[k]):
+        todo = [k]
+        while todo:
+            j = todo.pop()
+            if not reached[j]:
+                reached[j] = True
+                todo += refers[j]
+                for span in own[j]:
+                    best.setdefault(span, weights[k])
     out = []
     for (a, b), weight in best.items():
         literal = text[a:b]
