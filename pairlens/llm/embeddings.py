@@ -1,7 +1,7 @@
 """Near-duplicate vectors by an epsilon grid order join.
 
 Unit vectors with cosine c lie sqrt(2 - 2c) apart; that is epsilon. Vectors are turned to the principal
-axes of the whole table and sorted, label by label, by the epsilon-wide grid cells of the leading axes
+axes of the whole table and sorted, by label and length, by the epsilon-wide grid cells of the leading axes
 (the epsilon grid order). The order is cut into sequence intervals of bounded size. Two intervals meet
 only if their bounding boxes are not provably farther apart than epsilon, and are then joined
 recursively: halves are skipped where their boxes (or centres and radii) are provably distant, counted
@@ -23,16 +23,23 @@ from .common import components, cut, table
 THRESHOLD = 0.93
 #: Leading axes that make the grid order and the boxes.
 AXES = 8
+#: Axes whose cells bring boxes together.
+KEYS = 3
 #: Vectors of an interval, and of the bottom of the recursion.
 INTERVAL, LEAF = 2048, 128
 #: How near to the threshold a product of unit vectors is computed again from the raw ones.
 CLOSE = 1e-9
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    """Vectors of one length as doubles; the column holds no nulls."""
+def _matrix(column: pa.Array, dim: int) -> np.ndarray:
+    """Vectors of up to dim components as doubles, zeros after the last; the column holds no nulls."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+    if len(flat) == len(column) * dim:
+        return flat.reshape(len(column), dim)
+    size = np.diff(column.offsets.to_numpy())
+    out = np.zeros((len(column), dim))
+    out[np.repeat(np.arange(len(column)), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
+    return out
 
 
 def _usable(vectors: DataFrame) -> DataFrame:
@@ -46,7 +53,7 @@ def _axes(vectors: DataFrame, dim: int) -> np.ndarray:
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((dim + 1, dim + 1))
         for batch in batches:
-            x = _matrix(batch.column(0))
+            x = _matrix(batch.column(0), dim)
             if len(x):
                 u = np.hstack([x / np.linalg.norm(x, axis=1, keepdims=True), np.ones((len(x), 1))])
                 total += u.T @ u
@@ -69,7 +76,7 @@ def _gridder(axes: np.ndarray, eps: float) -> Callable:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column(1))
+            x = _matrix(batch.column(1), len(axes))
             y = x / np.linalg.norm(x, axis=1, keepdims=True) @ lead if len(x) else np.zeros((0, lead.shape[1]))
             cells = np.floor(y / eps).astype(np.int32)
             arrays = [*batch.columns, pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * lead.shape[1], pa.int32()), pa.array(cells.ravel(), pa.int32()))]
@@ -79,7 +86,7 @@ def _gridder(axes: np.ndarray, eps: float) -> Callable:
 
 
 def _cutter(axes: np.ndarray) -> Callable:
-    """Sorted rows (node, embedding, label, copies, cells) to the same with an interval id, and the intervals' boxes on their last rows."""
+    """Sorted rows (node, embedding, group, copies, cells) to the same with an interval id, and the intervals' boxes on their last rows."""
     lead = axes[:, :AXES]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,14 +96,14 @@ def _cutter(axes: np.ndarray) -> Callable:
 
         def done() -> pa.RecordBatch:
             t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            x = _matrix(t.column(1))
+            x = _matrix(t.column(1), len(axes))
             y = x / np.linalg.norm(x, axis=1, keepdims=True) @ lead
             box = np.concatenate([y.min(0), y.max(0)])
             n = len(x)
             offsets = np.zeros(n + 1, np.int32)
             offsets[-1] = len(box)
             ids = np.full(n, (part << 32) + seq, np.int64)
-            return pa.RecordBatch.from_arrays([t.column(0), t.column(1), t.column(2), t.column(3), pa.array(ids), pa.ListArray.from_arrays(pa.array(offsets), pa.array(box))], names=["node", "embedding", "label", "copies", "interval", "box"])
+            return pa.RecordBatch.from_arrays([t.column(0), t.column(1), t.column(2), t.column(3), pa.array(ids), pa.ListArray.from_arrays(pa.array(offsets), pa.array(box))], names=["node", "embedding", "group", "copies", "interval", "box"])
 
         for batch in batches:
             labels = batch.column(2).to_numpy(zero_copy_only=False)
@@ -199,7 +206,10 @@ class _Join:
 def _unit_joiner(axes: np.ndarray, threshold: float) -> Callable:
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["second", "place"], kind="stable")
-        j = _Join(np.stack(pdf.embedding.to_numpy()).astype(np.float64), pdf.copies.to_numpy(), axes, threshold)
+        x = np.zeros((len(pdf), len(axes)))
+        for row, v in zip(x, pdf.embedding):
+            row[: len(v)] = v
+        j = _Join(x, pdf.copies.to_numpy(), axes, threshold)
         n = int((~pdf.second).sum())
         if n == len(pdf):
             j.join(0, n, 0, n)
@@ -211,50 +221,80 @@ def _unit_joiner(axes: np.ndarray, threshold: float) -> Callable:
     return run
 
 
+def _units(cuts: DataFrame, width: int, eps: float) -> DataFrame:
+    """(a, b): pairs of intervals of one group, a <= b, whose boxes are not provably apart.
+
+    Boxes meet by the cells they overlap or touch on the first KEYS axes; of all common cells the least one
+    alone makes the pair.
+    """
+    boxes = cuts.where("size(box) > 0").select("group", "interval", "box")
+    low = lambda i: F.floor(F.get("box", F.lit(i)) / eps)
+    high = lambda i: F.floor(F.get("box", F.lit(width + i)) / eps)
+    on = range(min(KEYS, width))
+    left = boxes.select("group", F.col("interval").alias("a"), F.col("box").alias("box_a"), *((low(i) - 1).alias(f"la{i}") for i in on), *((high(i) + 1).alias(f"ha{i}") for i in on))
+    right = boxes.select("group", F.col("interval").alias("b"), F.col("box").alias("box_b"), *(low(i).alias(f"lb{i}") for i in on), *(high(i).alias(f"hb{i}") for i in on))
+    keys = ["group"]
+    least = F.lit(True)
+    for i in on:
+        left = left.withColumn(f"c{i}", F.explode(F.sequence(f"la{i}", f"ha{i}")))
+        right = right.withColumn(f"c{i}", F.explode(F.sequence(f"lb{i}", f"hb{i}")))
+        keys.append(f"c{i}")
+        least = least & (F.col(f"c{i}") == F.greatest(f"la{i}", f"lb{i}"))
+    gaps = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.greatest(F.lit(0.0), F.get("box_a", i) - F.get("box_b", i + width), F.get("box_b", i) - F.get("box_a", i + width)))
+    square = F.aggregate(gaps, F.lit(0.0), lambda acc, g: acc + g * g)
+    return left.join(right, keys).where("a <= b").where(least).where(square <= (eps + CLOSE) ** 2).select("a", "b")
+
+
+def _links(nodes: DataFrame, dim: int, threshold: float) -> DataFrame:
+    """(node, links, root) of nodes(node, embedding, group, copies) with up to dim components."""
+    axes = _axes(nodes, dim)
+    eps = float(np.sqrt(2 - 2 * threshold))
+    gridded = nodes.mapInArrow(_gridder(axes, eps), "node long, embedding array<double>, group long, copies long, cells array<int>")
+    ordered = gridded.repartitionByRange("group", "cells", "node").sortWithinPartitions("group", "cells", "node")
+    # Range boundaries are drawn from a sample, so what was cut is kept.
+    cuts = cut(ordered.mapInArrow(_cutter(axes), "node long, embedding array<double>, group long, copies long, interval long, box array<double>"))
+    units = cut(_units(cuts, min(AXES, dim), eps))
+    sides = units.select("a", "b", F.col("a").alias("interval"), F.lit(False).alias("second")).union(units.where("a <> b").select("a", "b", F.col("b").alias("interval"), F.lit(True).alias("second")))
+    placed = cuts.select("interval", "node", "embedding", "copies").withColumn("place", F.monotonically_increasing_id())
+    # Dealt out by pair: the join by interval before may then be split.
+    return sides.join(placed, "interval").repartition("a", "b").groupBy("a", "b").applyInPandas(_unit_joiner(axes, threshold), "node long, links long, root long")
+
+
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Links among vectors(vec_id, embedding, label, ...) of equal label with cosine at the threshold or over it.
+    """Links among vectors(vec_id, embedding, label, ...) of equal label and length with cosine at the threshold or over it.
 
     One row for each row: vec_id, n_links (other rows linked directly), component_id (smallest vec_id
     that links reach), kept (vec_id is component_id). A null label, and a vector that is null, empty,
-    all zeros, or holds null, NaN or infinite components, links with nothing. Vectors of another length
-    than the most rows have link with nothing too. Equal vectors of a label are one node with a number of copies. A null
-    vec_id takes part but is never the smallest; where a component has none other, component_id is null
+    all zeros, or holds null, NaN or infinite components, links with nothing, and vectors of different
+    lengths do not link. Equal vectors of a label are one node with a number of copies, told apart by 128
+    bits of hashes. A null vec_id takes part but is never the smallest; where a component has none other, component_id is null
     and kept is true. Other columns are ignored; an empty table gives no rows.
     """
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"), F.col("label").cast("long"))
-    fine = _usable(rows)
-    lengths = fine.groupBy(F.size("embedding").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-    alone = rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    if lengths is None:
-        return alone
-    fine = fine.where(F.size("embedding") == lengths["d"])
-    nodes = cut(fine.groupBy("label", "embedding").agg(F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("vec_id"), F.xxhash64("label", "embedding").alias("node")))
-    axes = _axes(nodes, lengths["d"])
-    eps = float(np.sqrt(2 - 2 * threshold))
-    gridded = nodes.select("node", "embedding", "label", "copies").mapInArrow(_gridder(axes, eps), "node long, embedding array<double>, label long, copies long, cells array<int>")
-    ordered = gridded.repartitionByRange("label", "cells", "node").sortWithinPartitions("label", "cells", "node")
-    # Range boundaries are drawn from a sample, so what was cut is kept.
-    cuts = cut(ordered.mapInArrow(_cutter(axes), "node long, embedding array<double>, label long, copies long, interval long, box array<double>"))
-    boxes = cuts.where("size(box) > 0").select("label", "interval", "box")
-    # An interval meets those of its label whose cells on the first axis it overlaps or touches.
-    low, high = F.floor(F.get("box", F.lit(0)) / eps), F.floor(F.get("box", F.lit(min(AXES, lengths["d"]))) / eps)
-    left = boxes.select("label", F.col("interval").alias("a"), F.col("box").alias("box_a"), F.explode(F.sequence(low - 1, high + 1)).alias("c"))
-    right = boxes.select("label", F.col("interval").alias("b"), F.col("box").alias("box_b"), F.explode(F.sequence(low, high)).alias("c"))
-    d = min(AXES, lengths["d"])
-    gaps = F.transform(F.sequence(F.lit(0), F.lit(d - 1)), lambda i: F.greatest(F.lit(0.0), F.get("box_a", i) - F.get("box_b", i + d), F.get("box_b", i) - F.get("box_a", i + d)))
-    square = F.aggregate(gaps, F.lit(0.0), lambda acc, g: acc + g * g)
-    units = left.join(right, ["label", "c"]).where("a <= b").where(square <= (eps + CLOSE) ** 2).select("a", "b").distinct()
-    sides = units.select("a", "b", F.col("a").alias("interval"), F.lit(False).alias("second")).union(units.where("a <> b").select("a", "b", F.col("b").alias("interval"), F.lit(True).alias("second")))
-    placed = cuts.select("interval", "node", "embedding", "copies").withColumn("place", F.monotonically_increasing_id())
-    found = cut(sides.join(placed, "interval").groupBy("a", "b").applyInPandas(_unit_joiner(axes, threshold), "node long, links long, root long"))
+    rows = rows.select("*", F.xxhash64("label", "embedding").alias("h"), F.xxhash64(F.lit(1), "label", "embedding").alias("g"))
+    fine = _usable(rows).groupBy("h", "g").agg(F.first("embedding").alias("embedding"), F.first("label").alias("label"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("vec_id"))
+    # Numbers by place in what is written: no two nodes share one.
+    nodes = cut(fine).withColumn("node", F.monotonically_increasing_id())
+    size = F.size("embedding")
+    # Lengths are taken together up to the next power of two, which makes 31 classes at most; a group has one label and one length.
+    fold = F.ceil(F.log2(size)).alias("fold")
+    widths = {r["fold"]: r["dim"] for r in nodes.groupBy(fold).agg(F.max(size).alias("dim")).collect()}
+    found = None
+    for k, dim in sorted(widths.items()):
+        part = nodes.where(fold == k).select("node", "embedding", F.xxhash64("label", size).alias("group"), "copies")
+        links = _links(part, dim, threshold)
+        found = links if found is None else found.union(links)
+    if found is None:
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    found = cut(found)
     labels = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy(F.col("node").alias("cn")).agg(F.sum("links").alias("links"))
     lab = labels.select(F.col("node").alias("ln"), F.col("component").alias("lc"))
-    each = nodes.select("label", "embedding", "node", "copies", "vec_id").join(counts, F.col("node") == F.col("cn"), "left").join(lab, F.col("node") == F.col("ln"), "left")
-    each = each.select("label", "embedding", "vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("lc", "node").alias("comp"))
+    each = nodes.select("h", "g", "node", "copies", "vec_id").join(counts, F.col("node") == F.col("cn"), "left").join(lab, F.col("node") == F.col("ln"), "left")
+    each = each.select("h", "g", "vec_id", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"), F.coalesce("lc", "node").alias("comp"))
     least = each.groupBy(F.col("comp").alias("gc")).agg(F.min("vec_id").alias("component"))
-    each = each.join(least, F.col("comp") == F.col("gc")).select(F.col("label").alias("jl"), F.col("embedding").alias("je"), "links", "component")
-    joined = rows.join(each, (F.col("label") == F.col("jl")) & (F.col("embedding") == F.col("je")), "left")
+    each = each.join(least, F.col("comp") == F.col("gc")).select(F.col("h").alias("jh"), F.col("g").alias("jg"), "links", "component")
+    joined = rows.select("vec_id", "h", "g").join(each, (F.col("h") == F.col("jh")) & (F.col("g") == F.col("jg")), "left")
     component = F.when(F.col("links").isNull(), F.col("vec_id")).otherwise(F.col("component"))
     return joined.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, component.isNull()).alias("kept"))
 
