@@ -20,10 +20,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from tokenizers import Tokenizer
 
-from .common import table
+from .common import byte_chunks, table, trimmed
 
-#: Words that a worker remembers; the memory is dropped when full.
-REMEMBERED = 300_000
+#: Words, and pairs of tokens, that a worker remembers at most: half of them are of the generation before, and go when the present one is full.
+REMEMBERED, PAIRS = 220_000, 200_000
 
 
 def _byte_letters() -> list[str]:
@@ -81,6 +81,7 @@ class Codec:
         self.shorter = {i: self._prefix(u) for u, i in self.by_unit.items()}
         self.compatible: dict[tuple[int, int], bool] = {}
         self.known: dict[str, tuple[int, str, str]] = {}
+        self.older: dict[str, tuple[int, str, str]] = {}
         # The text of token i is joined[offset[i]:offset[i + 1]]. Ids without a token have no text.
         texts = [self.special_names.get(i, self.tokens.get(i, "")) for i in range(max([*self.tokens, *self.special_names]) + 1)]
         self.joined, self.offset = "".join(texts), [0, *accumulate(map(len, texts))]
@@ -133,6 +134,8 @@ class Codec:
                 limit, left = l_rank, self.parts[left][1]
             else:
                 limit, right = r_rank + 1, self.parts[right][0]
+        if len(self.compatible) >= PAIRS:
+            self.compatible.clear()
         self.compatible[key] = fine
         return fine
 
@@ -173,9 +176,9 @@ class Codec:
 
     def _word(self, word: str) -> tuple[int, str, str]:
         """Number of ids, the ids written, and the decoded text of a word of plain characters."""
-        made = self._made(self.encode_word(word if word.isascii() and word.isalnum() else "".join([self.letters[b] for b in word.encode()])))
-        if len(self.known) >= REMEMBERED:
-            self.known.clear()
+        made = self.older.get(word) or self._made(self.encode_word(word if word.isascii() and word.isalnum() else "".join([self.letters[b] for b in word.encode()])))
+        if len(self.known) >= REMEMBERED // 2:
+            self.older, self.known = self.known, {}
         if len(word) <= 32:
             self.known[word] = made
         return made
@@ -229,10 +232,10 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path)
-        for batch in batches:
+        for batch in trimmed(batches):
             n, ids_sha, decoded_sha = [], [], []
-            for text in batch.column(1).to_pylist():
-                pieces = c.pieces(text or "")
+            for text in (t.decode() for _, texts in byte_chunks(batch.column(1)) for t in texts):
+                pieces = c.pieces(text)
                 counts, written, decoded = zip(*pieces) if pieces else ((), (), ())
                 n.append(sum(counts))
                 ids_sha.append(hashlib.sha256(" ".join(written).encode()).hexdigest())

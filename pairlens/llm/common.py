@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -45,6 +47,14 @@ def byte_chunks(column: pa.Array) -> Iterator[tuple[int, list[bytes]]]:
         yield start, _raw(column.slice(start))
 
 
+def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches of a task; after the last, memory that a reused worker would keep from it goes back to the system."""
+    yield from batches
+    pa.default_memory_pool().release_unused()
+    with suppress(OSError, AttributeError):  # another C library has no such call, and needs none
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def _raw(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 

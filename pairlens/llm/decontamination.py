@@ -15,14 +15,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import byte_chunks, table, trimmed
 from .wordhash import NOT_ALNUM, shingles, words
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: Items that are searched for at once; more make further passes over the documents.
 ITEMS = 2000
-#: Bytes of text that are hashed at once, at least one text.
-CHUNK = 1 << 20
 
 
 class Index:
@@ -127,19 +125,6 @@ def _indexes(benchmark: DataFrame) -> list[Index]:
     return [*out, Index(now)] if now or not out else out
 
 
-def _chunks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
-    start, size, now = 0, 0, []
-    for i, t in enumerate(texts):
-        raw = (t or "").encode()
-        if now and size + len(raw) > CHUNK:
-            yield start, now
-            start, size, now = i, 0, []
-        now.append(raw)
-        size += len(raw)
-    if now:
-        yield start, now
-
-
 def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Passages of benchmark(item_id, text, ...) in the whole texts of docs(doc_id, text, ...).
 
@@ -154,8 +139,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         held = docs.sparkSession.sparkContext.broadcast(index)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                rows = [(at + t, i, s, w) for at, texts in _chunks(batch.column(1).to_pylist()) for t, i, s, w in held.value.search(texts)]
+            for batch in trimmed(batches):
+                rows = [(at + t, i, s, w) for at, texts in byte_chunks(batch.column(1)) for t, i, s, w in held.value.search(texts)]
                 cols = list(zip(*rows)) if rows else [[]] * 4
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(cols[0], pa.int64())), *(pa.array(c, t) for c, t in zip(cols[1:], (pa.int64(), pa.float64(), pa.int64())))], names=["doc_id", "item_id", "similarity", "start_word"])
 
@@ -165,14 +150,18 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs, all columns, without the rows that hold a benchmark passage."""
+    """docs(doc_id, text, ...), all columns, without the rows that hold a benchmark passage: see find_contamination.
+
+    Null, empty and wordless texts stay; equal rows stay or go together; a null doc_id says nothing. An
+    empty table, or an empty benchmark, drops nothing. Other columns, whatever their names, are kept.
+    """
     at = docs.columns.index("text")
 
     def keep(index) -> Callable:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in trimmed(batches):
                 fine = np.ones(len(batch), bool)
-                for start, texts in _chunks(batch.column(at).to_pylist()):
+                for start, texts in byte_chunks(batch.column(at)):
                     fine[[start + t for t, *_ in index.value.search(texts)]] = False
                 yield batch.filter(pa.array(fine))
 

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import byte_chunks, table
+from .common import byte_chunks, table, trimmed
 
 _OPEN = re.compile(r"<(?:(!--)|[!?]|(/?)([a-zA-Z][a-zA-Z0-9:-]*))")
 _ATTRS = re.compile(r"""(?:[^<>"']++|"[^"]*+"|'[^']*+')*+""")
@@ -416,7 +416,7 @@ def extract(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
     trees = trees or trained()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in trimmed(batches):
             texts = []
             for _, sources in byte_chunks(batch.column(2)):
                 made = [Page(h.decode()) for h in sources]

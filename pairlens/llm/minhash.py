@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, table
+from .common import byte_chunks, components, cut, free_prefix, table, trimmed
 from .wordhash import WHITE, mix, sets
 
 K, NEED = 32, 12
@@ -39,21 +39,6 @@ BLOCK, SHORT, VALUES = 1024, 24, 1 << 19
 STEP = 64
 #: A filter of 2 ** FILTER_BITS bits (8 MB) is sent to the tasks.
 FILTER_BITS = 26
-#: Bytes of text that are hashed at once, at least one text.
-CHUNK = 1 << 20
-
-
-def _chunks(texts: list[str | None]) -> Iterator[tuple[int, list[bytes]]]:
-    start, size, now = 0, 0, []
-    for i, t in enumerate(texts):
-        raw = (t or "").encode()
-        if now and size + len(raw) > CHUNK:
-            yield start, now
-            start, size, now = i, 0, []
-        now.append(raw)
-        size += len(raw)
-    if now:
-        yield start, now
 
 
 def _sketcher(w: int, full: bool, bits: Broadcast | None = None) -> Callable:
@@ -62,8 +47,8 @@ def _sketcher(w: int, full: bool, bits: Broadcast | None = None) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.frombuffer(bits.value, np.int64) if bits else None
         seen: set[int] = set()
-        for batch in batches:
-            for at, texts in _chunks(batch.column(1).to_pylist()):
+        for batch in trimmed(batches):
+            for at, texts in byte_chunks(batch.column(1)):
                 values, offsets = sets(texts, WHITE, w)
                 n = np.diff(offsets)
                 filled = np.flatnonzero(n)
@@ -152,7 +137,7 @@ def _passing(i: int, others: np.ndarray, sk: np.ndarray, n: np.ndarray) -> tuple
 
 def _compare_short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Short lists, one a row, to the pairs of nodes in different components that pass."""
-    for batch in batches:
+    for batch in trimmed(batches):
         lists = batch.column(0)
         at = lists.offsets.to_numpy()
         items = lists.values
@@ -251,15 +236,16 @@ def _rest(docs: DataFrame, words: int, lists: DataFrame, labels: DataFrame, sket
     short = short.groupBy("v").agg(F.collect_list(F.struct("node", "n", "c", "sk")).alias("g")).select("g")
     pairs = cut(short.mapInArrow(_compare_short, "a long, b long").distinct())
     long = m.where(F.col("all") > SHORT).withColumn("part", F.lit(1 / BLOCK)).drop("all")
+    # Dealt out by block, not by list: the joins by list before may then be split.
     side = _blocks(long, "part").join(sketched, F.col("node") == F.col("sn"))
-    held = cut(side.groupBy("v", "x", "y").applyInPandas(_compare_block, "v long, node long").distinct())
+    held = cut(side.repartition("v", "x", "y").groupBy("v", "x", "y").applyInPandas(_compare_block, "v long, node long").distinct())
     full = _full_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("pn")).union(held.select("node")).distinct(), words)
     listed = lists.groupBy(F.col("node").alias("on")).agg(F.sort_array(F.collect_list("v")).alias("listed"))
     held = held.select(F.col("v").alias("hv"), F.col("node").alias("hn"))
     side = long.drop("part").join(held, (F.col("v") == F.col("hv")) & (F.col("node") == F.col("hn"))).drop("hv", "hn")
     side = _blocks(side.withColumn("part", F.col("n") / VALUES), "part").join(listed, F.col("node") == F.col("on"))
     side = side.join(full.select(F.col("node").alias("fn"), "vals"), F.col("node") == F.col("fn")).drop("on", "fn")
-    return _verified(pairs, full).union(side.groupBy("v", "x", "y").applyInPandas(_verify_block, "a long, b long"))
+    return _verified(pairs, full).union(side.repartition("v", "x", "y").groupBy("v", "x", "y").applyInPandas(_verify_block, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
@@ -296,9 +282,14 @@ def near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, words: int = 5) -> DataFrame:
-    """docs(doc_id, text, ...), all columns, with one document of each component: see near_duplicates. Rows with a null doc_id stay."""
-    gone = near_duplicates(docs, words).where("not kept").select(F.col("doc_id").alias("__gone"), F.col("text_hash").alias("__hash")).distinct()
-    return docs.join(gone, (F.col("doc_id") == F.col("__gone")) & (F.xxhash64("text") == F.col("__hash")), "left_anti")
+    """docs(doc_id, text, ...), all columns, with one document of each component: see near_duplicates.
+
+    Rows with a null doc_id stay, and so do null, empty and wordless texts, which link with nothing. Equal
+    rows of a kept document all stay. An empty table gives no rows; other columns, whatever their names, are kept.
+    """
+    p = free_prefix(docs)
+    gone = near_duplicates(docs.select("doc_id", "text"), words).where("not kept").select(F.col("doc_id").alias(f"{p}gone"), F.col("text_hash").alias(f"{p}hash")).distinct()
+    return docs.join(gone, (F.col("doc_id") == F.col(f"{p}gone")) & (F.xxhash64("text") == F.col(f"{p}hash")), "left_anti")
 
 
 def _filter_bits(nodes: DataFrame) -> bytes:

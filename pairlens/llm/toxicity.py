@@ -23,14 +23,14 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import byte_chunks, table, trimmed
 
 #: The bound of the training sample: rows of each class, by the hash of their id, and characters of one row.
 SAMPLE = {1: 1000, 0: 2000}
 SAMPLE_CHARS = 200_000
 #: Words of a window, bytes of the ordinary dictionary, zstandard's level.
 WINDOW, DICTIONARY, LEVEL = 5, 4096, 5
-#: Sizes of n-grams; least share and number of toxic rows that hold one; how much more frequent it is among toxic rows; segments that cover a row; segments at most.
+#: The model's size and what it learns from the sample, nothing that a scored text meets. Sizes of n-grams; least share and number of toxic rows that hold one; how much more frequent it is among toxic rows; segments that cover a row; segments at most.
 GRAMS, LEAST_SHARE, LEAST, CONTRAST, COVER, SEGMENTS = (4, 5), 0.01, 8, 8, 4, 120
 #: Scores from here on are toxic.
 THRESHOLD = 0.3
@@ -106,7 +106,7 @@ class Model:
         self.share, self.curve = share, None
         if not toxic or not ordinary:
             return
-        samples = [w for t in ordinary for w in _windows(t)[:40]]
+        samples = [w for t in ordinary for w in _windows(t)]
         try:
             base = zstandard.train_dictionary(DICTIONARY, samples).as_bytes()[-DICTIONARY:]
         except zstandard.ZstdError:  # too few or too short samples for COVER
@@ -136,7 +136,7 @@ class Model:
         for at in range(0, len(windows), BATCH):
             ordinary, toxic = (np.array([len(s) for s in c.multi_compress_to_buffer(windows[at : at + BATCH])]) for c in compressors)
             parts.append(ordinary - toxic)
-        return np.concatenate(parts)
+        return np.concatenate([np.zeros(0, int), *parts])
 
     def features(self, texts: list[str], compressors: list | None = None) -> np.ndarray:
         cut = [_windows(t) for t in texts]
@@ -177,6 +177,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(toxic, ordinary, min(max(n1 / max(n1 + n0, 1), 1e-4), 1 - 1e-4))
 
 
+def _scores(model: Model, column: pa.Array, compressors: list | None) -> np.ndarray:
+    """Scores of a batch, a bounded number of bytes at a time."""
+    return np.concatenate([np.zeros(0), *(model.scores([t.decode() for t in texts], compressors) for _, texts in byte_chunks(column))])
+
+
 def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Scores every whole text of docs(doc_id, text, ...) by a model fitted on labels(doc_id, toxic, ...).
 
@@ -189,21 +194,25 @@ def score_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = model._compressors() if model.curve else None
-        for batch in batches:
-            s = model.scores(batch.column(1).to_pylist(), compressors)
+        for batch in trimmed(batches):
+            s = _scores(model, batch.column(1), compressors)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 
     return docs.select("doc_id", "text", held_out().alias("held_out")).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
 
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
-    """docs, all columns, without the rows that the model calls toxic."""
+    """docs(doc_id, text, ...), all columns, without the rows that the model calls toxic.
+
+    Null and empty texts are scored as a text without words; equal texts stay or go together; doc_id says
+    nothing. An empty table gives no rows. Other columns, whatever their names, are kept.
+    """
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compressors = model._compressors() if model.curve else None
-        for batch in batches:
-            yield batch.filter(pa.array(model.scores(batch.column(at).to_pylist(), compressors) < THRESHOLD))
+        for batch in trimmed(batches):
+            yield batch.filter(pa.array(_scores(model, batch.column(at), compressors) < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
 
