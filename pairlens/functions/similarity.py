@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def levenshtein_factor(a: Column, b: Column) -> Column:
@@ -12,15 +15,56 @@ def levenshtein_factor(a: Column, b: Column) -> Column:
     return F.try_divide((longest - F.levenshtein(a, b)).cast("double"), longest)
 
 
-def longest_common_substring(a: Column, b: Column) -> Column:
-    """The longest substring of both; of equal lengths the first in a. Lengths are tried from the longest down."""
-    n = F.least(F.length(a), F.length(b))
-    at = lambda k: F.filter(F.transform(F.sequence(F.lit(1), F.length(a) - k + 1), lambda i: F.substring(a, i, k)), lambda s: F.contains(b, s))
-
-    def step(best: Column, k: Column) -> Column:
-        return F.when(best != "", best).otherwise(F.coalesce(F.get(at(k), F.lit(0)), F.lit("")))
-
-    return F.when(n > 0, F.aggregate(F.sequence(n, F.lit(1), F.lit(-1)), F.lit(""), step)).otherwise(F.lit(""))
+def _codes(texts: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of texts, one row each, and their lengths."""
+    size = texts.str.len().to_numpy(np.int64)
+    out = np.zeros((len(texts), max(int(size.max(initial=0)), 1)), np.uint32)
+    joined = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    out[np.arange(out.shape[1]) < size[:, None]] = joined
+    return out, size
+
+
+def _common_runs(a: pd.Series, b: pd.Series) -> list[str]:
+    """The longest common substring of each pair, by the usual table, a row of it at a time for all pairs."""
+    (x, n), (y, m) = _codes(a), _codes(b)
+    x, y = np.where(np.arange(x.shape[1]) < n[:, None], x, 0xFFFFFFFF), np.where(np.arange(y.shape[1]) < m[:, None], y, 0xFFFFFFFE)
+    run = np.zeros((len(x), y.shape[1] + 1), np.int32)
+    best, end = np.zeros(len(x), np.int32), np.zeros(len(x), np.int64)
+    for i in range(x.shape[1]):
+        run[:, 1:] = np.where(y == x[:, i : i + 1], run[:, :-1] + 1, 0)
+        now = run.max(axis=1)
+        longer = now > best
+        best[longer], end[longer] = now[longer], i + 1
+    return [t[e - k : e] for t, e, k in zip(a, end, best)]
+
+
+#: Cells of the table that are worked on at once.
+CELLS = 1 << 22
+
+
+@F.pandas_udf(StringType())
+def longest_common_substring(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The longest substring of both; of equal lengths the first in a; null for a null. Pairs of like lengths are compared together."""
+    out = pd.Series([None] * len(a), dtype=object)
+    held = np.flatnonzero(a.notna().to_numpy() & b.notna().to_numpy())
+    if not len(held):
+        return out
+    size = a.iloc[held].str.len().to_numpy(np.int64) << 32 | b.iloc[held].str.len().to_numpy(np.int64)
+    held = held[np.argsort(size, kind="stable")]
+    at = 0
+    while at < len(held):
+        width = int(b.iloc[held[at]].__len__()) + 1
+        part = held[at : at + max(1, CELLS // width)]
+        widest = int(b.iloc[part].str.len().max()) + 1
+        part = part[: max(1, CELLS // widest)]
+        out.iloc[part] = _common_runs(a.iloc[part], b.iloc[part])
+        at += len(part)
+    return out
+
+
+def substring_factor(substring: Column, a: Column, b: Column) -> Column:
+    """The common substring's share of the shorter text; null for an empty one."""
+    return F.try_divide(F.length(substring).cast("double"), F.least(F.length(a), F.length(b)))
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -63,6 +107,24 @@ def composite(parts: list[tuple[Column, Column, float]]) -> tuple[Column, Column
     return sum(score[1:], score[0]), sum(floored[1:], floored[0]) / len(parts)
 
 
+def importance_grid(n: int, steps: int = 20) -> list[tuple[float, ...]]:
+    """Every tuple of n importances, multiples of 1 / steps, that sum to 1."""
+    def rest(n: int, left: int) -> list[tuple[float, ...]]:
+        return [(left / steps,)] if n == 1 else [(k / steps, *r) for k in range(left + 1) for r in rest(n - 1, left - k)]
+
+    return rest(n, steps)
+
+
+def bayes(b_given_a: Column, a: Column, b: Column) -> Column:
+    """P(a given b)."""
+    return F.try_divide(b_given_a * a, b)
+
+
+def votes(*flags: Column, least: int = 3) -> Column:
+    """Whether at least so many voters say yes; a null is no vote."""
+    return sum((F.coalesce(f.cast("int"), F.lit(0)) for f in flags), F.lit(0)) >= least
+
+
 def update_importance(values: list[float], index: int, value: float) -> list[float]:
     """Set one importance and scale the others so that all sum to 1."""
     others = sum(v for i, v in enumerate(values) if i != index)

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,20 +27,56 @@ def branches(df: DataFrame, parts: dict[str, dict[str, Column]], keep: list[str]
     return df.select(*keep, *(c.alias(f"{b}__{n}") for b, cols in parts.items() for n, c in cols.items()))
 
 
+def left_join_of(left: DataFrame, right: DataFrame, key: list[str], left_name: str, right_name: str) -> DataFrame:
+    """Two pipelines' results side by side, columns named name__column, every row of the left."""
+    a = left.select(*key, *(F.col(c).alias(f"{left_name}__{c}") for c in left.columns if c not in key))
+    b = right.select(*key, *(F.col(c).alias(f"{right_name}__{c}") for c in right.columns if c not in key))
+    return a.join(b, key, "left")
+
+
+def sample_rows(df: DataFrame, n: int, key: list[str], seed: int = 0) -> DataFrame:
+    """n rows in an order drawn by the seed and the key, the same on any number of partitions. Spark keeps n rows for each task, no more."""
+    return df.orderBy(seeded(seed, *key), *key).limit(n)
+
+
+def seeded(seed: int, *key: str) -> Column:
+    """What puts rows in a random order that the seed and the key decide."""
+    return F.md5(F.concat_ws(":", F.lit(seed), *key).cast("binary"))
+
+
+def sample_for_pairs(df: DataFrame, max_pairs: int, key: list[str], seed: int = 0) -> DataFrame:
+    """As many rows as have up to max_pairs pairs: the root of twice the number, rounded up, less one."""
+    return sample_rows(df, max(0, math.ceil(math.sqrt(2 * max_pairs)) - 1), key, seed)
+
+
+def sort_versions(df: DataFrame, version: str) -> DataFrame:
+    """Rows whose version is three numbers, by patch, minor and major number, the greatest first."""
+    parts = F.split(version, r"\.")
+    number = lambda i: F.get(parts, F.lit(i)).cast("int")
+    return df.where(F.col(version).rlike(r"^\d+\.\d+\.\d+$")).orderBy(number(2).desc(), number(1).desc(), number(0).desc())
+
+
 def natural_left_join(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right, [c for c in left.columns if c in right.columns], "left")
 
 
-def map_items(df: DataFrame, key: str, items: str, dimension: DataFrame, source: str, target: str, unmatched: str) -> DataFrame:
+def map_items(df: DataFrame, key: str, items: str, dimension: DataFrame, source: str, target: str, unmatched: str, any_case: bool = False) -> DataFrame:
     """(key, items): each list mapped through dimension(source, target), sorted.
 
     unmatched: `drop` leaves out items without a match, `blank` keeps them as '', `source` keeps them
-    as they are. An empty list gives [] under `drop`, else [''].
+    as they are. An empty list gives [] under `drop`, else ['']. A target that is a list adds its items.
+    any_case: items and sources match in any case.
     """
+    case = F.lower if any_case else F.col
+    listed = dimension.schema[target].dataType.typeName() == "array"
     rows = df.select(key, F.explode_outer(items).alias("__item"))
-    found = rows.join(dimension.select(F.col(source).alias("__s"), F.col(target).alias("__t")), F.col("__item") == F.col("__s"), "left")
-    value = {"drop": F.col("__t"), "blank": F.coalesce("__t", F.lit("")), "source": F.coalesce("__t", "__item", F.lit(""))}[unmatched]
-    return found.groupBy(key).agg(F.array_sort(F.collect_list(value)).alias(items))
+    found = rows.join(dimension.select(case(source).alias("__s"), F.col(target).alias("__t")), case("__item") == F.col("__s"), "left")
+    blank, own = F.lit(""), F.coalesce("__item", F.lit(""))
+    if listed:
+        blank, own = F.array(blank), F.array(own)
+    value = {"drop": F.col("__t"), "blank": F.coalesce("__t", blank), "source": F.coalesce("__t", own)}[unmatched]
+    gathered = F.collect_list(value)
+    return found.groupBy(key).agg(F.array_sort(F.flatten(gathered) if listed else gathered).alias(items))
 
 
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -59,15 +97,20 @@ def sub_phrases(words: Column) -> Column:
     return F.when(n > 0, F.array_distinct(F.flatten(runs))).otherwise(F.array().cast("array<string>"))
 
 
-def longest_phrases(df: DataFrame, key: str, title: str, dictionary: DataFrame, phrase: str, value: str) -> DataFrame:
-    """(key, values): dictionary values of the longest phrases of a title; a phrase whose words all lie in longer matches is left out."""
-    rows = df.select(key, F.explode(sub_phrases(F.split(F.lower(title), " "))).alias("__p"))
-    hits = rows.join(dictionary.select(F.col(phrase).alias("__d"), F.col(value).alias("__v")), F.col("__p") == F.col("__d")).distinct()
-    ordered = hits.groupBy(key).agg(F.sort_array(F.collect_list(F.struct(F.size(F.split("__p", " ")).alias("w"), F.length("__p").alias("l"), F.col("__p").alias("p"), F.col("__v").alias("v")))).alias("h"))
+def longest_only(hits: DataFrame, key: list[str]) -> DataFrame:
+    """(key, values) of hits(key, __p, __v): values of the phrases __p that hold a word which no later, longer one has, sorted."""
+    ordered = hits.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.size(F.split("__p", " ")).alias("w"), F.length("__p").alias("l"), F.col("__p").alias("p"), F.col("__v").alias("v")))).alias("h"))
     words = lambda x: F.split(x["p"], " ")
     later = lambda i: F.flatten(F.transform(F.slice("h", i + 2, F.size("h")), words))
     kept = F.filter("h", lambda x, i: F.size(F.array_except(words(x), later(i))) > 0)
-    return ordered.select(key, F.array_sort(F.array_distinct(F.transform(kept, lambda x: x["v"]))).alias("values"))
+    return ordered.select(*key, F.array_sort(F.array_distinct(F.transform(kept, lambda x: x["v"]))).alias("values"))
+
+
+def longest_phrases(df: DataFrame, key: str, title: str, dictionary: DataFrame, phrase: str, value: str) -> DataFrame:
+    """(key, values): dictionary values of the longest phrases of a title; a phrase whose words all lie in longer matches is left out."""
+    rows = df.select(key, F.explode(sub_phrases(F.split(F.lower(title), " "))).alias("__p"))
+    hits = rows.join(dictionary.select(F.col(phrase).alias("__d"), F.col(value).alias("__v")), F.col("__p") == F.col("__d")).select(key, "__p", "__v").distinct()
+    return longest_only(hits, [key])
 
 
 def map_in_file_order(df: DataFrame, key: str, items: str, mapping: DataFrame) -> DataFrame:
@@ -82,8 +125,28 @@ def map_in_file_order(df: DataFrame, key: str, items: str, mapping: DataFrame) -
 def split_groups(df: DataFrame, group: list[str], n: int) -> DataFrame:
     """Adds split: the group's place among all groups, modulo n. Groups are ranked on their distinct keys, not on all rows."""
     keys = df.select(*group).distinct()
-    ranked = keys.withColumn("split", (F.row_number().over(Window.orderBy(*group)) - 1) % n)
-    return df.join(ranked, group)
+    ranked = global_places(keys, [F.col(g) for g in group], "split")
+    return df.join(ranked.withColumn("split", F.col("split") % n), group)
+
+
+def running_total(df: DataFrame, order: list[Column], value: str, out: str) -> DataFrame:
+    """Adds out: the total of value over the rows before, in the order of all rows.
+
+    Rows are dealt to ranges of the order and added up range by range, after the totals of the ranges
+    before: no task sorts more than its range. The order should have no ties.
+    """
+    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    sizes = ranged.groupBy("__part").agg(F.sum(value).alias("__n"))
+    # One row for each range.
+    before = sizes.select(F.col("__part").alias("__q"), (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    within = F.sum(value).over(Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) - F.col(value)
+    placed = ranged.withColumn("__at", within).join(F.broadcast(before), F.col("__part") == F.col("__q"))
+    return placed.withColumn(out, F.col("__before") + F.col("__at")).drop("__part", "__q", "__before", "__at")
+
+
+def global_places(df: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Adds out: each row's place from 0 in the order of all rows; see running_total."""
+    return running_total(df.withColumn("__one", F.lit(1).cast("long")), order, "__one", out).drop("__one")
 
 
 def n_splits(rows: int, n_jobs: int, chunk: float, least: int, cores: int) -> int:

@@ -4,10 +4,26 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
-from ..functions.similarity import SCALES
+from ..functions.similarity import SCALES, cosine
+from .relational import global_places, running_total, sample_rows, seeded
+from .stats import group_quantiles, quantile_knots
+
+
+def _runs(df: DataFrame, column: str, out: str) -> DataFrame:
+    """Adds out_items and out_counts: the distinct items of a list, sorted, and how often each occurs. The list is sorted once."""
+    items = F.array_sort(F.filter(F.coalesce(column, F.array().cast("array<string>")), lambda x: x.isNotNull()))
+    df = df.withColumn(f"{out}_all", items)
+    place = F.sequence(F.lit(0), F.size(f"{out}_all") - 1)
+    starts = F.filter(place, lambda i: (i == 0) | (F.get(f"{out}_all", i) != F.get(f"{out}_all", i - 1)))
+    df = df.withColumn(f"{out}_starts", F.when(F.size(f"{out}_all") > 0, starts).otherwise(F.array().cast("array<int>")))
+    ends = F.concat(F.slice(f"{out}_starts", F.lit(2), F.size(f"{out}_starts")), F.array(F.size(f"{out}_all")))
+    made = {f"{out}_items": F.transform(f"{out}_starts", lambda i: F.get(f"{out}_all", i)), f"{out}_counts": F.when(F.size(f"{out}_all") > 0, F.zip_with(f"{out}_starts", ends, lambda a, b: b - a)).otherwise(F.array().cast("array<int>"))}
+    return df.withColumns(made).drop(f"{out}_all", f"{out}_starts")
 
 
 def left_overlap(df: DataFrame, key: str, left: str, right: str, scale: str = "sqrt") -> DataFrame:
@@ -18,17 +34,15 @@ def left_overlap(df: DataFrame, key: str, left: str, right: str, scale: str = "s
     Each row is judged by itself, in array functions: no shuffle.
     """
     f = SCALES[scale]
-    items = F.array_distinct(F.coalesce(left, F.array().cast("array<string>")))
-    count = lambda side, x: F.size(F.filter(F.col(side), lambda y: y == x))
-    lw = F.transform("__i", lambda x: f(count(left, x)))
-    rw = F.transform("__i", lambda x: F.when(count(right, x) > 0, f(count(right, x))))
+    rows = _runs(_runs(df.select(key, F.col(left).alias("__left"), F.col(right).alias("__right")), "__left", "__l"), "__right", "__r")
+    rows = rows.withColumn("__at", F.transform("__l_items", lambda x: F.array_position("__r_items", x).cast("int")))
+    rows = rows.select(key, F.transform("__l_counts", f).alias("__l"), F.transform("__at", lambda i: F.when(i > 0, f(F.get("__r_counts", i - 1)))).alias("__r"))
     mean = lambda a: F.try_divide(F.aggregate(F.filter(a, lambda x: x.isNotNull()), F.lit(0.0), lambda s, x: s + x), F.size(F.filter(a, lambda x: x.isNotNull())))
-    rows = df.select(key, items.alias("__i"), left, right).select(key, "__i", lw.alias("__l"), rw.alias("__r"))
-    rows = rows.select(key, "__i", "__l", "__r", mean(F.col("__l")).alias("__lm"), mean(F.col("__r")).alias("__rm"))
+    rows = rows.select(key, "__l", "__r", mean("__l").alias("__lm"), mean("__r").alias("__rm"))
     lack = F.zip_with("__l", "__r", lambda a, b: F.greatest(F.lit(0.0), a / F.col("__lm") - F.coalesce(F.try_divide(b, F.col("__rm")), F.lit(0.0))))
-    score = 1 - F.aggregate(lack, F.lit(0.0), lambda s, x: s + x) / F.size("__i")
-    none = (F.size("__i") == 0) | F.col("__rm").isNull()
-    return rows.select(key, F.when(none, 0.0).otherwise(score).alias("score"), F.size("__i").cast("long").alias("n_elem"))
+    score = 1 - F.aggregate(lack, F.lit(0.0), lambda s, x: s + x) / F.size("__l")
+    none = (F.size("__l") == 0) | F.col("__rm").isNull()
+    return rows.select(key, F.when(none, 0.0).otherwise(score).alias("score"), F.size("__l").cast("long").alias("n_elem"))
 
 
 def tf_idf(docs: DataFrame, key: str, words: str, min_df: float = 0.0) -> DataFrame:
@@ -50,15 +64,58 @@ def pair_cosine(weights: DataFrame, key: str, pairs: DataFrame) -> DataFrame:
 
 
 def phrases(docs: DataFrame, words: str, min_count: int = 5, threshold: float = 10.0) -> DataFrame:
-    """(a, b, n, score): neighbours whose score (n - min_count) * vocabulary / (count a * count b) is over the threshold."""
-    pairs = F.transform(F.sequence(F.lit(1), F.size(words) - 1), lambda i: F.struct(F.get(words, i - 1).alias("a"), F.get(words, i).alias("b")))
-    both = docs.where(F.size(words) > 1).select(F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count)
-    one = docs.select(F.explode(words).alias("w")).groupBy("w").agg(F.count(F.lit(1)).alias("c"))
+    """(a, b, n, score): neighbours whose score (n - min_count) * vocabulary / (count a * count b) is over the threshold.
+
+    Pairs of words and, with an empty second word, words alone are counted in one pass over the texts. Only frequent pairs meet
+    the words' counts.
+    """
+    following = lambda i: F.coalesce(F.get(words, i + 1), F.lit(""))
+    both = F.flatten(F.transform(words, lambda w, i: F.when(i + 1 < F.size(words), F.array(F.struct(w.alias("a"), F.lit("").alias("b")), F.struct(w.alias("a"), following(i).alias("b")))).otherwise(F.array(F.struct(w.alias("a"), F.lit("").alias("b"))))))
+    counts = docs.select(F.explode(both).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n")).where(f"b = '' or n >= {min_count}").persist(StorageLevel.DISK_ONLY)
+    one = counts.where("b = ''").select(F.col("a").alias("w"), F.col("n").alias("c"))
     size = one.agg(F.count(F.lit(1)).alias("v"))
-    scored = both.join(one.select(F.col("w").alias("a"), F.col("c").alias("ca")), "a").join(one.select(F.col("w").alias("b"), F.col("c").alias("cb")), "b").crossJoin(F.broadcast(size))
+    pairs = counts.where("b <> ''")
+    scored = pairs.join(one.select(F.col("w").alias("a"), F.col("c").alias("ca")), "a").join(one.select(F.col("w").alias("b"), F.col("c").alias("cb")), "b").crossJoin(F.broadcast(size))
     return scored.select("a", "b", "n", ((F.col("n") - min_count) * F.col("v") / (F.col("ca") * F.col("cb"))).alias("score")).where(F.col("score") > threshold)
 
 
+def join_phrases(docs: DataFrame, key: str, words: str, found: DataFrame, out: str = "phrases") -> DataFrame:
+    """(key, out): the words with the pairs of found(a, b) joined by an underscore, from the left, a word in one pair at most."""
+    places = docs.select(key, F.posexplode(words).alias("at", "w"))
+    pairs = places.select(key, "at", F.col("w").alias("a")).join(places.select(key, (F.col("at") - 1).alias("at"), F.col("w").alias("b")), [key, "at"])
+    hits = pairs.join(found.select("a", "b").distinct(), ["a", "b"]).groupBy(F.col(key).alias("__k")).agg(F.array_sort(F.collect_list("at")).alias("__hits"))
+    rows = docs.select(key, words).join(hits, F.col(key) == F.col("__k"), "left")
+    # From the left: a pair counts if the one before it did not take its first word.
+    taken = F.aggregate(F.coalesce("__hits", F.array().cast("array<int>")), F.array().cast("array<int>"), lambda acc, i: F.when((F.size(acc) == 0) | (F.element_at(acc, -1) < i - 1), F.concat(acc, F.array(i))).otherwise(acc))
+    rows = rows.select(key, words, taken.alias("__t"))
+    joined = F.transform(words, lambda w, i: F.when(F.array_contains("__t", i), F.concat(w, F.lit("_"), F.get(words, i + 1))).when(F.array_contains("__t", i - 1), F.lit(None)).otherwise(w))
+    return rows.select(key, F.filter(joined, lambda x: x.isNotNull()).alias(out))
+
+
+def with_phrases(docs: DataFrame, key: str, words: str, min_count: int = 5, threshold: float = 10.0) -> DataFrame:
+    """(key, words): the words and, after them, the new joined pairs and triples of a text."""
+    two = join_phrases(docs, key, words, phrases(docs.select(words), words, min_count, threshold))
+    three = join_phrases(two, key, "phrases", phrases(two.select("phrases"), "phrases", min_count, threshold), "triples")
+    new = lambda c: F.filter(c, lambda x: F.contains(x, F.lit("_")) & ~F.array_contains(words, x))
+    return docs.select(key, words).join(two, key).join(three, key).select(key, F.concat(F.col(words), F.array_distinct(F.concat(new("phrases"), new("triples")))).alias(words))
+
+
+def bag_of_words(docs: DataFrame, key: str, words: str, dictionary: DataFrame) -> DataFrame:
+    """(key, term, n) of terms that a dictionary(term, ...) holds."""
+    counts = docs.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+    return counts.join(dictionary.select("term"), "term", "left_semi").select(key, "term", "n")
+
+
+def tf_idf_log2(docs: DataFrame, key: str, words: str) -> DataFrame:
+    """(key, term, weight): counts times log2(n / df), each document at length 1; terms of every document weigh nothing and are left out."""
+    n = docs.agg(F.count(F.lit(1)).alias("__n"))
+    tf = docs.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).where("df < __n")
+    raw = tf.join(df, "term").select(key, "term", (F.col("tf") * F.log2(F.col("__n") / F.col("df"))).alias("w"))
+    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
+    return raw.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+
+
 def prune_dictionary(docs: DataFrame, key: str, words: str, no_below: int = 20, no_above: float = 0.4, keep: list[str] = ()) -> DataFrame:
     """(term, df): terms in at least no_below documents and at most a share no_above of them, and those to keep."""
     n = docs.agg(F.count(F.lit(1)).alias("__n"))
@@ -67,13 +124,45 @@ def prune_dictionary(docs: DataFrame, key: str, words: str, no_below: int = 20,
     return df.crossJoin(F.broadcast(n)).where(fine | F.col("term").isin(list(keep)) if keep else fine).select("term", "df")
 
 
-def average_word_scores(df: DataFrame, group: str, scores: str) -> DataFrame:
-    """(group, word, average, percentile): sum of a word's scores by the group's rows; the share of words strictly below, in percent."""
+def average_word_scores(df: DataFrame, group: str, scores: str, digits: int = 9) -> DataFrame:
+    """(group, word, average, percentile): sum of a word's scores by the group's rows, rounded; the share of words strictly below, in percent.
+
+    Different averages are counted first, and those are ranked, by ranges of their order, not words group by group.
+    """
     rows = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
     words = df.select(group, F.explode(scores).alias("word", "s")).groupBy(group, "word").agg(F.sum("s").alias("s"))
-    w = Window.partitionBy(group)
-    out = words.join(rows, group).select(group, "word", (F.col("s") / F.col("__n")).alias("average"))
-    return out.withColumn("percentile", (F.rank().over(w.orderBy("average")) - 1) * 100.0 / F.count(F.lit(1)).over(w))
+    out = words.join(rows, group).select(group, "word", F.round(F.col("s") / F.col("__n"), digits).alias("average"))
+    counts = out.groupBy(group, "average").agg(F.count(F.lit(1)).alias("__c"))
+    placed = running_total(counts, [F.col(group), F.col("average")], "__c", "__b")
+    ends = placed.groupBy(group).agg(F.min("__b").alias("__first"), F.sum("__c").alias("__all"))
+    ranks = placed.join(F.broadcast(ends), group).select(group, "average", ((F.col("__b") - F.col("__first")) * 100.0 / F.col("__all")).alias("percentile"))
+    return out.join(ranks, [group, "average"]).select(group, "word", "average", "percentile")
+
+
+def topic_word_scores(topics: DataFrame, phi: DataFrame, key: str) -> DataFrame:
+    """(key, word, score) of topics(key, topic, p) and phi(topic, word, weight): a word's weight in the last of a document's topics that has it, times that topic's share.
+
+    A share or weight over 1 keeps its fraction; both are rounded to 7 digits.
+    """
+    short = lambda c: F.round(F.when(F.col(c) > 1, F.col(c) - F.floor(c)).otherwise(F.col(c)), 7)
+    rows = topics.select(key, "topic", short("p").alias("p")).join(phi.select("topic", "word", short("weight").alias("weight")), "topic")
+    return rows.groupBy(key, "word").agg(F.max_by(F.col("p") * F.col("weight"), "topic").alias("score"))
+
+
+def coherence(docs: DataFrame, words: str, topics: DataFrame) -> DataFrame:
+    """(topic, coherence) of topics(topic, term): the mean over pairs of a topic's terms of the normalised pointwise mutual information of their being in one document."""
+    n = docs.count()
+    terms = topics.select("term").distinct()
+    held = docs.select(F.monotonically_increasing_id().alias("__d"), F.array_distinct(words).alias("__w")).select("__d", F.explode("__w").alias("term")).join(F.broadcast(terms), "term")
+    single = held.groupBy("term").agg(F.count(F.lit(1)).alias("c"))
+    pairs = topics.alias("x").join(topics.alias("y"), F.col("x.topic") == F.col("y.topic")).where("x.term < y.term").select("x.topic", F.col("x.term").alias("a"), F.col("y.term").alias("b"))
+    wanted = F.broadcast(pairs.select("a", "b").distinct())
+    listed = held.groupBy("__d").agg(F.array_sort(F.collect_list("term")).alias("l"))
+    both = listed.select(F.explode("l").alias("a"), "l").select("a", F.explode("l").alias("b")).where("a < b").join(wanted, ["a", "b"]).groupBy("a", "b").agg(F.count(F.lit(1)).alias("ab"))
+    rows = pairs.join(both, ["a", "b"], "left").join(single.select(F.col("term").alias("a"), F.col("c").alias("ca")), "a", "left").join(single.select(F.col("term").alias("b"), F.col("c").alias("cb")), "b", "left")
+    p = (F.coalesce("ab", F.lit(0)) + 1e-12) / n
+    npmi = F.try_divide(F.log(p / (F.col("ca") / n * F.col("cb") / n)), -F.log(p))
+    return rows.groupBy("topic").agg(F.avg(F.coalesce(npmi, F.lit(0.0))).alias("coherence"))
 
 
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
@@ -137,32 +226,119 @@ def logistic_confidence(actual: np.ndarray, shuffled: np.ndarray, at: float, rou
     return p if p == p else 0.0
 
 
+def assigned_quantile(base: DataFrame, key: str, assigned: DataFrame, score: str, q: float) -> DataFrame:
+    """(key, score): the linear quantile q of each key's assigned scores, 0 without any."""
+    values = assigned.groupBy(F.col(key).alias("__k")).agg(F.array_sort(F.collect_list(score)).alias("__v"))
+    place = F.lit(q) * (F.size("__v") - 1)
+    low, high = F.get("__v", F.floor(place).cast("int")), F.get("__v", F.ceil(place).cast("int"))
+    held = values.select("__k", (low + (high - low) * (place - F.floor(place))).alias("__s"))
+    return base.select(key).join(held, F.col(key) == F.col("__k"), "left").select(key, F.coalesce("__s", F.lit(0.0)).alias("score"))
+
+
 def shuffled_right(df: DataFrame, key: str, right: str, seed: int) -> DataFrame:
-    """(key, right) with the right column dealt anew by a seeded order of the keys."""
-    a = df.select(F.col(key), F.row_number().over(Window.orderBy(key)).alias("__p"))
-    b = df.select(F.col(right), F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), key), key)).alias("__p"))
+    """(key, right) with the right column dealt anew by a seeded order of the keys, which must differ. Both orders are numbered by ranges."""
+    a = global_places(df.select(F.col(key)), [F.col(key)], "__p")
+    b = global_places(df.select(F.col(key).alias("__o"), F.col(right)), [seeded(seed, "__o"), F.col("__o")], "__p").drop("__o")
     return a.join(b, "__p").drop("__p")
 
 
-def bucket_confidence(actual: DataFrame, shuffled: DataFrame, least: int = 100) -> DataFrame:
-    """(n_elem, score, confidence) for each left size with at least `least` rows: 2 P(actual) - 1, not under 0. Both frames: n_elem, score."""
-    both = actual.select("n_elem", "score", F.lit(1).alias("y")).union(shuffled.select("n_elem", "score", F.lit(0).alias("y")))
+def permutations(df: DataFrame, key: str, left: str, right: str, times: int, scale: str = "sqrt") -> DataFrame:
+    """(key, seed, score, n_elem): overlaps with the right column shuffled, once for each seed from 0."""
+    out = None
+    for seed in range(times):
+        dealt = df.select(key, left).join(shuffled_right(df, key, right, seed), key)
+        part = left_overlap(dealt, key, left, right, scale).withColumn("seed", F.lit(seed))
+        out = part if out is None else out.union(part)
+    return out
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, s = pdf.score[pdf.y == 1].to_numpy(), pdf.score[pdf.y == 0].to_numpy()
-        if len(a) < least or not len(s):
-            return pd.DataFrame({"n_elem": [], "score": [], "confidence": []})
-        points = np.unique(a)
-        return pd.DataFrame({"n_elem": int(pdf.n_elem.iloc[0]), "score": points, "confidence": [max(0.0, 2 * logistic_confidence(a, s, x) - 1) for x in points]})
 
-    return both.groupBy("n_elem").applyInPandas(run, "n_elem long, score double, confidence double")
+def random_right(df: DataFrame, key: str, right: str, n: int) -> DataFrame:
+    """(right): n rows at most of the right column, in an order drawn by n + 3."""
+    return sample_rows(df.select(key, right), n, [key], n + 3).select(right)
+
+
+def left_by_sample(df: DataFrame, key: str, left: str, sample: DataFrame, right: str) -> DataFrame:
+    """(key, scores): the cosines of each row's left vector with a sample of right ones. The sample has a stated number of rows and is broadcast."""
+    held = sample.agg(F.collect_list(right).alias("__s"))
+    return df.crossJoin(F.broadcast(held)).select(key, F.transform("__s", lambda v: F.coalesce(cosine(F.col(left), v), F.lit(0.0))).alias("scores"))
+
+
+def l1_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 400) -> tuple[float, float]:
+    """(slope, intercept) of the balanced logistic fit with a unit penalty on the size of both, by accelerated proximal steps."""
+    weight = np.where(y == 1, len(y) / (2 * max((y == 1).sum(), 1)), len(y) / (2 * max((y == 0).sum(), 1)))
+    z = np.stack([x, np.ones(len(x))], 1)
+    step = 1 / max(np.linalg.eigvalsh((z * weight[:, None]).T @ z / 4).max(), 1e-12)
+    w, ahead, t = np.zeros(2), np.zeros(2), 1.0
+    for _ in range(rounds):
+        new = ahead - step * (z.T @ (weight * (1 / (1 + np.exp(-z @ ahead)) - y)))
+        new = np.sign(new) * np.maximum(np.abs(new) - step, 0)
+        t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
+        ahead, done, w, t = new + (t - 1) / t2 * (new - w), np.abs(new - w).max() < 1e-10, new, t2
+        if done:
+            break
+    return float(w[0]), float(w[1])
+
+
+def overlap_confidence(actual: DataFrame, shuffled: DataFrame, least: int = 100) -> DataFrame:
+    """(n_elem, slope, intercept): for each left size of actual(n_elem, score) a logistic fit of actual against shuffled scores times the size.
+
+    Sizes from the 97.5th percentile on are one bucket; buckets of under `least` rows have none. See bucket_confidence.
+    """
+    limit = int(quantile_knots(actual, "n_elem", 41)[39]) if actual.head(1) else 0
+    bucket = F.least(F.col("n_elem"), F.lit(max(limit, 1)))
+    both = actual.select(bucket.alias("b"), "n_elem", "score", F.lit(1).alias("y")).union(shuffled.select(bucket, "n_elem", "score", F.lit(0)))
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        y = pdf.y.to_numpy()
+        if (y == 1).sum() < least or not (y == 0).any():
+            return pd.DataFrame({"n_elem": [], "slope": [], "intercept": []})
+        slope, intercept = l1_logistic((pdf.score * pdf.n_elem).to_numpy(float), y)
+        return pd.DataFrame({"n_elem": [int(key[0])], "slope": [slope], "intercept": [intercept]})
+
+    return both.where("b > 0").groupBy("b").applyInPandas(run, "n_elem long, slope double, intercept double")
+
+
+def bucket_confidence(scored: DataFrame, key: str, fits: DataFrame, compat: bool = False) -> DataFrame:
+    """(key, score, confidence) of scored(key, score, n_elem): 2 times the greater of the two probabilities, less 1, by the fit of the nearest bucket not over the row's size; 0 without one.
+
+    With compat the fit takes the score alone, though it was made for the score times the size. Buckets are a few dozen rows, broadcast.
+    """
+    held = fits.agg(F.sort_array(F.collect_list(F.struct("n_elem", "slope", "intercept"))).alias("__f"))
+    mine = F.element_at(F.filter("__f", lambda f: f["n_elem"] <= F.col("n_elem")), -1)
+    rows = scored.crossJoin(F.broadcast(held)).withColumn("__m", F.when(F.size(F.filter("__f", lambda f: f["n_elem"] <= F.col("n_elem"))) > 0, mine))
+    x = F.col("score") if compat else F.col("score") * F.col("n_elem")
+    p = 1 / (1 + F.exp(-(F.col("__m.slope") * x + F.col("__m.intercept"))))
+    return rows.select(key, "score", F.coalesce(2 * F.greatest(p, 1 - p) - 1, F.lit(0.0)).alias("confidence"))
+
+
+def row_confidence(df: DataFrame, key: str, score: str, randoms: str, trained: list[float]) -> DataFrame:
+    """(key, confidence): the probability that a row's score is one of the trained ones and not of its own random ones, by a logistic fit for each row; 0 for null and NaN.
+
+    trained stands for the distribution of all scores: its quantile knots, a bounded number.
+    """
+    kind = df.schema[key].dataType
+    base = np.array(trained, float)
+
+    def run(batches):
+        for pdf in batches:
+            conf = []
+            for s, r in zip(pdf[score], pdf[randoms]):
+                if s is None or s != s or r is None or not len(r):
+                    conf.append(0.0)
+                    continue
+                y = np.concatenate([np.ones(len(base)), np.zeros(len(r))])
+                slope, intercept = l1_logistic(np.concatenate([base, np.asarray(r, float)]), y)
+                conf.append(float(1 / (1 + np.exp(-(slope * s + intercept)))))
+            yield pd.DataFrame({key: pdf[key], "confidence": conf})
+
+    return df.select(key, score, randoms).mapInPandas(run, StructType([StructField(key, kind), StructField("confidence", DoubleType())]))
 
 
 def top_above_percentile(df: DataFrame, group: str, value: str, share: float = 0.95) -> DataFrame:
-    """Rows whose value, rounded to 3 digits, is strictly over the group's percentile of rounded values."""
+    """Rows whose value, rounded to 3 digits, is strictly over the group's percentile of rounded values. Groups are few; their limits are broadcast."""
     rows = df.withColumn("__v", F.round(value, 3))
-    cut = rows.groupBy(F.col(group).alias("__g")).agg(F.percentile("__v", F.lit(share)).alias("__c"))
-    return rows.join(cut, F.col(group) == F.col("__g")).where("__v > __c").drop("__v", "__g", "__c")
+    limits = group_quantiles(rows, group, "__v", [share]).select(F.col(group).alias("__g"), F.col("q_0").alias("__c"))
+    return rows.join(F.broadcast(limits), F.col(group) == F.col("__g")).where("__v > __c").drop("__v", "__g", "__c")
 
 
 def one_hot(values: Column, kinds: list[str]) -> dict[str, Column]:

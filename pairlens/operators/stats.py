@@ -3,17 +3,25 @@
 from __future__ import annotations
 
 import math
+import statistics
+import time
 
+import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
+
+from .relational import global_places, running_total, seeded
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
     """(value, n, share, rank), the most frequent first."""
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.orderBy(F.desc("n"), "value")
-    return counts.select("value", "n", (F.col("n") / F.sum("n").over(Window.partitionBy())).alias("share"), F.row_number().over(w).alias("rank"))
+    total = counts.agg(F.sum("n").alias("__all"))
+    ranked = global_places(counts, [F.desc("n"), F.col("value")], "rank")
+    return ranked.crossJoin(F.broadcast(total)).select("value", "n", (F.col("n") / F.col("__all")).alias("share"), (F.col("rank") + 1).alias("rank"))
 
 
 def crosstab(df: DataFrame, pred: str, label: str, labels: list | None = None) -> DataFrame:
@@ -55,19 +63,87 @@ def cdf_distance(hist: DataFrame, bins: int = 16) -> DataFrame:
     return left.join(right, "bin").where("a < b").groupBy("a", "b").agg(F.sum(F.abs(F.col("ca") - F.col("cb"))).alias("distance"))
 
 
-def quantile_map(df: DataFrame, value: str, out: str, knots: int = 101) -> DataFrame:
-    """Adds out: the value's place between linear percentiles, 0 at or below the least and 1 at or above the greatest.
+#: Knots of a quantile map, at most.
+KNOTS = 1000
+
+
+def quantile_knots(df: DataFrame, value: str, knots: int | None = None) -> list[float]:
+    """Linear percentiles of a column at equal steps from 0 to 1, exact: min(KNOTS, rows) of them, or as many as given.
 
-    The knots are one row of fixed length, so they are broadcast.
+    Distinct values are counted and put in ranges of their order; only those at a wanted place come to the driver,
+    two for each knot. Nulls and NaN do not count; without any value there are no knots.
     """
-    probs = [i / (knots - 1) for i in range(knots)]
-    refs = df.agg(F.percentile(value, F.array(*map(F.lit, probs))).alias("__k"))
-    v, k = F.col(value), F.col("__k")
-    below = F.size(F.filter(k, lambda x: x <= v))  # knots at or under the value
-    lo, hi = F.get(k, below - 1), F.get(k, below)
-    inside = (below - 1 + F.coalesce(F.try_divide(v - lo, hi - lo), F.lit(0.0))) / (knots - 1)
-    place = F.when(v.isNull(), None).when(below >= knots, 1.0).when(below == 0, 0.0).otherwise(inside)
-    return df.crossJoin(F.broadcast(refs)).withColumn(out, place).drop("__k")
+    counts = df.select(F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)").groupBy("v").agg(F.count(F.lit(1)).alias("c"))
+    ranged = counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    try:
+        sizes = ranged.groupBy("part").agg(F.sum("c").alias("n")).orderBy("part").collect()  # one row for each range
+        n = sum(r["n"] for r in sizes)
+        if not n:
+            return []
+        k = min(KNOTS, n) if knots is None else knots
+        if k == 1 or n == 1:
+            return [ranged.agg(F.min("v")).first()[0]] * k
+        before, firsts = 0, []
+        for r in sizes:
+            firsts.append((r["part"], before))
+            before += r["n"]
+        offsets = df.sparkSession.createDataFrame(firsts, "p int, offset long")
+        rows = ranged.join(F.broadcast(offsets), F.col("part") == F.col("p"))
+        rows = rows.withColumn("b", F.col("offset") + F.sum("c").over(Window.partitionBy("part").orderBy("v")) - F.col("c"))
+        # Knot i lies at place i (n - 1) / (k - 1): which knots have their lower and upper neighbour among the places b to b + c - 1?
+        last = f"(b + c - 1) * {k - 1}L"
+        low = f"sequence((b * {k - 1}L + {n - 2}L) div {n - 1}L, ((b + c) * {k - 1}L - 1) div {n - 1}L)"
+        high = f"sequence(if(b = 0, 0L, (b - 1) * {k - 1}L div {n - 1}L + 1), {last} div {n - 1}L)"
+        wanted = lambda seq, ok, name: rows.where(ok).select(F.explode(F.expr(seq)).alias("i"), "v", F.lit(name).alias("side"))
+        has_low = f"(b * {k - 1}L + {n - 2}L) div {n - 1}L <= ((b + c) * {k - 1}L - 1) div {n - 1}L"
+        has_high = f"if(b = 0, 0L, (b - 1) * {k - 1}L div {n - 1}L + 1) <= {last} div {n - 1}L"
+        found = wanted(low, has_low, 0).union(wanted(high, has_high, 1)).where(f"i < {k}").collect()
+    finally:
+        ranged.unpersist()
+    ends = [[0.0, 0.0] for _ in range(k)]
+    for r in found:
+        ends[r["i"]][r["side"]] = r["v"]
+    part = lambda i: (i * (n - 1) % (k - 1)) / (k - 1)
+    return [lo + (hi - lo) * part(i) for i, (lo, hi) in enumerate(ends)]
+
+
+def quantile_place(value: Column, knots: list[float]) -> Column:
+    """The value's place among knots as a share: 0 at or below the least, 1 at or above the greatest, the middle of equal knots; null for null, NaN or no knots."""
+    if not knots:
+        return F.lit(None).cast("double")
+    x = np.array(knots, float)
+    p = np.linspace(0, 1, len(x)) if len(x) > 1 else np.array([0.5])
+
+    @F.pandas_udf(DoubleType())
+    def place(v: pd.Series) -> pd.Series:
+        v = v.to_numpy(float)
+        out = 0.5 * (np.interp(v, x, p) - np.interp(-v, -x[::-1], -p[::-1]))
+        out[v <= x[0]], out[v >= x[-1]] = 0.0, 1.0
+        return pd.Series(out).where(~np.isnan(v), None)
+
+    return place(value.cast("double"))
+
+
+def quantile_map(df: DataFrame, value: str, out: str, knots: int | None = None) -> DataFrame:
+    """Adds out: the value's place between the column's own percentiles; see quantile_knots and quantile_place."""
+    return df.withColumn(out, quantile_place(F.col(value), quantile_knots(df, value, knots)))
+
+
+def group_quantiles(df: DataFrame, group: str, value: str, shares: list[float]) -> DataFrame:
+    """(group, q_0, q_1, ...): linear percentiles of each group, exact. Distinct values are counted, and numbered by ranges of the order of group and value."""
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("__g"), F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
+    placed = running_total(counts, [F.col("__g"), F.col("__v")], "__c", "__b")
+    totals = counts.groupBy(F.col("__g").alias("__h")).agg(F.sum("__c").alias("__n"))
+    firsts = placed.groupBy(F.col("__g").alias("__f")).agg(F.min("__b").alias("__first"))
+    rows = placed.join(F.broadcast(totals.join(firsts, F.col("__h").eqNullSafe(F.col("__f")))), F.col("__g").eqNullSafe(F.col("__h")))
+    b = F.col("__b") - F.col("__first")
+    at = lambda place: F.max(F.when((b <= place) & (place < b + F.col("__c")), F.col("__v")))
+    picked, made = [], []
+    for k, s in enumerate(shares):
+        place = F.lit(s) * (F.col("__n") - 1)
+        picked += [at(F.floor(place)).alias(f"__lo{k}"), at(F.ceil(place)).alias(f"__hi{k}"), F.max(place - F.floor(place)).alias(f"__part{k}")]
+        made.append((F.col(f"__lo{k}") + (F.col(f"__hi{k}") - F.col(f"__lo{k}")) * F.col(f"__part{k}")).alias(f"q_{k}"))
+    return rows.groupBy("__g").agg(*picked).select(F.col("__g").alias(group), *made)
 
 
 def rater_variance(df: DataFrame, item: str, rating: str) -> DataFrame:
@@ -104,10 +180,15 @@ def t_tail(t: float, dof: float) -> float:
     return front * _beta_fraction(a, b, x) / a if x < (a + 1) / (a + b + 2) else 1 - front * _beta_fraction(b, a, 1 - x) / b
 
 
-def paired_t_tests(df: DataFrame, group: str, value: str, seed: int = 123) -> DataFrame:
-    """(a, b, n, t, p) for all ordered pairs of groups, each cut to the smaller size by a seeded order and paired by place in it."""
-    order = Window.partitionBy("grp").orderBy(F.xxhash64(F.lit(seed), "value", "__id"), "__id")
-    rows = df.select(F.col(group).alias("grp"), F.col(value).alias("value"), F.monotonically_increasing_id().alias("__id")).where("value is not null").withColumn("rn", F.row_number().over(order))
+def paired_t_tests(df: DataFrame, group: str, value: str, key: str, seed: int = 123) -> DataFrame:
+    """(a, b, n, t, p) for all ordered pairs of groups, each cut to the smaller size by a seeded order of a key without repeats and paired by place in it.
+
+    Groups are few; rows are numbered by ranges of their order, not group by group in one task.
+    """
+    rows = df.where(F.col(value).isNotNull()).select(F.col(group).alias("grp"), F.col(value).alias("value"), seeded(seed, key).alias("o"), F.col(key).alias("id"))
+    placed = global_places(rows, [F.col("grp"), F.col("o"), F.col("id")], "at")
+    first = placed.groupBy(F.col("grp").alias("g")).agg(F.min("at").alias("first"))
+    rows = placed.join(F.broadcast(first), F.col("grp") == F.col("g")).select("grp", "value", (F.col("at") - F.col("first")).alias("rn"))
     left, right = rows.select(F.col("grp").alias("a"), "rn", F.col("value").alias("x")), rows.select(F.col("grp").alias("b"), "rn", F.col("value").alias("y"))
     d = F.col("x") - F.col("y")
     pairs = left.join(right, "rn").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("m"), F.stddev_samp(d).alias("s"))
@@ -123,8 +204,6 @@ def paired_t_tests(df: DataFrame, group: str, value: str, seed: int = 123) -> Da
 
 def _power(x, lam: float):
     """Yeo-Johnson."""
-    import numpy as np
-
     y = np.empty_like(x)
     up = x >= 0
     y[up] = np.log1p(x[up]) if abs(lam) < 1e-9 else ((x[up] + 1) ** lam - 1) / lam
@@ -132,34 +211,88 @@ def _power(x, lam: float):
     return y
 
 
-def _sigma_range(x: list[float], k: float) -> tuple[float, float] | None:
-    import numpy as np
-
-    v = np.sort(np.array(x, float))
-    n = len(v)
-    mid, share = (round(n / 2) if n % 2 else (n + 1) / 2), 0.34
+def _sigma_range(v: np.ndarray, n: np.ndarray, k: float) -> tuple[float, float] | None:
+    """The range of sorted distinct values v that occur n times each."""
+    ends = np.cumsum(n)
+    total = int(ends[-1])
+    value_at = lambda place: int(np.searchsorted(ends, place, "right"))
+    mid, share = (round(total / 2) if total % 2 else (total + 1) / 2), 0.34
     while True:
-        lo, hi = max(0, round(mid - share * mid)), min(n - 1, round(mid + share * mid) + 1)
-        part = v[lo : hi + 1]
-        if len(np.unique(part)) > 1 or share >= 1:
+        lo, hi = max(0, round(mid - share * mid)), min(total - 1, round(mid + share * mid) + 1)
+        a, b = value_at(lo), value_at(hi)
+        if b > a or share >= 1:
             break
         share += 0.025
-    if len(part) < 2 or part[0] == part[-1]:
+    if a == b:
         return None
-    grid = np.linspace(-2, 3, 101)
-    likely = lambda g: -len(part) / 2 * np.log(_power(part, g).var() + 1e-300) + (g - 1) * (np.sign(part) * np.log1p(np.abs(part))).sum()
-    z = _power(part, max(grid, key=likely))
-    z = (z - z.mean()) / (z.std() or 1)
-    kept = part[np.abs(z) <= k]
+    x, w = v[a : b + 1], n[a : b + 1].astype(float)
+    w[0], w[-1] = ends[a] - lo, hi + 1 - (ends[b] - n[b])
+    signs = (w * np.sign(x) * np.log1p(np.abs(x))).sum()
+
+    def likely(lam: float) -> float:
+        y = _power(x, lam)
+        return -w.sum() / 2 * np.log(np.average((y - np.average(y, weights=w)) ** 2, weights=w) + 1e-300) + (lam - 1) * signs
+
+    # The best of a grid, then golden sections around it.
+    grid = np.linspace(-2, 4, 61)
+    best = max(grid, key=likely)
+    left, right, golden = best - 0.1, best + 0.1, (5**0.5 - 1) / 2
+    for _ in range(40):
+        c, d = right - golden * (right - left), left + golden * (right - left)
+        left, right = (left, d) if likely(c) > likely(d) else (c, right)
+    y = _power(x, (left + right) / 2)
+    mean = np.average(y, weights=w)
+    z = (y - mean) / (np.sqrt(np.average((y - mean) ** 2, weights=w)) or 1)
+    kept = x[np.abs(z) <= k]
     return (float(kept.min()), float(kept.max())) if len(kept) else None
 
 
 def sigma_ranges(df: DataFrame, group: str, value: str, k: float = 1.0) -> DataFrame:
-    """(grp, low, high): the range of the central values within k sigmas after a power transform; one row for each distinct value and count goes to a group's task."""
+    """(grp, low, high): the range of the central values within k sigmas after a power transform; a group's task works on its distinct values and their counts."""
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("grp"), F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        found = _sigma_range([x for x, n in zip(pdf.v, pdf.n) for _ in range(int(n))], k)
+        pdf = pdf.sort_values("v")
+        found = _sigma_range(pdf.v.to_numpy(), pdf.n.to_numpy(), k)
         return pd.DataFrame([(key[0], round(found[0], 1), round(found[1], 1))] if found else [], columns=["grp", "low", "high"])
 
     return counts.groupBy("grp").applyInPandas(run, "grp string, low double, high double")
+
+
+def rater_table(df: DataFrame, item: str, rater: str, rating: str, raters: list[str]) -> DataFrame:
+    """One row for each item, one column for each rater with its mean rating."""
+    return df.groupBy(item).pivot(rater, raters).agg(F.avg(rating))
+
+
+def rater_crosstabs(df: DataFrame, item: str, rater: str, rating: str) -> DataFrame:
+    """(a, b, rating_a, rating_b, n): how two raters, a before b, rated the same items."""
+    one = df.select(item, F.col(rater).alias("a"), F.col(rating).alias("rating_a"))
+    two = df.select(item, F.col(rater).alias("b"), F.col(rating).alias("rating_b"))
+    return one.join(two, item).where("a < b").groupBy("a", "b", "rating_a", "rating_b").agg(F.count(F.lit(1)).alias("n"))
+
+
+def agreed_items(df: DataFrame, item: str, rating: str, below: float = 1.0) -> DataFrame:
+    """Items whose ratings vary by less than `below`."""
+    return df.groupBy(item).agg(F.var_samp(rating).alias("variance")).where(F.col("variance") < below)
+
+
+def list_stats(scores: Column) -> dict[str, Column]:
+    """Least, greatest and mean of a list; null without scores."""
+    total = F.aggregate(scores, F.lit(0.0), lambda s, x: s + x.cast("double"))
+    return {"least": F.array_min(scores), "greatest": F.array_max(scores), "mean": F.try_divide(total, F.size(scores))}
+
+
+def evaluate(df: DataFrame, predict, label: str, labels: list[int]) -> tuple[DataFrame, DataFrame]:
+    """(crosstab, agreement) of predict(df), a column, with a label column."""
+    rows = df.withColumn("__pred", predict(df))
+    return crosstab(rows, "__pred", label, labels), agreement(rows, F.col("__pred"), F.col(label))
+
+
+def latency(run, rows: list, clock=time.perf_counter) -> dict[str, float]:
+    """Mean, median, least and greatest milliseconds of run(row), one call for each row, on the driver."""
+    took = []
+    for r in rows:
+        began = clock()
+        run(r)
+        took.append((clock() - began) * 1000)
+    return {"mean": statistics.mean(took), "median": statistics.median(took), "min": min(took), "max": max(took)}

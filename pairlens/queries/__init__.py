@@ -1,6 +1,6 @@
 """Named queries over the driver's tables, each with the SQL that must give the same rows."""
 
-from . import joins, scores, statistics, strings
+from . import joins, matching, scores, statistics, strings
 
-QUERIES = {k: v for m in (scores, joins, statistics, strings) for k, v in m.QUERIES.items()}
-SQL = {k: v for m in (scores, joins, statistics, strings) for k, v in m.SQL.items()}
+QUERIES = {k: v for m in (scores, joins, statistics, strings, matching) for k, v in m.QUERIES.items()}
+SQL = {k: v for m in (scores, joins, statistics, strings, matching) for k, v in m.SQL.items()}

@@ -58,9 +58,10 @@ def semi_join(spark, d):
     return table(spark, d, "customer").join(o, F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@R.add("select c_custkey from customer where c_custkey not in (select o_custkey from orders)")
+@R.add("select c_custkey from customer where c_custkey not in (select o_custkey from orders where o_totalprice > 250000)")
 def anti_join(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    dear = table(spark, d, "orders").where("o_totalprice > 250000")
+    return table(spark, d, "customer").join(dear, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @R.add("select c.c_custkey, coalesce(o.n, 0) as n from customer c left join (select o_custkey, count(*) as n from orders group by 1) o on c.c_custkey = o.o_custkey")
@@ -117,13 +118,13 @@ def phrase_match(spark, d):
     return rel.longest_phrases(p, "p_partkey", "t", dictionary, "p", "v").select("p_partkey", F.array_join("values", "|").alias("phrases"))
 
 
-@R.add("""with m as (select n_nationkey as o, lower(substr(n_name, 1, 1)) as k, n_name as v from nation), l as (select k, min(o) as f, arg_max(v, o) as v from m group by 1),
-c as (select c_custkey, list_distinct([lower(substr(c_mktsegment, 1, 1)), lower(substr(c_mktsegment, 2, 1))]) as i from customer), x as (select c_custkey, unnest(i) as k from c)
-select c_custkey, array_to_string(list(l.v order by l.f), ',') as vals from x join l on x.k = l.k group by 1""")
+@R.add("""with m as (select p_partkey as o, lower(string_split(p_name, ' ')[1]) as k, p_type as v from part where p_partkey % 7 = 0), l as (select k, min(o) as f, arg_max(v, o) as v from m group by 1),
+x as (select p_partkey, unnest(list_distinct(string_split(lower(p_name), ' '))) as k from part)
+select p_partkey, array_to_string(list(l.v order by l.f), ',') as vals from x join l on x.k = l.k group by 1""")
 def map_file_order(spark, d):
-    m = table(spark, d, "nation").select(F.col("n_nationkey").alias("ordinal"), F.substring("n_name", 1, 1).alias("key"), F.col("n_name").alias("value"))
-    c = table(spark, d, "customer").select("c_custkey", F.array(F.substring("c_mktsegment", 1, 1), F.substring("c_mktsegment", 2, 1)).alias("i"))
-    return rel.map_in_file_order(c, "c_custkey", "i", m).select("c_custkey", F.array_join("values", ",").alias("vals"))
+    p = table(spark, d, "part")
+    m = p.where("p_partkey % 7 = 0").select(F.col("p_partkey").alias("ordinal"), F.get(F.split("p_name", " "), F.lit(0)).alias("key"), F.col("p_type").alias("value"))
+    return rel.map_in_file_order(p.select("p_partkey", F.split("p_name", " ").alias("i")), "p_partkey", "i", m).select("p_partkey", F.array_join("values", ",").alias("vals"))
 
 
 @R.add("select p_brand, min(p_partkey) as p_partkey from part group by 1")
@@ -131,9 +132,9 @@ def keep_first(spark, d):
     return rel.keep_first(table(spark, d, "part").select("p_brand", "p_partkey"), ["p_brand"], [F.col("p_partkey")])
 
 
-@R.add("select c_custkey, c_nationkey, c_mktsegment from customer where (c_nationkey, c_mktsegment) in (select c_nationkey, c_mktsegment from customer group by 1, 2 having count(*) = 1)")
+@R.add("select o_orderkey, o_custkey, o_orderpriority from orders where (o_custkey, o_orderpriority) in (select o_custkey, o_orderpriority from orders group by 1, 2 having count(*) = 1)")
 def drop_repeated(spark, d):
-    return rel.drop_repeated(table(spark, d, "customer").select("c_custkey", "c_nationkey", "c_mktsegment"), ["c_nationkey", "c_mktsegment"])
+    return rel.drop_repeated(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), ["o_custkey", "o_orderpriority"])
 
 
 @R.add("select event_type, user_id % 3 as k, (dense_rank() over (order by event_type, user_id % 3) - 1) % 4 as split, count(*) as n from events group by 1, 2")
@@ -184,8 +185,87 @@ def json_export(spark, d):
     return table(spark, d, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"), F.to_json(F.struct(F.col("user_id").alias("user"), F.col("event_type").alias("kind"))).alias("doc"))
 
 
-@R.add()
+@R.add("select event_id, array_to_string(list_filter(string_split(replace(replace(t.fullkey, '$', ''), '\"', ''), '.'), lambda x: x <> ''), '/') as path, case when t.type = 'OBJECT' then 'object' when t.type = 'ARRAY' then 'list' else 'value' end as kind, case when t.type in ('OBJECT', 'ARRAY') then null else t.atom ->> '$' end as value from events, json_tree(props::json) t")
 def json_walk(spark, d):
     from ..functions.walk import walk
 
     return walk(table(spark, d, "events").select("event_id", "props"), "event_id", "props")
+
+
+@R.add("select c_custkey, upper(c_name) as c_name, length(c_mktsegment)::int as n, concat(c_name, '/', c_mktsegment) as both, lower(c_mktsegment) as low, upper(c_mktsegment) as up from customer")
+def keyed_maps(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
+    c = rel.keyed_map(c, lambda a, b: F.concat_ws("/", a, b), {("c_name", "c_mktsegment"): "both"})
+    c = rel.keyed_map(rel.keyed_map(c, F.length, {"c_mktsegment": "n"}), lambda x: (F.lower(x), F.upper(x)), {"c_mktsegment": ("low", "up")})
+    return rel.keyed_map(c, F.upper, ["c_name"]).select("c_custkey", "c_name", "n", "both", "low", "up")
+
+
+@R.add("select n_nationkey, lower(n_name) as names__low, reverse(n_name) as names__back, n_regionkey * 2 as numbers__twice from nation")
+def side_by_side(spark, d):
+    return rel.branches(table(spark, d, "nation"), {"names": {"low": F.lower("n_name"), "back": F.reverse("n_name")}, "numbers": {"twice": F.col("n_regionkey") * 2}}, ["n_nationkey"])
+
+
+@R.add("select lower(n_name) as text__n_name, n_regionkey + 1 as number__n_regionkey, n_nationkey from nation")
+def column_branches(spark, d):
+    from ..plans import by_columns
+
+    parts = [("text", lambda x: x.withColumn("n_name", F.lower("n_name")), ["n_name"]), ("number", lambda x: x.withColumn("n_regionkey", F.col("n_regionkey") + 1), ["n_regionkey"])]
+    return by_columns(table(spark, d, "nation").select("n_nationkey", "n_name", "n_regionkey"), parts, "passthrough")
+
+
+@R.add("select n_nationkey, upper(trim(n_name)) as left__name, length(trim(n_name)) as right__name from nation")
+def joined_pipelines(spark, d):
+    from ..plans import Pipeline, left_join
+
+    trim = ("trim", lambda x: x.withColumn("name", F.trim("name")))
+    a = Pipeline([trim, ("up", lambda x: x.withColumn("name", F.upper("name")))])
+    b = Pipeline([trim, ("n", lambda x: x.withColumn("name", F.length("name").cast("long")))])
+    return left_join(a, b, ["n_nationkey"], on="trim")(table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("name")))
+
+
+@R.add("select n_nationkey, to_json({'low': {'name': lower(n_name)}, 'n': {'name': lower(n_name), 'n': length(n_name)}})::varchar as detail from nation")
+def detailed_stages(spark, d):
+    from ..plans import Pipeline
+
+    p = Pipeline([("low", lambda x: x.withColumn("name", F.lower("name"))), ("n", lambda x: x.withColumn("n", F.length("name")))])
+    return p.detailed(table(spark, d, "nation").select("n_nationkey", F.col("n_name").alias("name")), ["n_nationkey"])
+
+
+@R.add("select o_orderkey from orders order by md5('5:' || o_orderkey), o_orderkey limit 44")
+def sample_for_pairs(spark, d):
+    return rel.sample_for_pairs(table(spark, d, "orders").select("o_orderkey"), 1000, ["o_orderkey"], 5)
+
+
+@R.add("with v as (select n_nationkey, concat(n_regionkey, '.', n_nationkey % 3, '.', n_nationkey) as v from nation union all select 99, '1.x.2'), s as (select v, string_split(v, '.') as p from v where regexp_full_match(v, '[0-9]+[.][0-9]+[.][0-9]+')) select v as version, row_number() over (order by p[3]::int desc, p[2]::int desc, p[1]::int desc) as place from s")
+def sorted_versions(spark, d):
+    v = table(spark, d, "nation").select(F.concat_ws(".", "n_regionkey", F.col("n_nationkey") % 3, "n_nationkey").alias("version"))
+    v = v.union(spark.createDataFrame([("1.x.2",)], "version string"))
+    # Versions are a few dozen.
+    gathered = rel.sort_versions(v, "version").coalesce(1).withColumn("place", F.monotonically_increasing_id() + 1)
+    return gathered.select("version", "place")
+
+
+@R.add("select event_id, case when (props::json ->> 'k') is null then '' else props::json ->> 'k' end as first, coalesce(props::json ->> 'k', '-1') as joined from events")
+def json_find(spark, d):
+    from ..functions import nested
+
+    e = table(spark, d, "events")
+    return e.select("event_id", nested.first_value(F.col("props"), "k").alias("first"), nested.joined_values(F.col("props"), "k").alias("joined"))
+
+
+@R.add("""with o as (select o_custkey, min(o_orderkey % 9000) as s, max(o_orderkey % 9000 + o_orderkey % 400) as e from orders group by 1) select o_custkey, round(greatest(-1, least(25, (e - s) / 365.0)), 6) as years from o""")
+def overall_experience(spark, d):
+    from ..functions import nested
+
+    spans = F.struct((F.col("o_orderkey") % 9000).cast("string").alias("@start"), (F.col("o_orderkey") % 9000 + F.col("o_orderkey") % 400).cast("string").alias("@end"))
+    docs = table(spark, d, "orders").groupBy("o_custkey").agg(F.to_json(F.struct(F.struct(F.collect_list(spans).alias("experience")).alias("resume"))).alias("doc"))
+    return docs.select("o_custkey", F.round(nested.overall_experience(F.col("doc"), 740_000), 6).alias("years"))
+
+
+@R.add("select n_nationkey, unnest([0, 1, 1])::int as depth, unnest(['nation', 'name', 'region']) as tag, unnest(['{}', '{}', '{\"key\": \"' || n_regionkey || '\"}']) as attributes, unnest(['', n_name, '']) as text from nation")
+def xml_rows(spark, d):
+    from ..functions import nested
+
+    n = table(spark, d, "nation")
+    doc = F.concat(F.lit("<nation><name>"), "n_name", F.lit('</name><region key="'), F.col("n_regionkey").cast("string"), F.lit('"/></nation>'))
+    return n.select("n_nationkey", F.explode(nested.xml_nodes(doc)).alias("x")).select("n_nationkey", "x.*")

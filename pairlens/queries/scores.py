@@ -65,18 +65,28 @@ def nearest5(spark, d):
     return e.crossJoin(q).select("vec_id", F.round(S.euclidean(F.col("embedding"), F.col("q")), 4).alias("distance")).orderBy("distance", "vec_id").limit(5)
 
 
-_KNOTS = 101
+def _place_sql(source: str, key: str, value: str) -> str:
+    """Common table expressions ending in placed(key, v, q): the value's place among min(1000, n) percentiles, with the middle of equal knots."""
+    return f"""src as (select {key} as k, ({value})::double as v from {source}), sorted as (select list_sort(list(v)) as s, count(v) as n, least(1000, count(v)) as m from src),
+knots as (select m, [s[((i * (n - 1)) // (m - 1))::int + 1] + (s[least(n, (i * (n - 1)) // (m - 1) + 2)::int] - s[((i * (n - 1)) // (m - 1))::int + 1]) * ((i * (n - 1)) % (m - 1)) / (m - 1)::double for i in range(m)] as x from sorted),
+ks as (select unnest(x) as x, generate_subscripts(x, 1) - 1 as i, m from knots), vs as (select distinct v from src),
+lo as (select vs.v, max(i) as f, arg_max(x, i) as fx, any_value(m) as m from vs join ks on ks.x <= vs.v group by 1), hi as (select vs.v, min(i) as g, arg_min(x, i) as gx from vs join ks on ks.x >= vs.v group by 1),
+ends as (select min(x) as least_x, max(x) as most_x from ks),
+placed as (select k, src.v, case when src.v <= least_x then 0.0 when src.v >= most_x then 1.0 when fx = gx then (f + g) / 2.0 / (m - 1) else (f + (src.v - fx) / (gx - fx)) / (m - 1) end as q from src join lo on lo.v = src.v join hi on hi.v = src.v, ends)"""
 
 
-@R.add(f"""with k as (select quantile_cont(c_acctbal, [i / {_KNOTS - 1}.0 for i in range({_KNOTS})]) as k from customer),
-q as (select c_custkey, len(list_filter(k, lambda x: x <= c_acctbal)) as b, c_acctbal as v, k from customer, k),
-r as (select c_custkey, case when b >= {_KNOTS} then 1.0 when b = 0 then 0.0 else (b - 1 + (v - k[b]) / (k[b + 1] - k[b])) / {_KNOTS - 1}.0 end as q from q)
-select c_custkey, round(q, 6) as q, 1 + (q >= .1)::int + (q >= .3)::int + (q >= .7)::int + (q >= .9)::int as class from r""")
+@R.add(f"with {_place_sql('customer', 'c_custkey', 'c_acctbal')} select k as c_custkey, round(q, 6) as q, 1 + (q >= .1)::int + (q >= .3)::int + (q >= .7)::int + (q >= .9)::int as class from placed")
 def quantile_class(spark, d):
-    out = stats.quantile_map(table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").cast("double").alias("v")), "v", "q", _KNOTS)
+    out = stats.quantile_map(table(spark, d, "customer").select("c_custkey", F.col("c_acctbal").cast("double").alias("v")), "v", "q")
     return out.select("c_custkey", F.round("q", 6).alias("q"), S.quantile_class(F.col("q"), F.lit(1.0)).alias("class"))
 
 
+@R.add(f"with {_place_sql('lineitem', 'concat(l_orderkey, chr(45), l_linenumber)', 'l_quantity')} select v as quantity, round(avg(q), 6) as q, count(*) as n from placed group by 1")
+def quantile_ties(spark, d):
+    out = stats.quantile_map(table(spark, d, "lineitem").select(F.col("l_quantity").cast("double").alias("quantity")), "quantity", "q")
+    return out.groupBy("quantity").agg(F.round(F.avg("q"), 6).alias("q"), F.count(F.lit(1)).alias("n"))
+
+
 @R.add("""with x as (select o_custkey, count(*) as n, sum(o_totalprice) as t from orders group by 1), y as (select o_custkey, least(1.0, n / 20.0) as q1, least(1.0, t / 5e6) as q2, 0.5 as c1, least(1.0, n / 30.0) as c2 from x),
 w as (select *, sqrt(greatest(c1, 1e-5) * 0.25) as w1, sqrt(greatest(c2, 1e-5) * 0.75) as w2 from y)
 select o_custkey, round((w1 * q1 + w2 * q2) / greatest(w1 + w2, 1e-5), 6) as score, round((greatest(c1, 1e-5) + greatest(c2, 1e-5)) / 2, 6) as confidence from w""")
@@ -87,15 +97,36 @@ def composite_score(spark, d):
     return x.select("o_custkey", F.round(score, 6).alias("score"), F.round(confidence, 6).alias("confidence"))
 
 
-@R.add("""with g as (select i / 20.0 as a, 1 - i / 20.0 as b from range(21) t(i)), x as (select quality, toxic, doc_id % 7 / 7.0 as q from labels),
-p as (select a, b, quality, case when a * toxic + b * q >= .5 then 1 else 0 end as p from x, g)
-select round(a, 2) as a, round(avg(case abs(p - quality) when 0 then 1.0 when 1 then exp(-.5) else 0.0 end), 6) as gauss from p group by 1""")
+_COMPOSITE_SQL = """(select o_custkey, (w1 * q1 + w2 * q2) / greatest(w1 + w2, 1e-5) as score from (select *, sqrt(greatest(c1, 1e-5) * 0.25) as w1, sqrt(greatest(c2, 1e-5) * 0.75) as w2
+from (select o_custkey, least(1.0, n / 20.0) as q1, least(1.0, t / 5e6) as q2, 0.5 as c1, least(1.0, n / 30.0) as c2 from (select o_custkey, count(*) as n, sum(o_totalprice) as t from orders group by 1))))"""
+
+
+@R.add(f"with {_place_sql(_COMPOSITE_SQL, 'o_custkey', 'round(score, 6)')} select k as o_custkey, round(q, 4) as qtile from placed")
+def composite_quantile(spark, d):
+    return stats.quantile_map(composite_score(spark, d), "score", "q").select("o_custkey", F.round("q", 4).alias("qtile"))
+
+
+@R.add("""with g as (select i / 20.0 as a, j / 20.0 as b, (20 - i - j) / 20.0 as c from range(21) t(i), range(21) u(j) where i + j <= 20), x as (select quality, toxic, doc_id % 7 / 7.0 as q, doc_id % 3 / 2.0 as r from labels),
+w as (select a, b, c, sqrt(a) as wa, sqrt(0.5 * b) as wb, sqrt(0.25 * c) as wc from g), p as (select a, b, c, quality, case when a = 1 then toxic when b = 1 then q when c = 1 then r else (wa * toxic + wb * q + wc * r) / (wa + wb + wc) end as s from x, w),
+k as (select a, b, c, avg(case abs((round(s, 9) >= .5)::int - quality) when 0 then 1.0 when 1 then exp(-.5) else 0.0 end) as gauss from p group by 1, 2, 3)
+select round(a, 2) as a, round(b, 2) as b, round(c, 2) as c, round(gauss, 6) as gauss, round(gauss, 6) = (select max(round(gauss, 6)) from k) as best from k""")
 def importance_grid(spark, d):
-    grid = spark.range(21).select((F.col("id") / 20.0).alias("a"))
-    rows = table(spark, d, "labels").select("quality", "toxic", (F.col("doc_id") % 7 / 7.0).alias("q")).crossJoin(F.broadcast(grid))
-    p = F.when(F.col("a") * F.col("toxic") + (1 - F.col("a")) * F.col("q") >= 0.5, 1).otherwise(0)
-    diff = F.abs(p - F.col("quality"))
-    return rows.groupBy(F.round("a", 2).alias("a")).agg(F.round(F.avg(F.when(diff == 0, 1.0).when(diff == 1, F.exp(F.lit(-0.5))).otherwise(0.0)), 6).alias("gauss"))
+    rows = table(spark, d, "labels").select("quality", F.col("toxic").cast("double").alias("t"), (F.col("doc_id") % 7 / 7.0).alias("q"), (F.col("doc_id") % 3 / 2.0).alias("r"))
+    # One pass: the grid is a list of 231 settings, each a column's worth of sums.
+    grid = S.importance_grid(3)
+
+    def gauss(w: tuple):
+        one = next((c for c, x in zip("tqr", w) if x == 1), None)
+        diff = F.abs((F.round(F.col(one) if one else _weighted(w), 9) >= 0.5).cast("int") - F.col("quality"))
+        return F.avg(F.when(diff == 0, 1.0).when(diff == 1, F.exp(F.lit(-0.5))).otherwise(0.0))
+
+    def _weighted(w: tuple):
+        parts = [(F.sqrt(F.lit(c * i)), F.col(n)) for c, i, n in zip((1.0, 0.5, 0.25), w, "tqr")]
+        return sum((a * b for a, b in parts[1:]), parts[0][0] * parts[0][1]) / sum((a for a, _ in parts[1:]), parts[0][0])
+
+    sums = rows.agg(F.array(*(F.struct(*(F.lit(x).alias(n) for x, n in zip(w, "abc")), F.round(gauss(w), 6).alias("gauss")) for w in grid)).alias("g"))
+    best = F.array_max(F.transform("g", lambda x: x["gauss"]))
+    return sums.select(F.explode("g").alias("x"), best.alias("top")).select(*(F.round(f"x.{n}", 2).alias(n) for n in "abc"), "x.gauss", (F.col("x.gauss") == F.col("top")).alias("best"))
 
 
 _TFIDF = f"""with d as (select item_id as id, {_SQL_WORDS} as w from benchmark), n as (select count(*) as n from d),
@@ -129,13 +160,10 @@ s as (select role, w, sum(1.0 / len) as s from (select role, unnest(w) as w, len
 select role, word, round(average, 6) as average, round((rank() over (partition by role order by average) - 1) * 100.0 / count(*) over (partition by role), 6) as percentile from a""")
 def word_avg_percentile(spark, d):
     c = table(spark, d, "conversations").select("role", _words().alias("w"))
-    n = c.groupBy("role").agg(F.count(F.lit(1)).alias("n"))
-    s = c.select("role", F.explode("w").alias("word"), F.size("w").alias("len")).groupBy("role", "word").agg(F.sum(1.0 / F.col("len")).alias("s"))
-    from pyspark.sql import Window
-
-    a = s.join(n, "role").select("role", "word", F.round(F.col("s") / F.col("n"), 9).alias("average"))
-    w = Window.partitionBy("role")
-    return a.select("role", "word", F.round("average", 6).alias("average"), F.round((F.rank().over(w.orderBy("average")) - 1) * 100.0 / F.count(F.lit(1)).over(w), 6).alias("percentile"))
+    # A word's score in a row is its share of the row's words.
+    shares = F.map_from_entries(F.transform(F.array_distinct("w"), lambda x: F.struct(x, F.size(F.filter("w", lambda y: y == x)) / F.size("w"))))
+    out = scoring.average_word_scores(c.select("role", shares.alias("scores")), "role", "scores")
+    return out.select("role", "word", F.round("average", 6).alias("average"), F.round("percentile", 6).alias("percentile"))
 
 
 @R.add("""with u as (select user_id, list_distinct(list(event_type)) as s from events group by 1), r as (select list_distinct(list(event_type)) as j from events where event_id % 2 = 0)
@@ -166,45 +194,137 @@ QUERIES["generation_decay"], SQL["generation_decay"] = _generation(True), _gener
 QUERIES["generation_decay_strict"], SQL["generation_decay_strict"] = _generation(False), _generation_sql("0.0")
 
 
-@R.add()
+_ASSIGNED = """with o as (select o_custkey as k, o_totalprice::double / 1e5 as x, ((o_orderkey * 7919) % 1000) / 200.0 as y from orders),
+a as (select k, x, row_number() over (partition by k order by x) as r from o), b as (select k, y, row_number() over (partition by k order by y) as r from o)
+"""
+
+
+def _order_pairs(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("id"), (F.col("o_totalprice").cast("double") / 1e5).alias("x"), ((F.col("o_orderkey") * 7919) % 1000 / 200.0).alias("y"))
+    a, b = o.select("k", F.col("id").alias("a"), "x"), o.select("k", F.col("id").alias("b"), "y")
+    return a.join(b, "k").select("k", "a", "b", (-((F.col("x") - F.col("y")) ** 2)).alias("s"))
+
+
+@R.add(_ASSIGNED + "select a.k, count(*) as n, round(sum(-(x - y) * (x - y)), 4) as total from a join b on a.k = b.k and a.r = b.r group by 1")
 def assign_optimal(spark, d):
-    e = table(spark, d, "embeddings").where("label is not null")
-    a = e.where("vec_id % 40 = 0").select("label", F.col("vec_id").alias("a"), F.col("embedding").alias("x"))
-    b = e.where("vec_id % 40 = 1").select("label", F.col("vec_id").alias("b"), F.col("embedding").alias("y"))
-    return scoring.optimal_assignment(a.join(b, "label").select("label", "a", "b", S.cosine(F.col("x"), F.col("y")).alias("s")), "label", "a", "b", "s")
+    """The least sum of squares between two lists is that of both in order, which is what the SQL adds up."""
+    best = scoring.optimal_assignment(_order_pairs(spark, d), "k", "a", "b", "s")
+    return best.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("s"), 4).alias("total"))
+
+
+@R.add("select c.c_custkey, round(coalesce(quantile_cont(o.o_totalprice::double, .8), 0.0), 4) as score from customer c left join orders o on o.o_custkey = c.c_custkey group by 1")
+def assigned_quantile(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").cast("double").alias("s"))
+    return scoring.assigned_quantile(table(spark, d, "customer"), "c_custkey", o, "s", 0.8).select("c_custkey", F.round("score", 4).alias("score"))
+
+
+@R.add(f"""with c as (select conv_id, turn, {_SQL_WORDS} as w from conversations), p as (select a.conv_id || '-' || a.turn as id, b.w as r from c a join c b on a.conv_id = b.conv_id and a.turn + 1 = b.turn where a.turn % 2 = 0),
+x as (select id, row_number() over (order by id) as n from p), y as (select r, row_number() over (order by md5('1:' || id), id) as n from p) select x.id, md5(array_to_string(y.r, ' ')) as dealt from x join y on x.n = y.n""")
+def shuffled_right(spark, d):
+    out = scoring.shuffled_right(_turns(spark, d).select("id", "r"), "id", "r", 1)
+    return out.select("id", F.md5(F.array_join("r", " ").cast("binary")).alias("dealt"))
+
+
+@R.add("select vec_id from (select vec_id from embeddings order by md5('13:' || vec_id), vec_id limit 10)")
+def random_sample(spark, d):
+    return scoring.random_right(table(spark, d, "embeddings"), "vec_id", "vec_id", 10)
+
+
+@R.add("""with s as (select embedding::double[] as r from embeddings order by md5('8:' || vec_id), vec_id limit 5)
+select vec_id, round(max(list_dot_product(e.embedding::double[], r) / sqrt(list_dot_product(e.embedding::double[], e.embedding::double[])) / sqrt(list_dot_product(r, r))), 6) as best from embeddings e, s group by 1""")
+def sampled_cosines(spark, d):
+    e = table(spark, d, "embeddings")
+    out = scoring.left_by_sample(e, "vec_id", "embedding", scoring.random_right(e, "vec_id", "embedding", 5), "embedding")
+    return out.select("vec_id", F.round(F.array_max("scores"), 6).alias("best"))
 
 
 @R.add()
 def shuffle_confidence(spark, d):
     t = _turns(spark, d)
-    right = scoring.shuffled_right(t.select("id", "r"), "id", "r", 1)
     actual = scoring.left_overlap(t, "id", "l", "r")
-    null = scoring.left_overlap(t.select("id", "l").join(right, "id"), "id", "l", "r")
-    bucket = lambda x: x.select((F.floor(F.col("n_elem") / 50)).cast("long").alias("n_elem"), "score")
-    return scoring.bucket_confidence(bucket(actual), bucket(null), least=20)
+    null = scoring.permutations(t, "id", "l", "r", 2)
+    sizes = lambda x: x.select("id", "score", F.ceil(F.col("n_elem") / 50).cast("long").alias("n_elem"))
+    fits = scoring.overlap_confidence(sizes(actual), sizes(null), least=20)
+    return scoring.bucket_confidence(sizes(actual), "id", fits).select("id", F.round("confidence", 6).alias("confidence"))
+
+
+@R.add(f"""with d as (select doc_id, {_SQL_WORDS} as w from documents), n as (select count(*) as n from d), tf as (select doc_id, t, count(*) as tf from (select doc_id, unnest(w) as t from d) group by 1, 2),
+df as (select t, count(*) as df from tf group by 1), w as (select doc_id, tf.t, tf * log2(n / df::double) as w from tf join df on tf.t = df.t, n where df < n), z as (select doc_id, sqrt(sum(w * w)) as z from w group by 1)
+select w.doc_id, round(sum(w.w / z), 5) as total, count(*) as terms from w join z on w.doc_id = z.doc_id group by 1""")
+def tfidf_log2(spark, d):
+    out = scoring.tf_idf_log2(table(spark, d, "documents").select("doc_id", _words().alias("w")), "doc_id", "w")
+    return out.groupBy("doc_id").agg(F.round(F.sum("weight"), 5).alias("total"), F.count(F.lit(1)).alias("terms"))
+
+
+@R.add(f"""with d as (select doc_id, {_SQL_WORDS} as w from documents), k as (select t from (select doc_id, unnest(list_distinct(w)) as t from d) group by 1 having count(*) >= 20 and count(*) <= 0.4 * (select count(*) from d))
+select doc_id, t as term, count(*) as n from (select doc_id, unnest(w) as t from d) semi join k using (t) group by 1, 2""")
+def bag_of_words(spark, d):
+    docs = table(spark, d, "documents").select("doc_id", _words().alias("w"))
+    return scoring.bag_of_words(docs, "doc_id", "w", scoring.prune_dictionary(docs, "doc_id", "w"))
+
+
+@R.add()
+def phrase_texts(spark, d):
+    return scoring.with_phrases(table(spark, d, "benchmark").select("item_id", _words().alias("w")), "item_id", "w", 3)
+
+
+@R.add("""with e as (select event_id, (event_id % 4)::int as t1, (event_id % 7)::int as t2, event_type as w, value from events), tp as (select event_id, unnest([t1, t2 + 4]) as topic, unnest([1.25, 0.5]) as p from e),
+phi as (select (event_id % 11)::int as topic, event_type as word, avg(value) / 10 as weight from events group by 1, 2), sh as (select topic, word, round(case when weight > 1 then weight - floor(weight) else weight end, 7) as weight from phi)
+select event_id, word, round(arg_max(case when p > 1 then p - floor(p) else p end * weight, topic), 6) as score from tp join sh using (topic) group by 1, 2""")
+def topic_scores(spark, d):
+    e = table(spark, d, "events")
+    topics = e.select("event_id", F.explode(F.array(F.struct((F.col("event_id") % 4).cast("int").alias("topic"), F.lit(1.25).alias("p")), F.struct((F.col("event_id") % 7 + 4).cast("int").alias("topic"), F.lit(0.5).alias("p")))).alias("x")).select("event_id", "x.topic", "x.p")
+    phi = e.groupBy((F.col("event_id") % 11).cast("int").alias("topic"), F.col("event_type").alias("word")).agg((F.avg("value") / 10).alias("weight"))
+    return scoring.topic_word_scores(topics, phi, "event_id").select("event_id", "word", F.round("score", 6).alias("score"))
+
+
+@R.add("select event_id, round((value / 100) * 0.25 / nullif(value / 50, 0), 6) as p, (value > 50)::int + (event_id % 2 = 0)::int + (event_id % 3 = 0)::int + (user_id % 2 = 0)::int + (user_id % 5 = 0)::int >= 3 as vote from events")
+def bayes_and_votes(spark, d):
+    e, v = table(spark, d, "events"), F.col("value")
+    flags = (v > 50, F.col("event_id") % 2 == 0, F.col("event_id") % 3 == 0, F.col("user_id") % 2 == 0, F.col("user_id") % 5 == 0)
+    return e.select("event_id", F.round(S.bayes(v / 100, F.lit(0.25), v / 50), 6).alias("p"), S.votes(*flags).alias("vote"))
+
+
+@R.add("with v as (select vec_id, [list_dot_product(embedding::double[], embedding::double[]) / 64, vec_id % 11 / 10.0, vec_id % 6 / 5.0] as s from embeddings) select vec_id, round(list_min(s), 6) as least, round(list_max(s), 6) as greatest, round(list_avg(s), 6) as mean, case when s[3] >= 0 and s[3] < .2 then 1 when s[3] > .2 and s[3] < .4 then 2 when s[3] > .4 and s[3] < .6 then 3 when s[3] > .6 and s[3] < .8 then 4 else 5 end as fifth from v")
+def score_lists(spark, d):
+    x = F.col("embedding").cast("array<double>")
+    e = table(spark, d, "embeddings").select("vec_id", F.array(S.dot(x, x) / 64, F.col("vec_id") % 11 / 10.0, F.col("vec_id") % 6 / 5.0).alias("s"))
+    return e.select("vec_id", *(F.round(c, 6).alias(n) for n, c in stats.list_stats(F.col("s")).items()), S.threshold_bucket(F.get("s", F.lit(2))).alias("fifth"))
 
 
 @R.add()
 def w2v_similarity(spark, d):
     from pyspark.ml.feature import Word2Vec
-
-    b = table(spark, d, "benchmark").select("item_id", _words().alias("w"))
-    model = Word2Vec(vectorSize=16, windowSize=25, minCount=1, seed=7, maxIter=1, inputCol="w", outputCol="v").fit(b)
-    # The pairs of one document's neighbouring words, scored by their vectors.
     from pyspark.ml.functions import vector_to_array
 
+    b = table(spark, d, "benchmark").select("item_id", _words().alias("w"))
+    model = Word2Vec(vectorSize=500, windowSize=25, minCount=1, stepSize=0.01, seed=7, inputCol="w", outputCol="v").fit(b)
     v = model.getVectors().select("word", vector_to_array("vector").alias("v"))
-    pairs = b.select(F.get("w", F.lit(0)).alias("a"), F.get("w", F.lit(1)).alias("b")).distinct()
+    # All pairs of neighbouring words, 0 where one has no vector.
+    at = F.transform(F.sequence(F.lit(1), F.size("w") - 1), lambda i: F.struct(F.get("w", i - 1).alias("a"), F.get("w", i).alias("b")))
+    pairs = b.where("size(w) > 1").select(F.explode(at).alias("p")).select("p.a", "p.b").distinct()
     left, right = v.select(F.col("word").alias("a"), F.col("v").alias("x")), v.select(F.col("word").alias("b"), F.col("v").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", S.cosine(F.col("x"), F.col("y")).alias("score"))
+    return pairs.join(left, "a", "left").join(right, "b", "left").select("a", "b", F.coalesce(S.cosine(F.col("x"), F.col("y")), F.lit(0.0)).alias("score"))
 
 
-@R.add()
-def lda_topics(spark, d):
+def _topics(spark, d, k: int = 22):
     from pyspark.ml.clustering import LDA
     from pyspark.ml.feature import CountVectorizer
 
     b = table(spark, d, "benchmark").select("item_id", _words().alias("w"))
     cv = CountVectorizer(inputCol="w", outputCol="features", minDF=2.0).fit(b)
-    lda = LDA(k=4, maxIter=3, seed=100).fit(cv.transform(b))
-    return lda.describeTopics(5).select("topic", F.size("termIndices").alias("n_terms"))
+    lda = LDA(k=k, maxIter=20, seed=100).fit(cv.transform(b))
+    vocabulary = F.array(*map(F.lit, cv.vocabulary))
+    rows = lda.describeTopics(10).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("rank", "x"))
+    return b, rows.select("topic", "rank", F.get(vocabulary, F.col("x.termIndices")).alias("term"), F.col("x.termWeights").alias("weight"))
+
+
+@R.add()
+def lda_topics(spark, d):
+    return _topics(spark, d)[1]
+
+
+@R.add()
+def topic_coherence(spark, d):
+    b, topics = _topics(spark, d)
+    return scoring.coherence(b, "w", topics.select("topic", "term"))

@@ -56,8 +56,8 @@ def hist_cdf_distance(spark, d):
 
 @R.add("select event_type, round(quantile_cont(value, .25), 6) as q1, round(quantile_cont(value, .5), 6) as med, round(quantile_cont(value, .75), 6) as q3 from events group by 1")
 def iqr_by_group(spark, d):
-    q = lambda p, n: F.round(F.percentile("value", F.lit(p)), 6).alias(n)
-    return table(spark, d, "events").groupBy("event_type").agg(q(0.25, "q1"), q(0.5, "med"), q(0.75, "q3"))
+    out = stats.group_quantiles(table(spark, d, "events"), "event_type", "value", [0.25, 0.5, 0.75])
+    return out.select("event_type", *(F.round(f"q_{k}", 6).alias(n) for k, n in enumerate(("q1", "med", "q3"))))
 
 
 @R.add("select round(corr(l_quantity, l_extendedprice), 6) as quantity_price, round(corr(l_quantity, l_discount), 6) as quantity_discount, round(corr(l_extendedprice, l_tax), 6) as price_tax from lineitem")
@@ -113,9 +113,50 @@ def group_mean(spark, d):
     return table(spark, d, "lineitem").where("l_shipdate <= date '1998-09-02'").groupBy("l_returnflag", "l_linestatus").agg(F.sum(F.col("l_quantity").cast("double")).alias("sum_qty"), F.round(F.avg("l_extendedprice"), 4).alias("avg_price"), F.count(F.lit(1)).alias("n"))
 
 
-@R.add()
+@R.add("""with r as (select event_type as g, value as v, row_number() over (partition by event_type order by md5('123:' || event_id), event_id) as n from events where value is not null)
+select x.g as a, y.g as b, count(*) as n, round(avg(x.v - y.v) / (stddev_samp(x.v - y.v) / sqrt(count(*))), 6) as t from r x join r y on x.n = y.n and x.g <> y.g group by 1, 2""")
 def t_tests(spark, d):
-    return stats.paired_t_tests(table(spark, d, "events"), "event_type", "value")
+    return stats.paired_t_tests(table(spark, d, "events"), "event_type", "value", "event_id").select("a", "b", "n", F.round("t", 6).alias("t"))
+
+
+@R.add()
+def t_test_tails(spark, d):
+    return stats.paired_t_tests(table(spark, d, "events"), "event_type", "value", "event_id").select("a", "b", "p")
+
+
+@R.add("select user_id, round(avg(value) filter (where event_type = 'click'), 6) as click, round(avg(value) filter (where event_type = 'view'), 6) as view from events group by 1")
+def rater_table(spark, d):
+    out = stats.rater_table(table(spark, d, "events"), "user_id", "event_type", "value", ["click", "view"])
+    return out.select("user_id", F.round("click", 6).alias("click"), F.round("view", 6).alias("view"))
+
+
+@R.add("with r as (select distinct l_orderkey as k, l_returnflag as f, (max(l_quantity) over (partition by l_orderkey, l_returnflag))::int // 10 as q from lineitem) select x.f as a, y.f as b, x.q as rating_a, y.q as rating_b, count(*) as n from r x join r y on x.k = y.k and x.f < y.f group by 1, 2, 3, 4")
+def rater_crosstabs(spark, d):
+    r = table(spark, d, "lineitem").groupBy("l_orderkey", "l_returnflag").agg(F.floor(F.max("l_quantity").cast("int") / 10).cast("int").alias("q"))
+    return stats.rater_crosstabs(r, "l_orderkey", "l_returnflag", "q")
+
+
+@R.add("select l_orderkey, round(var_samp(l_linenumber), 6) as variance from lineitem group by 1 having var_samp(l_linenumber) < 1")
+def agreed_items(spark, d):
+    return stats.agreed_items(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber").select("l_orderkey", F.round("variance", 6).alias("variance"))
+
+
+_EVALUATED = "with x as (select l_linenumber as label, least(7, greatest(1, l_quantity::int % 9)) as pred from lineitem)"
+
+
+def _evaluated(spark, d):
+    predict = lambda df: F.least(F.lit(7), F.greatest(F.lit(1), F.col("l_quantity").cast("int") % 9))
+    return stats.evaluate(table(spark, d, "lineitem"), predict, "l_linenumber", list(range(1, 8)))
+
+
+@R.add(_EVALUATED + ", g as (select a.v::int as pred, b.v::int as label from range(1, 8) a(v), range(1, 8) b(v)) select g.pred, g.label, count(x.label) as n from g left join x on x.pred = g.pred and x.label = g.label group by 1, 2")
+def evaluated_crosstab(spark, d):
+    return _evaluated(spark, d)[0]
+
+
+@R.add(_EVALUATED + " select count(*) as n, sum((pred = label)::int)::bigint as n_correct, round(avg((pred = label)::int), 6) as exact, round(avg(case abs(pred - label) when 0 then 1 when 1 then .5 else 0 end), 6) as half, round(avg(case when abs(pred - label) <= 2 then exp(-(pred - label) * (pred - label) / 2.0) else 0 end), 6) as gauss from x")
+def evaluated_agreement(spark, d):
+    return _evaluated(spark, d)[1].select("n", "n_correct", *(F.round(c, 6).alias(c) for c in ("exact", "half", "gauss")))
 
 
 @R.add()

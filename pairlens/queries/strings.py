@@ -11,48 +11,159 @@ R = Registry()
 QUERIES, SQL = R.queries, R.sql
 
 
-def _step(name: str):
-    source, key = ("pages", "page_id") if name in ("period_before_li", "list_end", "div_end", "break_to_crlf", "paragraph_to_stop", "strip_tags") else ("documents", "doc_id")
-    column = "html" if source == "pages" else "text"
+#: What each rule does, in SQL of its own: the table, and the pattern and replacement in DuckDB's dialect.
+_RULES_SQL = {
+    "period_before_li": ("pages", "'[.]?\\s*</li>', '.</li>'"),
+    "ampersand_pair": ("documents", "'([\\pL\\pN_]+)\\s*&(amp;)?\\s*([\\pL\\pN_]+)', '\\1_and_\\3'"),
+    "caps_heading": ("documents", "'([A-Z\\s]+:)', '. \\1'"),
+    "paren_break": ("documents", "'[)]\\s*([^a-z])', '). \\1'"),
+    "newline_capital": ("documents", "concat(chr(10), '([A-Z])'), '. \\1'"),
+    "list_end": ("pages", "'(<\\s*/(li|ul|LI|UL)\\s*>)', '. \\1'"),
+    "div_end": ("pages", "'(<\\s*/\\s*div\\s*>)', '. \\1'"),
+    "break_to_crlf": ("pages", "'<br\\s*/>', concat(chr(13), chr(10))"),
+    "paragraph_to_stop": ("pages", "'<p>|</p>', '. '"),
+    "strip_tags": ("pages", "'<[^>]*>', ' '"),
+    "space_collapse": ("documents", "'\\s+', ' '"),
+    "space_before_dot": ("documents", "'\\s*[.]', '.'"),
+    "dots_to_one": ("documents", "'[.]+', '.'"),
+    "url_strip": ("pages", "'https?://\\S+', ''"),
+    "number_bullets": ("documents", "'\\s\\d+.\\s+', ' '"),
+    "camel_split": ("pages", "'([a-z])([A-Z])', '\\1 \\2'"),
+    "plus_plus": ("documents", "'[+]{2}', 'plusplus'"),
+    "c_sharp": ("documents", "'C\\s*#', 'C_sharp'"),
+}
+
+
+def _digest(table_name: str, out) -> tuple:
+    key, column = ("page_id", "html") if table_name == "pages" else ("doc_id", "text")
 
     def run(spark, d):
-        out = T.rule(F.col(column), name)
-        return table(spark, d, source).select(key, F.md5(out.cast("binary")).alias("digest"), F.length(out).cast("long").alias("n"))
+        made = out(F.col(column))
+        return table(spark, d, table_name).select(key, F.md5(made.cast("binary")).alias("digest"), F.length(made).cast("long").alias("n"))
 
-    pattern, put = T.RULES[name]
-    put = put.replace("$", "\\")
-    sql_put = "concat(chr(13), chr(10))" if name == "break_to_crlf" else f"'{put}'"
-    return run, f"select {key}, md5(regexp_replace({column}, '{pattern}', {sql_put}, 'g')) as digest, length(regexp_replace({column}, '{pattern}', {sql_put}, 'g')) as n from {source}"
+    return run, key, column
 
 
-for _name in T.RULES:
-    QUERIES[f"clean_step_{_name}"], SQL[f"clean_step_{_name}"] = _step(_name)
+for _name, (_table, _args) in _RULES_SQL.items():
+    _run, _key, _column = _digest(_table, lambda c, name=_name: T.rule(c, name))
+    QUERIES[f"clean_step_{_name}"] = _run
+    SQL[f"clean_step_{_name}"] = f"select {_key}, md5(t) as digest, length(t) as n from (select {_key}, regexp_replace({_column}, {_args}, 'g') as t from {_table})"
+
+_WORD = "[\\pL\\pN_]"
+
+
+def _passes(text: str, pattern: str, put: str, times: int = 4) -> str:
+    for _ in range(times):
+        text = f"regexp_replace({text}, '{pattern}', '{put}', 'g')"
+    return text
+
+
+def _chain_sql(sign: str, name: str) -> str:
+    """Both forms, again and again: chains take a pass for each second word."""
+    return _passes(_passes("text", f"({_WORD}+://)?({_WORD}+){sign}({_WORD})", f"\\2_{name}_\\3"), f"({_WORD}+://)?{sign}({_WORD})", f"{name}_\\2")
+
+
+_IT_SQL = f"regexp_replace(text, '({_WORD})?I[.]*T[.]*({_WORD})?', concat(chr(2), '\\1', chr(3), '\\2', chr(4)), 'g')"
+_WORDS_SQL = {
+    "at_words": (T.at_words, _chain_sql("@", "at")),
+    "uri_words": (T.uri_words, _chain_sql("[.]", "dot")),
+    "slash_words": (T.slash_words, _passes("text", f"({_WORD})\\s*/\\s*({_WORD})", "\\1_slash_\\2")),
+    "dot_words": (T.dot_words, f"regexp_replace(replace(regexp_replace(text, '({_WORD}*)[.]({_WORD}+)', concat(chr(2), '\\1', chr(3), '\\2'), 'g'), concat(chr(2), chr(3)), 'dot_'), concat(chr(2), '([^', chr(3), ']+)', chr(3)), '\\1_dot_', 'g')"),
+    "expand_it": (T.expand_it, f"regexp_replace(replace({_IT_SQL}, concat(chr(2), chr(3), chr(4)), 'information_technology'), concat(chr(2), '([^', chr(3), ']?)', chr(3), '([^', chr(4), ']?)', chr(4)), '\\1IT\\2', 'g')"),
+}
+for _name, (_fn, _text) in _WORDS_SQL.items():
+    QUERIES[f"clean_step_{_name}"] = _digest("documents", _fn)[0]
+    SQL[f"clean_step_{_name}"] = f"select doc_id, md5(t) as digest, length(t) as n from (select doc_id, {_text} as t from documents)"
 
 
 @R.add()
 def clean_whole(spark, d):
-    return table(spark, d, "pages").select("page_id", T.clean(F.col("html")).alias("text"), T.clean(F.col("html"), True).alias("for_stemming"))
+    from ..functions.clean import cleaned, cleaned_for_stemming
+
+    return table(spark, d, "pages").select("page_id", cleaned("html").alias("text"), cleaned_for_stemming("html").alias("for_stemming"))
+
+
+@R.add()
+def stem_texts(spark, d):
+    from ..functions.clean import cleaned_and_stemmed
+
+    return table(spark, d, "benchmark").select("item_id", cleaned_and_stemmed("text").alias("text_stemmed"))
+
+
+_RANKS = ["Sr", "Junior level 2", "intern", "Chief", "lvl IV", "Head of", "Associate", "Graduate", "assistant vice", "assistant to the", "Scrum master", "web master", "master", "masterdata", "vice president", "president", "post-doctoral", "mid level", "midlevel", "college grad", "l3", "viii", "tier three", "SNR", "entry to some level", "fresher", "certified", "staff", "officer", "beginner expert", "advanced professional fellow", ""]
+_RANK_LIST = "[" + ", ".join(f"'{r}'" for r in _RANKS) + "]"
+
+
+def _ranked_titles(spark, d):
+    """A title for each part: a rank and the part's name."""
+    ranks = F.array(*map(F.lit, _RANKS))
+    return table(spark, d, "part").select("p_partkey", F.concat_ws(" ", F.get(ranks, F.pmod("p_partkey", F.lit(len(_RANKS))).cast("int")), "p_name").alias("t"))
 
 
-_TITLES = ["Sr Java Lead", "Junior developer level 2", "Data intern", "Chief officer", "Engineer lvl IV", "Head of staff", "Associate fellow", "Graduate trainee", "Baker"]
-_VALUES = ", ".join(f"({i}, '{t}')" for i, t in enumerate(_TITLES))
+_TITLES = f"with t as (select p_partkey, concat_ws(' ', {_RANK_LIST}[p_partkey % {len(_RANKS)} + 1], p_name) as t from part)"
+# Look-arounds are not to be had: what they rule out is taken out first.
+_TAGS_SQL = {
+    "senior": "x ~ '(?i).*\\b(senior|sr|snr)\\b.*'", "junior": "x ~ '(?i).*\\b(junior|jr|jnr)\\b.*'", "intern": "x ~ '(?i).*(\\bintern(ship)?\\b|\\btrainee\\b).*'",
+    "assistant": "regexp_replace(x, '(?i)\\bassistant\\W+vice\\b', '', 'g') ~ '(?i).*\\bassistant\\b.*'", "associate": "x ~ '(?i).*\\bassoc.*'",
+    "entry_level": "x ~ '(?i).*(\\bentry.*level\\b|\\bbeginner\\b|\\bfresh|\\bcollegegrad).*'", "master": "regexp_replace(x, '(?i)(scrum|web)\\smaster', '', 'g') ~ '(?i).*master($|[^datmngen ].*)'",
+    "principal": "x ~ '(?i).*\\bprincipal\\b.*'", "head": "x ~ '(?i).*\\bhead\\b.*'", "fellow": "x ~ '(?i).*\\bfellow\\b.*'", "advanced": "x ~ '(?i).*\\badvanced\\b.*'",
+    "post_doctoral": "x ~ '(?i).*\\bpost.*doctoral\\b.*'", "president": "regexp_replace(x, '(?i)vice\\spresident', '', 'g') ~ '(?i).*\\bpresident\\b.*'", "professional": "x ~ '(?i).*\\bprofessional\\b.*'",
+    "expert": "x ~ '(?i).*\\bexpert\\b.*'", "midlevel": "x ~ '(?i).*(midlevel|\\bmid\\b).*'", "chief": "x ~ '(?i).*\\bchief\\b.*'", "officer": "x ~ '(?i).*\\bofficer\\b.*'", "certified": "x ~ '(?i).*\\bcertif.*'",
+    "graduate": "x ~ '(?i).*\\bgraduate\\b.*'", "degree": "x ~ '(?i).*\\bgraduate\\b.*'", "staff": "x ~ '(?i).*\\bstaff\\b.*'",
+}
+_LEVELS_SQL = ["regexp_extract_all(x, '(?i)\\b(?:level|lvl|tier)\\b\\s+(\\b[1-8]\\b|one|two|three|iii|ii|iv|viii|vii|vi|v|i)', 1)", "regexp_extract_all(x, '(?i)\\bl(i+|v|[0-9])\\b', 1)", "regexp_extract_all(x, '(?i)\\b(i+|v|iv|vi+)\\b', 1)"]
+_LEVEL_SQL = "coalesce(try_cast(y as int), case lower(y) when 'i' then 1 when 'ii' then 2 when 'iii' then 3 when 'iv' then 4 when 'v' then 5 when 'vi' then 6 when 'vii' then 7 when 'one' then 1 when 'two' then 2 when 'three' then 3 else 0 end)"
 
 
-@R.add(f"""with t(id, t) as (values {_VALUES}), p(tag, p) as (values {', '.join(f"('{k}', '{v}')" for k, v in T.SENIORITY.items())}),
-l as (select id, lower(regexp_extract(lower(t), '(?:level|lvl|tier)\\s+([1-8]|one|two|three|viii|vii|vi|iv|v|iii|ii|i)\\b', 1)) as l from t),
-x as (select id, tag from t, p where regexp_matches(lower(t), p) union select id, 'level ' || case l when 'iv' then 4 else l::int end from l where l <> '')
-select t.id, coalesce(array_to_string(list_sort(list(distinct x.tag) filter (where x.tag is not null)), ','), '') as tags from t left join x on t.id = x.id group by 1""")
+@R.add(_TITLES + ", g as (" + " union all ".join(f"select p_partkey, '{k}' as tag from (select p_partkey, t as x from t) where {v}" for k, v in _TAGS_SQL.items()) + " union all " + " union all ".join(f"select p_partkey, 'level ' || {_LEVEL_SQL} from (select p_partkey, unnest({v}) as y from (select p_partkey, t as x from t))" for v in _LEVELS_SQL) + ") select t.p_partkey, coalesce(array_to_string(list_sort(list(distinct tag) filter (where tag is not null)), ','), '') as tags from t left join g on t.p_partkey = g.p_partkey group by 1")
 def seniority_tags(spark, d):
-    rows = spark.createDataFrame(list(enumerate(_TITLES)), "id int, t string")
-    return rows.select("id", F.array_join(T.seniority_tags(F.col("t")), ",").alias("tags"))
+    return _ranked_titles(spark, d).select("p_partkey", F.array_join(T.seniority_tags(F.col("t")), ",").alias("tags"))
 
 
-@R.add("select o_orderkey, substr(o_orderpriority, 1, 1)::int as level from orders")
+@R.add(f"select o_orderkey, {_LEVEL_SQL} as level from (select o_orderkey, ['iv', 'VIII', '12', 'vii', 'one', 'x', '9', 'Three', '123456', '', 'II', substr(o_orderpriority, 1, 1)][o_orderkey % 12 + 1] as y from orders)")
 def level_number(spark, d):
-    return table(spark, d, "orders").select("o_orderkey", T.level_number(F.substring("o_orderpriority", 1, 1)).alias("level"))
+    words = F.array(*map(F.lit, ["iv", "VIII", "12", "vii", "one", "x", "9", "Three", "123456", "", "II"]), F.substring("o_orderpriority", 1, 1))
+    return table(spark, d, "orders").select("o_orderkey", T.level_number(F.get(words, (F.col("o_orderkey") % 12).cast("int"))).alias("level"))
+
+
+_TITLE_SQL = r"[sj]r._level_|^[seju]{2}nior[,_]*|[seju]{2}nior-?_|,*_\(*[seju]{2}nior\)*_*|[seju]{2}nior[.]|senior[/-]lead_|-[seju]{2}nior|[seju]{2}nior/|[seju]{2}nior-level_|/contract/[seju]{2}nior|/[seju]{2}nior|[seju]{2}nior[-_]mid_|/*[seju]{2}nior[-_]*level_?|/*mid[-_]*level_?|mid[ -_to]{4}[seju]{2}nior[ -_]level[ -_]|mid/sr_level_|[-_]{0,3}mid_level|[-_]{0,3}mid|_level_[0-9]+"
+
+
+@R.add(_TITLES + f" select p_partkey, regexp_replace(regexp_replace(lower(t), '[ ()]', '_', 'g'), '{_TITLE_SQL}', '', 'g') as title from t")
+def normal_titles(spark, d):
+    return _ranked_titles(spark, d).select("p_partkey", T.normal_title(F.col("t")).alias("title"))
+
+
+@R.add(_TITLES + " select p_partkey, array_to_string(list_filter([regexp_replace(ltrim(lower(t || '. ~ (x)')), '[^\\pL\\pN_\\s]', '', 'g')], lambda x: x <> ''), '|') as titles from t")
+def title_lists(spark, d):
+    return _ranked_titles(spark, d).select("p_partkey", F.array_join(T.title_list(F.concat("t", F.lit(". ~ (x)"))), "|").alias("titles"))
+
+
+@R.add("select p_partkey, array_to_string([lower(p_brand), lower(p_type)], '|') as parsed, array_to_string(list_filter([trim(x) for x in string_split(replace(p_name || ' (' || p_brand || ')', ')', ''), '(')], lambda x: x <> ''), '|') as parts, array_to_string(list_sort(list_distinct(string_split(p_name || ' ' || p_name, ' '))), '|') as words from part")
+def list_forms(spark, d):
+    p = table(spark, d, "part")
+    written = F.concat(F.lit("['"), "p_brand", F.lit("', '"), "p_type", F.lit("']"))
+    with_brand = F.concat("p_name", F.lit(" ("), "p_brand", F.lit(")"))
+    return p.select("p_partkey", F.array_join(T.parse_list(written), "|").alias("parsed"), F.array_join(T.split_parentheses(with_brand), "|").alias("parts"), F.array_join(T.phrase_words(F.array("p_name", "p_name")), "|").alias("words"))
+
+
+@R.add("select doc_id, array_to_string(list_sort(list_distinct([w[i] for i in range(1, len(w)) if w[i] <> w[i + 1] and w[i] <> ''])), ',') as kept from (select doc_id, string_split(lower(text), ' ') as w from documents)")
+def drop_neighbours(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.array_join(T.drop_neighbours(F.split(F.lower("text"), " ")), ",").alias("kept"))
+
+
+@R.add("with c as (select c_custkey, lower(c_mktsegment) as job, case when c_custkey % 3 = 0 then '' else lower(c_name) end as cur, case when c_custkey % 4 = 0 then lower(c_mktsegment) || '`other' else 'none`' || lower(c_name) end as des from customer), x as (select *, case when contains(des, job) then job when cur = '' then des else cur end as taken from c) select c_custkey, array_to_string(list_sort(list_distinct(list_concat(string_split(taken, '`'), string_split(des, '`')))), '::') as titles from x")
+def reconciled_titles(spark, d):
+    c = table(spark, d, "customer").select("c_custkey", F.lower("c_mktsegment").alias("job"), F.when(F.col("c_custkey") % 3 == 0, "").otherwise(F.lower("c_name")).alias("cur"), F.when(F.col("c_custkey") % 4 == 0, F.concat(F.lower("c_mktsegment"), F.lit("`other"))).otherwise(F.concat(F.lit("none`"), F.lower("c_name"))).alias("des"))
+    return c.select("c_custkey", T.reconcile_titles(F.col("job"), F.col("cur"), F.col("des")).alias("titles"))
+
+
+@R.add()
+def posting_words(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.posting_words(F.col("text")).alias("words"))
 
 
-@R.add("select doc_id, md5(lower(replace(replace(regexp_replace(text, '(?i)<br\\s*/?>', concat(chr(13), chr(10)), 'g'), 'e.g.', 'for example'), 'E.g.', 'For example'))) as digest from documents")
+@R.add("select doc_id, md5(lower(replace(replace(regexp_replace(text, '<br\\s*/>', concat(chr(13), chr(10)), 'g'), 'e.g.', 'for example'), 'E.g.', 'For example'))) as digest from documents")
 def recipe_v1(spark, d):
     r = Recipes()
     r.register("breaks", 1)(lambda c: T.rule(c, "break_to_crlf"))
