@@ -121,15 +121,15 @@ def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, chance:
     """Personal data in every whole text of docs(doc_id, text, ...), one row for each row.
 
     Returns doc_id, span_list (array of (start, kind, end) in code points, kind as its place in KINDS),
-    n_email, n_ip, n_card, n_phone, base_sha256 and spans. Null and empty texts give zeros and empty
-    spans; a null doc_id stays null; repeated rows give repeated results and count as many rows, but
+    n_email, n_ip, n_card, n_phone, base_sha256, spans and sanitised_sha256 (of the text as `sanitised` makes it).
+    Null and empty texts give zeros and empty spans; a null doc_id stays null; repeated rows give repeated results and count as many rows, but
     as one text; other columns are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
     rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("__key"), F.xxhash64("text").alias("__text"), "text")
     found = rows.withColumn("base", base_spans(F.col("text")))
-    base = cut(found.select("doc_id", "__key", "__text", "base"))
+    base = cut(found.select("doc_id", "__key", "__text", "base", F.sha2(sanitised(F.col("text"), F.col("base")), 256).alias("__clean")))
     outside = found.withColumn("outside", _outside(F.col("text"), F.col("base")))
     values = F.array_distinct(F.transform("base", lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), F.lower(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])))))
     held = outside.where("size(base) > 0").select("__text", values.alias("entities"), _terms(F.col("outside")).alias("terms"))
@@ -142,15 +142,16 @@ def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, chance:
     # A term that a third of all rows hold: inner join, whose large partitions Spark splits.
     told = cut(some.join(disclosing, "term").groupBy("__key").agg(F.collect_set("term").alias("terms")))
     texts = rows.where(may_hold(bits_of(told, "__key"), "__key")).join(told, "__key").dropDuplicates(["__key"])
-    texts = texts.withColumn("outside", _outside(F.col("text"), base_spans(F.col("text"))))
+    texts = texts.withColumn("base", base_spans(F.col("text"))).withColumn("outside", _outside(F.col("text"), F.col("base")))
     made = lambda a, b, _: F.struct(a.alias("start"), F.lit(4).alias("kind"), b.alias("end"))
-    more = texts.select(F.col("__key").alias("__k"), _placed(F.col("outside"), _WORD, made, lambda m: F.array_contains("terms", F.lower(m)), _SPANS).alias("more"))
+    more = texts.select(F.col("__key").alias("__k"), "text", "base", _placed(F.col("outside"), _WORD, made, lambda m: F.array_contains("terms", F.lower(m)), _SPANS).alias("more"))
+    more = more.select("__k", "more", F.sha2(sanitised(F.col("text"), F.sort_array(F.concat("base", "more"))), 256).alias("__cleaner"))
     joined = base.join(more, F.col("__key") == F.col("__k"), "left")
     # One argument alone: a second one of the function would be the place in the array.
     number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     n = [number(k).alias(f"n_{KINDS[k]}") for k in range(4)]
-    joined = joined.select("doc_id", "base", F.sort_array(F.concat("base", F.coalesce("more", F.array().cast(_SPANS)))).alias("span_list"))
-    return joined.select("doc_id", "span_list", *n, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("span_list")).alias("spans"))
+    joined = joined.select("doc_id", "base", F.coalesce("__cleaner", "__clean").alias("sanitised_sha256"), F.sort_array(F.concat("base", F.coalesce("more", F.array().cast(_SPANS)))).alias("span_list"))
+    return joined.select("doc_id", "span_list", *n, F.sha2(written(F.col("base")), 256).alias("base_sha256"), written(F.col("span_list")).alias("spans"), "sanitised_sha256")
 
 
 def sanitised(text: Column, span_list: Column) -> Column:
