@@ -49,8 +49,8 @@ def _lines(docs: DataFrame) -> DataFrame:
 def _templates(lines: DataFrame) -> DataFrame | None:
     """(lh, lv, template) of the lines(key, lh, lv, n, tokens), each once, that belong to a template with others; key is the leaf.
 
-    All counts are by (key, place, token) or (key, place) and combine before the shuffle; a hot leaf's
-    lines meet its one row of constants by an inner join, which Spark can split.
+    All counts are by (key, place, token) or (key, place) and combine before the shuffle. A hot leaf's
+    different lines meet its one row of constants in one task, each once.
     """
     found, active = None, cut(lines)
     while active.head(1):
