@@ -284,6 +284,7 @@ def overlap_confidence(actual: DataFrame, shuffled: DataFrame, least: int = 100)
 
     Sizes from the 97.5th percentile on are one bucket; buckets of under `least` rows have none. See bucket_confidence.
     """
+    actual, shuffled = (x.select("n_elem", "score").persist(StorageLevel.DISK_ONLY) for x in (actual, shuffled))
     limit = int(quantile_knots(actual, "n_elem", 41)[39]) if actual.head(1) else 0
     bucket = F.least(F.col("n_elem"), F.lit(max(limit, 1)))
     both = actual.select(bucket.alias("b"), "n_elem", "score", F.lit(1).alias("y")).union(shuffled.select(bucket, "n_elem", "score", F.lit(0)))
