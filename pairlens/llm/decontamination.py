@@ -5,9 +5,8 @@ compared by their five-word shingles, weighted by their counts. The similarity g
 of shared shingles alone, and that grows only where a shingle of the item enters the window, so a walk
 over those places in order meets the best window of each text and item: exact, and linear in them.
 
-This takes the place of SimHash fingerprints with blocks: at sampled starts they miss edited passages, at
-every start they cost over ten times what the check allows (figures in the README), and at any radius
-that tells texts apart a window can be lost.
+This takes the place of SimHash fingerprints with blocks: at sampled starts they miss edited passages, and
+at every start, as tried, they cost several times what the check allows (figures in the README).
 """
 
 from __future__ import annotations
