@@ -1,6 +1,8 @@
 """The queries of this package, and SQL for those that SQL can express."""
 
+from . import clustering
 from .bpe import op5_bpe
+from .clustering import op12_centroids
 from .decontamination import op10_decontamination
 from .embeddings import op3_near_vectors
 from .html import op8_html
@@ -22,6 +24,7 @@ QUERIES = {
     "op8_html": op8_html,
     "op9_secrets": op9_secrets,
     "op10_decontamination": op10_decontamination,
+    "op12_centroids": op12_centroids,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {"op12_centroids": clustering.SQL}
