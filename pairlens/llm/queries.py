@@ -1,6 +1,6 @@
 """The queries of this package, and SQL for those that SQL can express."""
 
-from . import clustering
+from . import clustering, variants
 from .bpe import op5_bpe
 from .clustering import op12_centroids
 from .decontamination import op10_decontamination
@@ -12,6 +12,7 @@ from .pii import op4_personal_data
 from .secrets import op9_secrets
 from .sharding import op6_sharding
 from .toxicity import op7_toxicity
+from .variants import op13_variants
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_decontamination": op10_decontamination,
     "op12_centroids": op12_centroids,
+    "op13_variants": op13_variants,
 }
 
-SQL: dict[str, str] = {"op12_centroids": clustering.SQL}
+SQL: dict[str, str] = {"op12_centroids": clustering.SQL, "op13_variants": variants.SQL}
