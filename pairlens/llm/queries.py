@@ -8,6 +8,7 @@ from .embeddings import op3_near_vectors
 from .html import op8_html
 from .linededup import op1_line_dedup
 from .minhash import op2_near_duplicates
+from .mixing import op11_mix
 from .pii import op4_personal_data
 from .secrets import op9_secrets
 from .sharding import op6_sharding
@@ -25,6 +26,7 @@ QUERIES = {
     "op8_html": op8_html,
     "op9_secrets": op9_secrets,
     "op10_decontamination": op10_decontamination,
+    "op11_mix": op11_mix,
     "op12_centroids": op12_centroids,
     "op13_variants": op13_variants,
 }
