@@ -103,9 +103,10 @@ def with_quotas(sources: DataFrame, block: int = BLOCK, shards: int = SHARDS, la
         for i, seats in enumerate(given):
             if seats:
                 low[i] = max((d for d, n in seats.items() if n >= houses[i]), default=low[i])
-                high[i] = min((d for d, n in seats.items() if n <= houses[i] and d > low[i]), default=high[i])
+                # Where a divisor gives the very number, no seat is left to rank.
+                high[i] = low[i] if seats.get(low[i]) == houses[i] else min((d for d, n in seats.items() if n <= houses[i] and d > low[i]), default=high[i])
         tried = [
-            [] if not seats or seats[low[i]] == houses[i] or high[i] == float("inf") or seats[low[i]] - seats[high[i]] <= LEFT or np.nextafter(low[i], high[i]) >= high[i]
+            [] if not seats or high[i] == low[i] or high[i] == float("inf") or seats[low[i]] - seats[high[i]] <= LEFT or np.nextafter(low[i], high[i]) >= high[i]
             else [low[i], high[i], *np.linspace(low[i], high[i], TRIED)[1:-1].tolist()]
             for i, seats in enumerate(given)
         ]
