@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +21,8 @@ def _list(c: str | Column) -> Column:
 
 
 def with_class(scored: DataFrame, confidence: Column | None = None) -> DataFrame:
-    """Adds qtile, confidence (1 if not given) and class to rows with a score, which are kept on disk: the knots need them all before any row has its place."""
-    scored = scored.persist(StorageLevel.DISK_ONLY)
+    """Adds qtile, confidence (1 if not given) and class to rows with a score, which are written: the knots need them all before any row has its place."""
+    scored = rel.written(scored)
     out = quantile_map(scored, "score", "qtile").withColumn("confidence", F.lit(1.0) if confidence is None else confidence)
     return out.withColumn("class", quantile_class(F.col("qtile"), F.col("confidence")))
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -107,7 +106,7 @@ class ProfileSkills:
 
     def pair_scores(self, rows: DataFrame, key: str) -> DataFrame:
         """(key, left, right, score): each pair of a row's skills; 0 where one is blank or has no vector."""
-        sides = self.lists(rows, key).persist(StorageLevel.DISK_ONLY)
+        sides = rel.written(self.lists(rows, key))
         pairs = lookup.pairs_by_key(sides, sides, key, "job", "person")
         a = self.vectors.select(F.col("word").alias("left"), F.col("vector").alias("__x"))
         b = self.vectors.select(F.col("word").alias("right"), F.col("vector").alias("__y"))

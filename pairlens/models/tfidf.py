@@ -5,11 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import composite, quantile_class
+from ..operators.relational import written
 from ..operators.scoring import pair_cosine
 from ..operators.stats import quantile_knots, quantile_place
 
@@ -84,9 +84,9 @@ class PairCosines:
         n = docs.agg(F.count(F.lit(1)).alias("__n"))
         df = docs.select(F.explode("w").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         # One number, broadcast.
-        self.idf = df.crossJoin(F.broadcast(n)).where(F.col("df") >= self.min_df * F.col("__n")).select("term", (F.log((1 + F.col("__n")) / (1 + F.col("df"))) + 1).alias("idf")).persist(StorageLevel.DISK_ONLY)
+        self.idf = written(df.crossJoin(F.broadcast(n)).where(F.col("df") >= self.min_df * F.col("__n")).select("term", (F.log((1 + F.col("__n")) / (1 + F.col("df"))) + 1).alias("idf")))
         self.importances = self.importances or [1 / len(self.pairs)] * len(self.pairs)
-        cosines = self._cosines(cleaned, key).persist(StorageLevel.DISK_ONLY)
+        cosines = written(self._cosines(cleaned, key))
         self.knots = [quantile_knots(cosines, f"score_{k}") for k in range(len(self.pairs))]
         self.refit(cosines)
         return self

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import math
+import tempfile
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -129,13 +129,27 @@ def split_groups(df: DataFrame, group: list[str], n: int) -> DataFrame:
     return df.join(ranked.withColumn("split", F.col("split") % n), group)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df written to the folder of spark.checkpoint.dir and read back, so that a lost executor loses nothing of it.
+
+    Without that setting a local session gets a temporary folder; a cluster, where such a folder would not be
+    shared, gets an error. Spark removes the files with the frame if its cleaner is told to.
+    """
+    context = df.sparkSession.sparkContext
+    if not context.getConf().get("spark.checkpoint.dir") and not context._jsc.sc().getCheckpointDir().isDefined():
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="pairlens-"))
+    return df.checkpoint(eager=True)
+
+
 def running_total(df: DataFrame, order: list[Column], value: str, out: str) -> DataFrame:
     """Adds out: the total of value over the rows before, in the order of all rows.
 
     Rows are dealt to ranges of the order and added up range by range, after the totals of the ranges
-    before: no task sorts more than its range. The order should have no ties.
+    before: no task sorts more than its range. The order should have no ties. See written.
     """
-    ranged = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
+    ranged = written(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()))
     sizes = ranged.groupBy("__part").agg(F.sum(value).alias("__n"))
     # One row for each range.
     before = sizes.select(F.col("__part").alias("__q"), (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))

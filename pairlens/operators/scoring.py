@@ -2,21 +2,28 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.similarity import SCALES, cosine
-from .relational import global_places, running_total, sample_rows, seeded
+from .relational import global_places, running_total, sample_rows, seeded, written
 from .stats import group_quantiles, quantile_knots
 
 
+def word_shares(df: DataFrame, words: str, out: str) -> DataFrame:
+    """Adds out: a map from each distinct word of a list to its share of them."""
+    df = _runs(df, words, "__w")
+    return df.withColumn(out, F.map_from_arrays("__w_items", F.transform("__w_counts", lambda c: c / F.size(words)))).drop("__w_items", "__w_counts")
+
+
 def _runs(df: DataFrame, column: str, out: str) -> DataFrame:
     """Adds out_items and out_counts: the distinct items of a list, sorted, and how often each occurs. The list is sorted once."""
-    items = F.array_sort(F.filter(F.coalesce(column, F.array().cast("array<string>")), lambda x: x.isNotNull()))
+    items = F.sort_array(F.filter(F.coalesce(column, F.array().cast("array<string>")), lambda x: x.isNotNull()))
     df = df.withColumn(f"{out}_all", items)
     place = F.sequence(F.lit(0), F.size(f"{out}_all") - 1)
     starts = F.filter(place, lambda i: (i == 0) | (F.get(f"{out}_all", i) != F.get(f"{out}_all", i - 1)))
@@ -26,23 +33,23 @@ def _runs(df: DataFrame, column: str, out: str) -> DataFrame:
     return df.withColumns(made).drop(f"{out}_all", f"{out}_starts")
 
 
-def left_overlap(df: DataFrame, key: str, left: str, right: str, scale: str = "sqrt") -> DataFrame:
-    """(key, score, n_elem): how much of the left list's weight the right list covers.
+def left_overlap(df: DataFrame, key: str, left: str, right: str, scale: str = "sqrt", keep: Sequence[str] = ()) -> DataFrame:
+    """(key, score, n_elem, and columns to keep): how much of the left list's weight the right list covers.
 
     Counts are scaled and divided by their side's mean, where the right mean is over items of the left
     list alone; the score is 1 less the mean lack over distinct left items. An empty side scores 0.
     Each row is judged by itself, in array functions: no shuffle.
     """
     f = SCALES[scale]
-    rows = _runs(_runs(df.select(key, F.col(left).alias("__left"), F.col(right).alias("__right")), "__left", "__l"), "__right", "__r")
+    rows = _runs(_runs(df.select(key, *keep, F.col(left).alias("__left"), F.col(right).alias("__right")), "__left", "__l"), "__right", "__r")
     rows = rows.withColumn("__at", F.transform("__l_items", lambda x: F.array_position("__r_items", x).cast("int")))
-    rows = rows.select(key, F.transform("__l_counts", f).alias("__l"), F.transform("__at", lambda i: F.when(i > 0, f(F.get("__r_counts", i - 1)))).alias("__r"))
+    rows = rows.select(key, *keep, F.transform("__l_counts", f).alias("__l"), F.transform("__at", lambda i: F.when(i > 0, f(F.get("__r_counts", i - 1)))).alias("__r"))
     mean = lambda a: F.try_divide(F.aggregate(F.filter(a, lambda x: x.isNotNull()), F.lit(0.0), lambda s, x: s + x), F.size(F.filter(a, lambda x: x.isNotNull())))
-    rows = rows.select(key, "__l", "__r", mean("__l").alias("__lm"), mean("__r").alias("__rm"))
+    rows = rows.select(key, *keep, "__l", "__r", mean("__l").alias("__lm"), mean("__r").alias("__rm"))
     lack = F.zip_with("__l", "__r", lambda a, b: F.greatest(F.lit(0.0), a / F.col("__lm") - F.coalesce(F.try_divide(b, F.col("__rm")), F.lit(0.0))))
     score = 1 - F.aggregate(lack, F.lit(0.0), lambda s, x: s + x) / F.size("__l")
     none = (F.size("__l") == 0) | F.col("__rm").isNull()
-    return rows.select(key, F.when(none, 0.0).otherwise(score).alias("score"), F.size("__l").cast("long").alias("n_elem"))
+    return rows.select(key, *keep, F.when(none, 0.0).otherwise(score).alias("score"), F.size("__l").cast("long").alias("n_elem"))
 
 
 def tf_idf(docs: DataFrame, key: str, words: str, min_df: float = 0.0) -> DataFrame:
@@ -71,7 +78,8 @@ def phrases(docs: DataFrame, words: str, min_count: int = 5, threshold: float =
     """
     following = lambda i: F.coalesce(F.get(words, i + 1), F.lit(""))
     both = F.flatten(F.transform(words, lambda w, i: F.when(i + 1 < F.size(words), F.array(F.struct(w.alias("a"), F.lit("").alias("b")), F.struct(w.alias("a"), following(i).alias("b")))).otherwise(F.array(F.struct(w.alias("a"), F.lit("").alias("b"))))))
-    counts = docs.select(F.explode(both).alias("p")).groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n")).where(f"b = '' or n >= {min_count}").persist(StorageLevel.DISK_ONLY)
+    counts = docs.select(F.explode_outer(both).alias("p")).where("p is not null").groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n")).where(f"b = '' or n >= {min_count}")
+    counts = written(counts)
     one = counts.where("b = ''").select(F.col("a").alias("w"), F.col("n").alias("c"))
     size = one.agg(F.count(F.lit(1)).alias("v"))
     pairs = counts.where("b <> ''")
@@ -130,12 +138,14 @@ def average_word_scores(df: DataFrame, group: str, scores: str, digits: int = 9)
     Different averages are counted first, and those are ranked, by ranges of their order, not words group by group.
     """
     rows = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n"))
-    words = df.select(group, F.explode(scores).alias("word", "s")).groupBy(group, "word").agg(F.sum("s").alias("s"))
-    out = words.join(rows, group).select(group, "word", F.round(F.col("s") / F.col("__n"), digits).alias("average"))
+    # explode alone would have Spark make the scores a second time, to see whether there are any.
+    words = df.select(group, F.explode_outer(scores).alias("word", "s")).where("word is not null").groupBy(group, "word").agg(F.sum("s").alias("s"))
+    # Written once: it feeds the counts and the result.
+    out = written(words.join(rows, group).select(group, "word", F.round(F.col("s") / F.col("__n"), digits).alias("average")))
     counts = out.groupBy(group, "average").agg(F.count(F.lit(1)).alias("__c"))
     placed = running_total(counts, [F.col(group), F.col("average")], "__c", "__b")
     ends = placed.groupBy(group).agg(F.min("__b").alias("__first"), F.sum("__c").alias("__all"))
-    ranks = placed.join(F.broadcast(ends), group).select(group, "average", ((F.col("__b") - F.col("__first")) * 100.0 / F.col("__all")).alias("percentile"))
+    ranks = placed.join(ends, group).select(group, "average", ((F.col("__b") - F.col("__first")) * 100.0 / F.col("__all")).alias("percentile"))
     return out.join(ranks, [group, "average"]).select(group, "word", "average", "percentile")
 
 
@@ -235,21 +245,47 @@ def assigned_quantile(base: DataFrame, key: str, assigned: DataFrame, score: str
     return base.select(key).join(held, F.col(key) == F.col("__k"), "left").select(key, F.coalesce("__s", F.lit(0.0)).alias("score"))
 
 
+#: Rounds of a permutation, the prime below which its hashes stay, and what these multiply by.
+ROUNDS, PRIME, FACTORS = 16, 2147483647, (48271, 69621)
+
+
+def _hashed(x: Column) -> Column:
+    """A number below PRIME that every part of x decides."""
+    for f, bits in zip(FACTORS, (15, 13)):
+        x = x % PRIME * f % PRIME
+        x = x.bitwiseXOR(F.shiftright(x, bits))
+    return x
+
+
+def permuted_place(place: Column, n: Column, seed: Column) -> Column:
+    """The place below n to which the seed's permutation sends a place: each round draws a partner place, and both change places or both stay."""
+
+    def turn(x: Column, i: Column) -> Column:
+        drawn = F.struct(_hashed(seed * 1009 + i * 7919 + 17).alias("a"), _hashed(seed * 9176 + i * 613 + 5).alias("b"))
+        both = F.transform(F.array(drawn), lambda d: F.struct(F.pmod(d["a"] * PRIME + d["b"] - x, n).alias("y"), d["b"].alias("b")))
+        return F.get(F.transform(both, lambda p: F.when((_hashed(F.greatest(x, p["y"]) + p["b"]) / 32).cast("long") % 2 == 1, p["y"]).otherwise(x)), F.lit(0))
+
+    return F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(ROUNDS - 1).cast("long")), place, turn)
+
+
+def dealt_rights(df: DataFrame, key: str, left: list[str], right: str, seeds: Column) -> DataFrame:
+    """(key, left, right, seed): for each of an array of seeds the right column dealt anew. Rows are numbered once by ranges of their keys, which must differ; where a seed sends each is computed."""
+    placed = written(global_places(df.select(key, *left, right), [F.col(key)], "__p"))
+    n = F.lit(placed.count()).cast("long")
+    rows = placed.select(key, *left, "__p", F.explode(seeds.cast("array<long>")).alias("seed"))
+    given = placed.select(F.col("__p").alias("__q"), right)
+    return rows.withColumn("__from", permuted_place(F.col("__p"), n, F.col("seed"))).join(given, F.col("__from") == F.col("__q")).select(key, *left, right, "seed")
+
+
 def shuffled_right(df: DataFrame, key: str, right: str, seed: int) -> DataFrame:
-    """(key, right) with the right column dealt anew by a seeded order of the keys, which must differ. Both orders are numbered by ranges."""
-    a = global_places(df.select(F.col(key)), [F.col(key)], "__p")
-    b = global_places(df.select(F.col(key).alias("__o"), F.col(right)), [seeded(seed, "__o"), F.col("__o")], "__p").drop("__o")
-    return a.join(b, "__p").drop("__p")
+    """(key, right) with the right column dealt anew by a seeded permutation of the rows' places in the order of the keys, which must differ."""
+    return dealt_rights(df, key, [], right, F.array(F.lit(seed))).select(key, right)
 
 
 def permutations(df: DataFrame, key: str, left: str, right: str, times: int, scale: str = "sqrt") -> DataFrame:
-    """(key, seed, score, n_elem): overlaps with the right column shuffled, once for each seed from 0."""
-    out = None
-    for seed in range(times):
-        dealt = df.select(key, left).join(shuffled_right(df, key, right, seed), key)
-        part = left_overlap(dealt, key, left, right, scale).withColumn("seed", F.lit(seed))
-        out = part if out is None else out.union(part)
-    return out
+    """(key, seed, score, n_elem): overlaps with the right column shuffled, once for each seed from 0. One numbering and one join serve all seeds."""
+    dealt = dealt_rights(df, key, [left], right, F.sequence(F.lit(0), F.lit(times - 1)))
+    return left_overlap(dealt, key, left, right, scale, ["seed"])
 
 
 def random_right(df: DataFrame, key: str, right: str, n: int) -> DataFrame:
@@ -263,40 +299,103 @@ def left_by_sample(df: DataFrame, key: str, left: str, sample: DataFrame, right:
     return df.crossJoin(F.broadcast(held)).select(key, F.transform("__s", lambda v: F.coalesce(cosine(F.col(left), v), F.lit(0.0))).alias("scores"))
 
 
-def l1_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 400) -> tuple[float, float]:
-    """(slope, intercept) of the balanced logistic fit with a unit penalty on the size of both, by accelerated proximal steps."""
-    weight = np.where(y == 1, len(y) / (2 * max((y == 1).sum(), 1)), len(y) / (2 * max((y == 0).sum(), 1)))
-    z = np.stack([x, np.ones(len(x))], 1)
-    step = 1 / max(np.linalg.eigvalsh((z * weight[:, None]).T @ z / 4).max(), 1e-12)
-    w, ahead, t = np.zeros(2), np.zeros(2), 1.0
+def _l1_least(g: np.ndarray, h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """The new w of each problem that makes g (v - w) + (v - w) h (v - w) / 2 + |v0| + |v1| least: of the candidates with each weight above, below or at 0, the best."""
+    a, b, c = h[:, 0], h[:, 1], h[:, 2]
+    best, value = w.copy(), np.full(len(w), np.inf)
+    signs = (-1, 0, 1)
+    for s0 in signs:
+        for s1 in signs:
+            r0, r1 = a * w[:, 0] + b * w[:, 1] - g[:, 0] - s0, b * w[:, 0] + c * w[:, 1] - g[:, 1] - s1
+            det = a * c - b * b
+            with np.errstate(divide="ignore", invalid="ignore"):
+                v0 = (c * r0 - b * r1) / det if s0 and s1 else r0 / a if s0 else np.zeros(len(w))
+                v1 = (a * r1 - b * r0) / det if s0 and s1 else r1 / c if s1 else np.zeros(len(w))
+            v = np.stack([v0, v1], 1)
+            d = v - w
+            cost = (g * d).sum(1) + (a * d[:, 0] ** 2 + 2 * b * d[:, 0] * d[:, 1] + c * d[:, 1] ** 2) / 2 + np.abs(v).sum(1)
+            better = np.isfinite(cost) & (v0 * s0 >= 0) & (v1 * s1 >= 0) & (cost < value)
+            best[better], value[better] = v[better], cost[better]
+    return best
+
+
+def l1_newton(sums: Callable[[np.ndarray], np.ndarray], n: int, rounds: int = 60, near: float = 1e-9) -> np.ndarray:
+    """(slope, intercept) of n balanced logistic fits with a unit penalty on the size of both, together, by proximal Newton steps.
+
+    sums(w) gives for each problem its loss, the two parts of the gradient and the three of the curvature at
+    its w. A step that does not lessen a problem's cost is halved, until nothing moves.
+    """
+    w, step, target = np.zeros((n, 2)), np.ones(n), np.zeros((n, 2))
+    cost, direction = np.full(n, np.inf), np.zeros((n, 2))
+    trial = w.copy()
     for _ in range(rounds):
-        new = ahead - step * (z.T @ (weight * (1 / (1 + np.exp(-z @ ahead)) - y)))
-        new = np.sign(new) * np.maximum(np.abs(new) - step, 0)
-        t2 = (1 + (1 + 4 * t * t) ** 0.5) / 2
-        ahead, done, w, t = new + (t - 1) / t2 * (new - w), np.abs(new - w).max() < 1e-10, new, t2
-        if done:
+        s = sums(trial)
+        now = s[:, 0] + np.abs(trial).sum(1)
+        fine = now <= cost + 1e-12 * np.abs(cost).clip(1) if np.isfinite(cost).any() else np.ones(n, bool)
+        w[fine], cost[fine] = trial[fine], now[fine]
+        # A bit of curvature keeps problems whose scores are all alike solvable.
+        curve = s[fine, 3:] + np.array([1e-9, 0, 1e-9])
+        target[fine] = _l1_least(s[fine, 1:3], curve, w[fine])
+        step = np.where(fine, 1.0, step / 2)
+        direction = target - w
+        if not (np.abs(direction) * step[:, None] > near).any():
             break
-    return float(w[0]), float(w[1])
+        trial = w + step[:, None] * direction
+    return w
+
+
+def _logistic_sums(z: np.ndarray, x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """Loss, gradient and curvature of each row's problem, for scores z."""
+    p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+    loss = np.maximum(z, 0) - z * y + np.log1p(np.exp(-np.abs(z)))
+    off, bend = weight * (p - y), weight * p * (1 - p)
+    return np.stack([(weight * loss).sum(-1), (off * x).sum(-1), off.sum(-1), (bend * x * x).sum(-1), (bend * x).sum(-1), bend.sum(-1)], -1)
+
+
+def l1_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> tuple[float, float]:
+    """(slope, intercept) of the balanced logistic fit with a unit penalty on the size of both."""
+    weight = np.where(y == 1, len(y) / (2 * max((y == 1).sum(), 1)), len(y) / (2 * max((y == 0).sum(), 1)))
+    return tuple(l1_newton(lambda w: _logistic_sums(w[:, :1] * x + w[:, 1:], x, y, weight), 1, rounds)[0].tolist())
+
+
+def bucket_fits(rows: DataFrame, bucket: str, x: str, y: str, least: int) -> DataFrame:
+    """(n_elem, slope, intercept): l1_logistic of rows(bucket, x, y of 0 or 1) for each bucket with at least so many rows of 1 and any of 0.
+
+    Equal rows are counted once. Each round is one aggregate over all buckets; six sums of each bucket reach
+    the driver, where buckets are sizes below a percentile.
+    """
+    spark = rows.sparkSession
+    counts = written(rows.groupBy(F.col(bucket).cast("long").alias("b"), F.col(x).cast("double").alias("x"), F.col(y).cast("int").alias("y")).agg(F.count(F.lit(1)).alias("c")))
+    sizes = counts.groupBy("b").agg(F.sum(F.when(F.col("y") == 1, F.col("c")).otherwise(0)).alias("ones"), F.sum(F.when(F.col("y") == 0, F.col("c")).otherwise(0)).alias("zeros")).where(f"ones >= {least} and zeros > 0").orderBy("b").collect()
+    at = {r["b"]: i for i, r in enumerate(sizes)}
+    balance = [((r["ones"] + r["zeros"]) / (2 * r["ones"]), (r["ones"] + r["zeros"]) / (2 * r["zeros"])) for r in sizes]
+
+    def sums(w: np.ndarray) -> np.ndarray:
+        now = spark.createDataFrame([(b, float(w[i, 0]), float(w[i, 1]), *balance[i]) for b, i in at.items()], "wb long, slope double, intercept double, one double, zero double")
+        held = counts.join(now, F.col("b") == F.col("wb")).withColumn("z", F.col("slope") * F.col("x") + F.col("intercept"))
+        p, weight = 1 / (1 + F.exp(-F.col("z"))), F.col("c") * F.when(F.col("y") == 1, F.col("one")).otherwise(F.col("zero"))
+        loss = F.greatest("z", F.lit(0.0)) - F.col("z") * F.col("y") + F.log1p(F.exp(-F.abs("z")))
+        held = held.select("b", "x", weight.alias("w"), loss.alias("loss"), (p - F.col("y")).alias("off"), (p * (1 - p)).alias("bend"))
+        parts = ("w * loss", "w * off * x", "w * off", "w * bend * x * x", "w * bend * x", "w * bend")
+        out = np.zeros((len(at), 6))
+        for r in held.groupBy("b").agg(*(F.sum(F.expr(e)).alias(f"s{i}") for i, e in enumerate(parts))).collect():
+            out[at[r["b"]]] = [r[f"s{i}"] for i in range(6)]
+        return out
+
+    w = l1_newton(sums, len(at)) if at else np.zeros((0, 2))
+    return spark.createDataFrame([(b, float(w[i, 0]), float(w[i, 1])) for b, i in at.items()], "n_elem long, slope double, intercept double")
 
 
 def overlap_confidence(actual: DataFrame, shuffled: DataFrame, least: int = 100) -> DataFrame:
     """(n_elem, slope, intercept): for each left size of actual(n_elem, score) a logistic fit of actual against shuffled scores times the size.
 
-    Sizes from the 97.5th percentile on are one bucket; buckets of under `least` rows have none. See bucket_confidence.
+    Sizes from the 97.5th percentile on are one bucket; buckets of under `least` rows have none. See bucket_fits and bucket_confidence.
     """
-    actual, shuffled = (x.select("n_elem", "score").persist(StorageLevel.DISK_ONLY) for x in (actual, shuffled))
+    actual = written(actual.select("n_elem", "score"))
     limit = int(quantile_knots(actual, "n_elem", 41)[39]) if actual.head(1) else 0
-    bucket = F.least(F.col("n_elem"), F.lit(max(limit, 1)))
-    both = actual.select(bucket.alias("b"), "n_elem", "score", F.lit(1).alias("y")).union(shuffled.select(bucket, "n_elem", "score", F.lit(0)))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        y = pdf.y.to_numpy()
-        if (y == 1).sum() < least or not (y == 0).any():
-            return pd.DataFrame({"n_elem": [], "slope": [], "intercept": []})
-        slope, intercept = l1_logistic((pdf.score * pdf.n_elem).to_numpy(float), y)
-        return pd.DataFrame({"n_elem": [int(key[0])], "slope": [slope], "intercept": [intercept]})
-
-    return both.where("b > 0").groupBy("b").applyInPandas(run, "n_elem long, slope double, intercept double")
+    both = actual.withColumn("y", F.lit(1)).union(shuffled.select("n_elem", "score", F.lit(0)))
+    rows = both.select(F.least(F.col("n_elem"), F.lit(max(limit, 1))).alias("b"), (F.col("score") * F.col("n_elem")).alias("x"), "y")
+    return bucket_fits(rows.where("b > 0"), "b", "x", "y", least)
 
 
 def bucket_confidence(scored: DataFrame, key: str, fits: DataFrame, compat: bool = False) -> DataFrame:
@@ -312,34 +411,50 @@ def bucket_confidence(scored: DataFrame, key: str, fits: DataFrame, compat: bool
     return rows.select(key, "score", F.coalesce(2 * F.greatest(p, 1 - p) - 1, F.lit(0.0)).alias("confidence"))
 
 
+#: Scores that are fitted at once.
+CELLS = 1 << 18
+
+
 def row_confidence(df: DataFrame, key: str, score: str, randoms: str, trained: list[float]) -> DataFrame:
     """(key, confidence): the probability that a row's score is one of the trained ones and not of its own random ones, by a logistic fit for each row; 0 for null and NaN.
 
-    trained stands for the distribution of all scores: its quantile knots, a bounded number.
+    trained stands for the distribution of all scores: its quantile knots, a bounded number. The rows of a
+    batch are fitted together.
     """
     kind = df.schema[key].dataType
     base = np.array(trained, float)
 
+    def fitted(scores: list[float], lists: list[np.ndarray]) -> np.ndarray:
+        size = np.array([len(r) for r in lists])
+        x = np.zeros((len(lists), len(base) + size.max()))
+        x[:, : len(base)] = base
+        held = np.arange(x.shape[1] - len(base)) < size[:, None]
+        x[:, len(base) :][held] = np.concatenate(lists)
+        y = np.zeros(x.shape[1])
+        y[: len(base)] = 1
+        every = (len(base) + size)[:, None]
+        weight = np.concatenate([np.broadcast_to(every / (2 * max(len(base), 1)), (len(lists), len(base))), np.where(held, every / (2 * size[:, None]), 0.0)], 1)
+        w = l1_newton(lambda w: _logistic_sums(w[:, :1] * x + w[:, 1:], x, y, weight), len(lists))
+        return 1 / (1 + np.exp(-(w[:, 0] * np.array(scores) + w[:, 1])))
+
     def run(batches):
         for pdf in batches:
-            conf = []
-            for s, r in zip(pdf[score], pdf[randoms]):
-                if s is None or s != s or r is None or not len(r):
-                    conf.append(0.0)
-                    continue
-                y = np.concatenate([np.ones(len(base)), np.zeros(len(r))])
-                slope, intercept = l1_logistic(np.concatenate([base, np.asarray(r, float)]), y)
-                conf.append(float(1 / (1 + np.exp(-(slope * s + intercept)))))
+            conf = np.zeros(len(pdf))
+            lists = [None if s is None or s != s or r is None or not len(r) else np.asarray(r, float) for s, r in zip(pdf[score], pdf[randoms])]
+            todo = [i for i, r in enumerate(lists) if r is not None]
+            while todo:
+                part, todo = todo[: (n := max(1, CELLS // (len(base) + max(len(lists[i]) for i in todo))))], todo[n:]
+                conf[part] = fitted([pdf[score].iloc[i] for i in part], [lists[i] for i in part])
             yield pd.DataFrame({key: pdf[key], "confidence": conf})
 
     return df.select(key, score, randoms).mapInPandas(run, StructType([StructField(key, kind), StructField("confidence", DoubleType())]))
 
 
 def top_above_percentile(df: DataFrame, group: str, value: str, share: float = 0.95) -> DataFrame:
-    """Rows whose value, rounded to 3 digits, is strictly over the group's percentile of rounded values. Groups are few; their limits are broadcast."""
+    """Rows whose value, rounded to 3 digits, is strictly over the group's percentile of rounded values."""
     rows = df.withColumn("__v", F.round(value, 3))
     limits = group_quantiles(rows, group, "__v", [share]).select(F.col(group).alias("__g"), F.col("q_0").alias("__c"))
-    return rows.join(F.broadcast(limits), F.col(group) == F.col("__g")).where("__v > __c").drop("__v", "__g", "__c")
+    return rows.join(limits, F.col(group) == F.col("__g")).where("__v > __c").drop("__v", "__g", "__c")
 
 
 def one_hot(values: Column, kinds: list[str]) -> dict[str, Column]:

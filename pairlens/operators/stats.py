@@ -5,15 +5,15 @@ from __future__ import annotations
 import math
 import statistics
 import time
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import DoubleType, IntegralType
 
-from .relational import global_places, running_total, seeded
+from .relational import global_places, running_total, seeded, written
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -74,32 +74,29 @@ def quantile_knots(df: DataFrame, value: str, knots: int | None = None) -> list[
     two for each knot. Nulls and NaN do not count; without any value there are no knots.
     """
     counts = df.select(F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)").groupBy("v").agg(F.count(F.lit(1)).alias("c"))
-    ranged = counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()).persist(StorageLevel.DISK_ONLY)
-    try:
-        sizes = ranged.groupBy("part").agg(F.sum("c").alias("n")).orderBy("part").collect()  # one row for each range
-        n = sum(r["n"] for r in sizes)
-        if not n:
-            return []
-        k = min(KNOTS, n) if knots is None else knots
-        if k == 1 or n == 1:
-            return [ranged.agg(F.min("v")).first()[0]] * k
-        before, firsts = 0, []
-        for r in sizes:
-            firsts.append((r["part"], before))
-            before += r["n"]
-        offsets = df.sparkSession.createDataFrame(firsts, "p int, offset long")
-        rows = ranged.join(F.broadcast(offsets), F.col("part") == F.col("p"))
-        rows = rows.withColumn("b", F.col("offset") + F.sum("c").over(Window.partitionBy("part").orderBy("v")) - F.col("c"))
-        # Knot i lies at place i (n - 1) / (k - 1): which knots have their lower and upper neighbour among the places b to b + c - 1?
-        last = f"(b + c - 1) * {k - 1}L"
-        low = f"sequence((b * {k - 1}L + {n - 2}L) div {n - 1}L, ((b + c) * {k - 1}L - 1) div {n - 1}L)"
-        high = f"sequence(if(b = 0, 0L, (b - 1) * {k - 1}L div {n - 1}L + 1), {last} div {n - 1}L)"
-        wanted = lambda seq, ok, name: rows.where(ok).select(F.explode(F.expr(seq)).alias("i"), "v", F.lit(name).alias("side"))
-        has_low = f"(b * {k - 1}L + {n - 2}L) div {n - 1}L <= ((b + c) * {k - 1}L - 1) div {n - 1}L"
-        has_high = f"if(b = 0, 0L, (b - 1) * {k - 1}L div {n - 1}L + 1) <= {last} div {n - 1}L"
-        found = wanted(low, has_low, 0).union(wanted(high, has_high, 1)).where(f"i < {k}").collect()
-    finally:
-        ranged.unpersist()
+    ranged = written(counts.repartitionByRange("v").withColumn("part", F.spark_partition_id()))
+    sizes = ranged.groupBy("part").agg(F.sum("c").alias("n")).orderBy("part").collect()  # one row for each range
+    n = sum(r["n"] for r in sizes)
+    if not n:
+        return []
+    k = min(KNOTS, n) if knots is None else knots
+    if k == 1 or n == 1:
+        return [ranged.agg(F.min("v")).first()[0]] * k
+    before, firsts = 0, []
+    for r in sizes:
+        firsts.append((r["part"], before))
+        before += r["n"]
+    offsets = df.sparkSession.createDataFrame(firsts, "p int, offset long")
+    rows = ranged.join(F.broadcast(offsets), F.col("part") == F.col("p"))
+    rows = rows.withColumn("b", F.col("offset") + F.sum("c").over(Window.partitionBy("part").orderBy("v")) - F.col("c"))
+    # Knot i lies at place i (n - 1) / (k - 1): which knots have their lower and upper neighbour among the places b to b + c - 1?
+    last = f"(b + c - 1) * {k - 1}L"
+    low = f"sequence((b * {k - 1}L + {n - 2}L) div {n - 1}L, ((b + c) * {k - 1}L - 1) div {n - 1}L)"
+    high = f"sequence(if(b = 0, 0L, (b - 1) * {k - 1}L div {n - 1}L + 1), {last} div {n - 1}L)"
+    wanted = lambda seq, ok, name: rows.where(ok).select(F.explode(F.expr(seq)).alias("i"), "v", F.lit(name).alias("side"))
+    has_low = f"(b * {k - 1}L + {n - 2}L) div {n - 1}L <= ((b + c) * {k - 1}L - 1) div {n - 1}L"
+    has_high = f"if(b = 0, 0L, (b - 1) * {k - 1}L div {n - 1}L + 1) <= {last} div {n - 1}L"
+    found = wanted(low, has_low, 0).union(wanted(high, has_high, 1)).where(f"i < {k}").collect()
     ends = [[0.0, 0.0] for _ in range(k)]
     for r in found:
         ends[r["i"]][r["side"]] = r["v"]
@@ -135,7 +132,7 @@ def group_quantiles(df: DataFrame, group: str, value: str, shares: list[float])
     placed = running_total(counts, [F.col("__g"), F.col("__v")], "__c", "__b")
     totals = counts.groupBy(F.col("__g").alias("__h")).agg(F.sum("__c").alias("__n"))
     firsts = placed.groupBy(F.col("__g").alias("__f")).agg(F.min("__b").alias("__first"))
-    rows = placed.join(F.broadcast(totals.join(firsts, F.col("__h").eqNullSafe(F.col("__f")))), F.col("__g").eqNullSafe(F.col("__h")))
+    rows = placed.join(totals.join(firsts, F.col("__h").eqNullSafe(F.col("__f"))), F.col("__g").eqNullSafe(F.col("__h")))
     b = F.col("__b") - F.col("__first")
     at = lambda place: F.max(F.when((b <= place) & (place < b + F.col("__c")), F.col("__v")))
     picked, made = [], []
@@ -188,7 +185,7 @@ def paired_t_tests(df: DataFrame, group: str, value: str, key: str, seed: int =
     rows = df.where(F.col(value).isNotNull()).select(F.col(group).alias("grp"), F.col(value).alias("value"), seeded(seed, key).alias("o"), F.col(key).alias("id"))
     placed = global_places(rows, [F.col("grp"), F.col("o"), F.col("id")], "at")
     first = placed.groupBy(F.col("grp").alias("g")).agg(F.min("at").alias("first"))
-    rows = placed.join(F.broadcast(first), F.col("grp") == F.col("g")).select("grp", "value", (F.col("at") - F.col("first")).alias("rn"))
+    rows = placed.join(first, F.col("grp") == F.col("g")).select("grp", "value", (F.col("at") - F.col("first")).alias("rn"))
     left, right = rows.select(F.col("grp").alias("a"), "rn", F.col("value").alias("x")), rows.select(F.col("grp").alias("b"), "rn", F.col("value").alias("y"))
     d = F.col("x") - F.col("y")
     pairs = left.join(right, "rn").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("m"), F.stddev_samp(d).alias("s"))
@@ -202,61 +199,95 @@ def paired_t_tests(df: DataFrame, group: str, value: str, key: str, seed: int =
     return stats.mapInPandas(tails, "a string, b string, n long, t double, p double")
 
 
-def _power(x, lam: float):
-    """Yeo-Johnson."""
-    y = np.empty_like(x)
-    up = x >= 0
-    y[up] = np.log1p(x[up]) if abs(lam) < 1e-9 else ((x[up] + 1) ** lam - 1) / lam
-    y[~up] = -np.log1p(-x[~up]) if abs(lam - 2) < 1e-9 else -((1 - x[~up]) ** (2 - lam) - 1) / (2 - lam)
-    return y
+def yeo_johnson(x: Column, lam: Column) -> Column:
+    """The power transform of any numbers."""
+    up = F.when(F.abs(lam) < 1e-9, F.log1p(x)).otherwise((F.pow(x + 1, lam) - 1) / lam)
+    down = F.when(F.abs(lam - 2) < 1e-9, -F.log1p(-x)).otherwise(-(F.pow(1 - x, 2 - lam) - 1) / (2 - lam))
+    return F.when(x >= 0, up).otherwise(down)
 
 
-def _sigma_range(v: np.ndarray, n: np.ndarray, k: float) -> tuple[float, float] | None:
-    """The range of sorted distinct values v that occur n times each."""
-    ends = np.cumsum(n)
-    total = int(ends[-1])
-    value_at = lambda place: int(np.searchsorted(ends, place, "right"))
-    mid, share = (round(total / 2) if total % 2 else (total + 1) / 2), 0.34
+def box_cox(x: Column, lam: Column) -> Column:
+    """The power transform of positive numbers."""
+    return F.when(F.abs(lam) < 1e-9, F.log(x)).otherwise((F.pow(x, lam) - 1) / lam)
+
+
+#: A transform, what a value adds to the logarithm of its slope for each unit of lambda over 1, and the values it takes.
+TRANSFORMS = {
+    "yeo_johnson": (yeo_johnson, lambda x: F.signum(x) * F.log1p(F.abs(x)), lambda x: F.lit(True)),
+    "box_cox": (box_cox, lambda x: F.log(x), lambda x: x > 0),
+}
+#: First share of the central places on either side of the middle, and by how much it widens.
+CENTRAL, WIDER = 0.34, 0.025
+
+
+def central_values(df: DataFrame, group: str, value: str) -> DataFrame:
+    """(grp, v, w, low): the distinct values at the central places of each group's order with how many of those places each holds, and the least of them.
+
+    The places widen until they hold two different values; groups without have no rows. Values are counted, and
+    numbered by ranges of the order of all groups.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("grp"), F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    placed = running_total(counts, [F.col("grp"), F.col("v")], "c", "b")
+    ends = placed.groupBy(F.col("grp").alias("g")).agg(F.min("b").alias("first"), F.sum("c").alias("n"))
+    rows = placed.join(ends, F.col("grp").eqNullSafe(F.col("g"))).select("grp", "v", "c", "n", (F.col("b") - F.col("first")).alias("b"))
+    middle = F.when(F.col("n") % 2 == 1, F.bround(F.col("n") / 2, 0)).otherwise((F.col("n") + 1) / 2)
+    share, tries = CENTRAL, []
     while True:
-        lo, hi = max(0, round(mid - share * mid)), min(total - 1, round(mid + share * mid) + 1)
-        a, b = value_at(lo), value_at(hi)
-        if b > a or share >= 1:
+        reach = F.bround(F.lit(share) * middle, 0)
+        tries.append((F.greatest(F.lit(0), F.ceil(middle - reach)).cast("long"), F.least(F.col("n") - 1, F.floor(middle + reach) + 1).cast("long")))
+        if share >= 1:
             break
-        share += 0.025
-    if a == b:
-        return None
-    x, w = v[a : b + 1], n[a : b + 1].astype(float)
-    w[0], w[-1] = ends[a] - lo, hi + 1 - (ends[b] - n[b])
-    signs = (w * np.sign(x) * np.log1p(np.abs(x))).sum()
-
-    def likely(lam: float) -> float:
-        y = _power(x, lam)
-        return -w.sum() / 2 * np.log(np.average((y - np.average(y, weights=w)) ** 2, weights=w) + 1e-300) + (lam - 1) * signs
-
-    # The best of a grid, then golden sections around it.
-    grid = np.linspace(-2, 4, 61)
-    best = max(grid, key=likely)
-    left, right, golden = best - 0.1, best + 0.1, (5**0.5 - 1) / 2
-    for _ in range(40):
-        c, d = right - golden * (right - left), left + golden * (right - left)
-        left, right = (left, d) if likely(c) > likely(d) else (c, right)
-    y = _power(x, (left + right) / 2)
-    mean = np.average(y, weights=w)
-    z = (y - mean) / (np.sqrt(np.average((y - mean) ** 2, weights=w)) or 1)
-    kept = x[np.abs(z) <= k]
-    return (float(kept.min()), float(kept.max())) if len(kept) else None
-
-
-def sigma_ranges(df: DataFrame, group: str, value: str, k: float = 1.0) -> DataFrame:
-    """(grp, low, high): the range of the central values within k sigmas after a power transform; a group's task works on its distinct values and their counts."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("grp"), F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("n"))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("v")
-        found = _sigma_range(pdf.v.to_numpy(), pdf.n.to_numpy(), k)
-        return pd.DataFrame([(key[0], round(found[0], 1), round(found[1], 1))] if found else [], columns=["grp", "low", "high"])
-
-    return counts.groupBy("grp").applyInPandas(run, "grp string, low double, high double")
+        share += WIDER
+    at = lambda place: F.max(F.when((F.col("b") <= place) & (place < F.col("b") + F.col("c")), F.col("v")))
+    # A group's rows have one n: the places are the same for all of them.
+    seen = rows.groupBy(F.col("grp").alias("h")).agg(F.array(*(F.struct(F.max(lo).alias("lo"), F.max(hi).alias("hi"), at(lo).alias("low"), at(hi).alias("high")) for lo, hi in tries)).alias("tries"))
+    fit = seen.select("h", F.get(F.filter("tries", lambda t: t["high"] > t["low"]), F.lit(0)).alias("t")).where("t is not null")
+    held = F.least(F.col("b") + F.col("c"), F.col("t.hi") + 1) - F.greatest("b", "t.lo")
+    return rows.join(fit, F.col("grp").eqNullSafe(F.col("h"))).select("grp", "v", held.alias("w"), F.col("t.low").alias("low")).where("w > 0")
+
+
+def _moments(rows: DataFrame, transform: str) -> DataFrame:
+    """(g, lam, mean, sd, likely) of rows(grp, v, w, low, lams): sums that can be merged, of the transform less its value at the group's least."""
+    power, slope, _ = TRANSFORMS[transform]
+    each = rows.select("grp", "v", "w", "low", F.explode("lams").alias("lam"))
+    zero = power(F.col("low"), F.col("lam"))
+    each = each.select("grp", "lam", "w", zero.alias("zero"), (power(F.col("v"), F.col("lam")) - zero).alias("y"), slope(F.col("v")).alias("slope"))
+    sums = each.groupBy(F.col("grp").alias("g"), "lam").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("s"), F.sum(F.col("w") * F.col("y") * F.col("y")).alias("q"), F.sum(F.col("w") * F.col("slope")).alias("slope"), F.max("zero").alias("zero"))
+    mean = F.col("s") / F.col("n")
+    var = F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(1e-300))
+    return sums.select("g", "lam", (mean + F.col("zero")).alias("mean"), F.sqrt(var).alias("sd"), (-F.col("n") / 2 * F.log(var) + (F.col("lam") - 1) * F.col("slope")).alias("likely"))
+
+
+def fitted_power(rows: DataFrame, transform: str = "yeo_johnson", refine: int = 3) -> DataFrame:
+    """(g, lam, mean, sd): for each group of rows(grp, v, w, low) the likeliest lambda of -2, -1.9, ... 4, then of ever finer steps around it, and the moments there. Each round is one aggregate."""
+    best = lambda m: m.groupBy("g").agg(F.max_by(F.struct("lam", "mean", "sd"), F.struct("likely", -F.abs("lam"))).alias("b")).select("g", "b.lam", "b.mean", "b.sd")
+    found = best(_moments(rows.withColumn("lams", F.array(*(F.lit(round(i / 10 - 2, 1)) for i in range(61)))), transform))
+    for k in range(refine):
+        near = rows.join(found.select(F.col("g").alias("h"), F.col("lam").alias("at")), F.col("grp").eqNullSafe(F.col("h")))
+        found = best(_moments(near.withColumn("lams", F.array(*(F.col("at") + i * 10.0 ** -(k + 2) for i in range(-10, 11)))), transform))
+    return found
+
+
+def sigma_ranges(df: DataFrame, group: str, value: str, k: float = 1.0, transform: str = "yeo_johnson", lam: float | None = None, refine: int = 3) -> DataFrame:
+    """(grp, low, high): the range of the central values within k sigmas after a power transform, to one digit.
+
+    The lambda is given or the likeliest, see fitted_power. Box-Cox takes positive values alone. Nulls do not
+    count, a group of one value has no range, a null group is one.
+    """
+    power, _, takes = TRANSFORMS[transform]
+    rows = written(central_values(df.where(takes(F.col(value).cast("double"))), group, value))
+    if lam is None:
+        fit = fitted_power(rows, transform, refine)
+    else:
+        fit = _moments(rows.withColumn("lams", F.array(F.lit(float(lam)))), transform)
+    z = F.abs(power(F.col("v"), F.col("lam")) - F.col("mean")) / F.col("sd")
+    kept = rows.join(fit, F.col("grp").eqNullSafe(F.col("g"))).where(z <= k)
+    return kept.groupBy("grp").agg(F.round(F.min("v"), 1).alias("low"), F.round(F.max("v"), 1).alias("high"))
+
+
+def range_text(low: Column, high: Column) -> Column:
+    """A range as text, '' without one."""
+    return F.coalesce(F.concat_ws(" - ", F.when(high.isNotNull(), low.cast("string")), F.when(low.isNotNull(), high.cast("string"))), F.lit(""))
 
 
 def rater_table(df: DataFrame, item: str, rater: str, rating: str, raters: list[str]) -> DataFrame:
@@ -272,8 +303,13 @@ def rater_crosstabs(df: DataFrame, item: str, rater: str, rating: str) -> DataFr
 
 
 def agreed_items(df: DataFrame, item: str, rating: str, below: float = 1.0) -> DataFrame:
-    """Items whose ratings vary by less than `below`."""
-    return df.groupBy(item).agg(F.var_samp(rating).alias("variance")).where(F.col("variance") < below)
+    """(item, variance): items with two ratings at least whose sample variance is less than `below`; whole numbers are compared exactly."""
+    whole = isinstance(df.schema[rating].dataType, IntegralType)
+    x = F.col(rating).cast("decimal(19,0)" if whole else "double")
+    sums = df.where(x.isNotNull()).groupBy(item).agg(F.count(F.lit(1)).alias("__n"), F.sum(x).alias("__s"), F.sum(x * x).alias("__q"))
+    spread, pairs = F.col("__n") * F.col("__q") - F.col("__s") * F.col("__s"), F.col("__n") * (F.col("__n") - 1)
+    limit = F.lit(Decimal(str(below))) if whole else F.lit(below)
+    return sums.where((F.col("__n") > 1) & (spread < limit * pairs)).select(item, (spread.cast("double") / pairs).alias("variance"))
 
 
 def list_stats(scores: Column) -> dict[str, Column]:

@@ -160,9 +160,7 @@ s as (select role, w, sum(1.0 / len) as s from (select role, unnest(w) as w, len
 select role, word, round(average, 6) as average, round((rank() over (partition by role order by average) - 1) * 100.0 / count(*) over (partition by role), 6) as percentile from a""")
 def word_avg_percentile(spark, d):
     c = table(spark, d, "conversations").select("role", _words().alias("w"))
-    # A word's score in a row is its share of the row's words.
-    shares = F.map_from_entries(F.transform(F.array_distinct("w"), lambda x: F.struct(x, F.size(F.filter("w", lambda y: y == x)) / F.size("w"))))
-    out = scoring.average_word_scores(c.select("role", shares.alias("scores")), "role", "scores")
+    out = scoring.average_word_scores(scoring.word_shares(c, "w", "scores"), "role", "scores")
     return out.select("role", "word", F.round("average", 6).alias("average"), F.round("percentile", 6).alias("percentile"))
 
 
@@ -218,8 +216,21 @@ def assigned_quantile(spark, d):
     return scoring.assigned_quantile(table(spark, d, "customer"), "c_custkey", o, "s", 0.8).select("c_custkey", F.round("score", 4).alias("score"))
 
 
+def _sql_hashed(x: str) -> str:
+    for f, bits in zip(scoring.FACTORS, (15, 13)):
+        x = f"list_transform([(({x}) % {scoring.PRIME} * {f} % {scoring.PRIME})::bigint], lambda u: xor(u, u >> {bits}))[1]"
+    return x
+
+
+#: Where the permutation of seed s sends place p below n.
+_SQL_PERMUTED = (
+    f"list_reduce([z::bigint for z in range({scoring.ROUNDS})], lambda x, i: list_transform([{{{{'y': (({_sql_hashed('{s} * 1009 + i * 7919 + 17')}::bigint * {scoring.PRIME} + {_sql_hashed('{s} * 9176 + i * 613 + 5')} - x) % {{n}} + {{n}}) % {{n}}, 'b': {_sql_hashed('{s} * 9176 + i * 613 + 5')}}}}}],"
+    f" lambda q: case when ({_sql_hashed('greatest(x, q.y) + q.b')} // 32) % 2 = 1 then q.y else x end)[1], {{p}}::bigint)"
+)
+
+
 @R.add(f"""with c as (select conv_id, turn, {_SQL_WORDS} as w from conversations), p as (select a.conv_id || '-' || a.turn as id, b.w as r from c a join c b on a.conv_id = b.conv_id and a.turn + 1 = b.turn where a.turn % 2 = 0),
-x as (select id, row_number() over (order by id) as n from p), y as (select r, row_number() over (order by md5('1:' || id), id) as n from p) select x.id, md5(array_to_string(y.r, ' ')) as dealt from x join y on x.n = y.n""")
+x as (select id, r, row_number() over (order by id) - 1 as n, count(*) over () as m from p), y as (select id, {_SQL_PERMUTED.format(p='n', n='m', s='1')} as f from x) select y.id, md5(array_to_string(x.r, ' ')) as dealt from y join x on x.n = y.f""")
 def shuffled_right(spark, d):
     out = scoring.shuffled_right(_turns(spark, d).select("id", "r"), "id", "r", 1)
     return out.select("id", F.md5(F.array_join("r", " ").cast("binary")).alias("dealt"))

@@ -54,10 +54,10 @@ def hist_cdf_distance(spark, d):
     return stats.cdf_distance(_hist(spark, d)).select("a", "b", F.round("distance", 6).alias("distance"))
 
 
-@R.add("select event_type, round(quantile_cont(value, .25), 6) as q1, round(quantile_cont(value, .5), 6) as med, round(quantile_cont(value, .75), 6) as q3 from events group by 1")
+@R.add("select event_type, round(quantile_cont(value, .25), 6) as q1, round(quantile_cont(value, .5), 6) as med, round(quantile_cont(value, .75), 6) as q3, round(quantile_cont(value, .25), 1) || ' - ' || round(quantile_cont(value, .75), 1) as middle from events group by 1")
 def iqr_by_group(spark, d):
     out = stats.group_quantiles(table(spark, d, "events"), "event_type", "value", [0.25, 0.5, 0.75])
-    return out.select("event_type", *(F.round(f"q_{k}", 6).alias(n) for k, n in enumerate(("q1", "med", "q3"))))
+    return out.select("event_type", *(F.round(f"q_{k}", 6).alias(n) for k, n in enumerate(("q1", "med", "q3"))), stats.range_text(F.round("q_0", 1), F.round("q_2", 1)).alias("middle"))
 
 
 @R.add("select round(corr(l_quantity, l_extendedprice), 6) as quantity_price, round(corr(l_quantity, l_discount), 6) as quantity_discount, round(corr(l_extendedprice, l_tax), 6) as price_tax from lineitem")
@@ -136,7 +136,7 @@ def rater_crosstabs(spark, d):
     return stats.rater_crosstabs(r, "l_orderkey", "l_returnflag", "q")
 
 
-@R.add("select l_orderkey, round(var_samp(l_linenumber), 6) as variance from lineitem group by 1 having var_samp(l_linenumber) < 1")
+@R.add("with s as (select l_orderkey, count(l_linenumber) as n, sum(l_linenumber) as s, sum(l_linenumber * l_linenumber) as q from lineitem group by 1) select l_orderkey, round((n * q - s * s) / (n * (n - 1))::double, 6) as variance from s where n > 1 and n * q - s * s < n * (n - 1)")
 def agreed_items(spark, d):
     return stats.agreed_items(table(spark, d, "lineitem"), "l_orderkey", "l_linenumber").select("l_orderkey", F.round("variance", 6).alias("variance"))
 
@@ -159,11 +159,56 @@ def evaluated_agreement(spark, d):
     return _evaluated(spark, d)[1].select("n", "n_correct", *(F.round(c, 6).alias(c) for c in ("exact", "half", "gauss")))
 
 
-@R.add()
+def _sql_power(transform: str, x: str, lam: str) -> str:
+    if transform == "box_cox":
+        return f"case when abs({lam}) < 1e-9 then ln({x}) else (pow({x}, {lam}) - 1) / {lam} end"
+    up = f"case when abs({lam}) < 1e-9 then ln(1 + {x}) else (pow({x} + 1, {lam}) - 1) / {lam} end"
+    return f"case when {x} >= 0 then {up} else case when abs({lam} - 2) < 1e-9 then -ln(1 - {x}) else -(pow(1 - {x}, 2 - {lam}) - 1) / (2 - {lam}) end end"
+
+
+def _sigma_sql(transform: str, source: str, k: float, lam: float | None = None, refine: int = 1) -> str:
+    """source: a select of g and v."""
+    log = "ln(v)" if transform == "box_cox" else "sign(v) * ln(1 + abs(v))"
+    fits = f"select g, lam, avg(y) as mean, stddev_pop(y) as sd, -count(*) / 2.0 * ln(var_pop(y)) + (lam - 1) * sum({log}) as likely from (select g, v, lam, {_sql_power(transform, 'v', 'lam')} as y from {{rows}}) group by g, lam"
+    best = "select g, arg_max(lam, likely) as lam, arg_max(mean, likely) as mean, arg_max(sd, likely) as sd from ({fits}) group by g"
+    parts = [
+        f"src as ({source})",
+        "o as (select g, v, row_number() over (partition by g order by v) - 1 as p, count(*) over (partition by g) as n from src where v is not null)",
+        "m as (select *, case when n % 2 = 1 then round_even(n / 2.0, 0) else (n + 1) / 2.0 end as mid from o)",
+        "sh as (select 0.34::double + j * 0.025::double as s, j from range(28) t(j))",
+        "e as (select distinct g, n, j, greatest(0, ceil(mid - round_even(s * mid, 0)))::bigint as lo, least(n - 1, floor(mid + round_even(s * mid, 0)) + 1)::bigint as hi from m, sh)",
+        "f as (select e.g, e.j, e.lo, e.hi from e join o a on a.g = e.g and a.p = e.lo join o b on b.g = e.g and b.p = e.hi where b.v > a.v qualify row_number() over (partition by e.g order by e.j) = 1)",
+        "c as materialized (select o.g, o.v from o join f on o.g = f.g and o.p between f.lo and f.hi)",
+    ]
+    if lam is None:
+        parts.append(f"l0 as materialized ({best.format(fits=fits.format(rows='c, (select round(i / 10 - 2, 1)::double as lam from range(61) t(i))'))})")
+        for i in range(refine):
+            near = f"(select c.g, c.v, l.lam + j * {10.0 ** -(i + 2)}::double as lam from c join l{i} l on c.g = l.g, range(-10, 11) t(j))"
+            parts.append(f"l{i + 1} as materialized ({best.format(fits=fits.format(rows=near))})")
+        last = f"l{refine}"
+    else:
+        parts.append(f"l as ({fits.format(rows=f'c, (select {lam}::double as lam)')})")
+        last = "l"
+    return f"with {', '.join(parts)} select c.g as grp, round(min(v), 1) as low, round(max(v), 1) as high from c join {last} l on c.g = l.g where abs({_sql_power(transform, 'v', 'lam')} - mean) / sd <= {k} group by c.g"
+
+
+@R.add(_sigma_sql("yeo_johnson", "select event_type as g, value as v from events", 1.0))
 def sigma_ranges(spark, d):
     return stats.sigma_ranges(table(spark, d, "events"), "event_type", "value")
 
 
+@R.add(_sigma_sql("box_cox", "select l_returnflag as g, l_extendedprice::double as v from lineitem where l_extendedprice > 0", 1.0))
+def box_cox_ranges(spark, d):
+    return stats.sigma_ranges(table(spark, d, "lineitem"), "l_returnflag", "l_extendedprice", transform="box_cox")
+
+
+@R.add(_sigma_sql("yeo_johnson", "select l_linestatus || l_returnflag as g, (l_quantity - 25)::double as v from lineitem", 1.3, 0.5).replace("round(min(v), 1) as low, round(max(v), 1) as high", "round(min(v), 1) || ' - ' || round(max(v), 1) as years"))
+def sigma_ranges_fixed(spark, d):
+    """A given lambda, three sigmas cut to 1.3, the range as text."""
+    rows = table(spark, d, "lineitem").select(F.concat("l_linestatus", "l_returnflag").alias("flags"), (F.col("l_quantity") - 25).alias("v"))
+    return stats.sigma_ranges(rows, "flags", "v", 1.3, lam=0.5).select("grp", stats.range_text(F.col("low"), F.col("high")).alias("years"))
+
+
 @R.add("select strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') as start, event_type, count(*) as n, round(sum(value), 6) as total from events group by 1, 2")
 def windowed_counts(spark, d):
     from ..streaming import windowed_counts as counts
