@@ -2,8 +2,10 @@
 
 A window has as many words as an item, or all words of a shorter text; every start counts. Both are
 compared by their five-word shingles, weighted by their counts. The similarity grows with the number
-of shared shingles alone, and that grows only where a shingle of the item enters the window, so a walk
-over those places in order meets the best window of each text and item: exact, and linear in them.
+of shared shingles alone, and that grows only where a shingle of the item enters the window, so those
+places in order meet the best window of each text and item. Which items are judged at all is settled
+before: a text must hold one of an item's rarest shingles, and enough of all of them; what many items
+share is rare in none, and items that share the same with a text are judged once. All exact.
 
 This takes the place of SimHash fingerprints with blocks: at sampled starts they miss edited passages, and
 at every start, as tried, they cost several times what the check allows (figures in the README).
@@ -27,10 +29,10 @@ WORDS = 1 << 19
 
 
 class Index:
-    """The items' shingles, and which items hold each."""
+    """The items' shingles, and which items each leads."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
-        self.ids, self.size, self.counts = [], [], []
+        self.ids, self.size, counts = [], [], []
         self.short: dict[int, dict[int, list[int]]] = {}
         entries: list[tuple[int, int]] = []
         for item_id, text in items:
@@ -42,34 +44,54 @@ class Index:
                 self.short.setdefault(len(h), {}).setdefault(int(s[0]), []).append(item_id)
                 continue
             held = Counter(s.tolist())
-            entries += [(x, len(self.ids)) for x in held]
+            entries += [(x, len(self.ids)) for x in sorted(held)]
             self.ids.append(item_id)
             self.size.append(len(s))
-            self.counts.append(held)
-        entries.sort()
-        self.item = np.array([e[1] for e in entries], np.int64)
-        #: The items of distinct[i] are item[offset[i]:offset[i + 1]].
-        self.distinct, first = np.unique(np.array([e[0] for e in entries], np.uint64), return_index=True)
-        self.offset = np.append(first, len(entries))
+            counts.append(held)
         self.sizes = np.array(self.size, np.int64)
-
-    def best_window(self, c: int, n: int, hits: list[tuple[int, int]]) -> tuple[float, int]:
-        """(similarity, start) of the first best window, where hits are (place, shingle) of item c's shingles among the text's n."""
-        counts, size = self.counts[c], min(self.size[c], n)
-        now: Counter[int] = Counter()
-        both = most = start = left = 0
-        for place, x in hits:
-            now[x] += 1
-            both += now[x] <= counts[x]
-            at = max(0, place - size + 1)
-            while hits[left][0] < at:
-                y = hits[left][1]
-                both -= now[y] <= counts[y]
-                now[y] -= 1
-                left += 1
-            if both > most:
-                most, start = both, at
-        return most / (self.size[c] + size - most), start
+        each = np.array([e[0] for e in entries], np.uint64)
+        #: Shingles of all items, and for each item the places of its own there with their counts, item after item.
+        self.distinct, own = np.unique(each, return_inverse=True)
+        item = np.array([e[1] for e in entries], np.int64)
+        count = np.array([counts[c][x] for x, c in entries], np.int64)
+        common = np.bincount(own, minlength=len(self.distinct))
+        # The rarest first: a text within the similarity holds one of an item's leading shingles, whose counts add up to what it may miss and one more.
+        order = np.lexsort((own, common[own], item))
+        self.own, self.count, item = own[order], count[order], item[order]
+        self.begin = np.searchsorted(item, np.arange(len(self.ids) + 1))
+        before = np.cumsum(self.count) - self.count
+        before -= before[self.begin[:-1]][item] if len(item) else 0
+        lead = before <= self.sizes[item] - np.ceil(SIMILARITY * self.sizes[item] - 1e-9)
+        by = np.argsort(self.own[lead], kind="stable")
+        self.leading = item[lead][by]
+        #: The items led by distinct[i] are leading[offset[i]:offset[i + 1]].
+        self.offset = np.searchsorted(self.own[lead][by], np.arange(len(self.distinct) + 1))
+
+    def _candidates(self, here: np.ndarray, times: np.ndarray, n: int, held: np.ndarray) -> np.ndarray:
+        """The items that may reach the similarity in a text of n shingles that holds the shingles `here` so many times. held: a zero for each shingle, before and after."""
+        lo, hi = self.offset[here], self.offset[here + 1]
+        if not (hi - lo).sum():
+            return np.zeros(0, np.int64)
+        items = np.unique(self.leading[np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo) + np.arange((hi - lo).sum())])
+        held[here] = times
+        begin, end = self.begin[items], self.begin[items + 1]
+        place = np.repeat(begin - np.cumsum(end - begin) + (end - begin), end - begin) + np.arange((end - begin).sum())
+        both = np.add.reduceat(np.minimum(self.count[place], held[self.own[place]]), np.cumsum(end - begin) - (end - begin))
+        held[here] = 0
+        # No window holds more shared shingles than the text, nor than it has itself.
+        window = np.minimum(self.sizes[items], n)
+        both = np.minimum(both, window)
+        return items[both / (self.sizes[items] + window - both) >= SIMILARITY]
+
+    @staticmethod
+    def _best_end(places: list[np.ndarray], counts: np.ndarray, window: int) -> tuple[int, int]:
+        """(shared shingles, last place) of the first best window, where a shingle occurs at places[i] and counts at most counts[i] times."""
+        # An occurrence counts in windows that end from it on, until it falls out or enough later ones are in.
+        stops = [np.minimum(p + window, np.append(p[c:], np.full(min(c, len(p)), np.iinfo(np.int64).max))) for p, c in zip(places, counts)]
+        starts, stops = np.sort(np.concatenate(places)), np.sort(np.concatenate(stops))
+        both = np.arange(1, len(starts) + 1) - np.searchsorted(stops, starts, "right")
+        best = int(both.argmax())
+        return int(both[best]), int(starts[best])
 
     def search(self, texts: list[bytes]) -> list[tuple[int, int, float, int]]:
         """(text, item id, best similarity, first word of that window)."""
@@ -88,6 +110,7 @@ class Index:
         s, at = shingles(h, doc, SHINGLE)
         place = np.minimum(np.searchsorted(self.distinct, s), len(self.distinct) - 1)
         found = np.flatnonzero(self.distinct[place] == s)
+        none = np.zeros(len(self.distinct), np.int64)
         for own in np.split(found, np.flatnonzero(np.diff(doc[at[found]])) + 1):
             if not len(own):
                 continue
@@ -95,21 +118,24 @@ class Index:
             n = int(first[t + 1] - first[t]) - SHINGLE + 1
             if n < 1:
                 continue
-            # All (item, place) of this text, by item, then place; each run of words in a text gives one shingle, in order.
-            lo, hi = self.offset[place[own]], self.offset[place[own] + 1]
-            hit = np.repeat(own, hi - lo)
-            item = self.item[np.arange(len(hit)) + np.repeat(lo - np.cumsum(hi - lo) + (hi - lo), hi - lo)]
-            order = np.argsort(item, kind="stable")
-            hit, item = hit[order], item[order]
-            ends = np.append(np.flatnonzero(np.diff(item)) + 1, len(item))
-            starts = np.append(0, ends[:-1])
-            # No window holds more shared shingles than there are places, nor than it has itself.
-            size = self.sizes[item[starts]]
-            window = np.minimum(size, n)
-            most = np.minimum(ends - starts, window)
-            for g in np.flatnonzero(most / (size + window - most) >= SIMILARITY):
-                own_hits, c = hit[starts[g] : ends[g]], int(item[starts[g]])
-                sim, start = self.best_window(c, n, list(zip((at[own_hits] - first[t]).tolist(), s[own_hits].tolist())))
+            # A text's occurrences by shingle, each in order; each run of words gives one shingle.
+            by = np.argsort(place[own], kind="stable")
+            here, begin = np.unique(place[own][by], return_index=True)
+            spots = np.split(at[own][by] - first[t], begin[1:])
+            items = self._candidates(here, np.diff(np.append(begin, len(by))), n, none)
+            judged: dict[bytes, tuple[float, int]] = {}
+            for c in items.tolist():
+                mine, most = (x[self.begin[c] : self.begin[c + 1]] for x in (self.own, self.count))
+                k = np.minimum(np.searchsorted(here, mine), len(here) - 1)
+                held = here[k] == mine
+                k, most = k[held], most[held]
+                # Items of one size that share the same shingles with the text are judged once.
+                alike = np.concatenate([[self.size[c]], k, most]).tobytes()
+                if alike not in judged:
+                    window = min(self.size[c], n)
+                    both, end = self._best_end([spots[i] for i in k.tolist()], most, window)
+                    judged[alike] = both / (self.size[c] + window - both), max(0, end - window + 1)
+                sim, start = judged[alike]
                 key = (t, self.ids[c])
                 if sim >= SIMILARITY and sim > best.get(key, (0.0, 0))[0]:
                     best[key] = sim, start
