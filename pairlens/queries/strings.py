@@ -194,3 +194,12 @@ def tokens_top(spark, d):
 def title_reconciliation(spark, d):
     n, m = F.col("c_name"), F.col("c_mktsegment")
     return table(spark, d, "customer").select("c_custkey", F.when(F.contains(F.lower(n), F.lower(m)) | (F.trim(m) == ""), n).otherwise(F.concat_ws(". ", n, m)).alias("coupled"))
+
+
+@R.add("""select p_partkey, p_name || ' quickly sell experienced seller' as lemmas from part""")
+def kept_lemmas(spark, d):
+    """Lemmas of the content words of a sentence about each part."""
+    from ..functions.lemmas import kept_lemmas as kept
+
+    words = F.split(F.concat(F.lit("the "), "p_name", F.lit("s are quickly sold by experienced sellers")), " ")
+    return table(spark, d, "part").select("p_partkey", F.array_join(kept(words), " ").alias("lemmas"))
