@@ -1,8 +1,9 @@
 """Secret scan by assignment-aware lexing.
 
 Source and configuration syntax is lexed into (name, expression) pairs: `name = "x"`, `name: x`,
-`"name": "x"`, `export NAME=x`, `name := x`, `name => x` and `<name>x</name>`. String constants are propagated: a name
-assigned to another name, or to a concatenation of literals and names, takes the literals that it
+`"name": "x"`, `export NAME=x`, `name := x`, `name => x`, `name: Type = "x"`, `a = b = "x"`, `name = f("x")`,
+`#define NAME x` and `<name>x</name>`, with strings in any of three quotation marks and their escapes. String
+constants are propagated: a name assigned to another name, or to a concatenation of literals and names, takes the literals that it
 stands for, however many: the references between assignments are kept as a graph, and each assignment
 takes the greatest weight of a name that leads to it. A name stands for its last assignment before, or
 where there is none for the first after. Each literal is scored by how sensitive the names are that it
@@ -20,7 +21,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import table
+from .common import byte_chunks, table
 
 # The base patterns, and the least lengths that a match needs.
 ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -37,12 +38,23 @@ NAME_WEIGHTS = {
 SENSITIVE, LEAST_LITERAL, LEAST_SCORE = 0.5, 8, 1.2
 
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
+#: A string in quotation marks of one kind, with escapes; a call with strings and names; a bare value.
+_STRING = r"""(?:"(?:[^"\\\n]|\\.)*+"|'(?:[^'\\\n]|\\.)*+'|`(?:[^`\\\n]|\\.)*+`)"""
+_CALL = rf"""(?:[A-Za-z_$][\w.$]*+\((?:{_STRING}|[^()"'`\n])*+\))"""
+_BARE = r"[A-Za-z0-9_$./+=-]+"
+_BLANK = r"[\x20\t]*"
 _PAIR = re.compile(
-    r"""["']?(?<![\w.$-])(?P<name>[A-Za-z_$][\w.$-]*+)["']?[\x20\t]*(?::=|=>|[:=](?![=:]))[\x20\t]*"""
-    r"""(?P<value>(?:"[^"\n]*"|'[^'\n]*'|[A-Za-z0-9_$./+=-]+)(?:[\x20\t]*\+[\x20\t]*(?:"[^"\n]*"|'[^'\n]*'|[A-Za-z_$][\w.$]*))*)"""
-    r"""|<(?P<tag>[A-Za-z_][\w.-]*+)>(?P<body>[^<>\n]+)</(?P=tag)>"""
+    # A name with a type takes a string or a call alone: `host: name=x` is none.
+    rf"""["']?(?<![\w.$-])(?P<name>[A-Za-z_$][\w.$]*+(?:-[\w.$]++)*+)["']?(?:{_BLANK}:{_BLANK}[A-Za-z_&*][\w.$&*?]*+(?:[<\[][^<>\[\]\n=]{{0,80}}[>\]])?{_BLANK}={_BLANK}(?={_STRING}|{_CALL})|{_BLANK}(?::=|=>|[:=](?![=:])){_BLANK})"""
+    rf"""(?P<value>(?:{_STRING}|{_CALL}|{_BARE})(?:{_BLANK}\+{_BLANK}(?:{_STRING}|{_CALL}|[A-Za-z_$][\w.$]*))*)"""
+    rf"""|\#{_BLANK}define[\x20\t]+(?P<macro>\w+)[\x20\t]+(?P<body>{_STRING}|{_BARE})"""
+    r"""|<(?P<tag>[A-Za-z_][\w.-]*+)>(?P<text>[^<>\n]+)</(?P=tag)>"""
 )
-_TERM = re.compile(r""""(?P<d>[^"\n]*)"|'(?P<s>[^'\n]*)'|(?P<w>[A-Za-z0-9_$./=-]+)""")
+_TERM = re.compile(r""""(?P<d>(?:[^"\\\n]|\\.)*+)"|'(?P<s>(?:[^'\\\n]|\\.)*+)'|`(?P<b>(?:[^`\\\n]|\\.)*+)`|(?P<w>[A-Za-z0-9_$./=-]++)(?!\()""")
+#: What is itself a target, as in `a = b = "x"`.
+_CHAIN = re.compile(rf"""(?P<next>[A-Za-z_$][\w.$]*+){_BLANK}={_BLANK}(?:[A-Za-z_$][\w.$]*+{_BLANK}={_BLANK})*+["'`]""")
+#: Words that a call takes as the name of something.
+_WORDS = re.compile(r"[A-Za-z]+(?:[_.-][A-Za-z]+)*\Z")
 _NAME = re.compile(r"[A-Za-z_$][\w.$]*\Z", re.A)
 
 
@@ -75,21 +87,28 @@ def literal_spans(text: str) -> list[tuple[int, int, int]]:
     weights: list[float] = []
     known: dict[str, int] = {}
     waiting: dict[str, list[tuple[int, tuple[int, int]]]] = {}
-    for m in _PAIR.finditer(text):
-        reach, nodes, node = [], [], len(own)
+    at = 0
+    while m := _PAIR.search(text, at):
+        reach, nodes, node, at = [], [], len(own), m.end()
         if m["tag"]:
             name = m["tag"]
-            reach.append(m.span("body"))
-        else:
+            reach.append(m.span("text"))
+        elif m["name"] and (chain := _CHAIN.match(text, m.start("value"))):
+            # The next target is read as a name of its own, and this one stands for it.
             name, at = m["name"], m.start("value")
-            for t in _TERM.finditer(m["value"]):
-                quoted = "d" if t["d"] is not None else "s" if t["s"] is not None else ""
+            waiting.setdefault(chain["next"], []).append((node, chain.span("next")))
+        else:
+            name, value = (m["name"], "value") if m["name"] else (m["macro"], "body")
+            begin = m.start(value)
+            for t in _TERM.finditer(m[value]):
+                quoted = next((q for q in "dsb" if t[q] is not None), "")
                 if quoted:
-                    reach.append((at + t.start(quoted), at + t.end(quoted)))
+                    if "(" not in m[value][: t.start()] or not _WORDS.match(t[quoted]):
+                        reach.append((begin + t.start(quoted), begin + t.end(quoted)))
                 elif t["w"] in known:
                     nodes.append(known[t["w"]])
                 else:
-                    waiting.setdefault(t["w"], []).append((node, (at + t.start(), at + t.end())))
+                    waiting.setdefault(t["w"], []).append((node, (begin + t.start(), begin + t.end())))
         for other, _ in waiting.pop(name, ()):
             if other != node:
                 refers[other].append(node)
@@ -129,10 +148,9 @@ def _written(spans: list[tuple[int, int, int]]) -> str:
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows: list[tuple] = []
-        for text in batch.column(1).to_pylist():
-            text = text or ""
+        for text in (t.decode() for _, texts in byte_chunks(batch.column(1)) for t in texts):
             base = base_spans(text)
-            own = literal_spans(text) if "=" in text or ":" in text or "</" in text else []
+            own = literal_spans(text) if "=" in text or ":" in text or "</" in text or "#" in text else []
             covered = {(a, b) for a, _, b in base}
             spans = sorted(base + [x for x in own if (x[0], x[2]) not in covered])
             n = [sum(k == i for _, k, _ in base) for i in range(3)]
