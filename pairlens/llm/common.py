@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import tempfile
 from collections.abc import Iterator
 from contextlib import suppress
 
@@ -12,22 +11,16 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.relational import written
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write df to the shared checkpoint folder and return a frame that reads it back.
-
-    The folder is the session's spark.checkpoint.dir. Only where that is unset (tests, a single
-    machine) a temporary folder is made and set. A lost executor does not lose the data, and Spark
-    removes the files when the frame is no longer referenced (if its cleaner is told to).
-    """
-    context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="pairlens-"))
-    return df.checkpoint(eager=True)
+    """Write df to the shared checkpoint folder and return a frame that reads it back, see written: a lost executor does not lose the data."""
+    return written(df)
 
 
 #: Bytes of text that a Python worker has in hand at once; at least one text.

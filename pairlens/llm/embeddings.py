@@ -27,6 +27,8 @@ AXES = 8
 KEYS = 3
 #: Vectors of an interval, and of the bottom of the recursion.
 INTERVAL, LEAF = 2048, 128
+#: Components beyond which axes are sought among FEW random directions, and components that are held as doubles at once.
+WIDE, FEW, CELLS = 512, 32, 1 << 22
 #: How near to the threshold a product of unit vectors is computed again from the raw ones.
 CLOSE = 1e-9
 
@@ -42,52 +44,85 @@ def _matrix(column: pa.Array, dim: int) -> np.ndarray:
     return out
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows divided by a power of two near their greatest component: the same directions, exactly, and squares that neither overflow nor vanish."""
+    if not x.size:
+        return x
+    _, exponent = np.frexp(np.abs(x).max(axis=1, keepdims=True))
+    half = exponent // 2  # in two steps: one power might itself be out of range
+    return np.ldexp(np.ldexp(x, -half), half - exponent)
+
+
+def _units_of(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
+    return x / np.linalg.norm(x, axis=1, keepdims=True) if len(x) else x
+
+
 def _usable(vectors: DataFrame) -> DataFrame:
     finite = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf"))))
     return vectors.where(F.col("label").isNotNull() & F.col("embedding").isNotNull()).where(finite & F.exists("embedding", lambda x: x != 0))
 
 
 def _axes(vectors: DataFrame, dim: int) -> np.ndarray:
-    """Principal axes (columns, leading first) of the unit vectors, from sums over all rows: dim * dim numbers reach the driver."""
+    """Orthogonal axes (columns) that the unit vectors spread along, leading first.
+
+    Up to WIDE components these are the principal axes, from sums over all rows; dim * dim numbers reach the
+    driver. Longer vectors are first thrown on FEW random directions, whose principal axes then are taken:
+    any orthogonal axes give right boxes, as a projection never lengthens a distance.
+    """
+    width = dim if dim <= WIDE else FEW
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((dim + 1, dim + 1))
+        total, base = np.zeros((width + 1, width + 1)), _random_axes(dim) if dim > WIDE else None
         for batch in batches:
-            x = _matrix(batch.column(0), dim)
-            if len(x):
-                u = np.hstack([x / np.linalg.norm(x, axis=1, keepdims=True), np.ones((len(x), 1))])
+            for x in _slices(batch.column(0), dim):
+                u = _units_of(x)
+                u = np.hstack([u if base is None else u @ base, np.ones((len(x), 1))])
                 total += u.T @ u
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["i", "x"])
 
     rows = vectors.select("embedding").mapInArrow(sums, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
-    total = np.zeros((dim + 1) ** 2)
+    total = np.zeros((width + 1) ** 2)
     for r in rows:
         total[r["i"]] = r["x"]
-    total = total.reshape(dim + 1, dim + 1)
-    n = max(total[dim, dim], 1.0)
-    mean = total[dim, :dim] / n
-    _, axes = np.linalg.eigh(total[:dim, :dim] / n - np.outer(mean, mean))
-    return axes[:, ::-1]
+    total = total.reshape(width + 1, width + 1)
+    n = max(total[width, width], 1.0)
+    mean = total[width, :width] / n
+    _, axes = np.linalg.eigh(total[:width, :width] / n - np.outer(mean, mean))
+    lead = axes[:, ::-1][:, :AXES]
+    return _random_axes(dim) @ lead if dim > WIDE else lead
+
+
+def _random_axes(dim: int) -> np.ndarray:
+    """FEW orthogonal directions in dim dimensions, the same each time."""
+    q, _ = np.linalg.qr(np.random.default_rng(dim).standard_normal((dim, FEW)))
+    return q
+
+
+def _slices(column: pa.Array, dim: int) -> Iterator[np.ndarray]:
+    """Vectors as doubles, a bounded number of components at a time and at least one vector."""
+    step = max(1, CELLS // max(dim, 1))
+    for at in range(0, len(column), step):
+        yield _matrix(column.slice(at, step), dim)
 
 
 def _gridder(axes: np.ndarray, eps: float) -> Callable:
     """Adds the cells on the leading axes."""
-    lead = axes[:, :AXES]
+    lead = axes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = _matrix(batch.column(1), len(axes))
-            y = x / np.linalg.norm(x, axis=1, keepdims=True) @ lead if len(x) else np.zeros((0, lead.shape[1]))
+            y = np.concatenate([np.zeros((0, lead.shape[1])), *(_units_of(x) @ lead for x in _slices(batch.column(1), len(axes)))])
             cells = np.floor(y / eps).astype(np.int32)
-            arrays = [*batch.columns, pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * lead.shape[1], pa.int32()), pa.array(cells.ravel(), pa.int32()))]
+            arrays = [*batch.columns, pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1) * lead.shape[1], pa.int32()), pa.array(cells.ravel(), pa.int32()))]
             yield pa.RecordBatch.from_arrays(arrays, names=[*batch.schema.names, "cells"])
 
     return run
 
 
-def _cutter(axes: np.ndarray) -> Callable:
+def _cutter(axes: np.ndarray, interval: int) -> Callable:
     """Sorted rows (node, embedding, group, copies, cells) to the same with an interval id, and the intervals' boxes on their last rows."""
-    lead = axes[:, :AXES]
+    lead = axes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -96,10 +131,9 @@ def _cutter(axes: np.ndarray) -> Callable:
 
         def done() -> pa.RecordBatch:
             t = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            x = _matrix(t.column(1), len(axes))
-            y = x / np.linalg.norm(x, axis=1, keepdims=True) @ lead
+            y = np.concatenate([_units_of(x) @ lead for x in _slices(t.column(1), len(axes))])
             box = np.concatenate([y.min(0), y.max(0)])
-            n = len(x)
+            n = len(y)
             offsets = np.zeros(n + 1, np.int32)
             offsets[-1] = len(box)
             ids = np.full(n, (part << 32) + seq, np.int64)
@@ -110,10 +144,10 @@ def _cutter(axes: np.ndarray) -> Callable:
             at = 0
             while at < len(labels):
                 same = at + int(np.argmin(np.append(labels[at:] == labels[at], False)))
-                room = INTERVAL - sum(map(len, held))
+                room = interval - sum(map(len, held))
                 if held and (labels[at] != label or not room):
                     yield done()
-                    seq, held, room = seq + 1, [], INTERVAL
+                    seq, held, room = seq + 1, [], interval
                 label, end = labels[at], min(same, at + room)
                 held.append(batch.slice(at, end - at))
                 at = end
@@ -134,10 +168,12 @@ class _Join:
     """Counts links and finds trees of links between two sorted intervals, or within one."""
 
     def __init__(self, x: np.ndarray, copies: np.ndarray, axes: np.ndarray, threshold: float) -> None:
+        # A power of two changes no cosine.
+        x = _scaled(x)
         self.x, self.copies, self.threshold = x, copies, threshold
         self.norm = np.linalg.norm(x, axis=1)
         self.u = x / self.norm[:, None]
-        self.y = self.u @ axes[:, :AXES]
+        self.y = self.u @ axes
         self.eps = float(np.sqrt(2 - 2 * threshold))
         self.links = np.zeros(len(x), np.int64)
         self.root = np.arange(len(x))
@@ -251,8 +287,10 @@ def _links(nodes: DataFrame, dim: int, threshold: float) -> DataFrame:
     eps = float(np.sqrt(2 - 2 * threshold))
     gridded = nodes.mapInArrow(_gridder(axes, eps), "node long, embedding array<double>, group long, copies long, cells array<int>")
     ordered = gridded.repartitionByRange("group", "cells", "node").sortWithinPartitions("group", "cells", "node")
+    # Long vectors make shorter intervals: two of them are in one task's hands.
+    interval = max(1, min(INTERVAL, CELLS // dim))
     # Range boundaries are drawn from a sample, so what was cut is kept.
-    cuts = cut(ordered.mapInArrow(_cutter(axes), "node long, embedding array<double>, group long, copies long, interval long, box array<double>"))
+    cuts = cut(ordered.mapInArrow(_cutter(axes, interval), "node long, embedding array<double>, group long, copies long, interval long, box array<double>"))
     units = cut(_units(cuts, min(AXES, dim), eps))
     sides = units.select("a", "b", F.col("a").alias("interval"), F.lit(False).alias("second")).union(units.where("a <> b").select("a", "b", F.col("b").alias("interval"), F.lit(True).alias("second")))
     placed = cuts.select("interval", "node", "embedding", "copies").withColumn("place", F.monotonically_increasing_id())
@@ -266,7 +304,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     One row for each row: vec_id, n_links (other rows linked directly), component_id (smallest vec_id
     that links reach), kept (vec_id is component_id). A null label, and a vector that is null, empty,
     all zeros, or holds null, NaN or infinite components, links with nothing, and vectors of different
-    lengths do not link. Equal vectors of a label are one node with a number of copies, told apart by 128
+    lengths do not link. Components of any finite size count, and vectors of any length. Equal vectors of a label are one node with a number of copies, told apart by 128
     bits of hashes. A null vec_id takes part but is never the smallest; where a component has none other, component_id is null
     and kept is true. Other columns are ignored; an empty table gives no rows.
     """

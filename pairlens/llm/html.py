@@ -85,7 +85,9 @@ class _Markup:
 class Page:
     """Elements in document order; texts as (element, text), with None where a block begins or ends."""
 
-    def __init__(self, source: str) -> None:
+    def __init__(self, source: str, poor: set[str] = AGAINST) -> None:
+        """poor: attribute tokens that speak against an element, which against counts."""
+        self.poor = poor
         self.tag, self.parent, self.against, self.good = ["html"], [-1], [0], [0]
         self.texts: list[tuple[int, str | None]] = []
         #: Elements that are open, and for each name where it stands among them.
@@ -139,7 +141,7 @@ class Page:
         tokens = {t.lower() for a in _ATTR.finditer(attrs) for t in _TOKEN.findall(a[2] or a[3] or a[4] or "")}
         self.tag.append(name)
         self.parent.append(self.stack[-1])
-        self.against.append(len(tokens & AGAINST))
+        self.against.append(len(tokens & self.poor))
         self.good.append(len(tokens & FOR))
         places[name].append(len(self.stack))
         self.stack.append(len(self.tag) - 1)
@@ -380,16 +382,8 @@ def made_up_page(rng: random.Random) -> str:
 
 def _labels(source: str) -> tuple[Page, np.ndarray]:
     """A made-up page and which of its elements are in."""
-    marked = re.sub(r" data-in", ' role="zzin"', source)
-    global AGAINST
-    kept, page = AGAINST, None
-    AGAINST = {"zzin"}
-    try:
-        page = Page(marked)
-    finally:
-        AGAINST = kept
-    y = np.array(page.against, float)
-    return Page(source), y
+    marked = Page(re.sub(r" data-in", ' role="zzin"', source), {"zzin"})
+    return Page(source), np.array(marked.against, float)
 
 
 def trained(pages: int = 250, seed: int = 7) -> Trees:
@@ -411,7 +405,8 @@ def extract(pages: DataFrame, trees: Trees | None = None) -> DataFrame:
     """Main text of the whole html of pages(page_id, url, html, ...), one row for each row.
 
     Returns page_id, url, text (blocks joined by newlines, white space in a block as one space) and n_chars (code points). A null or empty html, and one
-    without main content, gives an empty text. Null ids and urls stay null; repeated rows give repeated results; other columns are ignored.
+    without main content, gives an empty text. After a tag of over LONG characters that does not end, quotation
+    marks no longer keep what follows in that page together, which keeps time linear. Null ids and urls stay null; repeated rows give repeated results; other columns are ignored.
     """
     trees = trees or trained()
 
