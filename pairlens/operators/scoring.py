@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -206,16 +206,69 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
     return sorted((b, a) if flipped else (a, b) for a, b in pairs)
 
 
+def _assigned(k: int, left: np.ndarray, right: np.ndarray, score: np.ndarray) -> tuple:
+    """(k, l, r, s) of a key's matching; pairs without a score count 0."""
+    (ls, at), (rs, to) = np.unique(left, return_inverse=True), np.unique(right, return_inverse=True)
+    grid = np.zeros((len(ls), len(rs)))
+    grid[at, to] = score
+    pairs = assign(-grid)
+    return [k] * len(pairs), [ls[a] for a, _ in pairs], [rs[b] for _, b in pairs], [grid[a, b] for a, b in pairs]
+
+
 def optimal_assignment(df: DataFrame, key: str, left: str, right: str, score: str) -> DataFrame:
-    """(key, left, right, score): the matching of left and right items of greatest total mean score in each group."""
-    mean = df.groupBy(key, left, right).agg(F.avg(score).alias("s")).select(F.col(key).cast("long").alias("k"), F.col(left).cast("string").alias("l"), F.col(right).cast("string").alias("r"), "s")
+    """(key, left, right, score): the matching of left and right items of greatest total mean score in each group.
+
+    A task goes through many keys, one after another, and holds one key's grid; for lists of very many
+    items with scores by distance see sorted_assignment.
+    """
+    rows = df.select(F.col(key).cast("long").alias("k"), F.col(left).cast("string").alias("l"), F.col(right).cast("string").alias("r"), F.col(score).cast("double").alias("s"))
+    mean = rows.where("l is not null and r is not null").repartition("k").groupBy("k", "l", "r").agg(F.avg("s").alias("s"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def done(parts: list[pd.DataFrame]) -> pd.DataFrame:
+            every = pd.concat(parts)
+            k, l, r, s = (every[c].to_numpy() for c in "klrs")
+            out: tuple[list, ...] = ([], [], [], [])
+            ends = np.append(np.flatnonzero(np.diff(k)) + 1, len(k))
+            for a, b in zip(np.append(0, ends[:-1]), ends):
+                for to, made in zip(out, _assigned(int(k[a]), l[a:b].astype(str), r[a:b].astype(str), np.nan_to_num(s[a:b].astype(float)))):
+                    to += made
+            return pd.DataFrame(dict(zip("klrs", out)))
+
+        for pdf in batches:
+            # The last key of a batch may go on in the next.
+            last = int(np.searchsorted(pdf.k.to_numpy(), pdf.k.iloc[-1])) if len(pdf) else 0
+            if last and (whole := [*held, pdf.iloc[:last]]):
+                yield done(whole)
+                held = []
+            elif held and len(pdf) and held[-1].k.iloc[-1] != pdf.k.iloc[0]:
+                yield done(held)
+                held = []
+            held.append(pdf.iloc[last:])
+        if held and sum(map(len, held)):
+            yield done(held)
+
+    return mean.where("k is not null").sortWithinPartitions("k").mapInPandas(run, "k long, l string, r string, s double")
+
+
+def sorted_assignment(left: DataFrame, right: DataFrame, key: str, item: str, value: str) -> DataFrame:
+    """(key, left, right, a, b): the matching of each key's left and right items (key, item, value) whose values lie nearest in total, for any cost that grows ever faster, or evenly, with their distance.
+
+    That is the least with the least, and so on. Items are numbered by ranges of the order of all keys, so that
+    no key is one task's work. Both sides of a key should have as many items; what is over has no partner.
+    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        grid = pdf.pivot(index="l", columns="r", values="s").fillna(0.0).sort_index().sort_index(axis=1)
-        rows = [(int(pdf.k.iloc[0]), grid.index[a], grid.columns[b], float(grid.iat[a, b])) for a, b in assign(-grid.to_numpy())]
-        return pd.DataFrame(rows, columns=["k", "l", "r", "s"])
+    def numbered(df: DataFrame, name: str) -> DataFrame:
+        rows = df.where(F.col(key).isNotNull() & F.col(value).isNotNull()).select(F.col(key).alias(f"{name}k"), F.col(item).alias(f"{name}i"), F.col(value).cast("double").alias(f"{name}v"))
+        placed = global_places(rows, [F.col(f"{name}k"), F.col(f"{name}v"), F.col(f"{name}i")], f"{name}p")
+        first = placed.groupBy(F.col(f"{name}k").alias(f"{name}f")).agg(F.min(f"{name}p").alias(f"{name}0"))
+        return placed.join(first, F.col(f"{name}k") == F.col(f"{name}f")).withColumn(f"{name}p", F.col(f"{name}p") - F.col(f"{name}0"))
 
-    return mean.groupBy("k").applyInPandas(run, "k long, l string, r string, s double")
+    a, b = numbered(left, "a"), numbered(right, "b")
+    both = a.join(b, (F.col("ak") == F.col("bk")) & (F.col("ap") == F.col("bp")))
+    return both.select(F.col("ak").alias(key), F.col("ai").alias("left"), F.col("bi").alias("right"), F.col("av").alias("a"), F.col("bv").alias("b"))
 
 
 def logistic_confidence(actual: np.ndarray, shuffled: np.ndarray, at: float, rounds: int = 50) -> float:

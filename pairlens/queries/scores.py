@@ -39,6 +39,19 @@ def overlap_turns(spark, d):
     return scoring.left_overlap(_turns(spark, d), "id", "l", "r").select("id", F.round("score", 6).alias("score"), "n_elem")
 
 
+def _scaled_overlap(scale: str, sql: str) -> None:
+    """The overlap with another scaling of counts."""
+
+    def run(spark, d):
+        return scoring.left_overlap(_turns(spark, d), "id", "l", "r", scale).select("id", F.round("score", 6).alias("score"), "n_elem")
+
+    QUERIES[f"overlap_{scale}"], SQL[f"overlap_{scale}"] = run, _OVERLAP.replace("sqrt(count(*))", sql)
+
+
+for _name, _sql in (("identity", "count(*)::double"), ("fourth_root", "pow(count(*), 0.25)"), ("one_hot", "1.0::double")):
+    _scaled_overlap(_name, _sql)
+
+
 @R.add("""select a.vec_id, round(list_dot_product(a.embedding::double[], b.embedding::double[]) / sqrt(list_dot_product(a.embedding::double[], a.embedding::double[])) / sqrt(list_dot_product(b.embedding::double[], b.embedding::double[])), 6) as score
 from embeddings a join embeddings b on b.vec_id = a.vec_id + 1""")
 def cosine_pairs(spark, d):
@@ -210,6 +223,14 @@ def assign_optimal(spark, d):
     return best.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("s"), 4).alias("total"))
 
 
+@R.add(_ASSIGNED + "select a.k, count(*) as n, round(sum(-(x - y) * (x - y)), 4) as total from a join b on a.k = b.k and a.r = b.r group by 1")
+def assign_sorted(spark, d):
+    """The same matching by the order of both lists, without pairs."""
+    o = table(spark, d, "orders").select(F.col("o_custkey").alias("k"), F.col("o_orderkey").alias("id"), (F.col("o_totalprice").cast("double") / 1e5).alias("x"), ((F.col("o_orderkey") * 7919) % 1000 / 200.0).alias("y"))
+    best = scoring.sorted_assignment(o.select("k", "id", F.col("x").alias("v")), o.select("k", "id", F.col("y").alias("v")), "k", "id", "v")
+    return best.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(-((F.col("a") - F.col("b")) ** 2)), 4).alias("total"))
+
+
 @R.add("select c.c_custkey, round(coalesce(quantile_cont(o.o_totalprice::double, .8), 0.0), 4) as score from customer c left join orders o on o.o_custkey = c.c_custkey group by 1")
 def assigned_quantile(spark, d):
     o = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), F.col("o_totalprice").cast("double").alias("s"))
