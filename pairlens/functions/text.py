@@ -236,3 +236,9 @@ def fixed_lemmas(words: Column, lemmas: dict[str, str]) -> Column:
 def without_stop_words(words: Column, stop: list[str]) -> Column:
     held = F.array(*map(F.lit, stop)).cast("array<string>")
     return F.filter(words, lambda w: ~F.array_contains(held, w))
+
+
+def years_from_text(text: Column, most: float, units: int = 1) -> Column:
+    """Years of a text that gives a number of units, so many of them in a year, or NOT FOUND: cut to -1 and most; -1, as NOT FOUND is taken, becomes null."""
+    number = F.when(text == "NOT FOUND", F.lit(-float(units))).otherwise(text.cast("double")) / units
+    return F.nullif(F.greatest(F.lit(-1.0), F.least(F.lit(float(most)), number)), F.lit(-1.0))

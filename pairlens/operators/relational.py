@@ -163,6 +163,12 @@ def global_places(df: DataFrame, order: list[Column], out: str) -> DataFrame:
     return running_total(df.withColumn("__one", F.lit(1).cast("long")), order, "__one", out).drop("__one")
 
 
+def outer_by_key(frames: dict[str, DataFrame], key: str, value: str, suffix: str, missing: str = "") -> DataFrame:
+    """(key, name_suffix, ...): the value column of each frame(key, value) side by side, every key of any of them, `missing` where a frame has none. Chained full outer joins."""
+    parts = [df.select(key, F.col(value).alias(f"{name}_{suffix}")) for name, df in frames.items()]
+    return reduce(lambda a, b: a.join(b, key, "full"), parts).fillna(missing)
+
+
 def n_splits(rows: int, n_jobs: int, chunk: float, least: int, cores: int) -> int:
     """Chunks for a frame of so many rows: a whole chunk counts rows, a fraction counts chunks for each job."""
     jobs = cores + 1 + n_jobs if n_jobs < 0 else n_jobs

@@ -4,6 +4,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import relational as rel
+from ..operators.stats import range_text
 from ..sources import table
 from .base import Registry
 
@@ -52,6 +53,16 @@ def tag_outer(spark, d):
     return table(spark, d, "events").groupBy("user_id").agg(n("click").alias("click"), n("view").alias("view"), F.count(F.lit(1)).alias("n"))
 
 
+@R.add("""with r as (select event_type as family, user_id as tag, round(min(value), 1) || ' - ' || round(max(value), 1) as years from events where event_id % 5 = 0 group by 1, 2)
+select tag, coalesce(max(years) filter (where family = 'click'), '') as click_range, coalesce(max(years) filter (where family = 'view'), '') as view_range, coalesce(max(years) filter (where family = 'purchase'), '') as purchase_range from r where family in ('click', 'view', 'purchase') group by 1""")
+def tag_ranges(spark, d):
+    """The range of each family by tag, side by side by chained full outer joins."""
+    e = table(spark, d, "events").where("event_id % 5 = 0")
+    ranges = e.groupBy("event_type", F.col("user_id").alias("tag")).agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
+    ranges = ranges.select("event_type", "tag", range_text(F.round("lo", 1), F.round("hi", 1)).alias("years"))
+    return rel.outer_by_key({k: ranges.where(F.col("event_type") == k).select("tag", "years") for k in ("click", "view", "purchase")}, "tag", "years", "range")
+
+
 @R.add("select c_custkey from customer where c_custkey in (select o_custkey from orders where o_totalprice > 100000)")
 def semi_join(spark, d):
     o = table(spark, d, "orders").where("o_totalprice > 100000")

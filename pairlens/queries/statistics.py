@@ -3,6 +3,7 @@
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ..functions.text import years_from_text
 from ..operators import stats
 from ..sources import table
 from .base import Registry
@@ -108,6 +109,19 @@ def experience_merge(spark, d):
     return y.select("event_id", F.round((F.col("a") + F.col("b")) / 2, 6).alias("years"), (F.col("a") >= F.col("b")).cast("int").alias("meets"), F.round(F.col("a") - F.col("b"), 6).alias("diff"))
 
 
+@R.add("""with t as (select event_id, case when value < 20 then 'NOT FOUND' else floor(value)::int::varchar end as a, case when event_id % 3 = 0 then 'NOT FOUND' else (event_id % 300)::varchar end as b from events),
+n as (select event_id, replace(a, 'NOT FOUND', '-1')::double as a, replace(b, 'NOT FOUND', '-12')::double / 12 as b from t), c as (select event_id, nullif(greatest(-1, least(25, a)), -1) as a, nullif(greatest(-1, least(15, b)), -1) as b from n),
+f as (select event_id, coalesce(a, b) as a, coalesce(b, a) as b from c) select event_id, round(a, 6) as a, round(b, 6) as b, round((a + b) / 2, 6) as years from f""")
+def experience_text(spark, d):
+    """Years of experience from two texts that may say NOT FOUND, one of them in months."""
+    e = table(spark, d, "events")
+    a = F.when(F.col("value") < 20, "NOT FOUND").otherwise(F.floor("value").cast("string"))
+    b = F.when(F.col("event_id") % 3 == 0, "NOT FOUND").otherwise((F.col("event_id") % 300).cast("string"))
+    c = e.select("event_id", years_from_text(a, 25).alias("x"), years_from_text(b, 15, 12).alias("y"))
+    f = c.select("event_id", F.coalesce("x", "y").alias("a"), F.coalesce("y", "x").alias("b"))
+    return f.select("event_id", F.round("a", 6).alias("a"), F.round("b", 6).alias("b"), F.round((F.col("a") + F.col("b")) / 2, 6).alias("years"))
+
+
 @R.add("select l_returnflag, l_linestatus, sum(l_quantity)::double as sum_qty, round(avg(l_extendedprice), 4) as avg_price, count(*) as n from lineitem where l_shipdate <= date '1998-09-02' group by 1, 2")
 def group_mean(spark, d):
     return table(spark, d, "lineitem").where("l_shipdate <= date '1998-09-02'").groupBy("l_returnflag", "l_linestatus").agg(F.sum(F.col("l_quantity").cast("double")).alias("sum_qty"), F.round(F.avg("l_extendedprice"), 4).alias("avg_price"), F.count(F.lit(1)).alias("n"))
