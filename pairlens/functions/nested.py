@@ -58,8 +58,16 @@ def joined_values(text: Column, key: str) -> Column:
 
 
 def key_columns(text: Column, keys: dict[str, str], prefix: str) -> list[Column]:
-    """Columns prefix_name with the first value of each key."""
-    return [first_value(text, key).alias(f"{prefix}_{name}") for name, key in keys.items()]
+    """Columns prefix_name with the first value of each key; see first_value. A document is parsed once for all keys."""
+
+    @F.pandas_udf(StructType([StructField(name, StringType()) for name in keys]))
+    def run(texts: pd.Series) -> pd.DataFrame:
+        docs = [_loaded(t) for t in texts]
+        return pd.DataFrame({name: pd.Series([next(map(_text, find(d, key)), None) for d in docs], dtype=object) for name, key in keys.items()})
+
+    found = run(text)
+    held = {name: F.coalesce(found[name], F.lit("")) for name in keys}
+    return [F.when(v == "NA", "").otherwise(v).alias(f"{prefix}_{name}") for name, v in held.items()]
 
 
 # Where the two kinds of documents keep a title's parts.

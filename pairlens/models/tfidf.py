@@ -69,7 +69,8 @@ class PairCosines:
 
     def _cosines(self, cleaned: DataFrame, key: str) -> DataFrame:
         """(key, score_0, score_1, ...)."""
-        weights = self._weights(cleaned, key)
+        # Written once: each pair takes its two columns from it.
+        weights = written(self._weights(cleaned, key))
         name = lambda c: F.concat_ws("\x01", F.col(key).cast("string"), F.lit(c))
         out = cleaned.select(key)
         for k, (a, b) in enumerate(self.pairs):

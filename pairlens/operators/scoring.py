@@ -76,21 +76,24 @@ def phrases(docs: DataFrame, words: str, min_count: int = 5, threshold: float =
     Pairs of words and, with an empty second word, words alone are counted in one pass over the texts. Only frequent pairs meet
     the words' counts.
     """
-    following = lambda i: F.coalesce(F.get(words, i + 1), F.lit(""))
-    both = F.flatten(F.transform(words, lambda w, i: F.when(i + 1 < F.size(words), F.array(F.struct(w.alias("a"), F.lit("").alias("b")), F.struct(w.alias("a"), following(i).alias("b")))).otherwise(F.array(F.struct(w.alias("a"), F.lit("").alias("b"))))))
+    size = F.size(words)
+    neighbours = F.arrays_zip(F.slice(words, F.lit(1), F.greatest(size - 1, F.lit(0))), F.slice(words, F.lit(2), F.greatest(size - 1, F.lit(0))))
+    alone = F.arrays_zip(F.col(words), F.array_repeat(F.lit(""), size))
+    both = F.concat(*(x.cast("array<struct<a: string, b: string>>") for x in (alone, neighbours)))
     counts = docs.select(F.explode_outer(both).alias("p")).where("p is not null").groupBy("p.a", "p.b").agg(F.count(F.lit(1)).alias("n")).where(f"b = '' or n >= {min_count}")
     counts = written(counts)
     one = counts.where("b = ''").select(F.col("a").alias("w"), F.col("n").alias("c"))
-    size = one.agg(F.count(F.lit(1)).alias("v"))
+    vocabulary = one.agg(F.count(F.lit(1)).alias("v"))
     pairs = counts.where("b <> ''")
-    scored = pairs.join(one.select(F.col("w").alias("a"), F.col("c").alias("ca")), "a").join(one.select(F.col("w").alias("b"), F.col("c").alias("cb")), "b").crossJoin(F.broadcast(size))
+    scored = pairs.join(one.select(F.col("w").alias("a"), F.col("c").alias("ca")), "a").join(one.select(F.col("w").alias("b"), F.col("c").alias("cb")), "b").crossJoin(F.broadcast(vocabulary))
     return scored.select("a", "b", "n", ((F.col("n") - min_count) * F.col("v") / (F.col("ca") * F.col("cb"))).alias("score")).where(F.col("score") > threshold)
 
 
 def join_phrases(docs: DataFrame, key: str, words: str, found: DataFrame, out: str = "phrases") -> DataFrame:
     """(key, out): the words with the pairs of found(a, b) joined by an underscore, from the left, a word in one pair at most."""
-    places = docs.select(key, F.posexplode(words).alias("at", "w"))
-    pairs = places.select(key, "at", F.col("w").alias("a")).join(places.select(key, (F.col("at") - 1).alias("at"), F.col("w").alias("b")), [key, "at"])
+    rest = F.greatest(F.size(words) - 1, F.lit(0))
+    near = F.arrays_zip(F.slice(words, F.lit(1), rest), F.slice(words, F.lit(2), rest)).cast("array<struct<a: string, b: string>>")
+    pairs = docs.select(key, F.posexplode_outer(near).alias("at", "p")).where("p is not null").select(key, "at", "p.a", "p.b")
     hits = pairs.join(found.select("a", "b").distinct(), ["a", "b"]).groupBy(F.col(key).alias("__k")).agg(F.array_sort(F.collect_list("at")).alias("__hits"))
     rows = docs.select(key, words).join(hits, F.col(key) == F.col("__k"), "left")
     # From the left: a pair counts if the one before it did not take its first word.
