@@ -99,21 +99,33 @@ def written(spans: Column) -> Column:
 
 
 def _disclosing(held: DataFrame, words: DataFrame, total: int, disclosure: float, chance: float) -> DataFrame:
-    """Terms over the threshold for some entity. held: copies, entities, terms, one row for each text with values; words: term, one row for each row of the corpus and different word."""
-    pairs = held.select("copies", F.explode("entities").alias("entity"), "terms").select("copies", "entity", F.explode("terms").alias("term"))
-    joint = cut(pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_both"), F.count(F.lit(1)).alias("k")))
-    entities = held.select("copies", F.explode("entities").alias("entity")).groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count(F.lit(1)).alias("k_entity"))
+    """Terms over the threshold for some entity. held: key, more, copies, entities, terms, one row for each text (key, more) with values; words: term, one row for each row of the corpus and different word.
+
+    Pairs are made only of terms and entities that can still pass: a term that reveals an entity is hardly
+    commoner than it, and unless the corpus is far larger than the meetings in it, chance explains whatever
+    meets in one text alone.
+    """
+    n = float(total)
+    # Each meeting of an entity and a term in a text is a test.
+    tests = max(held.agg(F.sum(F.size("entities").cast("long") * F.size("terms"))).first()[0] or 0, 1)
+    least = 2 if tests > chance * n else 1
+    found = held.select("key", "more", "copies", F.explode("entities").alias("entity"))
+    entities = found.groupBy("entity").agg(F.sum("copies").alias("n_entity"), F.count(F.lit(1)).alias("k_entity"))
+    entities = cut(entities.where((F.col("k_entity") >= least) & (F.col("n_entity") < n)))
+    # n_both <= n_entity, so that PMI(term; entity) >= disclosure * IC(entity) bounds a term's rows.
+    most = lambda c: F.pow(c, F.lit(disclosure)) * (n ** (1 - disclosure) * (1 + 1e-9))
+    top = entities.agg(F.max("n_entity")).first()[0]
     # The terms' counts cover every row of the corpus and are combined before the shuffle.
-    terms = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    n = F.lit(float(total))
-    scored = joint.join(entities, "entity").join(terms, "term")
+    terms = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term")).where((F.col("n_term") >= least) & (F.col("n_term") <= most(F.lit(float(top or 0)))))
+    there = held.select("key", "more", F.explode("terms").alias("term")).join(terms, "term")
+    pairs = found.join(entities, "entity").join(there, ["key", "more"]).where(F.col("n_term") <= most(F.col("n_entity")))
+    scored = pairs.groupBy("entity", "term").agg(F.sum("copies").alias("n_both"), F.count(F.lit(1)).alias("k"), F.max("n_entity").alias("n_entity"), F.max("k_entity").alias("k_entity"), F.max("n_term").alias("n_term"))
     information = F.log2(n / F.col("n_entity"))
     pmi = F.log2(F.col("n_both") * n / (F.col("n_entity") * F.col("n_term")))
     # P(k or more of the entity's texts hold the term) <= E[C(K, j)] / C(k, j) for every j up to k; copies of a text are one.
     factor = lambda i: F.log((F.col("k_entity") - i) * (F.col("n_term") - i) / ((n - i) * (F.col("k") - i)))
     bound = F.aggregate(F.sequence(F.lit(0).cast("long"), F.least(F.col("k"), F.lit(FACTORS)) - 1), F.lit(0.0), lambda s, i: s + factor(i))
-    tests = joint.count()
-    fine = scored.where((information > 0) & (pmi >= disclosure * information)).where(bound <= F.log(F.lit(chance / max(tests, 1))))
+    fine = scored.where((F.col("k") >= least) & (pmi >= disclosure * information)).where(bound <= F.log(F.lit(chance / tests)))
     return fine.select("term").distinct()
 
 
@@ -127,26 +139,29 @@ def find_personal_data(docs: DataFrame, disclosure: float = DISCLOSURE, chance:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("doc_id", "text").alias("__key"), F.xxhash64("text").alias("__text"), "text")
+    # Rows and texts are told apart by 128 bits of hashes.
+    two = lambda a, b, *of: (F.xxhash64(*of).alias(a), F.xxhash64(F.lit(1), *of).alias(b))
+    key = ["__key", "__more"]
+    rows = rows.select("doc_id", *two(*key, "doc_id", "text"), "text")
     found = rows.withColumn("base", base_spans(F.col("text")))
-    base = cut(found.select("doc_id", "__key", "__text", "base", F.sha2(sanitised(F.col("text"), F.col("base")), 256).alias("__clean")))
+    base = cut(found.select("doc_id", *key, "base", F.sha2(sanitised(F.col("text"), F.col("base")), 256).alias("__clean")))
     outside = found.withColumn("outside", _outside(F.col("text"), F.col("base")))
     values = F.array_distinct(F.transform("base", lambda s: F.concat(s["kind"].cast("string"), F.lit(":"), F.lower(F.substring(F.col("text"), s["start"] + 1, s["end"] - s["start"])))))
-    held = outside.where("size(base) > 0").select("__text", values.alias("entities"), _terms(F.col("outside")).alias("terms"))
-    held = cut(held.groupBy("__text").agg(F.count(F.lit(1)).alias("copies"), F.first("entities").alias("entities"), F.first("terms").alias("terms")))
-    words = outside.select("__key", F.explode(_terms(F.col("outside"))).alias("term"))
+    held = outside.where("size(base) > 0").select(*two("key", "more", "text"), values.alias("entities"), _terms(F.col("outside")).alias("terms"))
+    held = cut(held.groupBy("key", "more").agg(F.count(F.lit(1)).alias("copies"), F.first("entities").alias("entities"), F.first("terms").alias("terms")))
+    words = outside.select(*key, F.explode(_terms(F.col("outside"))).alias("term"))
     disclosing = cut(_disclosing(held, words, base.count(), disclosure, chance))
     # Every row is searched for them: filters keep nearly all other words, and rows, out of the shuffle, the joins decide.
     some = words.withColumn("__term", F.xxhash64("term"))
-    some = some.where(may_hold(bits_of(disclosing.select(F.xxhash64("term").alias("h"))), "__term")).select("__key", "term")
+    some = some.where(may_hold(bits_of(disclosing.select(F.xxhash64("term").alias("h"))), "__term")).select(*key, "term")
     # A term that a third of all rows hold: inner join, whose large partitions Spark splits.
-    told = cut(some.join(disclosing, "term").groupBy("__key").agg(F.collect_set("term").alias("terms")))
-    texts = rows.where(may_hold(bits_of(told, "__key"), "__key")).join(told, "__key").dropDuplicates(["__key"])
+    told = cut(some.join(disclosing, "term").groupBy(*key).agg(F.collect_set("term").alias("terms")))
+    texts = rows.where(may_hold(bits_of(told, "__key"), "__key")).join(told, key).dropDuplicates(key)
     texts = texts.withColumn("base", base_spans(F.col("text"))).withColumn("outside", _outside(F.col("text"), F.col("base")))
     made = lambda a, b, _: F.struct(a.alias("start"), F.lit(4).alias("kind"), b.alias("end"))
-    more = texts.select(F.col("__key").alias("__k"), "text", "base", _placed(F.col("outside"), _WORD, made, lambda m: F.array_contains("terms", F.lower(m)), _SPANS).alias("more"))
-    more = more.select("__k", "more", F.sha2(sanitised(F.col("text"), F.sort_array(F.concat("base", "more"))), 256).alias("__cleaner"))
-    joined = base.join(more, F.col("__key") == F.col("__k"), "left")
+    more = texts.select(F.col("__key").alias("__k"), F.col("__more").alias("__m"), "text", "base", _placed(F.col("outside"), _WORD, made, lambda m: F.array_contains("terms", F.lower(m)), _SPANS).alias("more"))
+    more = more.select("__k", "__m", "more", F.sha2(sanitised(F.col("text"), F.sort_array(F.concat("base", "more"))), 256).alias("__cleaner"))
+    joined = base.join(more, (F.col("__key") == F.col("__k")) & (F.col("__more") == F.col("__m")), "left")
     # One argument alone: a second one of the function would be the place in the array.
     number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
     n = [number(k).alias(f"n_{KINDS[k]}") for k in range(4)]
