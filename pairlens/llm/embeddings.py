@@ -339,3 +339,11 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 def op3_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+#: All pairs, and components by following links to smaller ids.
+SQL = """with recursive v as materialized (select vec_id, label, embedding::double[] as x from embeddings where label is not null and embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0 and len(list_filter(embedding, lambda c: c <> 0)) > 0),
+e as materialized (select a.vec_id as a, b.vec_id as b from v a join v b on a.label = b.label and len(a.x) = len(b.x) and a.vec_id <> b.vec_id where list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) >= 0.93),
+r as (select vec_id as a, vec_id as c from embeddings union select e.a, r.c from r join e on e.b = r.a where r.c < e.a),
+m as (select a, min(c) as c from r group by 1)
+select m.a as vec_id, (select count(*) from e where e.a = m.a) as n_links, m.c as component_id, m.a = m.c as kept from m"""

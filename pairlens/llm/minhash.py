@@ -313,4 +313,16 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
 
 
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"), words=2)
+    return near_duplicates(table(spark, sf_dir, "documents"), words=2).drop("text_hash")
+
+
+#: All pairs, and components by following links to smaller ids.
+SQL = r"""with recursive w as materialized (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w from documents),
+s as materialized (select distinct doc_id, unnest(case when coalesce(len(w), 0) = 0 then [] when len(w) = 1 then [w[1]] else [w[i] || ' ' || w[i + 1] for i in range(1, len(w))] end) as s from w),
+n as materialized (select doc_id, count(*) as n from s group by 1),
+p as materialized (select a.doc_id as a, b.doc_id as b, count(*) as inter from s a join s b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+l as materialized (select p.a, p.b from p join n x on x.doc_id = p.a join n y on y.doc_id = p.b where 100 * inter >= 80 * (x.n + y.n - inter)),
+e as materialized (select a, b from l union all select b, a from l),
+r as (select doc_id as a, doc_id as c from documents union select e.a, r.c from r join e on e.b = r.a where r.c < e.a),
+m as (select a, min(c) as c from r group by 1)
+select m.a as doc_id, coalesce(n.n, 0) as n_shingles, m.c as component_id, m.a = m.c as kept from m left join n on n.doc_id = m.a"""
