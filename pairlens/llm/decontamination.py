@@ -205,3 +205,18 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+#: Every window that ends at a shared shingle, for pairs that share enough.
+SQL = r"""with d as materialized (select doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') as w from documents),
+i as materialized (select distinct item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') as w from benchmark),
+ds as materialized (select doc_id, len(w) - k + 1 as n, k, unnest(range(0, len(w) - k + 1)) as p, w from d, (select distinct least(5, len(w)) as k from i where len(w) > 0) where len(w) >= k),
+dg as materialized (select doc_id, n, k, p, array_to_string(w[p + 1:p + k], ' ') as s from ds),
+ig as (select item_id, least(5, len(w)) as k, len(w) - least(5, len(w)) + 1 as size, unnest([array_to_string(w[j + 1:j + least(5, len(w))], ' ') for j in range(0, len(w) - least(5, len(w)) + 1)]) as s from i where len(w) > 0),
+c as materialized (select item_id, k, size, s, count(*) as c from ig group by all),
+h as materialized (select g.doc_id, c.item_id, g.p, c.s, c.c, c.size, least(c.size, g.n) as win from dg g join c on g.s = c.s and g.k = c.k),
+t as (select doc_id, item_id from h group by 1, 2 having least(count(*), any_value(win)) / (any_value(size) + any_value(win) - least(count(*), any_value(win)))::double >= 0.8),
+x as (select a.doc_id, a.item_id, a.p, b.s, least(count(*), any_value(b.c)) as m, any_value(a.size) as size, any_value(a.win) as win from h a semi join t on a.doc_id = t.doc_id and a.item_id = t.item_id join h b on a.doc_id = b.doc_id and a.item_id = b.item_id and b.p between a.p - a.win + 1 and a.p group by 1, 2, 3, 4),
+y as (select doc_id, item_id, p, sum(m)::bigint as m, any_value(size) as size, any_value(win) as win from x group by 1, 2, 3),
+z as (select *, m / (size + win - m)::double as similarity from y qualify row_number() over (partition by doc_id, item_id order by m desc, p) = 1)
+select doc_id, item_id, similarity, greatest(0, p - win + 1)::bigint as start_word from z where similarity >= 0.8"""

@@ -1,6 +1,6 @@
 """The queries of this package, and SQL for those that SQL can express."""
 
-from . import clustering, embeddings, minhash, variants
+from . import clustering, decontamination, embeddings, minhash, variants
 from .bpe import op5_bpe
 from .clustering import op12_centroids
 from .decontamination import op10_decontamination
@@ -31,4 +31,4 @@ QUERIES = {
     "op13_variants": op13_variants,
 }
 
-SQL: dict[str, str] = {"op2_near_duplicates": minhash.SQL, "op3_near_vectors": embeddings.SQL, "op12_centroids": clustering.SQL, "op13_variants": variants.SQL}
+SQL: dict[str, str] = {"op2_near_duplicates": minhash.SQL, "op3_near_vectors": embeddings.SQL, "op10_decontamination": decontamination.SQL, "op12_centroids": clustering.SQL, "op13_variants": variants.SQL}
