@@ -20,8 +20,8 @@ from .common import cut, free_prefix, table, trimmed
 
 #: Weights of the sources in the order of their names, repeated; share of all words that is mixed; laps at most.
 WEIGHTS, SHARE, LAPS = (3.0, 1.0, 2.0), 1.5, 2
-#: Words of a block; shards of the mix.
-BLOCK, SHARDS = 16, 16
+#: Words of a block at most, and blocks that the smallest target is to have at least; shards of the mix.
+BLOCK, FINE, SHARDS = 1024, 500, 16
 SEED = 20240311
 #: Divisors tried at once, and seats that may be left to rank by quotient.
 TRIED, LEFT = 64, 4096
@@ -82,6 +82,12 @@ def _seats(target: Column, most: Column, divisor: Column) -> Column:
     return F.when(target <= 0, F.lit(0)).when(divisor <= 0, most).otherwise(F.least(most, F.floor(F.least(target / divisor + 0.5, most + 1.0)))).cast("long")
 
 
+def block_words(sources: DataFrame) -> int:
+    """Words of a block for sources(target, ...): BLOCK, or fewer so that the smallest target is FINE blocks."""
+    least = sources.where("target >= 1").agg(F.min("target")).first()[0]
+    return max(1, min(BLOCK, int(least or 1) // FINE))
+
+
 def with_quotas(sources: DataFrame, block: int = BLOCK, shards: int = SHARDS, laps: int = LAPS) -> DataFrame:
     """Adds blocks (of the source) and quotas (seats in shards 0 to i, for each i) to sources(rank, source_size, target, ...).
 
@@ -188,19 +194,21 @@ def _taker(block: int, seed: int, laps: int, pieces: bool) -> Callable:
     return run
 
 
-def mix(docs: DataFrame, weights: Sequence[float] | dict = WEIGHTS, share: float = SHARE, laps: int = LAPS, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED, pieces: bool = False, keep: Sequence[str] = ()) -> DataFrame:
+def mix(docs: DataFrame, weights: Sequence[float] | dict = WEIGHTS, share: float = SHARE, laps: int = LAPS, block: int | None = None, shards: int = SHARDS, seed: int = SEED, pieces: bool = False, keep: Sequence[str] = ()) -> DataFrame:
     """What a mix takes of each row of docs(doc_id, source, text, ...).
 
     Returns doc_id, size (words), source_size (words of its source), target (words that its source is to
     give) and taken (words that are taken, repeats counted: at most `laps` times the size); with pieces
     also the runs of words taken, as shard, seat, lap, first word and words; and the columns to keep. A source
-    comes within a block or two of its target. A null text has no words, null sources are one source,
+    comes within two blocks of its target; without a size given, see block_words. A null text has no words, null sources are one source,
     repeated rows are rows of their own, an empty table gives no rows, other columns are ignored. The
     same rows and seed give the same mix on any number of partitions.
     """
     kept = [F.col(c) for c in keep if c not in ("doc_id", "source")]
     sized = cut(docs.select("doc_id", F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), *kept))
-    sources = with_quotas(with_targets(source_weights(sized, weights), share, laps), block, shards, laps)
+    sources = cut(with_targets(source_weights(sized, weights), share, laps))
+    block = block or block_words(sources)
+    sources = with_quotas(sources, block, shards, laps)
     order = [F.col("source").asc_nulls_last(), F.xxhash64(F.lit(seed), "doc_id"), F.col("doc_id"), F.col("size")]
     p = free_prefix(sized)
     # Equal rows may change places: a number parts them, so that no range has to hold all copies of one.

@@ -104,7 +104,7 @@ def test_mix_keeps_to_targets_and_limits(spark):
         s = source[r["doc_id"]]
         assert r["source_size"] == sizes[s] and r["target"] == pytest.approx(targets[s]) and 0 <= r["taken"] <= 2 * r["size"]
         taken[s] += r["taken"]
-    assert all(abs(taken[s] - targets[s]) <= 40 for s in sizes)
+    assert all(abs(taken[s] - targets[s]) <= 2 + targets[s] / 250 for s in sizes)
     again = mix(frame(spark, rows, 7)).collect()
     assert sorted(map(str, out)) == sorted(map(str, again))
 
@@ -122,7 +122,7 @@ def test_mixed_texts_hold_what_the_plan_says(spark):
     assert got == {i: n for i, n in plan.items() if n}
     assert set(words) == {0, 1, 2, 3} and max(words.values()) - min(words.values()) < 200
     long = [(1, "a", " ".join(str(i) for i in range(992)))]
-    laps = mixed_texts(frame(spark, long), share=2, shards=3).collect()
+    laps = mixed_texts(frame(spark, long), share=2, shards=3, block=16).collect()
     assert sorted(int(w) for r in laps for w in r["text"].split()) == sorted([*range(992)] * 2)
     assert all(r["text"].split() == [str(r["first"] + i) for i in range(len(r["text"].split()))] for r in laps)
 
@@ -135,4 +135,4 @@ def test_empty_tables(spark):
 
 def test_query(spark):
     rows = op11_mix(spark, "/root/testdata/sf0.001").collect()
-    assert len(rows) == 200 and abs(sum(r["taken"] for r in rows) - 1.5 * sum(r["size"] for r in rows)) < 640
+    assert len(rows) == 200 and abs(sum(r["taken"] for r in rows) / sum(r["size"] for r in rows) - 1.5) < 0.005
