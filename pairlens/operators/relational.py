@@ -7,7 +7,7 @@ import tempfile
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -129,17 +129,20 @@ def split_groups(df: DataFrame, group: list[str], n: int) -> DataFrame:
     return df.join(ranked.withColumn("split", F.col("split") % n), group)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df written to the folder of spark.checkpoint.dir and read back, so that a lost executor loses nothing of it.
-
-    Without that setting a local session gets a temporary folder; a cluster, where such a folder would not be
-    shared, gets an error. Spark removes the files with the frame if its cleaner is told to.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Without that setting a local session gets a temporary folder; a cluster, where such a folder would not be shared, gets an error."""
+    context = spark.sparkContext
     if not context.getConf().get("spark.checkpoint.dir") and not context._jsc.sc().getCheckpointDir().isDefined():
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="pairlens-"))
+    held = context._jsc.sc().getCheckpointDir()
+    return held.get() if held.isDefined() else context.getConf().get("spark.checkpoint.dir")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read back, so that a lost executor loses nothing of it. Spark removes the files with the frame if its cleaner is told to."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -59,7 +59,8 @@ def parse_embedding_lines(lines: DataFrame, column: str = "value") -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    df.write.option("header", True).mode("overwrite").csv(path)
+    """A CSV with header that read_csv reads back: quotation marks within a value are doubled."""
+    df.write.option("header", True).option("escape", '"').mode("overwrite").csv(path)
 
 
 def save_model(tables: dict[str, DataFrame], path: str, lean: set[str] | None = None) -> None:
