@@ -289,11 +289,14 @@ def keep_minus_stop(spark, d):
     return table(spark, d, "part").crossJoin(F.broadcast(lists)).select("p_partkey", F.array_join(T.keep_minus_stop(F.split(F.lower("p_name"), " "), F.col("keep"), F.col("stop")), " ").alias("words"))
 
 
-@R.add()
+@R.add(f"""with recursive {_DOCS}, u as (select id, list_distinct(j) as a, list_distinct(p) as b from docs), s as (select id, case when len(a) <= len(b) then a else b end as x, case when len(a) <= len(b) then b else a end as y from u),
+r as (select id, x, y, 0::bigint as i, []::bigint[] as used, 0.0::double as t from s union all select id, x, y, i + 1, list_append(used, k), t + case when x[i + 1] = y[k] then 1.0 when x[i + 1][1] = y[k][1] then 0.5 else 0.1 end from r, range(1, 9) g(k) where i < len(x) and k <= len(y) and not list_contains(used, k))
+select id, round(max(t) / len(x), 6) as score from r where i = len(x) group by id, len(x)""")
 def table_assignment(spark, d):
+    """The best of all assignments of a job's skills to a person's."""
     w = _words(spark, d).select(F.col("w").alias("left"))
     weights = w.crossJoin(F.broadcast(w.select(F.col("left").alias("right")))).select("left", "right", F.when(F.col("left") == F.col("right"), 1.0).when(F.substring("left", 1, 1) == F.substring("right", 1, 1), 0.5).otherwise(0.1).alias("weight"))
-    return skills.table_assignment(_sides(spark, d), "id", "job", "person", weights)
+    return skills.table_assignment(_sides(spark, d), "id", "job", "person", weights).withColumn("score", F.round("score", 6))
 
 
 def _turn_pairs(spark, d):

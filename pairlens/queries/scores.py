@@ -295,9 +295,24 @@ def bag_of_words(spark, d):
     return scoring.bag_of_words(docs, "doc_id", "w", scoring.prune_dictionary(docs, "doc_id", "w"))
 
 
-@R.add()
+def _sql_joined(source: str, out: str) -> str:
+    """Tables ending in out(id, w): source's words with frequent neighbours joined, from the left: of a run of pairs every other one."""
+    return f"""{out}_p as materialized (select id, w, unnest(range(1, len(w) + 1)) as i from {source}), {out}_c as materialized (select w[i] as a, count(*) as c from {out}_p group by 1),
+{out}_n as (select w[i] as a, w[i + 1] as b, count(*) as n from {out}_p where i < len(w) group by 1, 2 having count(*) >= 3),
+{out}_f as materialized (select n.a, n.b from {out}_n n join {out}_c x on x.a = n.a join {out}_c y on y.a = n.b where (n.n - 3) * (select count(*) from {out}_c) / (x.c * y.c)::double > 10),
+{out}_h as (select id, i, i - row_number() over (partition by id order by i) as run from {out}_p join {out}_f on w[i] = a and w[i + 1] = b where i < len(w)),
+{out}_t as materialized (select id, i from (select id, i, (i - min(i) over (partition by id, run)) % 2 as odd from {out}_h) where odd = 0),
+{out} as materialized (select p.id, coalesce(list(case when t.i is not null then p.w[p.i] || '_' || p.w[p.i + 1] else p.w[p.i] end order by p.i) filter (where q.i is null), []) as w from {out}_p p left join {out}_t t on t.id = p.id and t.i = p.i left join {out}_t q on q.id = p.id and q.i = p.i - 1 group by p.id)"""
+
+
+@R.add(f"""with d as materialized (select item_id as id, {_SQL_WORDS} as w from benchmark), {_sql_joined('d', 'two')}, {_sql_joined('two', 'three')}
+select d.id as item_id, len(d.w) as words, array_to_string(list_sort(list_distinct(list_filter(list_concat(two.w, three.w), lambda x: contains(x, '_') and not list_contains(d.w, x)))), ' ') as phrases from d join two on two.id = d.id join three on three.id = d.id""")
 def phrase_texts(spark, d):
-    return scoring.with_phrases(table(spark, d, "benchmark").select("item_id", _words().alias("w")), "item_id", "w", 3)
+    """The joined pairs and triples that a text's words are given."""
+    b = table(spark, d, "benchmark").select("item_id", _words().alias("w"))
+    out = scoring.with_phrases(b, "item_id", "w", 3).join(b.select(F.col("item_id").alias("i"), F.size("w").cast("long").alias("words")), F.col("item_id") == F.col("i"))
+    added = F.slice("w", (F.col("words") + 1).cast("int"), F.greatest((F.size("w") - F.col("words")).cast("int"), F.lit(0)))
+    return out.select("item_id", "words", F.array_join(F.array_sort(added), " ").alias("phrases"))
 
 
 @R.add("""with e as (select event_id, (event_id % 4)::int as t1, (event_id % 7)::int as t2, event_type as w, value from events), tp as (select event_id, unnest([t1, t2 + 4]) as topic, unnest([1.25, 0.5]) as p from e),
