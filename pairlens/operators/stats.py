@@ -105,7 +105,7 @@ def quantile_knots(df: DataFrame, value: str, knots: int | None = None) -> list[
 
 
 def quantile_place(value: Column, knots: list[float]) -> Column:
-    """The value's place among knots as a share: 0 at or below the least, 1 at or above the greatest, the middle of equal knots; null for null, NaN or no knots."""
+    """The value's place among knots as a share: 0 at or below the least, else 1 at or above the greatest, the middle of equal knots; null for null, NaN or no knots."""
     if not knots:
         return F.lit(None).cast("double")
     x = np.array(knots, float)
@@ -115,7 +115,9 @@ def quantile_place(value: Column, knots: list[float]) -> Column:
     def place(v: pd.Series) -> pd.Series:
         v = v.to_numpy(float)
         out = 0.5 * (np.interp(v, x, p) - np.interp(-v, -x[::-1], -p[::-1]))
-        out[v <= x[0]], out[v >= x[-1]] = 0.0, 1.0
+        # Where all knots are equal, the lower end counts.
+        out[v >= x[-1]] = 1.0
+        out[v <= x[0]] = 0.0
         return pd.Series(out).where(~np.isnan(v), None)
 
     return place(value.cast("double"))

@@ -10,6 +10,7 @@ from ..operators import lookup
 from ..operators import relational as rel
 from ..sources import table
 from .base import Registry
+from .scores import _place_sql
 
 R = Registry()
 QUERIES, SQL = R.queries, R.sql
@@ -327,10 +328,17 @@ def pair_cosines(spark, d):
     return model.transform(rows, "id", "cossims").select("id", F.round("score_0", 6).alias("score_0"), F.round("score_1", 6).alias("score_1"))
 
 
-@R.add()
+def _placed(source: str, value: str) -> str:
+    return f"(with {_place_sql(source, 'id', value)} select k as id, q from placed)"
+
+
+@R.add(f"""with scores as materialized ({_PAIR_SQL.replace('round(coalesce(s0.s, 0), 6)', 'coalesce(s0.s, 0)').replace('round(coalesce(s1.s, 0), 6)', 'coalesce(s1.s, 0)')}),
+both as materialized (select a.id, 0.5 * a.q + 0.5 * b.q as composite from {_placed('scores', 'score_0')} a join {_placed('scores', 'score_1')} b on a.id = b.id)
+select p.id, round(composite, 4) as composite_score, round(q, 4) as qtile, 1.0::double as confidence, 1 + (q >= .1)::int + (q >= .3)::int + (q >= .7)::int + (q >= .9)::int as class from {_placed('"both"', 'composite')} p join "both" b on b.id = p.id""".replace("both as materialized", '"both" as materialized'))
 def pair_composite(spark, d):
+    """The whole model, to the class."""
     rows, model = _pair_model(spark, d)
-    return model.transform(rows, "id")
+    return model.transform(rows, "id").withColumns({c: F.round(c, 4) for c in ("composite_score", "qtile")})
 
 
 @R.add()
