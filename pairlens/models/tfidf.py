@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.similarity import composite, quantile_class
-from ..operators.relational import written
+from ..operators.relational import exploded, written
 from ..operators.scoring import pair_cosine
 from ..operators.stats import quantile_knots, quantile_place
 
@@ -62,7 +62,7 @@ class PairCosines:
         for c in self._columns():
             part = cleaned.select(F.concat_ws("\x01", F.col(key).cast("string"), F.lit(c)).alias("id"), terms(F.coalesce(c, F.lit(""))).alias("w"))
             docs = part if docs is None else docs.union(part)
-        tf = docs.select("id", F.explode("w").alias("term")).groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
+        tf = exploded(docs, ["id"], "w", "term").groupBy("id", "term").agg(F.count(F.lit(1)).alias("tf"))
         raw = tf.join(self.idf, "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))
         norm = raw.groupBy("id").agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
         return raw.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight"))
@@ -83,7 +83,7 @@ class PairCosines:
         cleaned = self._cleaned(rows)
         docs = corpus(cleaned, self.corpus_columns).select(F.array_distinct(terms(F.col("text"))).alias("w"))
         n = docs.agg(F.count(F.lit(1)).alias("__n"))
-        df = docs.select(F.explode("w").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        df = exploded(docs, [], "w", "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
         # One number, broadcast.
         self.idf = written(df.crossJoin(F.broadcast(n)).where(F.col("df") >= self.min_df * F.col("__n")).select("term", (F.log((1 + F.col("__n")) / (1 + F.col("df"))) + 1).alias("idf")))
         self.importances = self.importances or [1 / len(self.pairs)] * len(self.pairs)

@@ -79,6 +79,15 @@ def map_items(df: DataFrame, key: str, items: str, dimension: DataFrame, source:
     return found.groupBy(key).agg(F.array_sort(F.flatten(gathered) if listed else gathered).alias(items))
 
 
+def exploded(df: DataFrame, keep: list[str], items: Column | str, name: str) -> DataFrame:
+    """The columns to keep and, as name, each item of a list that is not null.
+
+    A plain explode has Spark add a filter for lists that hold something, below the projection that makes them:
+    what is costly to make would be made twice.
+    """
+    return df.select(*keep, F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
+
+
 def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     w = Window.partitionBy(*keys).orderBy(*order)
     return df.withColumn("__rn", F.row_number().over(w)).where("__rn = 1").drop("__rn")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.similarity import SCALES, cosine
-from .relational import global_places, running_total, sample_rows, seeded, written
+from .relational import exploded, global_places, running_total, sample_rows, seeded, written
 from .stats import group_quantiles, quantile_knots
 
 
@@ -55,7 +55,7 @@ def left_overlap(df: DataFrame, key: str, left: str, right: str, scale: str = "s
 def tf_idf(docs: DataFrame, key: str, words: str, min_df: float = 0.0) -> DataFrame:
     """(key, term, weight) in long form: counts times ln((1 + n) / (1 + df)) + 1, each document at length 1."""
     n = docs.agg(F.count(F.lit(1)).alias("__n"))
-    tf = docs.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = exploded(docs, [key], words, "term").groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).where(F.col("df") >= min_df * F.col("__n"))
     weighted = tf.join(df, "term").select(key, "term", (F.col("tf") * (F.log((1 + F.col("__n")) / (1 + F.col("df"))) + 1)).alias("w"))
     norm = weighted.groupBy(key).agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
@@ -113,14 +113,14 @@ def with_phrases(docs: DataFrame, key: str, words: str, min_count: int = 5, thre
 
 def bag_of_words(docs: DataFrame, key: str, words: str, dictionary: DataFrame) -> DataFrame:
     """(key, term, n) of terms that a dictionary(term, ...) holds."""
-    counts = docs.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
+    counts = exploded(docs, [key], words, "term").groupBy(key, "term").agg(F.count(F.lit(1)).alias("n"))
     return counts.join(dictionary.select("term"), "term", "left_semi").select(key, "term", "n")
 
 
 def tf_idf_log2(docs: DataFrame, key: str, words: str) -> DataFrame:
     """(key, term, weight): counts times log2(n / df), each document at length 1; terms of every document weigh nothing and are left out."""
     n = docs.agg(F.count(F.lit(1)).alias("__n"))
-    tf = docs.select(key, F.explode(words).alias("term")).groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
+    tf = exploded(docs, [key], words, "term").groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).where("df < __n")
     raw = tf.join(df, "term").select(key, "term", (F.col("tf") * F.log2(F.col("__n") / F.col("df"))).alias("w"))
     norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
@@ -130,7 +130,7 @@ def tf_idf_log2(docs: DataFrame, key: str, words: str) -> DataFrame:
 def prune_dictionary(docs: DataFrame, key: str, words: str, no_below: int = 20, no_above: float = 0.4, keep: list[str] = ()) -> DataFrame:
     """(term, df): terms in at least no_below documents and at most a share no_above of them, and those to keep."""
     n = docs.agg(F.count(F.lit(1)).alias("__n"))
-    df = docs.select(key, F.explode(F.array_distinct(words)).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    df = exploded(docs, [key], F.array_distinct(words), "term").groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     fine = (F.col("df") >= no_below) & (F.col("df") <= no_above * F.col("__n"))
     return df.crossJoin(F.broadcast(n)).where(fine | F.col("term").isin(list(keep)) if keep else fine).select("term", "df")
 
