@@ -190,8 +190,10 @@ def lower_list(items: Column) -> Column:
 
 def drop_neighbours(items: Column) -> Column:
     """Sorted distinct tokens that differ from the next one; the last never counts, nor do blanks."""
-    keep = F.filter(items, lambda x, i: (i < F.size(items) - 1) & (x != F.get(items, i + 1)) & (x != ""))
-    return F.array_sort(F.array_distinct(keep))
+    # Next to each other by one pass: a lambda that names items would make the list again for each token.
+    after = F.slice(items, F.lit(2), F.greatest(F.size(items), F.lit(0)))
+    keep = F.zip_with(items, after, lambda x, y: F.when((x != y) & (x != ""), x))
+    return F.array_sort(F.array_distinct(F.array_compact(keep)))
 
 
 def keep_minus_stop(words: Column, keep: Column, stop: Column) -> Column:
