@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import combinations
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.similarity import longest_common_substring
+from .relational import written
 
 #: Rows of a tile on either side.
 TILE = 1024
@@ -62,21 +66,70 @@ def grams(text: Column, q: int) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(full) - q + 1), lambda i: F.struct(F.substring(full, i, F.lit(q)).alias("gram"), i.alias("at")))
 
 
-def similar_texts(left: DataFrame, right: DataFrame | None, text: str, least: float, q: int = 2) -> DataFrame:
-    """(a, b, edits, factor): different texts of left and right, or of left alone with a < b, whose edits leave a share of at least `least` of the longer one.
+#: Edits up to which pairs are found by what is left of a text without some code points, of the whole text or of a half; beyond them by rare grams.
+WHOLE, HALVES = 2, 5
 
-    Two texts so near share one of their rarest grams of q code points, equal grams of a text counted apart, and
-    have like lengths: only such pairs are made and then measured. Places are no filter, as a gram that goes
-    moves the number of those after it. least must be over 1 - 1 / q. Equal texts of a side count once, and
-    empty and null ones not at all.
-    """
-    if not 1 - 1 / q < least <= 1:
-        raise ValueError("least must be over 1 - 1 / q, and 1 at most")
 
-    def listed(df: DataFrame, side: int) -> DataFrame:
-        return df.select(F.col(text).alias("t"), F.lit(side).alias("side")).where("t <> ''").distinct()
+def _left_after(part: str, n: int) -> set[str]:
+    """What can be left of part without n code points."""
+    return set(map("".join, combinations(part, len(part) - n))) if n <= len(part) else set()
+
 
-    texts = listed(left, 0) if right is None else listed(left, 0).union(listed(right, 1))
+def remains(text: str, least: float) -> set[tuple[str, str]]:
+    """(kind, what is left): two texts that are near enough, the longer one within HALVES edits, have one of them in common.
+
+    For each length that the longer text can have: within WHOLE edits both hold the same code points in order, all of the
+    longer one but so many. Within HALVES the one's first half is so near a beginning of the other, or the second half an
+    end, that half of the edits, rounded down, lead from one to the other.
+    """
+    out, size = set(), len(text)
+    for longest in range(size, int(size / least) + 2):
+        edits = int(longest * (1 - least) + 1e-9)
+        if longest - edits > size or edits > HALVES:
+            continue
+        if edits <= WHOLE:
+            out |= {("", x) for x in _left_after(text, size - longest + edits)}
+            continue
+        half, some = longest // 2, edits // 2
+        for end, long in (("<", half), (">", longest - half)):
+            cut = lambda n: text[:n] if end == "<" else text[max(size - n, 0) :]  # noqa: B023, E731
+            for more in range(-some, some + 1):
+                # The parts have long and long + more code points, and share all of the larger one but `some`.
+                both = max(long, long + more) - some
+                kind = f"{end}{longest}{more:+}"
+                if longest == size:
+                    out |= {(f"{kind}a", x) for x in _left_after(cut(long), long - both)}
+                if long + more <= size:
+                    out |= {(f"{kind}b", x) for x in _left_after(cut(long + more), long + more - both)}
+    return out
+
+
+def _pairs_by_remains(texts: DataFrame, least: float, one_side: bool) -> DataFrame:
+    """(a, b): candidates of texts(t, side) of which the longer one is within HALVES edits."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for at in range(0, len(pdf), 512):
+                rows = [(t, s, k[:-1] if k else k, k[-1:], x) for t, s in zip(pdf["t"][at : at + 512], pdf["side"][at : at + 512]) for k, x in remains(t, least)]
+                yield pd.DataFrame(rows, columns=["t", "side", "kind", "role", "left"])
+
+    # Dealt by number, as a few MB of texts become many keys and pairs, which tasks laid together by their input would make alone.
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = texts.repartition(parts, "t").mapInPandas(run, "t string, side int, kind string, role string, left string")
+    keys = made.select("t", "side", "role", F.xxhash64("kind", "left").alias("h")).repartition(parts, "h")
+    # Roles: the longer text's half meets the other's beginning or end, whichever side it is on; whole texts have none.
+    roles = (F.col("ra") == "") | (F.col("ra") != F.col("rb"))
+    return _met(keys, "h", one_side).where(roles).select("a", "b")
+
+
+def _met(keys: DataFrame, key: str, one_side: bool) -> DataFrame:
+    """keys(t, side, role, key) of the left with those of the right, or with themselves where a < b."""
+    a, b = (keys.where(F.lit(one_side) | (F.col("side") == i)).select(F.col("t").alias(n), F.col("role").alias(f"r{n}"), key) for i, n in enumerate("ab"))
+    return a.join(b, key).where((F.col("a") < F.col("b")) if one_side else (F.col("a") != F.col("b")))
+
+
+def _pairs_by_grams(texts: DataFrame, least: float, one_side: bool, q: int) -> DataFrame:
+    """(a, b): candidates of texts(t, side) that share one of their rarest grams."""
     rows = texts.select("t", "side", F.explode(grams(F.col("t"), q)).alias("g")).select("t", "side", "g.gram", "g.at")
     nth = F.row_number().over(Window.partitionBy("t", "side", "gram").orderBy("at"))
     rows = rows.withColumn("gram", F.concat_ws("\1", "gram", nth.cast("string")))
@@ -84,13 +137,34 @@ def similar_texts(left: DataFrame, right: DataFrame | None, text: str, least: fl
     ranked = rows.join(common, F.col("gram") == F.col("g")).withColumn("place", F.row_number().over(Window.partitionBy("t", "side").orderBy("n", "gram")))
     # So many of a text's rarest grams hold one that any text near enough has among its own.
     lead = ranked.where(F.col("place") <= F.floor(F.length("t") * (q * (1 - least)) + 1e-9) + 1).select("t", "side", "gram")
-    a, b = lead.select(F.col("t").alias("a"), F.col("side").alias("sa"), "gram"), lead.select(F.col("t").alias("b"), F.col("side").alias("sb"), "gram")
+    return _met(lead.withColumn("role", F.lit("")), "gram", one_side).select("a", "b")
+
+
+def similar_texts(left: DataFrame, right: DataFrame | None, text: str, least: float, q: int = 2) -> DataFrame:
+    """(a, b, edits, factor): different texts of left and right, or of left alone with a < b, whose edits leave a share of at least `least` of the longer one.
+
+    Only pairs that share something are made and then measured. Short texts, such as words, share what is left of them
+    without a few code points: see remains. Of longer ones two so near share one of their rarest grams of q code points,
+    equal grams of a text counted apart. Places are no filter, as a gram that goes moves the number of those after it.
+    least must be over 1 - 1 / q. Equal texts of a side count once, and empty and null ones not at all.
+    """
+    if not 1 - 1 / q < least <= 1:
+        raise ValueError("least must be over 1 - 1 / q, and 1 at most")
+
+    def listed(df: DataFrame, side: int) -> DataFrame:
+        return df.select(F.col(text).alias("t"), F.lit(side).alias("side")).where("t <> ''").distinct()
+
+    texts = written(listed(left, 0) if right is None else listed(left, 0).union(listed(right, 1)))
+    most = lambda size: F.floor(size * (1 - least) + 1e-9)
+    found = _pairs_by_remains(texts, least, right is None)
+    # Texts that have more edits, or may be so near one that has.
+    far = texts.where(most(F.length("t") / least + 1) > HALVES)
+    if not far.isEmpty():
+        found = found.union(_pairs_by_grams(far, least, right is None, q))
     longest = F.greatest(F.length("a"), F.length("b"))
-    most = F.floor(longest * (1 - least) + 1e-9)
-    sides = (F.col("a") < F.col("b")) if right is None else (F.col("sa") < F.col("sb")) & (F.col("a") != F.col("b"))
-    found = a.join(b, "gram").where(sides).where(F.abs(F.length("a") - F.length("b")) <= most).select("a", "b").distinct()
+    found = found.where(F.abs(F.length("a") - F.length("b")) <= most(longest)).distinct()
     out = found.withColumn("edits", F.levenshtein("a", "b")).withColumn("factor", (longest - F.col("edits")) / longest)
-    return out.where(F.col("edits") <= most).select("a", "b", "edits", "factor")
+    return out.where(F.col("edits") <= most(longest)).select("a", "b", "edits", "factor")
 
 
 def common_substring_pairs(left: DataFrame, right: DataFrame | None, text: str, least: int) -> DataFrame:

@@ -1,10 +1,12 @@
 """Work that must not grow with the square of a text, a group or a list of words."""
 
+import random
 import time
 
 from pyspark.sql import functions as F
 
 from pairlens.functions import text as T
+from pairlens.operators import pairs
 
 
 def test_neighbours_of_a_long_text_take_one_pass(spark):
@@ -14,3 +16,32 @@ def test_neighbours_of_a_long_text_take_one_pass(spark):
     got = [r[0] for r in df.select(T.drop_neighbours(F.split("t", " "))).collect()]
     assert time.time() - start < 20
     assert got == [sorted(f"w{i}" for i in range(19999)), [], [], ["a"], None]
+
+
+def _edits(a: str, b: str) -> int:
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row, before = [i], row
+        for j, y in enumerate(b, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_near_words_are_found_among_few_candidates(spark):
+    rng = random.Random(5)
+    parts = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve".split()
+    words = {"".join(rng.choices(parts, k=rng.choice([1, 2, 3, 4, 5, 6, 8, 11, 13]))) for _ in range(260)}
+    for w in list(words)[:160]:
+        for _ in range(rng.randint(1, 6)):
+            at = rng.randrange(len(w) + 1)
+            w = w[:at] + rng.choice(["", "x", "é"]) + w[at + rng.randint(0, 1) :]
+        words.add(w)
+    words = sorted(words - {""})
+    near = lambda a, b, least: _edits(a, b) <= int(max(len(a), len(b)) * (1 - least) + 1e-9)
+    df = spark.createDataFrame([(w,) for w in words], "t string")
+    assert {r[:2] for r in pairs.similar_texts(df, None, "t", 0.75).collect()} == {(a, b) for a in words for b in words if a < b and near(a, b, 0.75)}
+    left, right = words[::2], words[1::3]
+    two = pairs.similar_texts(spark.createDataFrame([(w,) for w in left], "t string"), spark.createDataFrame([(w,) for w in right], "t string"), "t", 0.7)
+    assert {r[:2] for r in two.collect()} == {(a, b) for a in left for b in right if a != b and near(a, b, 0.7)}
+    made = pairs._pairs_by_remains(df.withColumn("side", F.lit(0)), 0.75, True).distinct().count()
+    assert made < len(words) ** 2 / 2 / 20
