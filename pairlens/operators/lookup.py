@@ -79,7 +79,8 @@ def title_matches(df: DataFrame, key: list[str], title: Column, dictionary: Data
         stems = words.select("__p").distinct().select(F.col("__p").alias("__w"), stem(F.col("__p")).alias("__t"))
         rows = rows.union(words.join(stems, F.col("__p") == F.col("__w")).where("__t <> ''").select(*key, F.col("__t").alias("__p"), F.lit(True).alias("__s")))
     held = dictionary.select(F.col("phrase").alias("__d"), F.col("value").alias("__v"), F.col("stemmed").alias("__ds"))
-    hits = rows.join(held, (F.col("__p") == F.col("__d")) & (F.col("__s") == F.col("__ds"))).select(*key, "__p", "__v").distinct()
+    # Never the broadcast that Spark plans by the size of a compressed file: a title's phrases are many times its bytes.
+    hits = rows.join(held.hint("merge"), (F.col("__p") == F.col("__d")) & (F.col("__s") == F.col("__ds"))).select(*key, "__p", "__v")
     return rel.longest_only(hits, key)
 
 

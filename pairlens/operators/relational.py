@@ -108,7 +108,7 @@ def sub_phrases(words: Column) -> Column:
 
 def longest_only(hits: DataFrame, key: list[str]) -> DataFrame:
     """(key, values) of hits(key, __p, __v): values of the phrases __p that hold a word which no later, longer one has, sorted."""
-    ordered = hits.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.size(F.split("__p", " ")).alias("w"), F.length("__p").alias("l"), F.col("__p").alias("p"), F.col("__v").alias("v")))).alias("h"))
+    ordered = hits.groupBy(*key).agg(F.sort_array(F.collect_set(F.struct(F.size(F.split("__p", " ")).alias("w"), F.length("__p").alias("l"), F.col("__p").alias("p"), F.col("__v").alias("v")))).alias("h"))
     words = lambda x: F.split(x["p"], " ")
     later = lambda i: F.flatten(F.transform(F.slice("h", i + 2, F.size("h")), words))
     kept = F.filter("h", lambda x, i: F.size(F.array_except(words(x), later(i))) > 0)
@@ -118,7 +118,8 @@ def longest_only(hits: DataFrame, key: list[str]) -> DataFrame:
 def longest_phrases(df: DataFrame, key: str, title: str, dictionary: DataFrame, phrase: str, value: str) -> DataFrame:
     """(key, values): dictionary values of the longest phrases of a title; a phrase whose words all lie in longer matches is left out."""
     rows = df.select(key, F.explode(sub_phrases(F.split(F.lower(title), " "))).alias("__p"))
-    hits = rows.join(dictionary.select(F.col(phrase).alias("__d"), F.col(value).alias("__v")), F.col("__p") == F.col("__d")).select(key, "__p", "__v").distinct()
+    # Never the broadcast that Spark plans by the size of a compressed file: a title's phrases are many times its bytes.
+    hits = rows.join(dictionary.select(F.col(phrase).alias("__d"), F.col(value).alias("__v")).hint("merge"), F.col("__p") == F.col("__d")).select(key, "__p", "__v")
     return longest_only(hits, [key])
 
 

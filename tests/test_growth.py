@@ -6,7 +6,8 @@ import time
 from pyspark.sql import functions as F
 
 from pairlens.functions import text as T
-from pairlens.operators import pairs
+from pairlens.operators import lookup, pairs
+from pairlens.operators import relational as rel
 
 
 def test_neighbours_of_a_long_text_take_one_pass(spark):
@@ -45,3 +46,12 @@ def test_near_words_are_found_among_few_candidates(spark):
     assert {r[:2] for r in two.collect()} == {(a, b) for a in left for b in right if a != b and near(a, b, 0.7)}
     made = pairs._pairs_by_remains(df.withColumn("side", F.lit(0)), 0.75, True).distinct().count()
     assert made < len(words) ** 2 / 2 / 20
+
+
+def test_phrases_of_titles_are_never_broadcast(spark):
+    titles = spark.createDataFrame([(1, "large ring bolt"), (2, "cold plate"), (2, "cold plate")], "id int, t string")
+    held = spark.createDataFrame([("ring", "r", False), ("ring bolt", "rb", False), ("plate", "p", False)], "phrase string, value string, stemmed boolean")
+    for out in (rel.longest_phrases(titles, "id", "t", held, "phrase", "value"), lookup.title_matches(titles, ["id"], F.col("t"), held)):
+        assert {(r[0], *r[1]) for r in out.collect()} == {(1, "rb"), (2, "p")}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
