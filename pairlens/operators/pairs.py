@@ -14,8 +14,8 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from ..functions.similarity import longest_common_substring
 from .relational import written
 
-#: Rows of a tile on either side.
-TILE = 1024
+#: Least and greatest number of rows of a tile on either side, blocks of a side between them, and scores that a task has in hand.
+TILE, WIDEST, BLOCKS, CELLS = 1024, 16384, 8, 1 << 22
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -23,21 +23,29 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def cosine_matrix(left: DataFrame, right: DataFrame, key: str, vector: str, top: int | None = None, tile: int = TILE) -> DataFrame:
+def cosine_matrix(left: DataFrame, right: DataFrame, key: str, vector: str, top: int | None = None, tile: int | None = None) -> DataFrame:
     """(left, right, score): the cosine of every row of left with every row of right, both (key, vector) with vectors of one length.
 
-    Rows of each side are dealt to blocks, and each pair of blocks is one task's matrix product. With top
-    only the best so many of each left row stay (of equal ones the smaller right key), first in each tile and
+    Rows of each side are dealt to blocks, and each pair of blocks is one task's matrix product, some left rows
+    at a time. A row is sent once for each block of the other side: blocks are wide, see TILE, where no tile is
+    given. With top only the best so many of each left row stay (of equal ones the smaller right key), first in each tile and
     then of all tiles. Keys should not repeat. A vector that is null or holds a null is left out; one of zeros
     has cosine 0. Without top there are as many rows as cells.
     """
     kind = left.schema[key].dataType
+    if left.schema[vector].dataType != right.schema[vector].dataType:
+        left, right = (df.withColumn(vector, F.col(vector).cast("array<double>")) for df in (left, right))
 
     def side(df: DataFrame, blocks: int, others: int, mine: str, other: str, flag: bool) -> DataFrame:
-        rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v")).where(F.forall("v", lambda x: x.isNotNull()))
+        # Sent as they are: a task makes doubles of them.
+        rows = df.where(F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).alias("v")).where(F.forall("v", lambda x: x.isNotNull()))
         return rows.select("k", "v", F.pmod(F.xxhash64("k"), F.lit(blocks)).alias(mine), F.lit(flag).alias("second"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(others - 1).cast("long"))).alias(other))
 
-    n, m = (max(1, -(-df.count() // tile)) for df in (left, right))
+    def blocks_of(df: DataFrame) -> int:
+        rows = df.count()
+        return max(1, -(-rows // (tile or min(WIDEST, max(TILE, -(-rows // BLOCKS))))))
+
+    n, m = blocks_of(left), blocks_of(right)
     both = side(left, n, m, "i", "j", False).unionByName(side(right, m, n, "j", "i", True))
     schema = StructType([StructField("left", kind), StructField("right", right.schema[key].dataType), StructField("score", DoubleType())])
 
@@ -45,12 +53,23 @@ def cosine_matrix(left: DataFrame, right: DataFrame, key: str, vector: str, top:
         a, b = pdf[~pdf.second], pdf[pdf.second].sort_values("k")
         if not len(a) or not len(b):
             return pd.DataFrame({"left": [], "right": [], "score": []})
-        scores = _unit(np.stack(a.v.to_numpy())) @ _unit(np.stack(b.v.to_numpy())).T
-        rights = b.k.to_numpy()
-        if top is None or top >= len(b):
-            return pd.DataFrame({"left": np.repeat(a.k.to_numpy(), len(b)), "right": np.tile(rights, len(a)), "score": scores.ravel()})
-        best = np.argsort(-scores, axis=1, kind="stable")[:, :top]
-        return pd.DataFrame({"left": np.repeat(a.k.to_numpy(), top), "right": rights[best].ravel(), "score": np.take_along_axis(scores, best, 1).ravel()})
+        second, rights, out = _unit(np.stack(b.v.to_numpy()).astype(float)).T, b.k.to_numpy(), []
+        step = max(1, CELLS // len(b))
+        for at in range(0, len(a), step):
+            lefts = a.k.to_numpy()[at : at + step]
+            scores = _unit(np.stack(a.v.to_numpy()[at : at + step]).astype(float)) @ second
+            if top is None or top >= len(b):
+                out.append(pd.DataFrame({"left": np.repeat(lefts, len(b)), "right": np.tile(rights, len(lefts)), "score": scores.ravel()}))
+                continue
+            if np.isnan(scores).any():
+                best = np.argsort(-scores, axis=1, kind="stable")[:, :top]
+                out.append(pd.DataFrame({"left": np.repeat(lefts, top), "right": rights[best].ravel(), "score": np.take_along_axis(scores, best, 1).ravel()}))
+                continue
+            # All that reach the score of the last of the best: of equal ones there may be more.
+            least = np.partition(scores, -top, axis=1)[:, -top]
+            i, j = np.nonzero(scores >= least[:, None])
+            out.append(pd.DataFrame({"left": lefts[i], "right": rights[j], "score": scores[i, j]}).sort_values(["left", "score", "right"], ascending=[True, False, True]).groupby("left", sort=False).head(top))
+        return pd.concat(out)
 
     cells = both.groupBy("i", "j").applyInPandas(product, schema)
     if top is None:

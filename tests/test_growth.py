@@ -3,10 +3,14 @@
 import random
 import time
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
+from pairlens.functions import clean
 from pairlens.functions import text as T
-from pairlens.operators import lookup, pairs
+from pairlens.operators import lookup, pairs, scoring
 from pairlens.operators import relational as rel
 
 
@@ -55,3 +59,40 @@ def test_phrases_of_titles_are_never_broadcast(spark):
         assert {(r[0], *r[1]) for r in out.collect()} == {(1, "rb"), (2, "p")}
         plan = out._jdf.queryExecution().executedPlan().toString()
         assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_wide_tiles_send_a_row_few_times(spark):
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(3000, 4))
+    v[1500:1510] = v[7]
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id int, v array<double>")
+    unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+    scores = unit @ unit.T
+    got = pairs.cosine_matrix(df, df, "id", "v", 3)
+    assert sorted((r[0], round(r[2], 9)) for r in got.collect()) == sorted((i, round(x, 9)) for i in range(3000) for x in np.sort(scores[i])[-3:])
+    # Blocks of a side do not grow in number with the rows until they are WIDEST.
+    assert pairs.WIDEST >= 8 * pairs.TILE
+
+
+def test_an_assignment_deals_pairs_to_more_tasks_as_they_grow(spark, monkeypatch):
+    df = spark.createDataFrame([(k, str(i), str(j), float(i == j)) for k in range(40) for i in range(3) for j in range(3)], "k int, l string, r string, s double")
+    monkeypatch.setattr(scoring, "ROWS", 20)
+    out = scoring.optimal_assignment(df, "k", "l", "r", "s")
+    assert "hashpartitioning(k" in (plan := out._jdf.queryExecution().executedPlan().toString()) and ", 18)" in plan
+    assert out.count() == 120 and out.where("l <> r").count() == 0
+
+
+def test_terms_are_not_joined_with_their_own_sums(spark):
+    docs = spark.createDataFrame([(1, ["a", "a", "b"]), (2, ["b", "c"]), (None, ["a"])], "id int, w array<string>")
+    out = scoring.tf_idf_log2(docs, "id", "w")
+    got = {r[:2]: r[2] for r in out.collect()}
+    a, b = 2 * np.log2(3 / 2), np.log2(3 / 2)
+    assert got[1, "a"] == pytest.approx(a / np.hypot(a, b)) and {k[0] for k in got} == {1, 2}
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Generate") == 2
+
+
+def test_cleaning_holds_few_texts_at_once(spark):
+    assert clean.cleaned.evalType != PythonEvalType.SQL_SCALAR_PANDAS_UDF and clean.STEP < 10_000
+    rows = [(i, None if i % 7 == 0 else f"<p>text {i}</p>") for i in range(200)]
+    got = spark.createDataFrame(rows, "i int, t string").coalesce(1).select("i", clean.cleaned("t").alias("c")).collect()
+    assert {r[0]: r[1] for r in got} == {i: None if t is None else clean.clean(t) for i, t in rows}
