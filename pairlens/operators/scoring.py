@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -123,8 +123,8 @@ def tf_idf_log2(docs: DataFrame, key: str, words: str) -> DataFrame:
     tf = exploded(docs, [key], words, "term").groupBy(key, "term").agg(F.count(F.lit(1)).alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df")).crossJoin(F.broadcast(n)).where("df < __n")
     raw = tf.join(df, "term").select(key, "term", (F.col("tf") * F.log2(F.col("__n") / F.col("df"))).alias("w"))
-    norm = raw.groupBy(key).agg(F.sqrt(F.sum(F.col("w") ** 2)).alias("norm"))
-    return raw.join(norm, key).select(key, "term", (F.col("w") / F.col("norm")).alias("weight"))
+    # A window, which spills, instead of a join of all terms with sums of the same terms.
+    return raw.select(key, "term", (F.col("w") / F.sqrt(F.sum(F.col("w") ** 2).over(Window.partitionBy(key)))).alias("weight")).where(F.col(key).isNotNull())
 
 
 def prune_dictionary(docs: DataFrame, key: str, words: str, no_below: int = 20, no_above: float = 0.4, keep: list[str] = ()) -> DataFrame:
