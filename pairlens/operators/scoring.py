@@ -218,6 +218,10 @@ def _assigned(k: int, left: np.ndarray, right: np.ndarray, score: np.ndarray) ->
     return [k] * len(pairs), [ls[a] for a, _ in pairs], [rs[b] for _, b in pairs], [grid[a, b] for a, b in pairs]
 
 
+#: Pairs of a task of optimal_assignment, which may be more where one key has more.
+ROWS = 1 << 19
+
+
 def optimal_assignment(df: DataFrame, key: str, left: str, right: str, score: str) -> DataFrame:
     """(key, left, right, score): the matching of left and right items of greatest total mean score in each group.
 
@@ -225,7 +229,10 @@ def optimal_assignment(df: DataFrame, key: str, left: str, right: str, score: st
     items with scores by distance see sorted_assignment.
     """
     rows = df.select(F.col(key).cast("long").alias("k"), F.col(left).cast("string").alias("l"), F.col(right).cast("string").alias("r"), F.col(score).cast("double").alias("s"))
-    mean = rows.where("l is not null and r is not null").repartition("k").groupBy("k", "l", "r").agg(F.avg("s").alias("s"))
+    rows = rows.where("k is not null and l is not null and r is not null")
+    # So many tasks that one has ROWS of the pairs, or one key, whatever there is of them all.
+    parts = max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS))
+    mean = rows.repartition(parts, "k").groupBy("k", "l", "r").agg(F.avg("s").alias("s"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
@@ -253,7 +260,7 @@ def optimal_assignment(df: DataFrame, key: str, left: str, right: str, score: st
         if held and sum(map(len, held)):
             yield done(held)
 
-    return mean.where("k is not null").sortWithinPartitions("k").mapInPandas(run, "k long, l string, r string, s double")
+    return mean.sortWithinPartitions("k").mapInPandas(run, "k long, l string, r string, s double")
 
 
 def sorted_assignment(left: DataFrame, right: DataFrame, key: str, item: str, value: str) -> DataFrame:
