@@ -156,6 +156,17 @@ def written(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Groups whose rows every task is sent, at most.
+GROUPS = 1 << 16
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, key: str, group_key: str) -> DataFrame:
+    """rows joined with groups, one row for each group. Groups are written and counted: up to GROUPS are broadcast, so that the rows of a large group stay in many tasks; more are joined by key."""
+    groups = written(groups)
+    few = groups.count() <= GROUPS
+    return rows.join(F.broadcast(groups) if few else groups, F.col(key).eqNullSafe(F.col(group_key)))
+
+
 def running_total(df: DataFrame, order: list[Column], value: str, out: str) -> DataFrame:
     """Adds out: the total of value over the rows before, in the order of all rows.
 

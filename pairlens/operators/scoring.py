@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions.similarity import SCALES, cosine
-from .relational import exploded, global_places, running_total, sample_rows, seeded, written
+from .relational import exploded, global_places, running_total, sample_rows, seeded, with_groups, written
 from .stats import group_quantiles, quantile_knots
 
 
@@ -147,8 +147,8 @@ def average_word_scores(df: DataFrame, group: str, scores: str, digits: int = 9)
     out = written(words.join(rows, group).select(group, "word", F.round(F.col("s") / F.col("__n"), digits).alias("average")))
     counts = out.groupBy(group, "average").agg(F.count(F.lit(1)).alias("__c"))
     placed = running_total(counts, [F.col(group), F.col("average")], "__c", "__b")
-    ends = placed.groupBy(group).agg(F.min("__b").alias("__first"), F.sum("__c").alias("__all"))
-    ranks = placed.join(ends, group).select(group, "average", ((F.col("__b") - F.col("__first")) * 100.0 / F.col("__all")).alias("percentile"))
+    ends = placed.groupBy(F.col(group).alias("__e")).agg(F.min("__b").alias("__first"), F.sum("__c").alias("__all"))
+    ranks = with_groups(placed, ends, group, "__e").select(group, "average", ((F.col("__b") - F.col("__first")) * 100.0 / F.col("__all")).alias("percentile"))
     return out.join(ranks, [group, "average"]).select(group, "word", "average", "percentile")
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegralType
 
-from .relational import global_places, running_total, seeded, written
+from .relational import global_places, running_total, seeded, with_groups, written
 
 
 def value_counts(df: DataFrame, column: str) -> DataFrame:
@@ -132,9 +132,8 @@ def group_quantiles(df: DataFrame, group: str, value: str, shares: list[float])
     """(group, q_0, q_1, ...): linear percentiles of each group, exact. Distinct values are counted, and numbered by ranges of the order of group and value."""
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("__g"), F.col(value).cast("double").alias("__v")).agg(F.count(F.lit(1)).alias("__c"))
     placed = running_total(counts, [F.col("__g"), F.col("__v")], "__c", "__b")
-    totals = counts.groupBy(F.col("__g").alias("__h")).agg(F.sum("__c").alias("__n"))
-    firsts = placed.groupBy(F.col("__g").alias("__f")).agg(F.min("__b").alias("__first"))
-    rows = placed.join(totals.join(firsts, F.col("__h").eqNullSafe(F.col("__f"))), F.col("__g").eqNullSafe(F.col("__h")))
+    ends = placed.groupBy(F.col("__g").alias("__h")).agg(F.sum("__c").alias("__n"), F.min("__b").alias("__first"))
+    rows = with_groups(placed, ends, "__g", "__h")
     b = F.col("__b") - F.col("__first")
     at = lambda place: F.max(F.when((b <= place) & (place < b + F.col("__c")), F.col("__v")))
     picked, made = [], []
@@ -187,7 +186,7 @@ def paired_t_tests(df: DataFrame, group: str, value: str, key: str, seed: int =
     rows = df.where(F.col(value).isNotNull()).select(F.col(group).alias("grp"), F.col(value).alias("value"), seeded(seed, key).alias("o"), F.col(key).alias("id"))
     placed = global_places(rows, [F.col("grp"), F.col("o"), F.col("id")], "at")
     first = placed.groupBy(F.col("grp").alias("g")).agg(F.min("at").alias("first"))
-    rows = placed.join(first, F.col("grp") == F.col("g")).select("grp", "value", (F.col("at") - F.col("first")).alias("rn"))
+    rows = with_groups(placed, first, "grp", "g").select("grp", "value", (F.col("at") - F.col("first")).alias("rn"))
     left, right = rows.select(F.col("grp").alias("a"), "rn", F.col("value").alias("x")), rows.select(F.col("grp").alias("b"), "rn", F.col("value").alias("y"))
     d = F.col("x") - F.col("y")
     pairs = left.join(right, "rn").where("a <> b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.avg(d).alias("m"), F.stddev_samp(d).alias("s"))
@@ -213,60 +212,98 @@ def box_cox(x: Column, lam: Column) -> Column:
     return F.when(F.abs(lam) < 1e-9, F.log(x)).otherwise((F.pow(x, lam) - 1) / lam)
 
 
-#: A transform, what a value adds to the logarithm of its slope for each unit of lambda over 1, and the values it takes.
+def _power_of(x: np.ndarray, lam: np.ndarray) -> np.ndarray:
+    """box_cox of arrays."""
+    none = np.abs(lam) < 1e-9
+    if not none.any():
+        return (np.power(x, lam) - 1) / lam
+    return np.where(none, np.log(x), (np.power(x, lam) - 1) / np.where(none, 1.0, lam))
+
+
+def _power_of_any(x: np.ndarray, lam: np.ndarray) -> np.ndarray:
+    """yeo_johnson of arrays."""
+    up, out = x >= 0, np.empty(len(x))
+    out[up], out[~up] = _power_of(x[up] + 1, lam[up]), -_power_of(1 - x[~up], 2 - lam[~up])
+    return out
+
+
+#: A transform, the same of arrays, what a value adds to the logarithm of its slope for each unit of lambda over 1, and the values it takes.
 TRANSFORMS = {
-    "yeo_johnson": (yeo_johnson, lambda x: F.signum(x) * F.log1p(F.abs(x)), lambda x: F.lit(True)),
-    "box_cox": (box_cox, lambda x: F.log(x), lambda x: x > 0),
+    "yeo_johnson": (yeo_johnson, _power_of_any, lambda x: np.sign(x) * np.log1p(np.abs(x)), lambda x: F.lit(True)),
+    "box_cox": (box_cox, _power_of, np.log, lambda x: x > 0),
 }
 #: First share of the central places on either side of the middle, and by how much it widens.
 CENTRAL, WIDER = 0.34, 0.025
 
 
-def central_values(df: DataFrame, group: str, value: str) -> DataFrame:
-    """(grp, v, w, low): the distinct values at the central places of each group's order with how many of those places each holds, and the least of them.
+def central_values(df: DataFrame, group: str, value: str) -> tuple[DataFrame, DataFrame]:
+    """(groups, rows): groups(id, grp), and rows(id, v, w), the distinct values at the central places of each group's order with how many of those places each holds.
 
     The places widen until they hold two different values; groups without have no rows. Values are counted, and
-    numbered by ranges of the order of all groups.
+    numbered by ranges of the order of all groups; a group's rows are never brought together.
     """
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(group).alias("grp"), F.col(value).cast("double").alias("v")).agg(F.count(F.lit(1)).alias("c"))
-    placed = running_total(counts, [F.col("grp"), F.col("v")], "c", "b")
-    ends = placed.groupBy(F.col("grp").alias("g")).agg(F.min("b").alias("first"), F.sum("c").alias("n"))
-    rows = placed.join(ends, F.col("grp").eqNullSafe(F.col("g"))).select("grp", "v", "c", "n", (F.col("b") - F.col("first")).alias("b"))
+    placed = written(running_total(counts, [F.col("grp"), F.col("v")], "c", "b"))
+    groups = written(placed.groupBy("grp").agg(F.min("b").alias("first"), F.sum("c").alias("n")).withColumn("id", F.monotonically_increasing_id()))
     middle = F.when(F.col("n") % 2 == 1, F.bround(F.col("n") / 2, 0)).otherwise((F.col("n") + 1) / 2)
     share, tries = CENTRAL, []
     while True:
         reach = F.bround(F.lit(share) * middle, 0)
-        tries.append((F.greatest(F.lit(0), F.ceil(middle - reach)).cast("long"), F.least(F.col("n") - 1, F.floor(middle + reach) + 1).cast("long")))
+        tries.append(F.struct((F.col("first") + F.greatest(F.lit(0), F.ceil(middle - reach)).cast("long")).alias("lo"), (F.col("first") + F.least(F.col("n") - 1, F.floor(middle + reach) + 1).cast("long")).alias("hi")))
         if share >= 1:
             break
         share += WIDER
-    at = lambda place: F.max(F.when((F.col("b") <= place) & (place < F.col("b") + F.col("c")), F.col("v")))
-    # A group's rows have one n: the places are the same for all of them.
-    seen = rows.groupBy(F.col("grp").alias("h")).agg(F.array(*(F.struct(F.max(lo).alias("lo"), F.max(hi).alias("hi"), at(lo).alias("low"), at(hi).alias("high")) for lo, hi in tries)).alias("tries"))
-    fit = seen.select("h", F.get(F.filter("tries", lambda t: t["high"] > t["low"]), F.lit(0)).alias("t")).where("t is not null")
-    held = F.least(F.col("b") + F.col("c"), F.col("t.hi") + 1) - F.greatest("b", "t.lo")
-    return rows.join(fit, F.col("grp").eqNullSafe(F.col("h"))).select("grp", "v", held.alias("w"), F.col("t.low").alias("low")).where("w > 0")
-
-
-def _moments(rows: DataFrame, transform: str) -> DataFrame:
-    """(g, lam, mean, sd, likely) of rows(grp, v, w, low, lams): sums that can be merged, of the transform less its value at the group's least."""
-    power, slope, _ = TRANSFORMS[transform]
-    each = rows.select("grp", "v", "w", "low", F.explode("lams").alias("lam"))
-    zero = power(F.col("low"), F.col("lam"))
-    each = each.select("grp", "lam", "w", zero.alias("zero"), (power(F.col("v"), F.col("lam")) - zero).alias("y"), slope(F.col("v")).alias("slope"))
-    sums = each.groupBy(F.col("grp").alias("g"), "lam").agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("y")).alias("s"), F.sum(F.col("w") * F.col("y") * F.col("y")).alias("q"), F.sum(F.col("w") * F.col("slope")).alias("slope"), F.max("zero").alias("zero"))
+    # Places are made once for each group, not for each row.
+    ends = groups.select("id", "grp", F.array(*tries).alias("tries"))
+    first = with_groups(placed, ends.select("id", F.col("grp").alias("g"), F.col("tries")[0]["lo"].alias("at")), "grp", "g")
+    # One row for each group: the places of the value at its first try's lower end. Tries widen: the first that leaves these places holds two values.
+    held = first.where((F.col("b") <= F.col("at")) & (F.col("at") < F.col("b") + F.col("c"))).select(F.col("id").alias("i"), F.col("b").alias("start"), (F.col("b") + F.col("c")).alias("end"))
+    fit = F.get(F.filter("tries", lambda t: (t["lo"] < F.col("start")) | (t["hi"] >= F.col("end"))), F.lit(0))
+    fits = ends.join(held, F.col("id") == F.col("i")).select("id", F.col("grp").alias("g"), fit.alias("t")).where("t is not null").select("id", "g", "t.lo", "t.hi")
+    w = F.least(F.col("b") + F.col("c"), F.col("hi") + 1) - F.greatest("b", "lo")
+    rows = with_groups(placed, fits, "grp", "g").where(w > 0).select("id", "v", w.alias("w"))
+    # The central ranges hold all of these: dealt anew, as each row will be worked on for many lambdas.
+    return groups.select("id", "grp"), written(rows.repartition("v", "id"))
+
+
+def _moments(rows: DataFrame, groups: DataFrame, steps: list[float], transform: str) -> DataFrame:
+    """(g, lam, mean, sd, likely) of rows(id, v, w) for each lambda `at` + step of groups(g, low, at): sums that can be merged, of the transform less its value at the group's least.
+
+    Each Arrow batch is added up by group and lambda in numpy, and Spark adds up the batches.
+    """
+    _, power, slope, _ = TRANSFORMS[transform]
+
+    def added(batches):
+        for pdf in batches:
+            v, w = pdf.v.to_numpy(), pdf.w.to_numpy(float)
+            ids, first, which = np.unique(pdf.id.to_numpy(), return_index=True, return_inverse=True)
+            total = lambda x: np.bincount(which, x, len(ids))
+            at, low = pdf["at"].to_numpy()[first], pdf.low.to_numpy()[first]
+            lams = [at + step for step in steps]
+            zeros = [power(low, lam) for lam in lams]
+            sums, squares = [], []
+            for lam, zero in zip(lams, zeros):
+                y = power(v, lam[which]) - zero[which]
+                s = w * y
+                sums.append(total(s))
+                squares.append(total(s * y))
+            n, slopes = (np.tile(total(x), len(steps)) for x in (w, w * slope(v)))
+            yield pd.DataFrame({"g": np.tile(ids, len(steps)), "lam": np.concatenate(lams), "n": n, "s": np.concatenate(sums), "q": np.concatenate(squares), "slope": slopes, "zero": np.concatenate(zeros)})
+
+    each = with_groups(rows, groups, "id", "g").select("id", "v", "w", "low", "at").mapInPandas(added, "g long, lam double, n double, s double, q double, slope double, zero double")
+    sums = each.groupBy("g", "lam").agg(*(F.sum(c).alias(c) for c in ("n", "s", "q", "slope")), F.max("zero").alias("zero"))
     mean = F.col("s") / F.col("n")
     var = F.greatest(F.col("q") / F.col("n") - mean * mean, F.lit(1e-300))
     return sums.select("g", "lam", (mean + F.col("zero")).alias("mean"), F.sqrt(var).alias("sd"), (-F.col("n") / 2 * F.log(var) + (F.col("lam") - 1) * F.col("slope")).alias("likely"))
 
 
-def fitted_power(rows: DataFrame, transform: str = "yeo_johnson", refine: int = 3) -> DataFrame:
-    """(g, lam, mean, sd): for each group of rows(grp, v, w, low) the likeliest lambda of -2, -1.9, ... 4, then of ever finer steps around it, and the moments there. Each round is one aggregate."""
-    best = lambda m: m.groupBy("g").agg(F.max_by(F.struct("lam", "mean", "sd"), F.struct("likely", -F.abs("lam"))).alias("b")).select("g", "b.lam", "b.mean", "b.sd")
-    found = best(_moments(rows.withColumn("lams", F.array(*(F.lit(round(i / 10 - 2, 1)) for i in range(61)))), transform))
+def fitted_power(rows: DataFrame, lows: DataFrame, transform: str = "yeo_johnson", refine: int = 3) -> DataFrame:
+    """(g, lam, mean, sd): for each group of rows(id, v, w) and lows(g, low) the likeliest lambda of -2, -1.9, ... 4, then of ever finer steps around it, and the moments there. Each round is one aggregate."""
+    best = lambda m: written(m.groupBy("g").agg(F.max_by(F.struct("lam", "mean", "sd"), F.struct("likely", -F.abs("lam"))).alias("b")).select("g", "b.lam", "b.mean", "b.sd"))
+    found = best(_moments(rows, lows.withColumn("at", F.lit(0.0)), [round(i / 10 - 2, 1) for i in range(61)], transform))
     for k in range(refine):
-        near = rows.join(found.select(F.col("g").alias("h"), F.col("lam").alias("at")), F.col("grp").eqNullSafe(F.col("h")))
-        found = best(_moments(near.withColumn("lams", F.array(*(F.col("at") + i * 10.0 ** -(k + 2) for i in range(-10, 11)))), transform))
+        near = lows.join(found.select(F.col("g").alias("h"), F.col("lam").alias("at")), F.col("g") == F.col("h")).select("g", "low", "at")
+        found = best(_moments(rows, near, [i * 10.0 ** -(k + 2) for i in range(-10, 11)], transform))
     return found
 
 
@@ -276,15 +313,17 @@ def sigma_ranges(df: DataFrame, group: str, value: str, k: float = 1.0, transfor
     The lambda is given or the likeliest, see fitted_power. Box-Cox takes positive values alone. Nulls do not
     count, a group of one value has no range, a null group is one.
     """
-    power, _, takes = TRANSFORMS[transform]
-    rows = written(central_values(df.where(takes(F.col(value).cast("double"))), group, value))
+    power, *_, takes = TRANSFORMS[transform]
+    groups, rows = central_values(df.where(takes(F.col(value).cast("double"))), group, value)
+    lows = written(rows.groupBy(F.col("id").alias("g")).agg(F.min("v").alias("low")))
     if lam is None:
-        fit = fitted_power(rows, transform, refine)
+        fit = fitted_power(rows, lows, transform, refine)
     else:
-        fit = _moments(rows.withColumn("lams", F.array(F.lit(float(lam)))), transform)
+        fit = _moments(rows, lows.withColumn("at", F.lit(0.0)), [float(lam)], transform)
     z = F.abs(power(F.col("v"), F.col("lam")) - F.col("mean")) / F.col("sd")
-    kept = rows.join(fit, F.col("grp").eqNullSafe(F.col("g"))).where(z <= k)
-    return kept.groupBy("grp").agg(F.round(F.min("v"), 1).alias("low"), F.round(F.max("v"), 1).alias("high"))
+    kept = with_groups(rows, fit.select("g", "lam", "mean", "sd"), "id", "g").where(z <= k)
+    ends = kept.groupBy("g").agg(F.round(F.min("v"), 1).alias("low"), F.round(F.max("v"), 1).alias("high"))
+    return with_groups(ends, groups, "g", "id").select("grp", "low", "high")
 
 
 def range_text(low: Column, high: Column) -> Column:

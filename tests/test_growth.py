@@ -10,7 +10,7 @@ from pyspark.util import PythonEvalType
 
 from pairlens.functions import clean
 from pairlens.functions import text as T
-from pairlens.operators import lookup, pairs, scoring
+from pairlens.operators import lookup, pairs, scoring, stats
 from pairlens.operators import relational as rel
 
 
@@ -96,3 +96,52 @@ def test_cleaning_holds_few_texts_at_once(spark):
     rows = [(i, None if i % 7 == 0 else f"<p>text {i}</p>") for i in range(200)]
     got = spark.createDataFrame(rows, "i int, t string").coalesce(1).select("i", clean.cleaned("t").alias("c")).collect()
     assert {r[0]: r[1] for r in got} == {i: None if t is None else clean.clean(t) for i, t in rows}
+
+
+def _range_by_hand(values: list[float], transform: str, k: float) -> tuple[float, float] | None:
+    v, n = np.sort(np.array(values, float)), len(values)
+    mid = float(np.round(n / 2)) if n % 2 else (n + 1) / 2
+    for j in range(28):
+        reach = np.round((0.34 + j * 0.025) * mid)
+        lo, hi = max(0, int(np.ceil(mid - reach))), min(n - 1, int(np.floor(mid + reach)) + 1)
+        if v[hi] > v[lo]:
+            break
+    else:
+        return None
+    v = v[lo : hi + 1]
+    _, arrays, slope, _ = stats.TRANSFORMS[transform]
+
+    def fit(lam: float) -> tuple:
+        y = arrays(v, np.full(len(v), lam))
+        return -len(v) / 2 * np.log(y.var()) + (lam - 1) * slope(v).sum(), -abs(lam), lam
+
+    lam = max(fit(round(i / 10 - 2, 1)) for i in range(61))[2]
+    for step in (0.01, 0.001, 0.0001):
+        lam = max(fit(lam + i * step) for i in range(-10, 11))[2]
+    y = arrays(v, np.full(len(v), lam))
+    kept = v[np.abs(y - y.mean()) / y.std() <= k]
+    return round(float(kept.min()), 1), round(float(kept.max()), 1)
+
+
+@pytest.mark.parametrize("transform", ["box_cox", "yeo_johnson"])
+@pytest.mark.parametrize("most", [1 << 16, 2])
+def test_a_group_of_a_range_is_never_one_tasks_work(spark, monkeypatch, transform, most):
+    from pairlens.operators import relational
+
+    monkeypatch.setattr(relational, "GROUPS", most)
+    rng = np.random.default_rng(8)
+    sign = 1 if transform == "box_cox" else -1
+    groups = {"a": (rng.lognormal(2, 1, 400) * sign).tolist(), None: rng.gamma(2, 9, 301).tolist(), "ties": [3.0] * 60 + [1.0] * 2 + [sign * 7.0] * 4, "one": [5.0] * 9, "two": [1.0, 2.0]}
+    rows = [(g, x) for g, values in groups.items() for x in values] + [("a", None)]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = stats.sigma_ranges(spark.createDataFrame(rows, "g string, x double"), "g", "x", 1.5, transform)
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        got = {r[0]: (r[1], r[2]) for r in out.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    want = {g: _range_by_hand(values, transform, 1.5) for g, values in groups.items()}
+    assert got == {g: r for g, r in want.items() if r}
+    # Few groups meet their rows where these are; as one key's partition they were sent to one task.
+    assert ("SortMergeJoin" in plan) == (most == 2)
