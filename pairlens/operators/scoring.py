@@ -42,8 +42,9 @@ def left_overlap(df: DataFrame, key: str, left: str, right: str, scale: str = "s
     """
     f = SCALES[scale]
     rows = _runs(_runs(df.select(key, *keep, F.col(left).alias("__left"), F.col(right).alias("__right")), "__left", "__l"), "__right", "__r")
-    rows = rows.withColumn("__at", F.transform("__l_items", lambda x: F.array_position("__r_items", x).cast("int")))
-    rows = rows.select(key, *keep, F.transform("__l_counts", f).alias("__l"), F.transform("__at", lambda i: F.when(i > 0, f(F.get("__r_counts", i - 1)))).alias("__r"))
+    # The right counts as a lambda's own variable: as a column Spark moved what makes them into the lambda, for each left item anew.
+    found = F.get(F.transform(F.array(F.map_from_arrays("__r_items", "__r_counts")), lambda m: F.transform("__l_items", lambda x: F.try_element_at(m, x))), F.lit(0))
+    rows = rows.select(key, *keep, F.transform("__l_counts", f).alias("__l"), F.transform(found, lambda c: F.when(c.isNotNull(), f(c))).alias("__r"))
     mean = lambda a: F.try_divide(F.aggregate(F.filter(a, lambda x: x.isNotNull()), F.lit(0.0), lambda s, x: s + x), F.size(F.filter(a, lambda x: x.isNotNull())))
     rows = rows.select(key, *keep, "__l", "__r", mean("__l").alias("__lm"), mean("__r").alias("__rm"))
     lack = F.zip_with("__l", "__r", lambda a, b: F.greatest(F.lit(0.0), a / F.col("__lm") - F.coalesce(F.try_divide(b, F.col("__rm")), F.lit(0.0))))
@@ -435,7 +436,8 @@ def bucket_fits(rows: DataFrame, bucket: str, x: str, y: str, least: int) -> Dat
 
     def sums(w: np.ndarray) -> np.ndarray:
         now = spark.createDataFrame([(b, float(w[i, 0]), float(w[i, 1]), *balance[i]) for b, i in at.items()], "wb long, slope double, intercept double, one double, zero double")
-        held = counts.join(now, F.col("b") == F.col("wb")).withColumn("z", F.col("slope") * F.col("x") + F.col("intercept"))
+        # Buckets are few and their rows many: these stay in their tasks.
+        held = counts.join(F.broadcast(now), F.col("b") == F.col("wb")).withColumn("z", F.col("slope") * F.col("x") + F.col("intercept"))
         p, weight = 1 / (1 + F.exp(-F.col("z"))), F.col("c") * F.when(F.col("y") == 1, F.col("one")).otherwise(F.col("zero"))
         loss = F.greatest("z", F.lit(0.0)) - F.col("z") * F.col("y") + F.log1p(F.exp(-F.abs("z")))
         held = held.select("b", "x", weight.alias("w"), loss.alias("loss"), (p - F.col("y")).alias("off"), (p * (1 - p)).alias("bend"))
@@ -454,9 +456,10 @@ def overlap_confidence(actual: DataFrame, shuffled: DataFrame, least: int = 100)
 
     Sizes from the 97.5th percentile on are one bucket; buckets of under `least` rows have none. See bucket_fits and bucket_confidence.
     """
-    actual = written(actual.select("n_elem", "score"))
+    # Both are written: a filter of the sizes would otherwise be moved to where these are made, and make them item by item.
+    actual, shuffled = written(actual.select("n_elem", "score")), written(shuffled.select("n_elem", "score"))
     limit = int(quantile_knots(actual, "n_elem", 41)[39]) if actual.head(1) else 0
-    both = actual.withColumn("y", F.lit(1)).union(shuffled.select("n_elem", "score", F.lit(0)))
+    both = actual.withColumn("y", F.lit(1)).union(shuffled.withColumn("y", F.lit(0)))
     rows = both.select(F.least(F.col("n_elem"), F.lit(max(limit, 1))).alias("b"), (F.col("score") * F.col("n_elem")).alias("x"), "y")
     return bucket_fits(rows.where("b > 0"), "b", "x", "y", least)
 

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..operators import scoring, stats
+from ..operators.relational import written
 from ..sources import table
 from .base import Registry
 
@@ -273,11 +274,12 @@ def sampled_cosines(spark, d):
 @R.add()
 def shuffle_confidence(spark, d):
     t = _turns(spark, d)
-    actual = scoring.left_overlap(t, "id", "l", "r")
-    null = scoring.permutations(t, "id", "l", "r", 2)
     sizes = lambda x: x.select("id", "score", F.ceil(F.col("n_elem") / 50).cast("long").alias("n_elem"))
-    fits = scoring.overlap_confidence(sizes(actual), sizes(null), least=20)
-    return scoring.bucket_confidence(sizes(actual), "id", fits).select("id", F.round("confidence", 6).alias("confidence"))
+    # Written once: it feeds the percentile, the fits and the result.
+    actual = written(sizes(scoring.left_overlap(t, "id", "l", "r")))
+    null = scoring.permutations(t, "id", "l", "r", 2)
+    fits = scoring.overlap_confidence(actual, sizes(null), least=20)
+    return scoring.bucket_confidence(actual, "id", fits).select("id", F.round("confidence", 6).alias("confidence"))
 
 
 @R.add(f"""with d as (select doc_id, {_SQL_WORDS} as w from documents), n as (select count(*) as n from d), tf as (select doc_id, t, count(*) as tf from (select doc_id, unnest(w) as t from d) group by 1, 2),

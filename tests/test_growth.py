@@ -1,6 +1,7 @@
 """Work that must not grow with the square of a text, a group or a list of words."""
 
 import random
+import re
 import time
 
 import numpy as np
@@ -145,3 +146,23 @@ def test_a_group_of_a_range_is_never_one_tasks_work(spark, monkeypatch, transfor
     assert got == {g: r for g, r in want.items() if r}
     # Few groups meet their rows where these are; as one key's partition they were sent to one task.
     assert ("SortMergeJoin" in plan) == (most == 2)
+
+
+def test_right_items_are_not_made_again_for_each_left_item(spark):
+    words = [f"w{i:03d}" for i in range(300)]
+    rows = spark.range(3).select("id", F.array(*map(F.lit, words[1:])).alias("l"), F.array(*map(F.lit, words[:-1])).alias("r")).localCheckpoint()
+    out = scoring.left_overlap(rows, "id", "l", "r")
+    assert {(round(r["score"], 9), r["n_elem"]) for r in out.collect()} == {(round(1 - 1 / 299, 9), 299)}
+    # What is looked up in is a lambda's variable, not the expression that makes it.
+    lookups = re.findall(r"(?:element_at|array_position)\((.{7})", out._jdf.queryExecution().optimizedPlan().toString())
+    assert lookups and set(lookups) == {"lambda "}
+
+
+def test_a_filter_of_sizes_is_not_moved_to_where_scores_are_made(spark, monkeypatch):
+    plans, fits = [], scoring.bucket_fits
+    monkeypatch.setattr(scoring, "bucket_fits", lambda rows, *rest: plans.append(rows._jdf.queryExecution().optimizedPlan().toString()) or fits(rows, *rest))
+    rows = spark.createDataFrame([(i, ["a", "b", "c"][: 1 + i % 3], ["a", "b"][: i % 3]) for i in range(60)], "id long, l array<string>, r array<string>")
+    actual = scoring.left_overlap(rows, "id", "l", "r")
+    out = scoring.overlap_confidence(actual, scoring.permutations(rows, "id", "l", "r", 2), least=5)
+    assert {r["n_elem"] for r in out.collect()} == {1, 2, 3}
+    assert len(plans) == 1 and "sort_array" not in plans[0]
