@@ -7,15 +7,15 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, StructField, StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from ..functions.similarity import longest_common_substring
 from .relational import written
 
-#: Least and greatest number of rows of a tile on either side, blocks of a side between them, and scores that a task has in hand.
-TILE, WIDEST, BLOCKS, CELLS = 1024, 16384, 8, 1 << 22
+#: Least and greatest number of rows of a tile on either side, blocks of a side between them, scores that a task has in hand, and those it gives away at once.
+TILE, WIDEST, BLOCKS, CELLS, GIVEN = 1024, 16384, 8, 1 << 22, 1 << 18
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -23,16 +23,8 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, norm, out=np.zeros_like(x), where=norm > 0)
 
 
-def cosine_matrix(left: DataFrame, right: DataFrame, key: str, vector: str, top: int | None = None, tile: int | None = None) -> DataFrame:
-    """(left, right, score): the cosine of every row of left with every row of right, both (key, vector) with vectors of one length.
-
-    Rows of each side are dealt to blocks, and each pair of blocks is one task's matrix product, some left rows
-    at a time. A row is sent once for each block of the other side: blocks are wide, see TILE, where no tile is
-    given. With top only the best so many of each left row stay (of equal ones the smaller right key), first in each tile and
-    then of all tiles. Keys should not repeat. A vector that is null or holds a null is left out; one of zeros
-    has cosine 0. Without top there are as many rows as cells.
-    """
-    kind = left.schema[key].dataType
+def _tiles(left: DataFrame, right: DataFrame, key: str, vector: str, tile: int | None) -> GroupedData:
+    """(k, v, second) of both sides by pairs of their blocks (i, j); second says that a row is one of right."""
     if left.schema[vector].dataType != right.schema[vector].dataType:
         left, right = (df.withColumn(vector, F.col(vector).cast("array<double>")) for df in (left, right))
 
@@ -46,38 +38,68 @@ def cosine_matrix(left: DataFrame, right: DataFrame, key: str, vector: str, top:
         return max(1, -(-rows // (tile or min(WIDEST, max(TILE, -(-rows // BLOCKS))))))
 
     n, m = blocks_of(left), blocks_of(right)
-    both = side(left, n, m, "i", "j", False).unionByName(side(right, m, n, "j", "i", True))
-    schema = StructType([StructField("left", kind), StructField("right", right.schema[key].dataType), StructField("score", DoubleType())])
-
-    def product(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = pdf[~pdf.second], pdf[pdf.second].sort_values("k")
-        if not len(a) or not len(b):
-            return pd.DataFrame({"left": [], "right": [], "score": []})
-        second, rights, out = _unit(np.stack(b.v.to_numpy()).astype(float)).T, b.k.to_numpy(), []
-        step = max(1, CELLS // len(b))
-        for at in range(0, len(a), step):
-            lefts = a.k.to_numpy()[at : at + step]
-            scores = _unit(np.stack(a.v.to_numpy()[at : at + step]).astype(float)) @ second
-            if top is None or top >= len(b):
-                out.append(pd.DataFrame({"left": np.repeat(lefts, len(b)), "right": np.tile(rights, len(lefts)), "score": scores.ravel()}))
+    return side(left, n, m, "i", "j", False).unionByName(side(right, m, n, "j", "i", True)).groupBy("i", "j")
+
+
+def _scores(batches: Iterator[pd.DataFrame], cells: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(left keys, right keys in order, scores) of a tile, so many cells at once, or one left row."""
+    pdf = pd.concat(batches)
+    a, b = pdf[~pdf.second], pdf[pdf.second].sort_values("k")
+    if not len(a) or not len(b):
+        return
+    second, rights, step = _unit(np.stack(b.v.to_numpy()).astype(float)).T, b.k.to_numpy(), max(1, cells // len(b))
+    for at in range(0, len(a), step):
+        yield a.k.to_numpy()[at : at + step], rights, _unit(np.stack(a.v.to_numpy()[at : at + step]).astype(float)) @ second
+
+
+def cosine_matrix(left: DataFrame, right: DataFrame, key: str, vector: str, top: int | None = None, tile: int | None = None) -> DataFrame:
+    """(left, right, score): the cosine of every row of left with every row of right, both (key, vector) with vectors of one length.
+
+    Rows of each side are dealt to blocks, and each pair of blocks is one task's matrix product, some left rows
+    at a time. A row is sent once for each block of the other side: blocks are wide, see TILE, where no tile is
+    given. With top only the best so many of each left row stay (of equal ones the smaller right key), first in each tile and
+    then of all tiles. Keys should not repeat. A vector that is null or holds a null is left out; one of zeros
+    has cosine 0. Without top there are as many rows as cells, and a task holds GIVEN of them; for their sums see cosine_sums.
+    """
+    schema = StructType([StructField("left", left.schema[key].dataType), StructField("right", right.schema[key].dataType), StructField("score", DoubleType())])
+
+    def product(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for lefts, rights, scores in _scores(batches, GIVEN if top is None else CELLS):
+            if top is None or top >= len(rights):
+                yield pd.DataFrame({"left": np.repeat(lefts, len(rights)), "right": np.tile(rights, len(lefts)), "score": scores.ravel()})
                 continue
             if np.isnan(scores).any():
                 best = np.argsort(-scores, axis=1, kind="stable")[:, :top]
-                out.append(pd.DataFrame({"left": np.repeat(lefts, top), "right": rights[best].ravel(), "score": np.take_along_axis(scores, best, 1).ravel()}))
+                yield pd.DataFrame({"left": np.repeat(lefts, top), "right": rights[best].ravel(), "score": np.take_along_axis(scores, best, 1).ravel()})
                 continue
             # All that reach the score of the last of the best: of equal ones there may be more.
             least = np.partition(scores, -top, axis=1)[:, -top]
             i, j = np.nonzero(scores >= least[:, None])
-            out.append(pd.DataFrame({"left": lefts[i], "right": rights[j], "score": scores[i, j]}).sort_values(["left", "score", "right"], ascending=[True, False, True]).groupby("left", sort=False).head(top))
-        return pd.concat(out)
+            yield pd.DataFrame({"left": lefts[i], "right": rights[j], "score": scores[i, j]}).sort_values(["left", "score", "right"], ascending=[True, False, True]).groupby("left", sort=False).head(top)
 
-    cells = both.groupBy("i", "j").applyInPandas(product, schema)
+    cells = _tiles(left, right, key, vector, tile).applyInPandas(product, schema)
     if top is None:
         return cells
     place = F.row_number().over(Window.partitionBy("left").orderBy(F.desc("score"), "right"))
     return cells.withColumn("__n", place).where(F.col("__n") <= top).drop("__n")
 
 
+def cosine_sums(left: DataFrame, right: DataFrame, key: str, vector: str, tile: int | None = None) -> DataFrame:
+    """(left, cells, total, least): how many cells each left row has in cosine_matrix, their sum and the least of them.
+
+    A tile gives one row for each of its left rows, so that cells never leave the task that makes them.
+    """
+    schema = StructType([StructField("left", left.schema[key].dataType), StructField("cells", LongType()), StructField("total", DoubleType()), StructField("least", DoubleType())])
+
+    def sums(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for lefts, rights, scores in _scores(batches, CELLS):
+            # The least as Spark has it, where NaN is above all numbers.
+            yield pd.DataFrame({"left": lefts, "cells": len(rights), "total": scores.sum(axis=1), "least": np.fmin.reduce(scores, axis=1)})
+
+    tiles = _tiles(left, right, key, vector, tile).applyInPandas(sums, schema)
+    return tiles.groupBy("left").agg(F.sum("cells").alias("cells"), F.sum("total").alias("total"), F.min("least").alias("least"))
+
+
 def grams(text: Column, q: int) -> Column:
     """(gram, at) of each run of q code points of a text with q - 1 marks before and after it."""
     pad = F.lit("\0" * (q - 1))

@@ -5,7 +5,9 @@ import re
 import time
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import GroupedData
 from pyspark.sql import functions as F
 from pyspark.util import PythonEvalType
 
@@ -75,6 +77,25 @@ def test_wide_tiles_send_a_row_few_times(spark):
     assert pairs.WIDEST >= 8 * pairs.TILE
 
 
+def test_a_tile_gives_its_cells_few_at_once_and_its_sums_in_a_row_each(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    v = rng.normal(size=(1100, 3))
+    v[5] = 0
+    v[6, 1] = np.nan
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id int, v array<double>")
+    made, apply = [], GroupedData.applyInPandas
+    monkeypatch.setattr(GroupedData, "applyInPandas", lambda self, fn, schema: made.append(fn) or apply(self, fn, schema))
+    cells = pairs.cosine_matrix(df, df.where("id % 2 = 0"), "id", "v")
+    tile = pd.DataFrame({"k": np.arange(2200) % 1100, "v": [*v, *v], "second": np.arange(2200) >= 1100})
+    sizes = [len(x) for x in made[0](iter([tile[:700], tile[700:]]))]
+    assert sum(sizes) == 1100 * 1100 and max(sizes) <= 1 << 18
+    near = lambda rows: {r[0]: (r[1], f"{r[2]:.9f}", f"{r[3]:.9f}") for r in rows.collect()}
+    want = near(cells.groupBy("left").agg(F.count(F.lit(1)), F.sum("score"), F.min("score")))
+    assert near(pairs.cosine_sums(df, df.where("id % 2 = 0"), "id", "v", 400)) == want and len(want) == 1100
+    tile["second"] = tile.index % 2 == 0
+    assert [len(x) for x in made[1](iter([tile]))] == [1100]
+
+
 def test_an_assignment_deals_pairs_to_more_tasks_as_they_grow(spark, monkeypatch):
     df = spark.createDataFrame([(k, str(i), str(j), float(i == j)) for k in range(40) for i in range(3) for j in range(3)], "k int, l string, r string, s double")
     monkeypatch.setattr(scoring, "ROWS", 20)
