@@ -46,12 +46,16 @@ def generation_model(rows: DataFrame, key: str, job: str, person: str, clusters:
 
 def table_assignment(rows: DataFrame, key: str, job: str, person: str, weights: DataFrame) -> DataFrame:
     """(key, score): the mean weight of the best assignment of the job's skills to the person's by weights(left, right, weight); pairs without one weigh 0, an empty side scores 0."""
-    pairs = lookup.pairs_by_key(rows, rows, key, job, person).where("left <> '' and right <> ''")
+    pairs = lookup.pairs_of_rows(rows, key, job, person).where("left <> '' and right <> ''")
     scored = pairs.join(weights, ["left", "right"], "left").select(key, "left", "right", F.coalesce("weight", F.lit(0.0)).alias("s"))
     best = optimal_assignment(scored, key, "left", "right", "s").groupBy(F.col("k").alias("__k")).agg(F.avg("s").alias("__m"))
     return rows.select(key).join(best, F.col(key) == F.col("__k"), "left").select(key, F.coalesce("__m", F.lit(0.0)).alias("score"))
 
 
+#: Words that one task trains word vectors on; Spark averages what several tasks find.
+WORDS = 1 << 22
+
+
 @dataclass
 class ProfileSkills:
     """Skills of both sides from titles, lists and documents, mapped and stemmed; pairs of them by word vectors, the best
@@ -70,6 +74,7 @@ class ProfileSkills:
     window: int = 25
     iterations: int = 5
     vectors: DataFrame | None = field(default=None, repr=False)
+    made: tuple[DataFrame, str, DataFrame] | None = field(default=None, init=False, repr=False)
 
     def lists(self, rows: DataFrame, key: str) -> DataFrame:
         """(key, job, person): the distinct skills of each side."""
@@ -81,6 +86,8 @@ class ProfileSkills:
             *(T.split_list(F.coalesce(c, F.lit("")), ":: ").alias(c) for c in ("previous_title", "job_skills", "profile_skills")),
             *(F.flatten(F.transform(F.coalesce(c, F.array().cast("array<string>")), lambda s: T.split_parentheses(F.lower(s)))).alias(c) for c in ("job_parsed", "person_parsed")),
         )
+        # Sixteen lookups read it.
+        base = rel.written(base)
         out = base.select(key)
         for side, titles, skills, parsed in (("job", ["job_title"], "job_skills", "job_parsed"), ("person", ["previous_title", "current_title", "desired_title"], "profile_skills", "person_parsed")):
             words = base.withColumns({f"__w_{c}": T.phrase_words(F.col(c)) for c in [*titles, skills]})
@@ -94,23 +101,33 @@ class ProfileSkills:
             out = out.join(every, F.col(key) == F.col(f"__{side}"), "left").drop(f"__{side}")
         return out
 
+    def _sides(self, rows: DataFrame, key: str) -> DataFrame:
+        """lists of rows, written once for fit and transform of the same frame."""
+        if self.made is None or self.made[0] is not rows or self.made[1] != key:
+            self.made = rows, key, rel.written(self.lists(rows, key))
+        return self.made[2]
+
     def fit(self, rows: DataFrame, key: str) -> ProfileSkills:
         from pyspark.ml.feature import Word2Vec
         from pyspark.ml.functions import vector_to_array
 
         if self.vectors is None:
-            words = self.lists(rows, key).select(F.concat("person", "job").alias("w"))
-            model = Word2Vec(vectorSize=self.size, windowSize=self.window, minCount=1, stepSize=0.01, maxIter=self.iterations, seed=1, inputCol="w", outputCol="v").fit(words)
+            words = self._sides(rows, key).select(F.concat("person", "job").alias("w"))
+            parts = max(1, -(-(words.agg(F.sum(F.size("w"))).first()[0] or 0) // WORDS))
+            model = Word2Vec(vectorSize=self.size, windowSize=self.window, minCount=1, stepSize=0.01, maxIter=self.iterations, numPartitions=parts, seed=1, inputCol="w", outputCol="v").fit(words)
             self.vectors = model.getVectors().select("word", vector_to_array("vector").alias("vector"))
         return self
 
     def pair_scores(self, rows: DataFrame, key: str) -> DataFrame:
         """(key, left, right, score): each pair of a row's skills; 0 where one is blank or has no vector."""
-        sides = rel.written(self.lists(rows, key))
-        pairs = lookup.pairs_by_key(sides, sides, key, "job", "person")
+        pairs = lookup.pairs_of_rows(self._sides(rows, key), key, "job", "person")
         a = self.vectors.select(F.col("word").alias("left"), F.col("vector").alias("__x"))
         b = self.vectors.select(F.col("word").alias("right"), F.col("vector").alias("__y"))
-        return pairs.join(a, "left", "left").join(b, "right", "left").select(key, "left", "right", F.coalesce(cosine(F.col("__x"), F.col("__y")), F.lit(0.0)).alias("score"))
+        # Skills recur from row to row: two of them are scored once.
+        known = pairs.select("left", "right").distinct().join(a, "left", "left").join(b, "right", "left")
+        known = rel.written(known.select("left", "right", F.coalesce(cosine(F.col("__x"), F.col("__y")), F.lit(0.0)).alias("score")))
+        few = known.count() <= rel.GROUPS
+        return pairs.join(F.broadcast(known) if few else known, ["left", "right"]).select(key, "left", "right", "score")
 
     def transform(self, rows: DataFrame, key: str) -> DataFrame:
         """(key, score, qtile, confidence, class): score is the quantile q of the assigned pairs' scores."""

@@ -126,6 +126,12 @@ def expanded(df: DataFrame, key: str, lists: list[str], mapping: DataFrame) -> D
     return out.select(key, F.array_sort(F.array_distinct(F.filter(every, lambda x: x != ""))).alias("values"))
 
 
+def pairs_of_rows(rows: DataFrame, key: str, left_items: str, right_items: str) -> DataFrame:
+    """(key, left, right): every pair of two lists of a row, one row for each key; a list without items gives ''. Nothing is joined."""
+    a = rows.dropDuplicates([key]).select(key, right_items, F.explode_outer(left_items).alias("left"))
+    return a.select(key, F.coalesce("left", F.lit("")).alias("left"), F.explode_outer(right_items).alias("right")).withColumn("right", F.coalesce("right", F.lit("")))
+
+
 def pairs_by_key(left: DataFrame, right: DataFrame, key: str, left_items: str, right_items: str) -> DataFrame:
     """(key, left, right): every pair of a key's items; a side without items, or without the key, gives ''."""
     a = left.dropDuplicates([key]).select(key, F.explode_outer(left_items).alias("left"))

@@ -125,8 +125,8 @@ def longest_phrases(df: DataFrame, key: str, title: str, dictionary: DataFrame,
 
 def map_in_file_order(df: DataFrame, key: str, items: str, mapping: DataFrame) -> DataFrame:
     """(key, values): values of mapping(ordinal, key, value) whose key is among the row's items (lower case, trimmed), in the mapping's order; a key's last value at its first place."""
-    w = Window.partitionBy("mk")
-    m = mapping.select("ordinal", F.lower(F.trim("key")).alias("mk"), "value").withColumn("first", F.min("ordinal").over(w)).withColumn("last", F.max("ordinal").over(w)).where("ordinal = last").select("mk", "first", "value")
+    # Combined before the shuffle, as a key may have very many lines.
+    m = mapping.groupBy(F.lower(F.trim("key")).alias("mk")).agg(F.min("ordinal").alias("first"), F.max(F.struct("ordinal", "value")).alias("last")).where("first is not null").select("mk", "first", "last.value")
     rows = df.select(key, F.explode(F.array_distinct(F.transform(items, lambda x: F.lower(F.trim(x))))).alias("__i"))
     found = rows.join(m, F.col("__i") == F.col("mk")).where("value <> ''").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("first", "value"))).alias("v"))
     return found.select(key, F.col("v.value").alias("values"))

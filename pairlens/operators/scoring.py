@@ -179,54 +179,90 @@ def coherence(docs: DataFrame, words: str, topics: DataFrame) -> DataFrame:
     return rows.groupBy("topic").agg(F.avg(F.coalesce(npmi, F.lit(0.0))).alias("coherence"))
 
 
+def assign_many(cost: np.ndarray) -> np.ndarray:
+    """The columns of each grid's rows of least total cost, of grids with no more rows than columns, by shortest augmenting paths with potentials, all grids at once."""
+    grids, n, m = cost.shape
+    u, v, owner = np.zeros((grids, n + 1)), np.zeros((grids, m + 1)), np.zeros((grids, m + 1), int)
+    for i in range(1, n + 1):
+        owner[:, 0], at = i, np.zeros(grids, int)
+        least, way, used = np.full((grids, m + 1), np.inf), np.zeros((grids, m + 1), int), np.zeros((grids, m + 1), bool)
+        on = np.arange(grids)
+        while len(on):
+            used[on, at[on]] = True
+            row, taken, near = owner[on, at[on]], used[on], least[on]
+            slack = cost[on, row - 1] - u[on, row][:, None] - v[on, 1:]
+            better = (slack < near[:, 1:]) & ~taken[:, 1:]
+            near[:, 1:] = np.where(better, slack, near[:, 1:])
+            way[on, 1:] = np.where(better, at[on][:, None], way[on, 1:])
+            to = np.argmin(np.where(taken[:, 1:], np.inf, near[:, 1:]), axis=1) + 1
+            step = near[np.arange(len(on)), to]
+            k, j = np.nonzero(taken)
+            u[on[k], owner[on[k], j]] += step[k]
+            v[on] -= np.where(taken, step[:, None], 0)
+            least[on] = np.where(taken, near, near - step[:, None])
+            at[on] = to
+            on = on[owner[on, to] > 0]
+        on = np.arange(grids)
+        while len(on):
+            before = way[on, at[on]]
+            owner[on, at[on]] = owner[on, before]
+            at[on] = before
+            on = on[before > 0]
+    out = np.zeros((grids, n), int)
+    k, j = np.nonzero(owner[:, 1:])
+    out[k, owner[k, j + 1] - 1] = j
+    return out
+
+
 def assign(cost: np.ndarray) -> list[tuple[int, int]]:
-    """The rows' columns of least total cost, by shortest augmenting paths with potentials."""
+    """The rows' columns of least total cost."""
     flipped = cost.shape[0] > cost.shape[1]
-    c = cost.T if flipped else cost
-    n, m = c.shape
-    u, v, owner = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        owner[0], j0 = i, 0
-        least, way, used = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
-        while True:
-            used[j0] = True
-            i0 = owner[j0]
-            free = np.flatnonzero(~used[1:]) + 1
-            slack = c[i0 - 1, free - 1] - u[i0] - v[free]
-            better = slack < least[free]
-            least[free[better]], way[free[better]] = slack[better], j0
-            j1 = free[np.argmin(least[free])]
-            step = least[j1]
-            u[owner[used]] += step
-            v[used] -= step
-            least[~used] -= step
-            j0 = j1
-            if owner[j0] == 0:
-                break
-        while j0:
-            owner[j0] = owner[way[j0]]
-            j0 = way[j0]
-    pairs = [(int(owner[j]) - 1, j - 1) for j in range(1, m + 1) if owner[j]]
-    return sorted((b, a) if flipped else (a, b) for a, b in pairs)
-
-
-def _assigned(k: int, left: np.ndarray, right: np.ndarray, score: np.ndarray) -> tuple:
-    """(k, l, r, s) of a key's matching; pairs without a score count 0."""
-    (ls, at), (rs, to) = np.unique(left, return_inverse=True), np.unique(right, return_inverse=True)
-    grid = np.zeros((len(ls), len(rs)))
-    grid[at, to] = score
-    pairs = assign(-grid)
-    return [k] * len(pairs), [ls[a] for a, _ in pairs], [rs[b] for _, b in pairs], [grid[a, b] for a, b in pairs]
-
-
-#: Pairs of a task of optimal_assignment, which may be more where one key has more.
-ROWS = 1 << 19
+    to = assign_many((cost.T if flipped else cost)[None])[0]
+    return sorted((int(b), a) if flipped else (a, int(b)) for a, b in enumerate(to))
+
+
+def _places(key: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, size): the place of each rank among the different ones of its key, and how many these are; keys are 0, 1, ..."""
+    every, place = np.unique(key * (int(rank.max()) + 1) + rank, return_inverse=True)
+    size = np.bincount(every // (int(rank.max()) + 1))
+    return place - (np.cumsum(size) - size)[key], size
+
+
+#: Pairs of a task of optimal_assignment, which may be more where one key has more; pairs whose keys are matched together, and cells of their grids at once.
+ROWS, HELD, GRIDS = 1 << 19, 1 << 18, 1 << 20
+
+
+def _matched(rows: pd.DataFrame) -> pd.DataFrame:
+    """(k, l, r, s): the matchings of whole keys, rows of a key together; keys whose grids have the same sides go through one pass. Pairs without a score count 0."""
+    k, l, r = rows.k.to_numpy(), rows.l.to_numpy(), rows.r.to_numpy()
+    score = np.nan_to_num(rows.s.to_numpy(float))
+    key = np.cumsum(np.append(0, np.diff(k) != 0))
+    (a, n), (b, m) = (_places(key, pd.factorize(x, sort=True)[0]) for x in (l, r))
+    rows_of = np.bincount(key)
+    of_key, first, out = np.lexsort((m, n)), np.cumsum(rows_of) - rows_of, []
+    ends = np.append(np.flatnonzero(np.diff(n[of_key]) | np.diff(m[of_key])) + 1, len(of_key))
+    for start, end in zip(np.append(0, ends[:-1]), ends):
+        h, w = int(n[of_key[start]]), int(m[of_key[start]])
+        step = max(1, GRIDS // (h * w))
+        for at in range(start, end, step):
+            keys = of_key[at : min(at + step, end)]
+            count = rows_of[keys]
+            mine = np.repeat(first[keys] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+            grid, which, some = np.zeros((len(keys), h, w)), np.repeat(np.arange(len(keys)), count), np.zeros((len(keys), h + w), np.int64)
+            grid[which, a[mine], b[mine]] = score[mine]
+            # A row that holds each item, for its name.
+            some[which, a[mine]], some[which, h + b[mine]] = mine, mine
+            to = assign_many(-(grid.transpose(0, 2, 1) if h > w else grid))
+            i, j = np.repeat(np.arange(len(keys)), min(h, w)), np.tile(np.arange(min(h, w)), len(keys))
+            x, y = (to.ravel(), j) if h > w else (j, to.ravel())
+            out.append(pd.DataFrame({"k": k[first[keys[i]]], "l": l[some[i, x]], "r": r[some[i, h + y]], "s": grid[i, x, y]}))
+    return pd.concat(out)
 
 
 def optimal_assignment(df: DataFrame, key: str, left: str, right: str, score: str) -> DataFrame:
     """(key, left, right, score): the matching of left and right items of greatest total mean score in each group.
 
-    A task goes through many keys, one after another, and holds one key's grid; for lists of very many
+    A task goes through many keys, some at once, and holds their grids, or one key's; for lists of very many
     items with scores by distance see sorted_assignment.
     """
     rows = df.select(F.col(key).cast("long").alias("k"), F.col(left).cast("string").alias("l"), F.col(right).cast("string").alias("r"), F.col(score).cast("double").alias("s"))
@@ -237,29 +273,20 @@ def optimal_assignment(df: DataFrame, key: str, left: str, right: str, score: st
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: list[pd.DataFrame] = []
-
-        def done(parts: list[pd.DataFrame]) -> pd.DataFrame:
-            every = pd.concat(parts)
-            k, l, r, s = (every[c].to_numpy() for c in "klrs")
-            out: tuple[list, ...] = ([], [], [], [])
-            ends = np.append(np.flatnonzero(np.diff(k)) + 1, len(k))
-            for a, b in zip(np.append(0, ends[:-1]), ends):
-                for to, made in zip(out, _assigned(int(k[a]), l[a:b].astype(str), r[a:b].astype(str), np.nan_to_num(s[a:b].astype(float)))):
-                    to += made
-            return pd.DataFrame(dict(zip("klrs", out)))
-
+        wait = HELD
         for pdf in batches:
-            # The last key of a batch may go on in the next.
-            last = int(np.searchsorted(pdf.k.to_numpy(), pdf.k.iloc[-1])) if len(pdf) else 0
-            if last and (whole := [*held, pdf.iloc[:last]]):
-                yield done(whole)
-                held = []
-            elif held and len(pdf) and held[-1].k.iloc[-1] != pdf.k.iloc[0]:
-                yield done(held)
-                held = []
-            held.append(pdf.iloc[last:])
-        if held and sum(map(len, held)):
-            yield done(held)
+            held.append(pdf)
+            if sum(map(len, held)) < wait:
+                continue
+            every = pd.concat(held)
+            # The last key may go on in the next batch.
+            last = int(np.searchsorted(every.k.to_numpy(), every.k.iloc[-1]))
+            if last:
+                yield _matched(every.iloc[:last])
+            held = [every.iloc[last:]]
+            wait = max(HELD, 2 * len(held[0]))
+        if sum(map(len, held)):
+            yield _matched(pd.concat(held))
 
     return mean.sortWithinPartitions("k").mapInPandas(run, "k long, l string, r string, s double")
 

@@ -104,6 +104,50 @@ def test_an_assignment_deals_pairs_to_more_tasks_as_they_grow(spark, monkeypatch
     assert out.count() == 120 and out.where("l <> r").count() == 0
 
 
+def test_many_keys_are_matched_at_once(spark, monkeypatch):
+    from itertools import permutations
+
+    rng = np.random.default_rng(6)
+    grids = [rng.integers(0, 4, shape).astype(float) for shape in ((1, 1), (2, 3), (3, 2), (4, 4)) for _ in range(50)]
+    rows = [(k * 7, f"l{i}", f"é{j}", float(x)) for k, g in enumerate(grids) for (i, j), x in np.ndenumerate(g)]
+    passes, many = [], scoring.assign_many
+    monkeypatch.setattr(scoring, "assign_many", lambda cost: passes.append(len(cost)) or many(cost))
+    got = scoring._matched(pd.DataFrame(rows, columns=list("klrs")))
+    assert passes == [50] * 4
+    for k, g in enumerate(grids):
+        mine, wide = got[got.k == k * 7], g if g.shape[0] <= g.shape[1] else g.T
+        assert mine.s.sum() == max(sum(wide[i, j] for i, j in enumerate(p)) for p in permutations(range(wide.shape[1]), len(wide)))
+        assert len(mine) == len(wide) == mine.l.nunique() == mine.r.nunique()
+        assert all(g[int(r.l[1:]), int(r.r[1:])] == r.s for r in mine.itertuples())
+
+
+@pytest.mark.parametrize("groups", [1 << 16, 0])
+def test_skills_of_profiles_are_made_and_scored_once(spark, monkeypatch, groups):
+    from pairlens.models import skills
+
+    monkeypatch.setattr(rel, "GROUPS", groups)
+    lists, made = skills.ProfileSkills.lists, []
+    monkeypatch.setattr(skills.ProfileSkills, "lists", lambda self, *rest: made.append(1) or lists(self, *rest))
+    mapping = spark.createDataFrame([(1, "java", "j"), (2, "java", "jvm"), (3, "sql", "db")], "ordinal int, key string, value string")
+    rows = spark.createDataFrame([(i, "", "", "", "", "java:: sql", "java" if i % 2 else "", [], []) for i in range(40)], "id int, job_title string, current_title string, desired_title string, previous_title string, job_skills string, profile_skills string, job_parsed array<string>, person_parsed array<string>")
+    model = skills.ProfileSkills(mapping, mapping, mapping, size=4, window=3, iterations=1).fit(rows, "id")
+    pairs_ = model.pair_scores(rows, "id")
+    got = pairs_.collect()
+    assert len(made) == 1 and {r["left"] for r in got if r["id"] == 1} == {"db", "java", "jvm", "sql"}
+    assert all(abs(r["score"] - 1) < 1e-9 for r in got if r["left"] == r["right"]) and {r["score"] for r in got if r["id"] == 2} == {0.0}
+    assert len(got) == 20 * 4 * 2 + 20 * 4
+    assert "zip_with" not in pairs_._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["id"] for r in model.transform(rows, "id").collect()} == set(range(40))
+
+
+def test_a_keys_lines_are_combined_before_they_are_sent(spark):
+    mapping = spark.createDataFrame([(i, " K " if i % 2 else "k", f"v{i}") for i in range(50)] + [(60, "m", None), (None, "n", "x"), (-1, "o", "first")], "ordinal int, key string, value string")
+    rows = spark.createDataFrame([(1, ["K", "o", "m", "n"]), (2, ["m"])], "id int, i array<string>")
+    out = rel.map_in_file_order(rows, "id", "i", mapping)
+    assert [tuple(r) for r in out.collect()] == [(1, ["first", "v49"])]
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_terms_are_not_joined_with_their_own_sums(spark):
     docs = spark.createDataFrame([(1, ["a", "a", "b"]), (2, ["b", "c"]), (None, ["a"])], "id int, w array<string>")
     out = scoring.tf_idf_log2(docs, "id", "w")
