@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from hashlib import blake2b
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
@@ -111,56 +115,170 @@ def grams(text: Column, q: int) -> Column:
 WHOLE, HALVES = 2, 5
 
 
-def _left_after(part: str, n: int) -> set[str]:
-    """What can be left of part without n code points."""
-    return set(map("".join, combinations(part, len(part) - n))) if n <= len(part) else set()
-
-
-def remains(text: str, least: float) -> set[tuple[str, str]]:
-    """(kind, what is left): two texts that are near enough, the longer one within HALVES edits, have one of them in common.
+@lru_cache(maxsize=1024)
+def _cuts(size: int, least: float) -> list[tuple[str, str, int, int, int]]:
+    """(kind, role, start, stop, n): the parts of a text of a size, and how many of their code points go; two texts that are near enough, the longer one within HALVES edits, have what is left of a part of one kind in common.
 
     For each length that the longer text can have: within WHOLE edits both hold the same code points in order, all of the
     longer one but so many. Within HALVES the one's first half is so near a beginning of the other, or the second half an
     end, that half of the edits, rounded down, lead from one to the other.
     """
-    out, size = set(), len(text)
+    out = set()
     for longest in range(size, int(size / least) + 2):
         edits = int(longest * (1 - least) + 1e-9)
         if longest - edits > size or edits > HALVES:
             continue
         if edits <= WHOLE:
-            out |= {("", x) for x in _left_after(text, size - longest + edits)}
+            out.add(("", "", 0, size, size - longest + edits))
             continue
         half, some = longest // 2, edits // 2
         for end, long in (("<", half), (">", longest - half)):
-            cut = lambda n: text[:n] if end == "<" else text[max(size - n, 0) :]  # noqa: B023, E731
+            cut = lambda n: (0, n) if end == "<" else (max(size - n, 0), size)  # noqa: B023, E731
             for more in range(-some, some + 1):
                 # The parts have long and long + more code points, and share all of the larger one but `some`.
                 both = max(long, long + more) - some
                 kind = f"{end}{longest}{more:+}"
                 if longest == size:
-                    out |= {(f"{kind}a", x) for x in _left_after(cut(long), long - both)}
+                    out.add((kind, "a", *cut(long), long - both))
                 if long + more <= size:
-                    out |= {(f"{kind}b", x) for x in _left_after(cut(long + more), long + more - both)}
+                    out.add((kind, "b", *cut(long + more), long + more - both))
+    return sorted(x for x in out if x[4] <= x[3] - x[2])
+
+
+@lru_cache(maxsize=1024)
+def _kept(size: int, n: int) -> np.ndarray:
+    return np.array(list(combinations(range(size), size - n)), int).reshape(-1, size - n)
+
+
+#: Keys or pairs that a task makes at once.
+STEP = 1 << 18
+
+
+def _remains(texts: list[str], least: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(text's number, role, hash of kind and what is left), each once for a text, all texts of a size together. Roles are 0, or 1 and 2 for the longer text's half and the other's."""
+    sizes, factor = np.array([len(t) for t in texts]), np.uint64(0x9E3779B97F4A7C15)
+    for size in np.unique(sizes):
+        cuts = _cuts(int(size), least)
+        of_size = np.flatnonzero(sizes == size)
+        step = max(1, STEP // max((len(_kept(stop - start, n)) for _, _, start, stop, n in cuts), default=1))
+        for at in range(0, len(of_size), step):
+            mine = of_size[at : at + step]
+            codes = np.array([texts[i] for i in mine], f"U{size}").view(np.uint32).reshape(len(mine), size).astype(np.uint64)
+            for kind, role, start, stop, n in cuts:
+                kept = _kept(stop - start, n) + start
+                h = np.full((len(mine), len(kept)), int.from_bytes(blake2b(kind.encode(), digest_size=8).digest()), np.uint64)
+                for place in kept.T:
+                    h = (h ^ codes[:, place]) * factor
+                    h ^= h >> np.uint64(29)
+                h.sort(axis=1)
+                once = np.ones(h.shape, bool)
+                once[:, 1:] = h[:, 1:] != h[:, :-1]
+                yield np.repeat(mine, once.sum(axis=1)), np.full(int(once.sum()), " ab".index(role or " "), np.int8), h[once].view(np.int64)
+
+
+def _edits(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarray, most: int) -> np.ndarray:
+    """The edits between texts in columns of code points, of their sizes, if they are `most` or fewer; else some larger number."""
+    over, pairs = most + 1, a.shape[1]
+    row = [np.full(pairs, min(j, over), np.int8) for j in range(len(b) + 1)]
+    out = np.where(sizes_a == 0, np.minimum(sizes_b, over), over).astype(np.int8)
+    for i in range(1, len(a) + 1):
+        before, row = row, [np.full(pairs, min(i, over), np.int8)] + [None] * len(b)
+        beyond = np.full(pairs, over, np.int8)
+        for j in range(1, len(b) + 1):
+            if abs(i - j) > most:
+                row[j] = beyond
+                continue
+            best = before[j - 1] + (a[i - 1] != b[j - 1])
+            np.minimum(best, np.minimum(before[j], row[j - 1]) + np.int8(1), out=best)
+            row[j] = np.minimum(best, np.int8(over), out=best)
+        here = np.flatnonzero(sizes_a == i)
+        for j in np.unique(sizes_b[here]):
+            at = here[sizes_b[here] == j]
+            out[at] = row[j][at]
     return out
 
 
+def _near(texts: pa.Array, side: np.ndarray, role: np.ndarray, key: np.ndarray, least: float, one_side: bool) -> Iterator[pa.RecordBatch]:
+    """(a, b, edits) of the texts near enough among those of equal keys, which stand in the order of keys, roles and sides."""
+    words = texts.dictionary_encode()
+    at, names = words.indices.to_numpy(), words.dictionary
+    held = names.to_pylist()
+    size = np.array([len(t) for t in held])
+    codes = np.array(held, f"U{size.max()}").view(np.uint32).reshape(len(held), -1)
+    codes = np.ascontiguousarray((codes.astype(np.uint8) if codes.max() < 256 else codes).T)
+    rank = np.empty(len(held), int)
+    rank[pc.sort_indices(names).to_numpy()] = np.arange(len(held))
+    # Roles: the longer text's half meets the other's beginning or end, whichever side it is on; whole texts have none.
+    part = 8 * np.cumsum(np.append(0, np.diff(key) != 0)) + 2 * role + side
+    place = np.arange(len(key))
+    wanted = np.where(role == 2, -1, part + 2 * (role == 1) + (0 if one_side else 1 - 2 * side))
+    if not one_side:
+        wanted[(role == 0) & (side == 1)] = -1
+    begin, end = np.searchsorted(part, wanted), np.searchsorted(part, wanted, "right")
+    if one_side:
+        begin = np.where(role == 0, place + 1, begin)
+    others, first = end - begin, 0
+    total = np.cumsum(others)
+    while first < len(key):
+        stop = max(first + 1, int(np.searchsorted(total, (total[first - 1] if first else 0) + STEP, "right")))
+        n = others[first:stop]
+        i = np.repeat(place[first:stop], n)
+        j = np.repeat(begin[first:stop] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        first = stop
+        fine = at[i] != at[j]
+        i, j = i[fine], j[fine]
+        turned = rank[at[i]] > rank[at[j]] if one_side else side[i] > side[j]
+        a, b = np.where(turned, at[j], at[i]), np.where(turned, at[i], at[j])
+        most = np.floor(np.maximum(size[a], size[b]) * (1 - least) + 1e-9).astype(int)
+        fine = np.abs(size[a] - size[b]) <= most
+        a, b, most = a[fine], b[fine], most[fine]
+        if not len(a):
+            continue
+        pair = np.unique(a.astype(np.int64) * len(held) + b)
+        a, b = pair // len(held), pair % len(held)
+        most = np.floor(np.maximum(size[a], size[b]) * (1 - least) + 1e-9).astype(int)
+        edits = _edits(codes[: size[a].max()][:, a], codes[: size[b].max()][:, b], size[a], size[b], int(most.max()))
+        fine = edits <= most
+        yield pa.RecordBatch.from_arrays([names.take(pa.array(a[fine])), names.take(pa.array(b[fine])), pa.array(edits[fine].astype(np.int32))], ["a", "b", "edits"])
+
+
 def _pairs_by_remains(texts: DataFrame, least: float, one_side: bool) -> DataFrame:
-    """(a, b): candidates of texts(t, side) of which the longer one is within HALVES edits."""
+    """(a, b, edits): pairs of texts(t, side) near enough of which the longer one is within HALVES edits, some of them more than once."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 512):
-                rows = [(t, s, k[:-1] if k else k, k[-1:], x) for t, s in zip(pdf["t"][at : at + 512], pdf["side"][at : at + 512]) for k, x in remains(t, least)]
-                yield pd.DataFrame(rows, columns=["t", "side", "kind", "role", "left"])
+    def keys_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            t, side = batch.column("t"), batch.column("side")
+            for of, role, h in _remains(t.to_pylist(), least):
+                of = pa.array(of)
+                yield pa.RecordBatch.from_arrays([t.take(of), side.take(of), pa.array(role), pa.array(h)], ["t", "side", "role", "h"])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows, wait = [], 0, STEP
+
+        def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            yield from _near(table["t"].combine_chunks(), *(table[c].to_numpy().astype(int) for c in ("side", "role", "h")), least, one_side)
+
+        for batch in batches:
+            held.append(batch)
+            rows += len(batch)
+            if rows < wait:
+                continue
+            table = pa.Table.from_batches(held)
+            # The last key may go on in the next batch.
+            h = table["h"].to_numpy()
+            last = int(np.searchsorted(h, h[-1]))
+            if last:
+                yield from done(table.slice(0, last))
+            held = table.slice(last).combine_chunks().to_batches()
+            rows -= last
+            wait = max(STEP, 2 * rows)
+        if rows:
+            yield from done(pa.Table.from_batches(held))
 
     # Dealt by number, as a few MB of texts become many keys and pairs, which tasks laid together by their input would make alone.
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    made = texts.repartition(parts, "t").mapInPandas(run, "t string, side int, kind string, role string, left string")
-    keys = made.select("t", "side", "role", F.xxhash64("kind", "left").alias("h")).repartition(parts, "h")
-    # Roles: the longer text's half meets the other's beginning or end, whichever side it is on; whole texts have none.
-    roles = (F.col("ra") == "") | (F.col("ra") != F.col("rb"))
-    return _met(keys, "h", one_side).where(roles).select("a", "b")
+    made = texts.repartition(parts, "t").mapInArrow(keys_of, "t string, side int, role byte, h long")
+    return made.repartition(parts, "h").sortWithinPartitions("h", "role", "side").mapInArrow(met, "a string, b string, edits int")
 
 
 def _met(keys: DataFrame, key: str, one_side: bool) -> DataFrame:
@@ -185,7 +303,7 @@ def similar_texts(left: DataFrame, right: DataFrame | None, text: str, least: fl
     """(a, b, edits, factor): different texts of left and right, or of left alone with a < b, whose edits leave a share of at least `least` of the longer one.
 
     Only pairs that share something are made and then measured. Short texts, such as words, share what is left of them
-    without a few code points: see remains. Of longer ones two so near share one of their rarest grams of q code points,
+    without a few code points: see _cuts. Of longer ones two so near share one of their rarest grams of q code points,
     equal grams of a text counted apart. Places are no filter, as a gram that goes moves the number of those after it.
     least must be over 1 - 1 / q. Equal texts of a side count once, and empty and null ones not at all.
     """
@@ -197,15 +315,14 @@ def similar_texts(left: DataFrame, right: DataFrame | None, text: str, least: fl
 
     texts = written(listed(left, 0) if right is None else listed(left, 0).union(listed(right, 1)))
     most = lambda size: F.floor(size * (1 - least) + 1e-9)
-    found = _pairs_by_remains(texts, least, right is None)
+    found = _pairs_by_remains(texts, least, right is None).distinct()
+    longest = F.greatest(F.length("a"), F.length("b"))
     # Texts that have more edits, or may be so near one that has.
     far = texts.where(most(F.length("t") / least + 1) > HALVES)
     if not far.isEmpty():
-        found = found.union(_pairs_by_grams(far, least, right is None, q))
-    longest = F.greatest(F.length("a"), F.length("b"))
-    found = found.where(F.abs(F.length("a") - F.length("b")) <= most(longest)).distinct()
-    out = found.withColumn("edits", F.levenshtein("a", "b")).withColumn("factor", (longest - F.col("edits")) / longest)
-    return out.where(F.col("edits") <= most(longest)).select("a", "b", "edits", "factor")
+        others = _pairs_by_grams(far, least, right is None, q).where(F.abs(F.length("a") - F.length("b")) <= most(longest)).distinct()
+        found = found.union(others.withColumn("edits", F.levenshtein("a", "b")).where(F.col("edits") <= most(longest))).distinct()
+    return found.select("a", "b", "edits", ((longest - F.col("edits")) / longest).alias("factor"))
 
 
 def common_substring_pairs(left: DataFrame, right: DataFrame | None, text: str, least: int) -> DataFrame:

@@ -55,6 +55,22 @@ def test_near_words_are_found_among_few_candidates(spark):
     assert made < len(words) ** 2 / 2 / 20
 
 
+def test_keys_of_words_are_made_by_size_and_only_near_pairs_leave_a_task(spark, monkeypatch):
+    words = sorted({"".join(random.Random(i).choices("abé", k=7 + i % 8)) for i in range(300)} | {"abababababab", "ababababababa", "語彙語彙語彙語彙", "語彙語彙語彙語"})
+    made = list(pairs._remains(words, 0.75))
+    # As many passes as kinds of parts, not as words; what is left twice of a text is one key.
+    assert len(made) <= sum(len(pairs._cuts(n, 0.75)) for n in {len(w) for w in words})
+    keys = [(int(i), int(r), int(h)) for of, role, key in made for i, r, h in zip(of, role, key)]
+    assert len(keys) == len(set(keys))
+    monkeypatch.setattr(pairs, "STEP", 64)
+    near = lambda a, b: _edits(a, b) <= int(max(len(a), len(b)) * 0.25 + 1e-9)
+    got = pairs._pairs_by_remains(spark.createDataFrame([(w, 0) for w in words], "t string, side int"), 0.75, True).distinct().collect()
+    assert {tuple(r) for r in got} == {(a, b, _edits(a, b)) for a in words for b in words if a < b and near(a, b)}
+    sides = [(w, i % 2) for i, w in enumerate(words)] + [(words[0], 1)]
+    got = pairs._pairs_by_remains(spark.createDataFrame(sides, "t string, side int"), 0.75, False).distinct().collect()
+    assert {tuple(r) for r in got} == {(a, b, _edits(a, b)) for a, x in sides for b, y in sides if x < y and a != b and near(a, b)}
+
+
 def test_phrases_of_titles_are_never_broadcast(spark):
     titles = spark.createDataFrame([(1, "large ring bolt"), (2, "cold plate"), (2, "cold plate")], "id int, t string")
     held = spark.createDataFrame([("ring", "r", False), ("ring bolt", "rb", False), ("plate", "p", False)], "phrase string, value string, stemmed boolean")
