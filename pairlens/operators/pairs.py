@@ -200,6 +200,12 @@ def _edits(a: np.ndarray, b: np.ndarray, sizes_a: np.ndarray, sizes_b: np.ndarra
 
 def _near(texts: pa.Array, side: np.ndarray, role: np.ndarray, key: np.ndarray, least: float, one_side: bool) -> Iterator[pa.RecordBatch]:
     """(a, b, edits) of the texts near enough among those of equal keys, which stand in the order of keys, roles and sides."""
+    # Most keys are one text's alone.
+    start = np.append(True, np.diff(key) != 0)
+    met = ~(start & np.append(start[1:], True))
+    if not met.any():
+        return
+    texts, side, role, key = texts.filter(pa.array(met)), side[met], role[met], key[met]
     words = texts.dictionary_encode()
     at, names = words.indices.to_numpy(), words.dictionary
     held = names.to_pylist()
